@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .bpe import encode_documents
 from .common import table
+from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .secret_scan import scan_secrets
 
@@ -17,10 +19,21 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.in_training)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", (~quality.in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_key_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -30,7 +43,20 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op6_line_dedup": op6_line_dedup, "op8_secret_scan": op8_secret_scan}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify_languages(docs, langid.learn(docs, langid.in_training))
+    return found.select("doc_id", (~langid.in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_html_text": op1_html_text,
+    "op4_bpe": op4_bpe,
+    "op5_quality": op5_quality,
+    "op6_line_dedup": op6_line_dedup,
+    "op8_secret_scan": op8_secret_scan,
+    "op10_language_id": op10_language_id,
+}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
