@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from . import langid, quality
 from .bpe import encode_documents
 from .common import table
+from .embed_dedup import near_duplicates
 from .html_text import extract_text
 from .line_dedup import dedup_lines
+from .ngram_join import jaccard_components
 from .secret_scan import scan_secrets
+from .top_k import top_k
 
 
 def vocabulary_path() -> str:
@@ -23,6 +26,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -39,10 +47,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify_languages(docs, langid.learn(docs, langid.in_training))
@@ -51,10 +68,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_secret_scan": op8_secret_scan,
+    "op9_top_k": op9_top_k,
     "op10_language_id": op10_language_id,
 }
 
@@ -78,4 +98,62 @@ FROM keyed k LEFT JOIN common c ON k.key = c.key
 GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+OP3_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.a LEFT JOIN counted c ON e.vec_id = c.a
+"""
+
+OP7_SQL = f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: md5(array_to_string(w[i:i+3], ' '))))
+                      WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS s
+  FROM split),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, x.n AS n, y.n AS m, count(*) AS i
+  FROM flat x JOIN flat y ON x.t = y.t AND x.doc_id <> y.doc_id AND 100 * x.n >= 85 * y.n AND 100 * y.n >= 85 * x.n
+  GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * i >= 85 * (n + m - i)),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least ON doc_id = a
+"""
+
+OP9_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_embedding_dedup": OP3_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op7_ngram_jaccard": OP7_SQL,
+    "op9_top_k": OP9_SQL,
+}
