@@ -1,3 +1,76 @@
-STAGES = []
+"""A corpus pipeline: quality filter, line dedup, near-duplicate removal, mixing, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again
+as the next stage's documents. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from watchtide.llm import quality
+from watchtide.llm.bpe import encode_documents
+from watchtide.llm.common import stored, table
+from watchtide.llm.line_dedup import dedup_lines
+from watchtide.llm.mixing import mix
+from watchtide.llm.ngram_join import jaccard_components
+from watchtide.llm.queries import MIX_FRACTION, mix_levels, vocabulary_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), quality.in_training)
+    scored = quality.score_documents(docs, model, keep=COLUMNS, with_text="text")
+    return scored.where("predicted = 1").select(*COLUMNS)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten documents or more have."""
+    kept = dedup_lines(docs, keep=("doc_id", "lang", "source"), min_docs=10, min_key_chars=1)
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents, the one with the smallest id. Rows that share an id are one
+    document, of which one row stays; rows without id stay."""
+    found = jaccard_components(docs, width=4, percent=85)
+    gone = found.where("component_id != id").select(F.col("id").alias("doc_id")).distinct()
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    twice = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id"))
+    once = kept.join(twice, "doc_id", "left_anti")
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mixture takes, each as often as it takes it."""
+    mixed = mix(docs, mix_levels(), MIX_FRACTION, epochs=1, keep=COLUMNS)
+    return mixed.where("copies > 0").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the decoded text."""
+    return encode_documents(docs, vocabulary_path(), keep=("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_common_lines),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The classifier and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
+    return docs

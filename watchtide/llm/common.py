@@ -82,18 +82,20 @@ def byte_windows(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], results: str, scan: Callable) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], results: str, scan: Callable, with_text: str | None = None) -> DataFrame:
     """Row-wise operator on a text column, in Arrow batches.
 
     ``scan()`` runs once per task and returns ``f(column) -> list of arrays``, one for each field of
     the DDL string ``results``. The columns ``keep`` pass through; one that has the name of a result
-    is replaced by it.
+    is replaced by it. The text itself passes through under the name ``with_text``, if given; a column of
+    that name in ``keep`` is left out.
     """
     schema = T._parse_datatype_string(results)
     names = {f.name for f in schema.fields}
-    keep = [c for c in keep if c not in names]
+    keep = [c for c in keep if c not in names and c != with_text]
     source = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").cast("string").alias("__text"))
-    out = T.StructType([*(source.schema[c] for c in keep), *schema.fields])
+    own = [T.StructField(with_text, T.StringType())] if with_text else []
+    out = T.StructType([*(source.schema[c] for c in keep), *own, *schema.fields])
     fields = [f.name for f in out.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +103,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], results: str, scan: Cal
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             got = f(column)
-            arrays = [*(batch.column(i) for i in range(len(keep))), *(x if isinstance(x, pa.Array) else pa.array(x) for x in got)]
+            arrays = [*(batch.column(i) for i in range(len(keep) + bool(own))), *(x if isinstance(x, pa.Array) else pa.array(x) for x in got)]
             yield pa.RecordBatch.from_arrays(arrays, fields)
 
     return source.mapInArrow(run, out)

@@ -147,7 +147,7 @@ def _vote(model: Model, counts: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(axis=1) == 0, model.share, np.clip(score, 0.0, 1.0))
 
 
-def score_documents(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:
+def score_documents(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, with_text: str | None = None) -> DataFrame:
     """Score every whole text: per row ``keep`` and ``score double, predicted int``. No shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -159,7 +159,7 @@ def score_documents(df: DataFrame, model: Model, text: str = "text", keep: tuple
 
         return run
 
-    return map_texts(df, text, list(keep), "score double, predicted int", scan)
+    return map_texts(df, text, list(keep), "score double, predicted int", scan, with_text)
 
 
 def in_training(doc_id):

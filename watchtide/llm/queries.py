@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
@@ -11,6 +11,7 @@ from .common import table
 from .embed_dedup import near_duplicates
 from .html_text import extract_text
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .ngram_join import jaccard_components
 from .secret_scan import scan_secrets
 from .top_k import top_k
@@ -26,6 +27,22 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
 
+#: The mixture takes this share of all tokens.
+MIX_FRACTION = 0.9
+
+
+def mix_levels() -> tuple[Column, Column, Column]:
+    """Domain (the source's number modulo 4, or ``other``), language and source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    domain = F.when(number != "", F.concat(F.lit("domain"), (number.try_cast("int") % 4).cast("string"))).otherwise("other")
+    return domain, F.col("lang"), F.col("source")
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_FRACTION, epochs=2)
+    return mixed.select(F.col("id").alias("doc_id"), F.col("l0").alias("domain"), F.col("l1").alias("lang"), F.col("l2").alias("source"), F.col("tokens").alias("n_tokens"), "copies")
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -68,6 +85,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_source_mixing": op2_source_mixing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
@@ -151,7 +169,56 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+
+
+def _split_sql(name: str, nodes: str, parent: str, own: str) -> str:
+    """CTEs that hand a budget down one level: children by capacity per weight (every weight is 1)."""
+    return f"""
+{name}_sorted AS (
+  SELECT n.*, h.budget,
+         coalesce(sum(n.capacity) OVER (PARTITION BY {parent} ORDER BY n.capacity, {own} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         count(*) OVER (PARTITION BY {parent} ORDER BY n.capacity, {own} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS later
+  FROM {nodes} n JOIN {name}_up h USING ({parent})),
+{name}_level AS (
+  SELECT *, (budget - before) / later AS level, capacity <= (budget - before) / later AS filled FROM {name}_sorted),
+{name}_rest AS (
+  SELECT {parent}, arg_min(level, capacity) AS common FROM {name}_level WHERE NOT filled GROUP BY {parent}),
+{name} AS (
+  SELECT l.*, CASE WHEN filled THEN capacity ELSE greatest(0, r.common) END AS share
+  FROM {name}_level l LEFT JOIN {name}_rest r USING ({parent}))"""
+
+
+OP2_SQL = rf"""
+WITH docs AS (
+  SELECT doc_id, 0 AS root,
+         CASE WHEN regexp_extract(source, '([0-9]{{1,9}})$', 1) <> ''
+              THEN 'domain' || CAST(CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INT) % 4 AS VARCHAR) ELSE 'other' END AS domain,
+         lang, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM documents),
+n3 AS (SELECT root, domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * 2.0::DOUBLE AS capacity FROM docs GROUP BY ALL),
+n2 AS (SELECT root, domain, lang, sum(capacity) AS capacity FROM n3 GROUP BY ALL),
+n1 AS (SELECT root, domain, sum(capacity) AS capacity FROM n2 GROUP BY ALL),
+a_up AS (SELECT root, sum(tokens) * {MIX_FRACTION}::DOUBLE AS budget FROM n3 GROUP BY root),
+{_split_sql("a", "n1", "root", "domain")},
+b_up AS (SELECT domain, share AS budget FROM a),
+{_split_sql("b", "n2", "domain", "lang")},
+c_up AS (SELECT domain, lang, share AS budget FROM b),
+{_split_sql("c", "n3", "domain, lang", "source")},
+leaf AS (
+  SELECT domain, lang, source, CAST(floor(round(share / tokens, 12)) AS BIGINT) AS whole,
+         round(share - floor(round(share / tokens, 12)) * tokens, 6) AS rest FROM c WHERE tokens > 0),
+placed AS (
+  SELECT d.*, whole, rest, md5('mix:' || CAST(whole + 1 AS VARCHAR) || ':' || CAST(doc_id AS VARCHAR)) AS place
+  FROM docs d JOIN leaf USING (domain, lang, source)),
+summed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY place, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM placed)
+SELECT doc_id, domain, lang, source, n_tokens,
+       CAST(CASE WHEN n_tokens = 0 THEN 0 ELSE whole + CASE WHEN taken < rest THEN 1 ELSE 0 END END AS BIGINT) AS copies
+FROM summed
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_source_mixing": OP2_SQL,
     "op3_embedding_dedup": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
