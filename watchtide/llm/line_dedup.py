@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: White space at the ends of a line: space and U+0009 to U+000D (fixed values).
 WHITE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,7 +28,9 @@ def lines_of(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """The line without white space at both ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), _UPPER, _LOWER)
+    bare = F.btrim(line, F.lit(WHITE))
+    # lower() is the same for ASCII, and far cheaper than looking up every character
+    return F.when(F.octet_length(bare) == F.char_length(bare), F.lower(bare)).otherwise(F.translate(bare, _UPPER, _LOWER))
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -42,10 +46,11 @@ def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     Returns ``doc_key binary, dropped map<long, long>``: bit ``i % 64`` of word ``i div 64`` is set if
     line ``i`` goes; words without a set bit are left out.
     """
-    key = line_key(F.col("line"))
-    lines = (
-        df.select(document_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_key"), F.posexplode(lines_of(F.col(f"`{text}`"))).alias("pos", "line"))
-        .select("doc_key", "pos", key.alias("key"))
+    # the document's key is computed once, below the explode; the hashes are stored once, for three uses
+    lines = stored(
+        df.select(document_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_key"), lines_of(F.col(f"`{text}`")).alias("lines"))
+        .select("doc_key", F.posexplode("lines").alias("pos", "line"))
+        .select("doc_key", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_key_chars)
         .select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("g"), "doc_key", "pos")
     )
