@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import feeds
+from . import chain, feeds, quotes, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "feeds"]
+__all__ = ["ORACLES", "QUERIES", "chain", "feeds", "quotes", "tables"]
