@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import chain, feeds, quotes, tables
+from . import chain, detect, feeds, quotes, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chain", "feeds", "quotes", "tables"]
+__all__ = ["ORACLES", "QUERIES", "chain", "detect", "feeds", "quotes", "tables"]
