@@ -1,0 +1,328 @@
+"""Each operator against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and
+extra columns with clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from watchtide.llm import langid, quality, queries
+from watchtide.llm.bpe import encode_documents
+from watchtide.llm.components import connected
+from watchtide.llm.embed_dedup import near_duplicates
+from watchtide.llm.html_text import extract_text, main_text
+from watchtide.llm.line_dedup import dedup_lines, dropped_lines
+from watchtide.llm.mixing import mix
+from watchtide.llm.ngram_join import jaccard_components
+from watchtide.llm.secret_scan import RULES, Automaton, Rule, scan_secrets
+from watchtide.llm.top_k import top_k
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, pos int, line string, h long, n_lines long"
+
+
+def docs(spark, texts, ids=None, langs=None):
+    ids = ids or range(len(texts))
+    langs = langs or ["en"] * len(texts)
+    return spark.createDataFrame([(i, t, g, "src1", len(t or ""), 0.5, 1, 2, "x", 3, 4) for i, t, g in zip(ids, texts, langs, strict=True)], CLASH)
+
+
+def words(r, n, base="abcdefgh"):
+    return " ".join("".join(r.choices(base, k=r.randrange(2, 7))) for _ in range(n))
+
+
+# 1
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script></head><body class="has-sidebar">
+<header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies</div>
+<main><article><h1>Head &amp; line</h1><p>First&nbsp;  para<br>goes <b>on</b>.<p>Short.</p><aside>More</aside><form><input><label>Mail</label></form><ul><li>one<li>two</ul></article>
+<section id="comments"><p>Nice post, I liked it very much, thanks a lot for all of this work and more of it please.</p></section></main>
+<div class="sidebar"><p>Archive</p></div><footer>&copy; Me</footer></body></html>"""
+
+
+def test_html(spark):
+    assert main_text(PAGE) == "Head & line\n\nFirst para goes on.\n\nShort.\n\none\n\ntwo"
+    plain = "<div><a href=x>Menu one</a></div>" + "".join(f"<p>{'word ' * 30}{i}</p>" for i in range(3)) + "<div><a href=y>Next</a></div>"
+    assert main_text(plain).count("\n\n") == 2 and "Menu" not in main_text(plain)
+    rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (3, "u", "", ""), (4, "u", "<p>" + "a b " * 200_000, ""), (5, "u", "<p>&am<b", "")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r for r in extract_text(rows).collect()}
+    assert len(got) == 5 and got[2]["text"] == got[3]["text"] == "" and got[4]["n_chars"] == 799_999 and got[5]["text"] == "&am"
+    assert extract_text(rows.limit(0)).count() == 0
+
+
+# 2
+
+
+def _mixed(rows, fraction, epochs, seed="mix"):
+    """Water-filling by bisection, then prefixes, in plain Python."""
+    tokens = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
+
+    def split(budget, caps):
+        lo, hi = 0.0, budget + 1
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(c, mid) for c in caps.values()) < budget else (lo, mid)
+        return {k: min(c, hi) for k, c in caps.items()}
+
+    def cap(prefix):
+        return sum(tokens[i] * epochs for i, _, *path in rows if tuple(path[: len(prefix)]) == prefix)
+
+    share = {(): sum(tokens.values()) * fraction}
+    for level in range(3):
+        for parent in [p for p in share if len(p) == level]:
+            kids = {tuple(path[: level + 1]) for _, _, *path in rows if tuple(path[:level]) == parent}
+            share |= split(share[parent], {k: cap(k) for k in kids})
+    out = {}
+    for leaf in [p for p in share if len(p) == 3]:
+        own = [i for i, _, *path in rows if tuple(path) == leaf]
+        total = sum(tokens[i] for i in own)
+        whole = int(share[leaf] / total + 1e-9) if total else 0
+        rest, taken = share[leaf] - whole * total, 0
+        for i in sorted(own, key=lambda i: hashlib.md5(f"{seed}:{whole + 1}:{'null' if i is None else i}".encode()).hexdigest()):
+            out[i] = (whole + (taken < rest - 1e-4)) if tokens[i] else 0
+            taken += tokens[i]
+    return out
+
+
+@pytest.mark.parametrize("fraction,epochs", [(0.5, 1), (0.9, 1), (1.0, 2), (1.7, 2), (5.0, 2)])
+def test_mixing(spark, fraction, epochs):
+    r = random.Random(1)
+    rows = [(i, words(r, r.randrange(1, 40)), f"d{r.randrange(2)}", r.choice(["en", "de", "fr"]), r.choice(["s0"] * 6 + ["s1", "s2"])) for i in range(300)] + [(900, "", "d0", "en", "s0"), (901, None, "d9", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dom string, lang string, source string")
+    got = {x["id"]: x["copies"] for x in mix(df, (F.col("dom"), F.col("lang"), F.col("source")), fraction, epochs).collect()}
+    want = _mixed(rows, fraction, epochs)
+    assert len(got) == 302 and sum(got[i] != want[i] for i in got) <= (1 if fraction < 5 else 0)
+    assert mix(df.limit(0), (F.col("dom"), F.col("lang"), F.col("source")), fraction).count() == 0
+
+
+def test_mixing_weights(spark):
+    df = spark.createDataFrame([(i, "a b c d", "d", "en", f"s{i % 2}") for i in range(100)], "doc_id long, text string, dom string, lang string, source string")
+    weights = spark.createDataFrame([("d", "en", "s0", 3.0), ("d", "en", "s1", 1.0)], "l0 string, l1 string, l2 string, weight double")
+    got = mix(df, (F.col("dom"), F.col("lang"), F.col("source")), 0.4, weights=weights).groupBy("l2").agg(F.sum("copies").alias("n")).collect()
+    assert {x["l2"]: x["n"] for x in got} == {"s0": 30, "s1": 10}
+
+
+# 3
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(0)
+    centres = r.standard_normal((40, 32))
+    x = [list(map(float, c + 0.15 * r.standard_normal(32))) for c in np.repeat(centres, 6, axis=0)] + [list(map(float, v)) for v in r.standard_normal((60, 32))]
+    x += [x[0], x[0]]
+    rows = [(i, v, 1, 0.0) for i, v in enumerate(x)] + [(1000, None, 1, 0.0), (1001, [0.0] * 32, 1, 0.0), (1002, [float("nan")] * 32, 1, 0.0), (1003, [None] * 32, 1, 0.0), (1004, [], 1, 0.0), (None, x[1], 1, 0.0), (1005, [1.0, 2.0], 1, 0.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, n_links double")
+    got = {g["id"]: g for g in near_duplicates(df).collect() if g["id"] is not None}
+    e = np.array([np.float32(v) for v in x], float)
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    s = e @ e.T >= 0.9
+    found = sum(got[i]["n_links"] for i in range(len(x)))
+    assert 0.9 * (s.sum() - len(x)) <= found <= s.sum() - len(x)
+    assert got[0]["component_id"] == 0 and got[len(x) - 1]["component_id"] == 0 and got[0]["kept"] and not got[len(x) - 1]["kept"]
+    assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in (1000, 1001, 1002, 1003, 1004, 1005))
+    assert near_duplicates(df.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_bpe(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary_path()
+    t = Tokenizer.from_file(path)
+    r = random.Random(2)
+    odd = "aàé  \n\t  x1'sll<|endoftext|>。中文🙂́\x1c\x85\r "
+    texts = ["", None, "Hello  world\n\n  it's 12345 <|endoftext|><|endoftext", "là  la  b   c", "a" * 3000, " " * 500, "x" * 200 + "\n" * 50, "\x00\x1c a"] + ["".join(r.choices(odd, k=r.randrange(1, 120))) for _ in range(300)] + [words(r, 3000)] + ["".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=20_000))]
+    got = encode_documents(docs(spark, texts), path, ids=True).collect()
+    assert len(got) == len(texts)
+    for g in got:
+        ids = t.encode(texts[g["doc_id"]] or "", add_special_tokens=False).ids
+        assert g["ids"] == ids and g["n_tokens"] == len(ids), repr(texts[g["doc_id"]])[:80]
+        assert g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert g["decoded_sha256"] == hashlib.sha256((texts[g["doc_id"]] or "").encode()).hexdigest()
+    assert encode_documents(docs(spark, texts, langs=texts).limit(0), path).count() == 0
+
+
+# 5
+
+
+def test_quality(spark):
+    r = random.Random(3)
+    texts = [words(r, 60) if i % 3 else " ".join(w + "!!" for w in words(r, 40).upper().split()) for i in range(240)] + ["", None, "a", "x" * 200_000]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(5, None, 0), (9999, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels, quality.in_training)
+    got = {x["doc_id"]: x for x in quality.score_documents(df, model).collect()}
+    assert len(got) == len(texts) and all(0 <= x["score"] <= 1 for x in got.values())
+    assert np.mean([got[i]["predicted"] == int(i % 3 > 0) for i in range(240)]) > 0.97
+    none = quality.fit(df, labels.limit(0), quality.in_training)
+    assert {x["score"] for x in quality.score_documents(df, none).collect()} == {0.5}
+    assert quality.score_documents(df.limit(0), quality.fit(df.limit(0), labels, quality.in_training)).count() == 0
+
+
+def test_quality_held_out(spark, sf):
+    got = {r["doc_id"]: r for r in queries.op5_quality(spark, sf.replace("sf0.001", "sf0.01")).where("held_out").collect()}
+    truth = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/labels.parquet").where("quality IS NOT NULL").collect()
+    hits = [got[t["doc_id"]]["predicted"] == t["quality"] for t in truth if t["doc_id"] in got]
+    assert len(hits) > 50 and np.mean(hits) > 0.9
+
+
+# 6
+
+
+def test_lines(spark):
+    r = random.Random(4)
+    pool = ["Alpha  ", "alpha", "\tBETA\x0b", "beta", "É", "é", "", " ", "gamma|x", "same " * 300]
+    texts = ["\n".join(r.choice([*pool, words(r, 3)]) for _ in range(r.randrange(0, 90))) for _ in range(80)] + ["", None, "\n", "Alpha", "alpha\n"]
+    ids = [*range(len(texts) - 2), None, 3]
+    got = dedup_lines(docs(spark, texts, ids), min_docs=10, keep=("doc_id", "n_chars", "n_lines")).collect()
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
+    count = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
+    want = []
+    for i, t in zip(ids, texts, strict=True):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not key(x) or count[key(x)] < 10]
+        want.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    assert sorted(((g["doc_id"], g["n_lines"], g["n_dropped"], g["kept_text"]) for g in got), key=str) == sorted(want, key=str)
+    assert dedup_lines(docs(spark, texts).limit(0)).count() == 0
+    firsts = dedup_lines(docs(spark, ["x\ny", "x\nz", "x"] * 5), min_docs=3, keep_first=True).collect()
+    assert sum(g["kept_text"].split("\n").count("x") for g in firsts) == 1
+    assert dropped_lines(docs(spark, ["a\nb"])).count() == 0
+
+
+# 7
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard(spark, seed):
+    r = random.Random(seed)
+    base = [words(r, n).split() for n in (12, 40, 100, 7)]
+    shared = words(r, 60).split()
+    texts = []
+    for _ in range(220):
+        w = list(r.choice(base)) if r.random() < 0.7 else words(r, r.randrange(1, 60)).split()
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            w[r.randrange(len(w))] = "".join(r.choices("xyz", k=4))
+        texts.append(" ".join(w + (shared if r.random() < 0.3 else [])))
+    texts += ["", None, " \n", "one", "ONE", "one two three", "One Two\tthree", "a b c d"]
+    ids = [*range(10, 10 + len(texts) - 1), None]
+    got = jaccard_components(docs(spark, texts, ids)).collect()
+    tr = {c: c + 32 for c in range(65, 91)}
+
+    def sets(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(tr))
+        return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+
+    s = {i: sets(t) for i, t in zip(ids, texts, strict=True) if i is not None}
+    parent = {i: i for i in s}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in s:
+        for b in s:
+            if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert len(got) == len(texts)
+    for g in got:
+        if g["id"] is None:
+            assert g["component_id"] is None
+        else:
+            assert (g["n_shingles"], g["component_id"]) == (len(s[g["id"]]), find(g["id"])), g["id"]
+    if not seed:
+        assert jaccard_components(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_components(spark):
+    r = random.Random(5)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7)]
+    parent = list(range(500))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    got = {g["node"]: g["component"] for g in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for e in edges for i in e if find(i) != i}
+
+
+# 8
+
+
+def test_secrets(spark):
+    r = random.Random(6)
+    bits = ["password", "PassWD", "api_key", "apikey", "token", "secret", ": ", "=", "==", '"', "'", " ", "\n", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "deadbeef", "é", "🙂", "a.b/c+d", ",", "ghp_", "Z" * 40, "-----BEGIN RSA PRIVATE KEY-----"]
+    texts = ["".join(r.choices(bits, k=r.randrange(1, 60))) for _ in range(400)] + ["", None, "f" * 100_000, "x" * 50_000 + "token=" + "a" * 12, "token=" + "a" * 11]
+    got = scan_secrets(docs(spark, texts)).collect()
+    for g in got:
+        text, spans = texts[g["doc_id"]] or "", []
+        for i, rule in enumerate(RULES):
+            spans += [(m.start(), i, rule.kind, m.end()) for m in re.compile(rule.pattern, re.A).finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        said = lambda x: ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(x))
+        assert g["spans"] == said(spans)
+        assert g["base_sha256"] == hashlib.sha256(said([x for x in spans if x[1] < 3]).encode()).hexdigest()
+        assert [g["n_assign"], g["n_access"], g["n_hex"]] == [sum(x[1] == i for x in spans) for i in range(3)]
+    assert scan_secrets(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_automaton():
+    a = Automaton((Rule("x", "ab+c", 0, 0, "ab{1,2}c|z{3}"),))
+    for text, hit in (("xxabcx", True), ("abbbc", False), ("aabbc", True), ("zz", False), ("zzz", True), ("", False)):
+        state = a.start
+        for b in text.encode():
+            state = a.next[state, a.of_byte[b]]
+        assert (state == a.hit) == hit, text
+
+
+# 9
+
+
+@pytest.mark.parametrize("k", [1, 10, 400])
+def test_top_k(spark, k):
+    r = np.random.default_rng(1)
+    x = [list(map(float, v)) for v in r.standard_normal((300, 8)) * 0.3]
+    x[7] = x[8] = x[9]
+    rows = [(i, v, 1) for i, v in enumerate(x)] + [(500, None, 1), (600, [float("inf")] * 8, 1), (700, [None] * 8, 1), (800, [1.0], 1), (None, x[0], 1), (900, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    got = sorted(map(tuple, top_k(df, F.col("id") % 20 == 0, k=k, shard=50, block=4, pilot=64).select("query_id", "rank", "vec_id", "score").collect()))
+    q = np.floor(1024 * np.array([np.float32(v) for v in x], float)).astype(np.int64)
+    want = []
+    for i in range(0, 300, 20):
+        s = q @ q[i]
+        best = [j for j in np.lexsort((np.arange(300), -s)) if j != i][:k]
+        want += [(i, n + 1, int(j), int(s[j])) for n, j in enumerate(best)]
+    assert [g for g in got if g[0] != 800] == sorted(want) and not [g for g in got if g[0] == 800]
+    assert top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+# 10
+
+
+def test_languages(spark):
+    r = random.Random(7)
+    kind = {"aa": "abcde", "bb": "mnopq", "cc": "stuvw"}
+    langs = [r.choice(list(kind)) for _ in range(150)]
+    texts = [words(r, r.randrange(3, 50), kind[g]) for g in langs] + ["", None, "123 !!", "abc " * 80_000, "é"]
+    langs += [None, "aa", "aa", None, None]
+    df = docs(spark, texts, langs=langs)
+    model = langid.learn(df, langid.in_training)
+    got = {x["doc_id"]: x for x in langid.identify_languages(df, model).collect()}
+    assert [got[i]["lang_pred"] for i in range(150)] == langs[:150]
+    assert [got[i]["lang_pred"] for i in (150, 151, 152)] == ["und"] * 3 and got[153]["lang_pred"] == "aa" and got[154]["lang_pred"] in kind
+    assert all(0 <= x["score"] <= 1 for x in got.values())
+    mixed = langid.identify_languages(docs(spark, [words(r, 60, "abcde") + " " + words(r, 30, "mnopq")]), model).first()
+    assert mixed["lang_pred"] == "aa" and 0.5 < mixed["score"] < 0.8
+    assert {x["lang_pred"] for x in langid.identify_languages(df, langid.learn(df.limit(0), langid.in_training)).collect()} == {"und"}
+    assert langid.identify_languages(df.limit(0), model).count() == 0

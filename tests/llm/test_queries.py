@@ -1,0 +1,84 @@
+"""The registered queries against SQL, and the pipeline against a plain version."""
+
+import hashlib
+import os
+import re
+import sys
+from collections import Counter, defaultdict
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from oracle import compare
+
+import corpus_pipeline
+from watchtide.llm import quality, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf, name):
+    compare(spark, sf, queries.QUERIES[name], queries.ORACLES[name])
+
+
+def test_all_ten():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline(spark, sf):
+    """Each stage on its own input, done plainly."""
+    docs, n = spark.read.parquet(f"{sf}/documents.parquet"), None
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r for r in docs.collect()}
+        after = stage(spark, docs, sf)
+        rows = {r["doc_id"]: r for r in after.collect()}
+        if name != "bpe":
+            assert after.columns == list(corpus_pipeline.COLUMNS) and len(rows) <= len(before)
+        if name == "quality":
+            model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), quality.in_training)
+            assert set(rows) == {r["doc_id"] for r in quality.score_documents(docs, model).where("predicted = 1").collect()}
+            assert all(rows[i] == before[i] for i in rows)
+        if name == "line_dedup":
+            key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate({c: c + 32 for c in range(65, 91)})
+            count = Counter(k for r in before.values() for k in {key(x) for x in (r["text"] or "").split("\n")})
+            for i, r in before.items():
+                assert rows[i]["text"] == "\n".join(x for x in (r["text"] or "").split("\n") if not key(x) or count[key(x)] < 10)
+                assert rows[i]["n_chars"] == len(rows[i]["text"])
+        if name == "ngram_jaccard":
+            shingles = {}
+            for i, r in before.items():
+                w = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").translate({c: c + 32 for c in range(65, 91)}))
+                shingles[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+            by, parent = defaultdict(set), {i: i for i in before}
+
+            def find(x):
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            for i, s in shingles.items():
+                for x in s:
+                    by[x].add(i)
+            for a, b in {(a, b) for s in by.values() if len(s) > 1 for a in s for b in s if a < b}:
+                if 100 * len(shingles[a] & shingles[b]) >= 85 * len(shingles[a] | shingles[b]):
+                    x, y = find(a), find(b)
+                    parent[max(x, y)] = min(x, y)
+            assert set(rows) == {i for i in before if find(i) == i}
+        if name == "mixing":
+            tokens = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+            kept, total = sum(map(tokens, rows.values())), sum(map(tokens, before.values()))
+            assert 0.9 * total - 1 <= kept < total
+        if name == "bpe":
+            assert set(rows) == set(before)
+            assert all(r["decoded_sha256"] == hashlib.sha256((before[i]["text"] or "").encode()).hexdigest() for i, r in rows.items())
+        docs, n = after, len(rows)
+    assert n and corpus_pipeline.run(spark, sf).count() == n
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeats, and an empty table go through every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, "a b c", None, None, None), (10_000, None, "en", "src1", 0), (10_001, "", None, "other", 0), (10_002, "x\ny", "en", "src2", 3), (10_002, "x\ny", "en", "src2", 3)], docs.schema)
+    for rows in (docs.unionByName(odd), docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, sf)
+        assert rows.count() >= 0
