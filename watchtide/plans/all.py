@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import chain, detect, feeds, lifecycle, quotes, tables
+from . import chain, detect, feeds, lifecycle, quotes, streams, tables
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "chain", "detect", "feeds", "lifecycle", "quotes", "tables"]
+__all__ = ["ORACLES", "QUERIES", "chain", "detect", "feeds", "lifecycle", "quotes", "streams", "tables"]

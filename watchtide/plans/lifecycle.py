@@ -53,10 +53,10 @@ def _exposed(spark, sf_dir):
     return ops.exposure(a, view(spark, sf_dir, "positions"))
 
 
-@query("k15_exposure", f"SELECT alert_id, entity_id, round(capital, 4) AS capital, round(capital * 0.05, 4) AS loss_5, round(capital * slippage / 100, 4) AS savings, CASE WHEN slippage >= 5 THEN 'thin' WHEN slippage >= 1 THEN 'moderate' ELSE 'deep' END AS liquidity FROM ({_EXPOSED})")
+@query("k15_exposure", f"SELECT alert_id, entity_id, round(capital, 6) AS capital, round(capital * 0.05::DOUBLE, 6) AS loss_5, round(capital * slippage / 100, 6) AS savings, CASE WHEN slippage >= 5 THEN 'thin' WHEN slippage >= 1 THEN 'moderate' ELSE 'deep' END AS liquidity FROM ({_EXPOSED})")
 def exposure(spark, sf_dir):
     """Alerts joined to the tenant's positions, with losses and liquidity."""
-    return _exposed(spark, sf_dir).select("alert_id", "entity_id", *(F.round(c, 4).alias(c) for c in ("capital", "loss_5", "savings")), "liquidity")
+    return _exposed(spark, sf_dir).select("alert_id", "entity_id", *(F.round(c, 6).alias(c) for c in ("capital", "loss_5", "savings")), "liquidity")
 
 
 @query("f6_exposure_totals", f"SELECT alert_id, CAST(count(*) AS BIGINT) AS entities, round(sum(capital), 2) AS capital, round(sum(capital * slippage / 100), 2) AS savings FROM ({_EXPOSED}) GROUP BY alert_id")

@@ -36,6 +36,8 @@ def _needed(sql: str, have: set[str]) -> list[str]:
 
 
 def with_fixtures(sql: str) -> str:
+    if any(f"{n} AS (" in sql for n in FIXTURES):
+        return sql  # has its fixtures already
     ctes = ",\n".join(f"{n} AS ({FIXTURES[n]})" for n in _needed(sql, set()))
     if not ctes:
         return sql

@@ -19,10 +19,11 @@ def read_raw_feed(spark: SparkSession, path: str, configs: DataFrame | None = No
 
 def read_events(spark: SparkSession, topic: str, **kafka: str) -> DataFrame:
     """A topic: a Kafka topic if servers are given (the connector must be on the class path), else a
-    directory of Parquet files. Offsets live in the query's checkpoint."""
+    directory of Parquet files, or one file. Offsets live in the query's checkpoint."""
     if kafka:
         return spark.readStream.format("kafka").option("subscribe", topic).options(**kafka).load().select(F.col("value").cast("string").alias("payload"), "timestamp")
-    return spark.readStream.schema(RAW_SCHEMA).parquet(topic)
+    folder, _, name = topic.rpartition("/")
+    return spark.readStream.schema(RAW_SCHEMA).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(RAW_SCHEMA).parquet(topic)
 
 
 def incremental_scan(df: DataFrame, ts: str, key: str, last_ts: datetime.datetime, last_key, limit: int | None = None) -> DataFrame:
