@@ -41,20 +41,28 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())
 
 
-def bit_set(df: DataFrame, value: Column, bits: int = 25) -> np.ndarray:
-    """A set of ``2**bits`` bits, as bytes: bit ``value >>> (64 - bits)`` of each (well mixed) long is set.
+def bit_sets(df: DataFrame, value: Column, conditions: list[Column], bits: int = 24) -> list[np.ndarray]:
+    """For each condition, a set of ``2**bits`` bits, as bytes: bit ``value >>> (64 - bits)`` is set for each
+    (well mixed) long where it holds.
 
-    Words of 64 bits are or-ed on the executors, so the driver gets at most ``2**bits / 8`` bytes of bits
-    however many rows there are. More rows fill the set up: it then rules out less, but never wrongly.
+    Words of 64 bits are or-ed on the executors, so the driver gets at most ``2**bits / 64`` rows however many
+    there were. More rows fill the sets up: they then tell less apart, but miss nothing.
     """
-    at = F.shiftrightunsigned(value, 64 - bits)
-    words = df.select(at.alias("at")).groupBy(F.shiftrightunsigned("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
-    return out.view(np.uint8)
+    at = df.select(F.shiftrightunsigned(value, 64 - bits).alias("at"), *(c.alias(f"c{i}") for i, c in enumerate(conditions)))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    words = at.groupBy(F.shiftrightunsigned("at", 6).cast("int").alias("word")).agg(*(F.bit_or(F.when(F.col(f"c{i}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(len(conditions))))
+    got, out = words.toArrow(), []
+    for i in range(len(conditions)):
+        bitmap = np.zeros(1 << (bits - 6), np.int64)
+        bitmap[got["word"].to_numpy()] = got[f"b{i}"].to_numpy()
+        out.append(bitmap.view(np.uint8))
+    return out
 
 
-def in_set(bitmap: np.ndarray, values: np.ndarray, bits: int = 25) -> np.ndarray:
+def bit_set(df: DataFrame, value: Column, bits: int = 24) -> np.ndarray:
+    return bit_sets(df, value, [F.lit(True)], bits)[0]
+
+
+def in_set(bitmap: np.ndarray, values: np.ndarray, bits: int = 24) -> np.ndarray:
     at = (values.astype(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)

@@ -5,13 +5,18 @@ Words are lower-cased (A-Z) and split at ASCII white space; a document's set hol
 with nothing). Two documents link if ``100 * |intersection| >= percent * |union|``.
 
 1. Equal sets are one class, compared once.
-2. A global order of shingles puts those that stand in many documents last. Sets that link share at least
-   one of the first ``n - ceil(percent * n / 100) + 1`` shingles in that order, so only those are indexed.
-3. A shingle's documents are first compared with one leader each; the links give groups of similar documents.
-4. The token-group matrix has a row for each shingle and group: the union over the group's documents, with
-   their range of sizes. Two groups qualify if their unions meet and their sizes allow a link. Only
-   qualifying groups are opened, and only pairs of documents of different groups that share an indexed
-   shingle are compared. Groups of copies are thus never expanded into all pairs.
+2. Classes that share one of their few smallest shingle hashes are compared with a few leaders per hash (those
+   whose own smallest hashes are the most common); the links partition similar documents into groups.
+3. A global order of shingles puts those that stand in many groups last, by steps. (Groups whose smallest hashes
+   are busy have all their shingles counted, in one document of each.) If the sizes are x >= y, sets
+   that link share a shingle within the first ``x - ceil(percent * x / 100) + 1`` of the larger set and within the
+   first ``y - ceil(2 * percent * y / (100 + percent)) + 1`` of the smaller one, so only those are indexed.
+4. The token-group matrix has a row for each shingle, class of sizes and group: the union over the group's
+   documents, with their ranges of sizes. From the place of a shingle in its document follows the largest size
+   of a document with which it can be the first one in common, and so the classes of sizes where it is worth
+   a row. Two groups qualify if their unions meet and their sizes allow a link. Only qualifying groups are
+   opened, and only pairs of documents of different groups are compared whose places and sizes leave room for
+   the overlap needed. Groups of copies are thus never expanded into all pairs.
 
 Before texts are fetched, an odd sketch of each set (parities of 1,024 hashed shingle counts) gives a lower
 bound on how many shingles two sets differ in; pairs that differ in too many are dropped with certainty.
@@ -28,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_windows, dropped, map_texts, stored, text_buffer
-from .components import bit_set, connected, in_set
+from .common import byte_windows, dropped, map_texts, released, stored, text_buffer
+from .components import bit_set, bit_sets, connected, in_set
 
 WIDTH, PERCENT = 4, 85
-#: Shingles that so many documents index come last in the order.
-FREQUENT = 12
+#: Smallest hashes by which groups are formed; numbers of groups at which a shingle moves to the next step.
+FEW, LEADERS, STEPS = 12, 4, (3, 8, 32, 128, 512, 2048, 8192, 32768)
+#: Groups that share a shingle before it is called busy.
+BUSY = 12
 SKETCH = 1024
 
 _BASE = 0x9E3779B97F4A7C15
@@ -107,16 +114,20 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def short_prefix(n: Column, percent: int) -> Column:
+    """Within so many shingles, a set has one in common with every set that links and isn't smaller."""
+    return n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
+
+
 def _sketch(h: np.ndarray) -> bytes:
     return np.packbits(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
-def _indexed(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """By document: size, fingerprint and sketch of its set, and the shingles to index."""
+def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """By document: size, fingerprint and sketch of its set, and the smallest hashes, as many as an index takes."""
 
     def scan():
         shingler = Shingler(width)
-        bits = frequent.value
 
         def run(column: pa.Array) -> list:
             n, print_, sketch, tokens = [], [], [], []
@@ -124,10 +135,7 @@ def _indexed(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
                 n.append(len(h))
                 print_.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 sketch.append(np.frombuffer(_sketch(h), np.int64))
-                late = in_set(bits, h)
-                p = prefix_length(len(h), percent)
-                first = h[~late][:p]
-                tokens.append((first if len(first) == p else np.r_[first, h[late][: p - len(first)]]).view(np.int64))
+                tokens.append(h[: prefix_length(len(h), percent)].view(np.int64))
             return [pa.array(n, pa.int64()), pa.array(print_, pa.binary()), _lists(sketch), _lists(tokens)]
 
         return run
@@ -135,25 +143,54 @@ def _indexed(docs: DataFrame, width: int, percent: int, frequent) -> DataFrame:
     return map_texts(docs, "text", ["id"], "n long, print binary, sketch array<long>, tokens array<long>", scan)
 
 
+def _indexed(docs: DataFrame, width: int, percent: int, steps) -> DataFrame:
+    """By document: the first shingles in the order of steps, then hashes."""
+
+    def scan():
+        shingler = Shingler(width)
+        sets = steps.value
+
+        def run(column: pa.Array) -> list:
+            n, tokens = [], []
+            for h in shingler.sets(column):
+                step = sum(in_set(bits, h).astype(np.int8) for bits in sets)
+                first = np.argsort(step, kind="stable")[: prefix_length(len(h), percent)] if step.any() else slice(prefix_length(len(h), percent))
+                n.append(len(h))
+                tokens.append(h[first].view(np.int64))
+            return [pa.array(n, pa.int64()), _lists(tokens)]
+
+        return run
+
+    return map_texts(docs, "text", ["id"], "n long, tokens array<long>", scan)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def frequent_tokens(docs: DataFrame, width: int, percent: int, least: int) -> np.ndarray:
-    """A bounded set of bits that holds every shingle indexed by ``least`` documents or more, where the
-    order is that of the hashes alone. Which shingles the set holds besides does not matter: it only
-    defines the order, alike for all documents."""
+def _counted(docs: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """``token, groups`` for the shingles of all documents among ``roots`` that have a busy shingle."""
+    first = roots.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= BUSY)
+    busy = docs.sparkSession.sparkContext.broadcast(bit_set(first, F.col("token")))
+
+    def has_busy(batches):
+        for batch in batches:
+            tokens = batch.column(1)
+            hit = np.add.reduceat(np.r_[in_set(busy.value, tokens.flatten().to_numpy()), False].astype(np.int64), np.minimum(np.r_[0, np.cumsum(tokens.value_lengths().to_numpy())[:-1]], len(tokens.flatten()))) if len(tokens) else np.zeros(0)
+            yield batch.select([0]).filter(pa.array(hit > 0))
+
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(roots.select("node", "tokens").mapInArrow(has_busy, "node long"), F.xxhash64("node")))
 
     def count(batches):
         shingler = Shingler(width)
         for batch in batches:
-            own = [h[: prefix_length(len(h), percent)] for h in shingler.sets(batch.column(0))]
-            token, n = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
+            texts = batch.column(1).filter(pa.array(in_set(wanted.value, batch.column(0).to_numpy())))
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingler.sets(texts)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    tokens = docs.select("text").mapInArrow(count, "token long, n long")
-    return bit_set(tokens.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least), F.col("token"))
+    tokens = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(count, "token long, n long")
+    return tokens.groupBy("token").agg(F.sum("n").alias("groups")).where(F.col("groups") >= STEPS[0])
 
 
 def _fits(x: str, y: str, percent: int):
@@ -198,36 +235,60 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
+def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, few: int = FEW, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """Per row: ``id, n_shingles`` (size of its set) and ``component_id`` (smallest id reachable by links)."""
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    late = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, width, percent, frequent))
-    rows = stored(_indexed(docs, width, percent, late))
-    some = rows.where("n > 0 and id is not null")
+    spark = docs.sparkSession
+    described = stored(_described(docs, width, percent))
+    rows = stored(described.select("id", "n", "print"))
+    some = described.where("n > 0 and id is not null")
     # 1. classes of equal sets, by their smallest id
     nodes = stored(some.groupBy("print", "n").agg(F.min("id").alias("node")))
-    own = some.join(nodes.select("node", "print", "n"), ["print", "n"]).where("id = node").dropDuplicates(["node", "print"]).select("node", "n", "sketch", "tokens")
-    known = stored(own)
-    # 2. the index, without shingles that only one class has
-    posts = known.select(F.explode("tokens").alias("token"), "node", "n")
-    shared = posts.groupBy("token").agg(F.count("*").alias("docs"), F.min(F.struct("node", "n")).alias("leader")).where("docs > 1")
-    index = stored(posts.join(shared, "token").select("token", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")))
-    # 3. groups of similar documents: links with a leader
-    star = index.where("node != leader").where(_fits("n", "leader_n", percent)).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    own = some.join(nodes.select("node", "print", "n"), ["print", "n"]).where("id = node").dropDuplicates(["node", "print"])
+    known = stored(own.select("node", "n", "sketch", "tokens"))
+    dropped(described)
+    released(spark)
+    # 2. groups of similar documents, by links with leaders
+    posts = stored(known.select(F.explode(F.slice("tokens", 1, few)).alias("token"), "node", "n"))
+    shared = posts.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
+    posts = posts.join(shared, "token")
+    scored = posts.join(posts.groupBy("node").agg(F.sum(F.log("docs")).alias("score")), "node")
+    best = [F.min(F.struct(-F.col("score"), F.xxhash64("node", F.lit(i)), "node", "n")).alias(f"leader{i}") for i in range(LEADERS)]
+    leaders = scored.groupBy("token").agg(*best).select("token", F.explode(F.array_distinct(F.array(*(F.struct(f"leader{i}.node", f"leader{i}.n") for i in range(LEADERS))))).alias("leader"))
+    star = posts.join(leaders, "token").select("node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
+    star = star.where("node != leader").where(_fits("n", "leader_n", percent)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
     first = stored(_verified(star, known, docs, width, percent))
     groups = stored(connected(first))
+    released(spark)
+    # 3. the order, from one document of each group, and the index
+    roots = known.join(groups.select("node"), "node", "left_anti")
+    counts = _counted(docs, roots, width)
+    order = spark.sparkContext.broadcast(bit_sets(counts, F.col("token"), [F.col("groups") >= x for x in steps]))
+    released(spark)
+    who = known.select("node", "n").distinct().join(groups.withColumnRenamed("component", "g"), "node", "left").select(F.col("node").alias("id"), "n", F.coalesce("g", "node").alias("g"))
+    index = stored(_indexed(docs, width, percent, order).join(who, ["id", "n"]).withColumnRenamed("id", "node"))
+    released(spark)
+    placed = index.select("node", "n", "g", F.posexplode("tokens").alias("at", "token")).withColumn("short", F.col("at") < short_prefix(F.col("n"), percent))
+    several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("short").alias("any_short")).where("g0 != g1 and any_short")
+    several = stored(several.select("token"))
+    released(spark)
+    placed = placed.join(several, "token")
     # 4. the matrix, and the groups that it opens
-    placed = index.join(groups.select("node", F.col("component").alias("g")), "node", "left").select("token", "node", "n", F.coalesce("g", "node").alias("g"))
-    matrix = placed.groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    matrix = stored(matrix.join(several, "token"))
-    x = matrix.select("token", F.col("g").alias("ga"), F.col("low").alias("low_a"), F.col("high").alias("high_a"))
-    y = matrix.select("token", F.col("g").alias("gb"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    may_link = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    opened = x.join(y, "token").where(F.col("ga") < F.col("gb")).where(may_link).select("token", "ga", "gb")
-    member = lambda g, node, n: placed.select("token", F.col("g").alias(g), F.col("node").alias(node), F.col("n").alias(n))
-    across = opened.join(member("ga", "a", "n_x"), ["token", "ga"]).join(member("gb", "b", "n_y"), ["token", "gb"]).where(_fits("n_x", "n_y", percent))
-    second = stored(_verified(across.select("a", "b").distinct(), known, docs, width, percent))
+    room = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent) - F.col("n")  # the largest size that its place allows
+    kind = lambda n: F.floor(F.log(n.cast("double")) * (4 / np.log(100 / percent)))
+    placed = placed.withColumn("room", room)
+    larger = placed.where(F.col("room") * 100 >= F.col("n") * percent)
+    larger = larger.withColumn("kind", F.explode(F.sequence(kind(F.ceil(F.col("n") * percent / 100)), kind(F.least("n", "room"))))).select("token", "kind", F.col("g").alias("ga"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
+    smaller = placed.where("short").select("token", kind(F.col("n")).alias("kind"), F.col("g").alias("gb"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
+    larger, smaller = stored(larger), stored(smaller)
+    released(spark)
+    x = larger.groupBy("token", "kind", "ga").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_a", "room_a")))
+    y = smaller.groupBy("token", "kind", "gb").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_b", "room_b")))
+    may_link = F.expr(f"ga != gb AND max_n_a >= min_n_b AND max_room_a >= min_n_b AND max_room_b >= min_n_a AND min_n_a * {percent} <= max_n_b * 100")
+    opened = x.join(y, ["token", "kind"]).where(may_link).select("token", "kind", "ga", "gb")
+    links = F.expr(f"n_a >= n_b AND n_a * {percent} <= n_b * 100 AND room_a >= n_b AND room_b >= n_a")
+    across = opened.join(larger, ["token", "kind", "ga"]).join(smaller, ["token", "kind", "gb"]).where(links)
+    second = stored(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent))
     final = stored(connected(first.unionByName(second)))
     out = (
         rows.select("id", "n", "print")
@@ -237,6 +298,6 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
     )
     out = stored(out)
-    for x in (rows, nodes, known, index, first, matrix, second):
+    for x in (rows, nodes, known, first, groups, index, several, larger, smaller, second, final):
         dropped(x)
     return out
