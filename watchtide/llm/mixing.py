@@ -8,7 +8,9 @@ its documents, and of the last epoch a prefix up to its budget, in an order that
 
 All of it is DataFrame functions: token sums per leaf, the split of every family in closed form by windows over
 its children (one row for each node), and prefix sums in two steps, over ordered buckets of each leaf and then
-inside each bucket, so that no leaf is gathered in one task however many documents it holds.
+inside each bucket, so that no leaf is gathered in one task however many documents it holds. What comes out is
+one row for each leaf: its whole epochs and the last place that the partial epoch takes. Texts are never
+shuffled: documents are compared with their leaf's row.
 
 Null level values are values of their own. Null and empty texts have no tokens; they are never taken. Rows that
 share an id have the same place in the order; ties go by the hash of the text. Children whose weight is not
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import dropped, stored
+
 LEVELS = ("domain", "lang", "source")
 #: Ordered buckets of a leaf, as hexadecimal digits of the order's hash.
 DIGITS = 3
@@ -98,30 +102,36 @@ def mix(df: DataFrame, levels: tuple[Column, Column, Column], fraction: float, e
     before. ``keep`` columns travel along (none of them may be named like the columns above).
     """
     rows = df.select(
-        *(F.col(f"`{c}`") for c in keep),
-        F.col(f"`{doc_id}`").alias("__id"),
-        *(x.cast("string").alias(f"__{c}") for c, x in zip(LEVEL_COLUMNS, levels, strict=True)),
-        token_count(F.col(f"`{text}`")).alias("__tokens"),
-        F.xxhash64(F.col(f"`{text}`")).alias("__tie"),
+        *(F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep),
+        F.col(f"`{doc_id}`").alias("id"),
+        *(x.cast("string").alias(c) for c, x in zip(LEVEL_COLUMNS, levels, strict=True)),
+        token_count(F.col(f"`{text}`")).alias("tokens"),
+        F.xxhash64(F.col(f"`{text}`")).alias("tie"),
     )
-    key = [f"__{c}" for c in LEVEL_COLUMNS]
-    leaves = rows.groupBy(*(F.col(k).alias(c) for k, c in zip(key, LEVEL_COLUMNS, strict=True))).agg(F.sum("__tokens").alias("tokens"))
-    share = budgets(leaves, fraction, epochs, weights).where("tokens > 0").select(
+    narrow = stored(rows.select("id", *LEVEL_COLUMNS, "tokens", "tie").where("tokens > 0"))
+    leaves = narrow.groupBy(*LEVEL_COLUMNS).agg(F.sum("tokens").alias("tokens"))
+    share = F.col("share") / F.col("tokens")
+    plan = budgets(leaves, fraction, epochs, weights).select(
         *(F.col(c).alias(f"s_{c}") for c in LEVEL_COLUMNS),
-        F.floor(F.round(F.col("share") / F.col("tokens"), 12)).cast("long").alias("__whole"),
-        "share", F.col("tokens").alias("leaf"),
-    ).withColumn("__rest", F.round(F.col("share") - F.col("__whole") * F.col("leaf"), 6)).drop("share", "leaf")
-    match = [F.col(f"s_{c}").eqNullSafe(F.col(f"__{c}")) for c in LEVEL_COLUMNS]
-    placed = rows.join(share, match, "left").drop(*(f"s_{c}" for c in LEVEL_COLUMNS))
-    placed = placed.withColumn("__place", place(seed, F.coalesce("__whole", F.lit(0)) + 1, F.col("__id"))).withColumn("__bucket", F.substring("__place", 1, DIGITS))
-    sums = rows.select(*key, "__id", "__tokens").join(share, match, "left").drop(*(f"s_{c}" for c in LEVEL_COLUMNS))
-    sums = sums.withColumn("__bucket", F.substring(place(seed, F.coalesce("__whole", F.lit(0)) + 1, F.col("__id")), 1, DIGITS)).groupBy(*key, "__bucket").agg(F.sum("__tokens").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*(F.col(k).alias(f"b{k}") for k in key), F.col("__bucket").alias("b"), before.alias("__before"))
-    placed = placed.join(starts, [*(F.col(f"b{k}").eqNullSafe(F.col(k)) for k in key), F.col("b") == F.col("__bucket")], "left")
-    inner = Window.partitionBy(*key, "__bucket").orderBy("__place", "__id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    taken = F.col("__before") + F.coalesce(F.sum("__tokens").over(inner), F.lit(0))
-    copies = F.coalesce(F.col("__whole"), F.lit(0)) + F.when((taken < F.col("__rest")) & (F.col("__tokens") > 0), 1).otherwise(0)
-    return placed.withColumn("copies", F.when(F.col("__tokens") > 0, copies).otherwise(0).cast("long")).select(
-        *keep, F.col("__id").alias("id"), *(F.col(k).alias(c) for k, c in zip(key, LEVEL_COLUMNS, strict=True)), F.col("__tokens").alias("tokens"), "copies"
+        F.floor(F.round(share, 12)).cast("long").alias("whole"),
+        F.round(F.col("share") - F.floor(F.round(share, 12)) * F.col("tokens"), 6).alias("rest"),
     )
+    plan = stored(plan)
+    match = [F.col(f"s_{c}").eqNullSafe(F.col(c)) for c in LEVEL_COLUMNS]
+    placed = narrow.join(plan.where("rest > 0"), match).withColumn("place", place(seed, F.col("whole") + 1, F.col("id"))).withColumn("bucket", F.substring("place", 1, DIGITS))
+    key = [f"s_{c}" for c in LEVEL_COLUMNS]
+    sums = placed.groupBy(*key, "bucket").agg(F.sum("tokens").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.withColumn("before", before).select(*(F.col(k).alias(f"b{k}") for k in key), F.col("bucket").alias("b"), "before", "sum")
+    # only the bucket in which the budget runs out has to be looked into
+    last = placed.join(starts, [*(F.col(f"b{k}").eqNullSafe(F.col(k)) for k in key), F.col("b") == F.col("bucket")]).where("before < rest")
+    whole_buckets = last.where("before + sum <= rest").groupBy(*key).agg(F.max(F.struct("place", "id", "tie")).alias("last"))
+    inner = Window.partitionBy(*key, "bucket").orderBy("place", "id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    split = last.where("before + sum > rest").withColumn("taken", F.col("before") + F.coalesce(F.sum("tokens").over(inner), F.lit(0))).where("taken < rest")
+    cut = whole_buckets.unionByName(split.groupBy(*key).agg(F.max(F.struct("place", "id", "tie")).alias("last"))).groupBy(*key).agg(F.max("last").alias("last"))
+    cut = cut.select(*(F.col(k).alias(f"c{k}") for k in key), "last")
+    table = stored(plan.join(cut, [F.col(f"c{k}").eqNullSafe(F.col(k)) for k in key], "left").select(*key, "whole", "last"))
+    out = rows.join(table, match, "left").withColumn("at", F.struct(place(seed, F.coalesce("whole", F.lit(0)) + 1, F.col("id")).alias("place"), "id", "tie"))
+    copies = F.coalesce("whole", F.lit(0)) + F.when(F.col("last").isNotNull() & (F.col("at") <= F.col("last")), 1).otherwise(0)
+    dropped(narrow)
+    return out.select(*(F.col(f"__keep_{c}").alias(c) for c in keep), "id", *LEVEL_COLUMNS, "tokens", F.when(F.col("tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
