@@ -61,9 +61,17 @@ def unprocessed(events: DataFrame, done: DataFrame, reverted: DataFrame) -> Data
     return events.join(done.select("event_key"), "event_key", "left_anti").join(reverted.select("event_key"), "event_key", "left_anti")
 
 
-def running_head(events: DataFrame) -> DataFrame:
-    w = Window.partitionBy("chain").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("head", F.max("block_number").over(w))
+def running_head(events: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """The highest block seen so far on the chain, in order of arrival.
+
+    There are few chains, so arrivals are cut into ranges of ``width`` ids: the maximum of the ranges before is
+    a window over one row per range, and rows are only sorted inside their range."""
+    rows = events.withColumn("__range", F.floor(F.col("event_id") / width))
+    highest = rows.groupBy("chain", "__range").agg(F.max("block_number").alias("__high"))
+    before = F.max("__high").over(Window.partitionBy("chain").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = highest.select("chain", "__range", before.alias("__before"))
+    inner = F.max("block_number").over(Window.partitionBy("chain", "__range").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.join(starts, ["chain", "__range"]).withColumn("head", F.greatest("__before", inner)).drop("__range", "__before")
 
 
 def orphaned(events: DataFrame) -> DataFrame:
@@ -78,15 +86,20 @@ def confirmations(events: DataFrame, depth: int) -> DataFrame:
     """Block finality of chains without a reorganisation: an event is confirmed by the first event (in order
     of arrival) whose running head reaches its height plus ``depth``.
 
-    Heads are first reduced to the events that raise them; the event that first reaches a height is then the
-    smallest such event, a running minimum from the highest head down."""
+    Heads are first reduced to the events that raise them. The event that first reaches a height is the one
+    that raised the head to it or to the next head above; those are looked up inside ranges of heights, and
+    for the last heights of a range in a window over one row per range."""
+    width = 4096
     heads = running_head(events)
-    rises = heads.groupBy("chain", "head").agg(F.min("event_id").alias("reached_by"))
-    asked = events.select("chain", (F.col("block_number") + depth).alias("head"), "event_key", "block_number", "event_id").withColumn("ask", F.lit(True))
+    rises = heads.groupBy("chain", "head").agg(F.min("event_id").alias("reached_by")).withColumn("range", F.floor(F.col("head") / width))
+    asked = events.select("chain", (F.col("block_number") + depth).alias("head"), "event_key", "block_number", "event_id").withColumn("ask", F.lit(True)).withColumn("range", F.floor(F.col("head") / width))
     both = rises.withColumn("ask", F.lit(False)).unionByName(asked, allowMissingColumns=True)
-    w = Window.partitionBy("chain").orderBy(F.desc("head"), "ask").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("by", F.last("reached_by", ignorenulls=True).over(w)).where("ask")
-    return found.select("chain", "event_key", "block_number", "event_id", F.greatest("by", F.when(F.col("by").isNotNull(), F.col("event_id"))).alias("confirmed_by"))
+    w = Window.partitionBy("chain", "range").orderBy(F.desc("head"), "ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("here", F.last("reached_by", ignorenulls=True).over(w)).where("ask")
+    ranges = asked.select("chain", "range").distinct().join(rises.groupBy("chain", "range").agg(F.min("reached_by").alias("first")), ["chain", "range"], "full")
+    later = F.min("first").over(Window.partitionBy("chain").orderBy("range").rowsBetween(1, Window.unboundedFollowing))
+    found = found.join(ranges.select("chain", "range", later.alias("later")), ["chain", "range"]).withColumn("by", F.coalesce("here", "later"))
+    return found.select("chain", "event_key", "block_number", "event_id", F.when(F.col("by").isNotNull(), F.greatest("by", "event_id")).alias("confirmed_by"))
 
 
 FINALITY_SCHEMA = "chain string, event_id long, event_key string, status string, orphaned_from long"
