@@ -6,7 +6,8 @@ with nothing). Two documents link if ``100 * |intersection| >= percent * |union|
 
 1. Equal sets are one class, compared once.
 2. Classes that share one of their few smallest shingle hashes are compared with a few leaders per hash (those
-   whose own smallest hashes are the most common); the links partition similar documents into groups.
+   whose own smallest hashes are the most common); the links partition similar documents into groups. A second
+   round, once shingles are counted, takes as leaders the documents with the fewest shingles of their own.
 3. A global order of shingles puts those that stand in many groups last, by steps. (Groups whose smallest hashes
    are busy have all their shingles counted, in one document of each.) If the sizes are x >= y, sets
    that link share a shingle within the first ``x - ceil(percent * x / 100) + 1`` of the larger set and within the
@@ -144,24 +145,25 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _indexed(docs: DataFrame, width: int, percent: int, steps) -> DataFrame:
-    """By document: the first shingles in the order of steps, then hashes."""
+    """By document: the first shingles in the order of steps, then hashes, and how many are of the first step."""
 
     def scan():
         shingler = Shingler(width)
         sets = steps.value
 
         def run(column: pa.Array) -> list:
-            n, tokens = [], []
+            n, light, tokens = [], [], []
             for h in shingler.sets(column):
                 step = sum(in_set(bits, h).astype(np.int8) for bits in sets)
                 first = np.argsort(step, kind="stable")[: prefix_length(len(h), percent)] if step.any() else slice(prefix_length(len(h), percent))
                 n.append(len(h))
+                light.append(int((step == 0).sum()) if len(h) else 0)
                 tokens.append(h[first].view(np.int64))
-            return [pa.array(n, pa.int64()), _lists(tokens)]
+            return [pa.array(n, pa.int64()), pa.array(light, pa.int64()), _lists(tokens)]
 
         return run
 
-    return map_texts(docs, "text", ["id"], "n long, tokens array<long>", scan)
+    return map_texts(docs, "text", ["id"], "n long, light long, tokens array<long>", scan)
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -268,11 +270,18 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     who = known.select("node", "n").distinct().join(groups.withColumnRenamed("component", "g"), "node", "left").select(F.col("node").alias("id"), "n", F.coalesce("g", "node").alias("g"))
     index = stored(_indexed(docs, width, percent, order).join(who, ["id", "n"]).withColumnRenamed("id", "node"))
     released(spark)
-    placed = index.select("node", "n", "g", F.posexplode("tokens").alias("at", "token")).withColumn("short", F.col("at") < short_prefix(F.col("n"), percent))
-    several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("short").alias("any_short")).where("g0 != g1 and any_short")
-    several = stored(several.select("token"))
+    placed = index.select("node", "n", "light", "g", F.posexplode("tokens").alias("at", "token")).withColumn("short", F.col("at") < short_prefix(F.col("n"), percent))
+    several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("short").alias("any_short"), F.count("*").alias("docs"), F.min(F.struct("light", "node", "n", "g")).alias("leader"))
+    several = stored(several.where("g0 != g1 and any_short").select("token", "docs", "leader"))
+    released(spark)
+    placed = stored(placed.join(several.select("token"), "token").drop("light"))
+    # the document with the fewest shingles of its own links best: a second round of leaders for busy shingles
+    again = placed.join(several.where(F.col("docs") >= BUSY), "token").where("g != leader.g").select("node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
+    again = again.where(_fits("n", "leader_n", percent)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
+    first = stored(first.unionByName(_verified(again, known, docs, width, percent)))
+    groups = stored(connected(first))
+    placed = placed.drop("g").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
     released(spark)
-    placed = placed.join(several, "token")
     # 4. the matrix, and the groups that it opens
     room = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent) - F.col("n")  # the largest size that its place allows
     kind = lambda n: F.floor(F.log(n.cast("double")) * (4 / np.log(100 / percent)))
@@ -285,9 +294,10 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     x = larger.groupBy("token", "kind", "ga").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_a", "room_a")))
     y = smaller.groupBy("token", "kind", "gb").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_b", "room_b")))
     may_link = F.expr(f"ga != gb AND max_n_a >= min_n_b AND max_room_a >= min_n_b AND max_room_b >= min_n_a AND min_n_a * {percent} <= max_n_b * 100")
-    opened = x.join(y, ["token", "kind"]).where(may_link).select("token", "kind", "ga", "gb")
+    opened = x.join(y, ["token", "kind"]).where(may_link).select("token", "kind", "ga", "gb", "min_n_a", "max_n_a", "max_room_a")
+    bounds = F.expr(f"max_n_a >= n_b AND max_room_a >= n_b AND room_b >= min_n_a AND min_n_a * {percent} <= n_b * 100")
     links = F.expr(f"n_a >= n_b AND n_a * {percent} <= n_b * 100 AND room_a >= n_b AND room_b >= n_a")
-    across = opened.join(larger, ["token", "kind", "ga"]).join(smaller, ["token", "kind", "gb"]).where(links)
+    across = opened.join(smaller, ["token", "kind", "gb"]).where(bounds).drop("min_n_a", "max_n_a", "max_room_a").join(larger, ["token", "kind", "ga"]).where(links)
     second = stored(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent))
     final = stored(connected(first.unionByName(second)))
     out = (
@@ -298,6 +308,6 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
     )
     out = stored(out)
-    for x in (rows, nodes, known, first, groups, index, several, larger, smaller, second, final):
+    for x in (rows, nodes, known, groups, index, several, larger, smaller, second, final):
         dropped(x)
     return out
