@@ -28,8 +28,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten documents or more have."""
-    kept = dedup_lines(docs, keep=("doc_id", "lang", "source"), min_docs=10, min_key_chars=1)
+    """Documents without the lines that ten documents or more have. Copies of a text count as one document here, so
+    that they keep their lines and one of them passes the next stage."""
+    kept = dedup_lines(docs, keep=("doc_id", "lang", "source"), min_docs=10, min_key_chars=1, copies_as_one=True)
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
 
 

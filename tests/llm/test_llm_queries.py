@@ -82,3 +82,16 @@ def test_pipeline_on_odd_rows(spark, sf, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, sf)
         assert rows.count() >= 0
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, sf):
+    """Ten or more copies of a text count as one document for their lines; a line of ten other texts goes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    text = "A first line of the text that was copied often\nand a second one that belongs to it\n\nand a third one at the end"
+    own = [(i, f"{text}\nfooter", "en", "src1", 0) for i in range(100, 125)] + [(i, f"alone number {i} is a text by itself {i * 7}\nfooter", "en", "src1", 0) for i in range(200, 212)]
+    rows = spark.createDataFrame(own, docs.schema)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        rows = stage(spark, rows, sf)
+        if name == "line_dedup":
+            assert {r["text"] for r in rows.collect() if r["doc_id"] < 125} == {text} and not [r for r in rows.collect() if "footer" in r["text"]]
+    assert [r["text"] for r in rows.collect() if r["doc_id"] < 125] == [text] and rows.count() == 13

@@ -38,25 +38,32 @@ def document_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(text, F.lit("")))))
 
 
-def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_key_chars: int = 1, keep_first: bool = False) -> DataFrame:
+def dropped_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_key_chars: int = 1, keep_first: bool = False, copies_as_one: bool = False) -> DataFrame:
     """Bitmaps of the lines that go, for documents that lose any.
 
     A key of at least ``min_key_chars`` code points found in at least ``min_docs`` documents loses all its
     lines; with ``keep_first``, its first occurrence (smallest document key, then position) stays.
+    With ``copies_as_one``, rows of equal text count as one document whatever their ids, so that a group of
+    copies doesn't make its own lines common.
     Returns ``doc_key binary, dropped map<long, long>``: bit ``i % 64`` of word ``i div 64`` is set if
     line ``i`` goes; words without a set bit are left out.
     """
+    copy, names = ([F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("copy")], ["copy"]) if copies_as_one else ([], [])
     # the document's key is computed once, below the explode; the hashes are stored once, for three uses
     lines = stored(
-        df.select(document_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_key"), lines_of(F.col(f"`{text}`")).alias("lines"))
-        .select("doc_key", F.posexplode("lines").alias("pos", "line"))
-        .select("doc_key", "pos", line_key(F.col("line")).alias("key"))
+        df.select(document_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("doc_key"), *copy, lines_of(F.col(f"`{text}`")).alias("lines"))
+        .select("doc_key", *names, F.posexplode("lines").alias("pos", "line"))
+        .select("doc_key", *names, "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_key_chars)
-        .select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("g"), "doc_key", "pos")
+        .select(F.xxhash64("key").alias("h"), F.xxhash64(F.lit("second"), "key").alias("g"), "doc_key", "pos", *names)
     )
-    dealt = lines.repartitionByRange("h", "g", "doc_key").sortWithinPartitions("h", "g", "doc_key", "pos")
-    first = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("h", "g", "doc_key").orderBy("pos"))).where("nth = 1")
-    common = first.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.min(F.struct("doc_key", "pos")).alias("first")).where(F.col("n_docs") >= min_docs)
+    if copies_as_one:
+        # partial results take the copies together before the shuffle
+        first = lines.groupBy("h", "g", "copy").agg(F.min(F.struct("doc_key", "pos")).alias("at"))
+    else:
+        dealt = lines.repartitionByRange("h", "g", "doc_key").sortWithinPartitions("h", "g", "doc_key", "pos")
+        first = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("h", "g", "doc_key").orderBy("pos"))).where("nth = 1").withColumn("at", F.struct("doc_key", "pos"))
+    common = first.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.min("at").alias("first")).where(F.col("n_docs") >= min_docs)
     gone = lines.join(common.select("h", "g", "first"), ["h", "g"])
     if keep_first:
         gone = gone.where(F.struct("doc_key", "pos") != F.col("first"))
