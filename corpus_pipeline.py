@@ -14,7 +14,7 @@ from watchtide.llm.bpe import encode_documents
 from watchtide.llm.common import stored, table
 from watchtide.llm.line_dedup import dedup_lines
 from watchtide.llm.mixing import mix
-from watchtide.llm.ngram_join import jaccard_components
+from watchtide.llm.ngram_join import jaccard_components, row_key
 from watchtide.llm.queries import MIX_FRACTION, mix_levels, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -35,14 +35,14 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents, the one with the smallest id. Rows that share an id are one
-    document, of which one row stays; rows without id stay."""
+    """Of each component of similar documents, the row with the smallest id (of several texts of that id, the one
+    with the smallest key; of equal rows, one). Rows that share an id are one document; rows without id stay."""
     found = jaccard_components(docs, width=4, percent=85)
-    gone = found.where("component_id != id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    twice = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("doc_id"))
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    gone = found.where("not kept").select("key").distinct()
+    twice = found.where("kept and key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    kept = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), *COLUMNS).join(gone, "key", "left_anti")
+    once = kept.join(twice, "key", "left_anti").select(*COLUMNS)
+    return once.unionByName(kept.join(twice, "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

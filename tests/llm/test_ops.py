@@ -326,3 +326,18 @@ def test_languages(spark):
     assert mixed["lang_pred"] == "aa" and 0.5 < mixed["score"] < 0.8
     assert {x["lang_pred"] for x in langid.identify_languages(df, langid.learn(df.limit(0), langid.in_training)).collect()} == {"und"}
     assert langid.identify_languages(df.limit(0), model).count() == 0
+
+
+# rows that share an id
+
+
+def test_jaccard_shared_ids(spark):
+    """Texts of one id link their components, and each text is compared with others."""
+    r = random.Random(8)
+    a, b, c, d, e = (words(r, 40) for _ in range(5))
+    rows = [(5, a), (7, a), (7, c), (9, c), (20, b), (20, d), (21, b + " x"), (22, d + " x"), (30, e), (30, ""), (31, ""), (None, a)]
+    df = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    got = jaccard_components(df).collect()
+    assert sorted((g["id"], g["component_id"]) for g in got if g["id"] is not None) == [(5, 5), (7, 5), (7, 5), (9, 5), (20, 20), (20, 20), (21, 20), (22, 20), (30, 30), (30, 30), (31, 31)]
+    kept = [g for g in got if g["kept"]]
+    assert sorted(str(g["id"]) for g in kept) == ["20", "30", "31", "5", "None"]

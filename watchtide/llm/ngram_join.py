@@ -24,7 +24,8 @@ bound on how many shingles two sets differ in; pairs that differ in too many are
 Comparisons then use the whole sets.
 
 Null texts have empty sets. A row without id takes no part in links (its component is null). Rows that share
-an id are taken as one document and share a component. Other columns play no part.
+an id are taken as one document and share a component: inside, each text of an id has a key of its own, and
+the sets of one id are linked. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -141,7 +142,7 @@ def _described(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         return run
 
-    return map_texts(docs, "text", ["id"], "n long, print binary, sketch array<long>, tokens array<long>", scan)
+    return map_texts(docs, "text", ["id", "doc"], "n long, print binary, sketch array<long>, tokens array<long>", scan)
 
 
 def _indexed(docs: DataFrame, width: int, percent: int, steps) -> DataFrame:
@@ -237,15 +238,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A row's id and text in 64 bits; null without id."""
+    return F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("long"), text.cast("string")))
+
+
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, few: int = FEW, steps: tuple[int, ...] = STEPS) -> DataFrame:
-    """Per row: ``id, n_shingles`` (size of its set) and ``component_id`` (smallest id reachable by links)."""
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    """Per row: ``id, n_shingles`` (size of its set), ``component_id`` (smallest id reachable by links), the
+    row's ``key`` (``row_key``) and ``kept``: whether the row represents its component (smallest id, then key) or
+    has no id."""
+    real = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = real.select(row_key(F.col("doc"), F.col("text")).alias("id"), "doc", "text")
     spark = docs.sparkSession
-    described = stored(_described(docs, width, percent))
-    rows = stored(described.select("id", "n", "print"))
+    described = _described(docs, width, percent)
+    # empty sets are equal only within an id
+    described = stored(described.withColumn("print", F.when(F.col("n") == 0, F.concat(F.lit("id "), F.col("doc").cast("string")).cast("binary")).otherwise(F.col("print"))))
+    rows = stored(described.select("id", "doc", "n", "print"))
     some = described.where("n > 0 and id is not null")
-    # 1. classes of equal sets, by their smallest id
-    nodes = stored(some.groupBy("print", "n").agg(F.min("id").alias("node")))
+    # 1. classes of equal sets, by their smallest key; the classes of one id are linked
+    nodes = stored(rows.where("id is not null").groupBy("print", "n").agg(F.min("id").alias("node"), F.min(F.struct("doc", "id")).alias("least")))
+    several_sets = rows.where("id is not null").groupBy("doc").agg(F.min("print").alias("p"), F.max("print").alias("q")).where("p != q").select("doc")
+    same_id = stored(rows.where("id is not null").join(several_sets, "doc", "left_semi").join(nodes, ["print", "n"]).select("doc", "node").distinct())
+    same = same_id.join(same_id.groupBy("doc").agg(F.min("node").alias("a")), "doc").where("a != node").select("a", F.col("node").alias("b"))
     own = some.join(nodes.select("node", "print", "n"), ["print", "n"]).where("id = node").dropDuplicates(["node", "print"])
     known = stored(own.select("node", "n", "sketch", "tokens"))
     dropped(described)
@@ -299,15 +313,15 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = F.expr(f"n_a >= n_b AND n_a * {percent} <= n_b * 100 AND room_a >= n_b AND room_b >= n_a")
     across = opened.join(smaller, ["token", "kind", "gb"]).where(bounds).drop("min_n_a", "max_n_a", "max_room_a").join(larger, ["token", "kind", "ga"]).where(links)
     second = stored(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent))
-    final = stored(connected(first.unionByName(second)))
-    out = (
-        rows.select("id", "n", "print")
-        .join(nodes, ["print", "n"], "left")
-        .join(final, "node", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "node")).alias("component_id"))
-        .withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
+    final = stored(connected(first.unionByName(second).unionByName(same)))
+    classes = nodes.join(final, "node", "left").select("print", "n", "least", F.coalesce("component", "node").alias("root"))
+    heads = classes.groupBy("root").agg(F.min("least").alias("head"))
+    classes = classes.join(heads, "root").select("print", "n", "head")
+    has_id = F.col("id").isNotNull()
+    out = rows.join(classes, ["print", "n"], "left").select(
+        F.col("doc").alias("id"), F.col("n").alias("n_shingles"), F.when(has_id, F.col("head.doc")).alias("component_id"), F.col("id").alias("key"), (~has_id | (F.col("head.id") == F.col("id"))).alias("kept")
     )
     out = stored(out)
-    for x in (rows, nodes, known, groups, index, several, larger, smaller, second, final):
+    for x in (rows, nodes, same_id, known, groups, index, several, larger, smaller, second, final):
         dropped(x)
     return out
