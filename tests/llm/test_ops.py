@@ -341,3 +341,13 @@ def test_jaccard_shared_ids(spark):
     assert sorted((g["id"], g["component_id"]) for g in got if g["id"] is not None) == [(5, 5), (7, 5), (7, 5), (9, 5), (20, 20), (20, 20), (21, 20), (22, 20), (30, 30), (30, 30), (31, 31)]
     kept = [g for g in got if g["kept"]]
     assert sorted(str(g["id"]) for g in kept) == ["20", "30", "31", "5", "None"]
+
+
+def test_html_unmarked():
+    """Without a marked article, short paragraphs at the edges and around set-aside lines stay."""
+    long, advert = "word " * 30, '<div class="advert"><p>Buy</p><p>Now</p><p>Here</p></div>'
+    page = f"<div><h2>Head</h2>{advert}<p>{long}</p><p>{long}</p>{advert}<p>The end.</p></div>"
+    assert main_text(page).split("\n\n") == ["Head", long.strip(), long.strip(), "The end."]
+    assert main_text(f"<p>Lead.</p><p>In.</p><p>So.</p><p>{long}</p><div><a href=x>Next</a></div>").startswith("Lead.\n\nIn.\n\nSo.")
+    cards = "".join(f"<article><p>Teaser {i}</p></article>" for i in range(3))
+    assert main_text(f"<div><p>{long}</p><p>{long}</p></div>{cards}").count("word") == 60

@@ -1,9 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element. A line's weight is its text outside links; lines of
-menus, headers, footers, sidebars, notices, adverts, forms and comments weigh nothing. Weights are summed
+menus, headers, footers, sidebars, notices, adverts, forms and comments are left out beforehand. Weights are summed
 over a sliding window of lines: where the sum surges over a threshold, the main text begins, and where it
-dives to nothing, it ends. The lines between are the text. If the page marks its article, only lines inside
+dives to nothing, it ends. The lines between are the text. If the page marks its article and that holds at least half of the text, only lines inside
 can surge, and every one of them does, so that short paragraphs at the article's ends stay.
 
 A null page and a page without text give an empty text. Pages are independent of each other; repeated pages
@@ -148,10 +148,11 @@ class _Lines:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page; blocks are joined by an empty line."""
-    lines = _Lines(page or "").lines
-    if any(article and not aside and weight for _, weight, article, aside in lines):
+    lines = [x for x in _Lines(page or "").lines if not x[3]]
+    marked = sum(x[1] for x in lines if x[2])
+    if marked and 2 * marked >= sum(x[1] for x in lines):
         # a marked article: its lines surge by themselves, others weigh nothing
-        weights = [(weight or 1) + surge if article and not aside else 0 for _, weight, article, aside in lines]
+        weights = [(weight or 1) + surge if article else 0 for _, weight, article, _ in lines]
     else:
         weights = [x[1] for x in lines]
     n, keep = len(lines), [False] * len(lines)
@@ -168,10 +169,13 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         end = min(i, n)
         while not weights[end - 1]:
             end -= 1
+        # neighbours with text outside links belong to it
+        while start and weights[start - 1]:
+            start -= 1
         keep[start:end] = [True] * (end - start)
     if not any(keep):
         keep = [weight > 0 for weight in weights]
-    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k and not x[3])
+    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, surge: int = SURGE) -> DataFrame:
