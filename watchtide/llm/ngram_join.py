@@ -8,16 +8,19 @@ with nothing). Two documents link if ``100 * |intersection| >= percent * |union|
 2. Classes that share one of their few smallest shingle hashes are compared with a few leaders per hash (those
    whose own smallest hashes are the most common); the links partition similar documents into groups. A second
    round, once shingles are counted, takes as leaders the documents with the fewest shingles of their own.
-3. A global order of shingles puts those that stand in many groups last, by steps. (Groups whose smallest hashes
-   are busy have all their shingles counted, in one document of each.) If the sizes are x >= y, sets
-   that link share a shingle within the first ``x - ceil(percent * x / 100) + 1`` of the larger set and within the
-   first ``y - ceil(2 * percent * y / (100 + percent)) + 1`` of the smaller one, so only those are indexed.
+3. A global order of shingles puts those that stand in many groups last, by steps. Counted are the shingles that
+   can reach the index: first those under the smallest hashes of one document of each group; where busy ones are
+   among them, as many more as would take their place. If the sizes are x >= y, sets that link have an overlap
+   of at least ``o = ceil(percent * (x + y) / (100 + percent))``, and the first ``OVERLAP`` shingles in common (all, if
+   o is less) stand within the first ``x - o + OVERLAP`` of the one and the first ``y - o + OVERLAP`` of the other, so only
+   those are indexed.
 4. The token-group matrix has a row for each shingle, class of sizes and group: the union over the group's
    documents, with their ranges of sizes. From the place of a shingle in its document follows the largest size
-   of a document with which it can be the first one in common, and so the classes of sizes where it is worth
-   a row. Two groups qualify if their unions meet and their sizes allow a link. Only qualifying groups are
-   opened, and only pairs of documents of different groups are compared whose places and sizes leave room for
-   the overlap needed. Groups of copies are thus never expanded into all pairs.
+   of a document with which it can be among the first ones in common, and so the classes of sizes where it is
+   worth a row. Two groups qualify if their unions overlap in ``OVERLAP`` shingles (or as many as their smallest
+   sizes need) and their sizes allow a link. Only qualifying groups are opened, and only pairs of documents of
+   different groups are compared that have as many of those shingles in common themselves. Groups of copies are
+   thus never expanded into all pairs.
 
 Before texts are fetched, an odd sketch of each set (parities of 1,024 hashed shingle counts) gives a lower
 bound on how many shingles two sets differ in; pairs that differ in too many are dropped with certainty.
@@ -39,13 +42,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_windows, dropped, map_texts, released, stored, text_buffer
-from .components import bit_set, bit_sets, connected, in_set
+from .components import bit_set, connected, in_set
 
 WIDTH, PERCENT = 4, 85
 #: Smallest hashes by which groups are formed; numbers of groups at which a shingle moves to the next step.
 FEW, LEADERS, STEPS = 12, 4, (3, 8, 32, 128, 512, 2048, 8192, 32768)
-#: Groups that share a shingle before it is called busy.
-BUSY = 12
+#: Groups that share a shingle before it is called busy; shingles in common that open a group.
+BUSY, OVERLAP = 12, 3
 SKETCH = 1024
 
 _BASE = 0x9E3779B97F4A7C15
@@ -112,13 +115,18 @@ class Shingler:
                     yield np.zeros(0, np.uint64)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+def prefix_length(n: int, percent: int, overlap: int = 1) -> int:
+    return min(n, n - -(-percent * n // 100) + overlap) if n else 0
+
+
+def needed(x: Column, y: Column, percent: int) -> Column:
+    """The least overlap of linked sets of these sizes."""
+    return F.ceil((x + y) * percent / (100 + percent))
 
 
 def short_prefix(n: Column, percent: int) -> Column:
-    """Within so many shingles, a set has one in common with every set that links and isn't smaller."""
-    return n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
+    """Within so many shingles, a set has the first ones in common with every set that links and isn't smaller."""
+    return n - needed(n, n, percent) + OVERLAP
 
 
 def _sketch(h: np.ndarray) -> bytes:
@@ -155,8 +163,14 @@ def _indexed(docs: DataFrame, width: int, percent: int, steps) -> DataFrame:
         def run(column: pa.Array) -> list:
             n, light, tokens = [], [], []
             for h in shingler.sets(column):
-                step = sum(in_set(bits, h).astype(np.int8) for bits in sets)
-                first = np.argsort(step, kind="stable")[: prefix_length(len(h), percent)] if step.any() else slice(prefix_length(len(h), percent))
+                step, most = np.zeros(len(h), np.int8), prefix_length(len(h), percent, OVERLAP)
+                at = np.arange(len(h))
+                for bits in sets:  # each holds the later ones
+                    at = at[in_set(bits, h[at])]
+                    if not len(at):
+                        break
+                    step[at] += 1
+                first = np.argsort(step, kind="stable")[:most] if step.any() else slice(most)
                 n.append(len(h))
                 light.append(int((step == 0).sum()) if len(h) else 0)
                 tokens.append(h[first].view(np.int64))
@@ -172,10 +186,12 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64), pa.int64()))
 
 
-def _counted(docs: DataFrame, roots: DataFrame, width: int) -> DataFrame:
-    """``token, groups`` for the shingles of all documents among ``roots`` that have a busy shingle."""
-    first = roots.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= BUSY)
-    busy = docs.sparkSession.sparkContext.broadcast(bit_set(first, F.col("token")))
+def _counted(docs: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
+    """``token, groups`` for shingles of the documents ``roots`` that can reach the index, as a stored table."""
+    context, least = docs.sparkSession.sparkContext, STEPS[0]
+    first = stored(roots.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("groups")).where(F.col("groups") >= least))
+    of_busy = first.where(F.col("groups") >= BUSY)
+    busy = context.broadcast(bit_set(of_busy, F.col("token"), of_busy.count()))
 
     def has_busy(batches):
         for batch in batches:
@@ -183,17 +199,25 @@ def _counted(docs: DataFrame, roots: DataFrame, width: int) -> DataFrame:
             hit = np.add.reduceat(np.r_[in_set(busy.value, tokens.flatten().to_numpy()), False].astype(np.int64), np.minimum(np.r_[0, np.cumsum(tokens.value_lengths().to_numpy())[:-1]], len(tokens.flatten()))) if len(tokens) else np.zeros(0)
             yield batch.select([0]).filter(pa.array(hit > 0))
 
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(roots.select("node", "tokens").mapInArrow(has_busy, "node long"), F.xxhash64("node")))
+    wanted = context.broadcast(bit_set(roots.select("node", "tokens").mapInArrow(has_busy, "node long"), F.xxhash64("node"), roots.count()))
+
+    def further(h: np.ndarray) -> np.ndarray:
+        """The shingles that take the place of busy ones, and of those among them as many again."""
+        n = prefix_length(len(h), percent)
+        part = in_set(busy.value, h[:n]).sum() / n if n else 0.0
+        return h[n : n + (len(h) if part == 1 else 8 + int(1.25 * n * part / (1 - part)))] if part else h[:0]
 
     def count(batches):
         shingler = Shingler(width)
         for batch in batches:
             texts = batch.column(1).filter(pa.array(in_set(wanted.value, batch.column(0).to_numpy())))
-            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *shingler.sets(texts)]), return_counts=True)
+            token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(further, shingler.sets(texts))]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
-    tokens = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(count, "token long, n long")
-    return tokens.groupBy("token").agg(F.sum("n").alias("groups")).where(F.col("groups") >= STEPS[0])
+    more = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(count, "token long, n long")
+    out = stored(more.groupBy("token").agg(F.sum("n").alias("groups")).where(F.col("groups") >= least).unionByName(first).groupBy("token").agg(F.sum("groups").alias("groups")))
+    dropped(first)
+    return out
 
 
 def _fits(x: str, y: str, percent: int):
@@ -202,14 +226,14 @@ def _fits(x: str, y: str, percent: int):
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of node ids that link."""
+    """The pairs ``a, b`` of node ids that link, as a stored table."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     # 100 i >= percent u with u + i = n_a + n_b allows at most (100 - percent) / (100 + percent) of that sum to differ
     near = stored(both.where(apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b"))
-    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(ids, F.xxhash64("id")))
+    ids = stored(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(ids, F.xxhash64("id"), ids.count()))
 
     def preselect(batches):
         for batch in batches:
@@ -235,7 +259,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                 keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    out = stored(with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    dropped(near)
+    dropped(ids)
+    released(docs.sparkSession)
+    return out
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
@@ -267,53 +295,69 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # 2. groups of similar documents, by links with leaders
     posts = stored(known.select(F.explode(F.slice("tokens", 1, few)).alias("token"), "node", "n"))
     shared = posts.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1")
-    posts = posts.join(shared, "token")
-    scored = posts.join(posts.groupBy("node").agg(F.sum(F.log("docs")).alias("score")), "node")
+    meeting = posts.join(shared, "token")
+    scored = meeting.join(meeting.groupBy("node").agg(F.sum(F.log("docs")).alias("score")), "node")
     best = [F.min(F.struct(-F.col("score"), F.xxhash64("node", F.lit(i)), "node", "n")).alias(f"leader{i}") for i in range(LEADERS)]
     leaders = scored.groupBy("token").agg(*best).select("token", F.explode(F.array_distinct(F.array(*(F.struct(f"leader{i}.node", f"leader{i}.n") for i in range(LEADERS))))).alias("leader"))
-    star = posts.join(leaders, "token").select("node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
+    star = meeting.join(leaders, "token").select("node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
     star = star.where("node != leader").where(_fits("n", "leader_n", percent)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    first = stored(_verified(star, known, docs, width, percent))
-    groups = stored(connected(first))
+    first = _verified(star, known, docs, width, percent)
+    dropped(posts)
+    groups = connected(first)
     released(spark)
     # 3. the order, from one document of each group, and the index
-    roots = known.join(groups.select("node"), "node", "left_anti")
-    counts = _counted(docs, roots, width)
-    order = spark.sparkContext.broadcast(bit_sets(counts, F.col("token"), [F.col("groups") >= x for x in steps]))
+    counts = _counted(docs, known.join(groups.select("node"), "node", "left_anti"), width, percent)
     released(spark)
+    order = []
+    for x in steps:
+        step = counts.where(F.col("groups") >= x)
+        order.append(bit_set(step, F.col("token"), step.count()))
+    order = spark.sparkContext.broadcast(order)
+    dropped(counts)
     who = known.select("node", "n").distinct().join(groups.withColumnRenamed("component", "g"), "node", "left").select(F.col("node").alias("id"), "n", F.coalesce("g", "node").alias("g"))
     index = stored(_indexed(docs, width, percent, order).join(who, ["id", "n"]).withColumnRenamed("id", "node"))
+    dropped(groups)
     released(spark)
     placed = index.select("node", "n", "light", "g", F.posexplode("tokens").alias("at", "token")).withColumn("short", F.col("at") < short_prefix(F.col("n"), percent))
     several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("short").alias("any_short"), F.count("*").alias("docs"), F.min(F.struct("light", "node", "n", "g")).alias("leader"))
     several = stored(several.where("g0 != g1 and any_short").select("token", "docs", "leader"))
     released(spark)
-    placed = stored(placed.join(several.select("token"), "token").drop("light"))
+    posts = stored(placed.join(several.select("token"), "token").drop("light", "g"))
     # the document with the fewest shingles of its own links best: a second round of leaders for busy shingles
     again = placed.join(several.where(F.col("docs") >= BUSY), "token").where("g != leader.g").select("node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n"))
     again = again.where(_fits("n", "leader_n", percent)).select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct()
-    first = stored(first.unionByName(_verified(again, known, docs, width, percent)))
-    groups = stored(connected(first))
-    placed = placed.drop("g").join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
-    released(spark)
+    more = _verified(again, known, docs, width, percent)
+    dropped(index)
+    dropped(several)
+    groups = connected(first.unionByName(more))
     # 4. the matrix, and the groups that it opens
-    room = F.floor((F.col("n") - F.col("at")) * (100 + percent) / percent) - F.col("n")  # the largest size that its place allows
+    placed = posts.join(groups.withColumnRenamed("component", "g"), "node", "left").withColumn("g", F.coalesce("g", "node"))
+    room = F.floor((F.col("n") - F.col("at") + OVERLAP - 1) * (100 + percent) / percent) - F.col("n")  # the largest size that its place allows
     kind = lambda n: F.floor(F.log(n.cast("double")) * (4 / np.log(100 / percent)))
     placed = placed.withColumn("room", room)
     larger = placed.where(F.col("room") * 100 >= F.col("n") * percent)
     larger = larger.withColumn("kind", F.explode(F.sequence(kind(F.ceil(F.col("n") * percent / 100)), kind(F.least("n", "room"))))).select("token", "kind", F.col("g").alias("ga"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
     smaller = placed.where("short").select("token", kind(F.col("n")).alias("kind"), F.col("g").alias("gb"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
     larger, smaller = stored(larger), stored(smaller)
+    dropped(posts)
+    dropped(groups)
     released(spark)
     x = larger.groupBy("token", "kind", "ga").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_a", "room_a")))
     y = smaller.groupBy("token", "kind", "gb").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_b", "room_b")))
     may_link = F.expr(f"ga != gb AND max_n_a >= min_n_b AND max_room_a >= min_n_b AND max_room_b >= min_n_a AND min_n_a * {percent} <= max_n_b * 100")
-    opened = x.join(y, ["token", "kind"]).where(may_link).select("token", "kind", "ga", "gb", "min_n_a", "max_n_a", "max_room_a")
+    opened = stored(x.join(y, ["token", "kind"]).where(may_link).select("token", "kind", "ga", "gb", "min_n_a", "max_n_a", "max_room_a", "min_n_b"))
+    enough = lambda a, b: F.col("common") >= F.least(F.lit(OVERLAP), needed(F.col(a), F.col(b), percent))
+    qualified = opened.groupBy("kind", "ga", "gb").agg(F.count("*").alias("common"), F.min("min_n_a").alias("a"), F.min("min_n_b").alias("b")).where(enough("a", "b")).select("kind", "ga", "gb")
     bounds = F.expr(f"max_n_a >= n_b AND max_room_a >= n_b AND room_b >= min_n_a AND min_n_a * {percent} <= n_b * 100")
     links = F.expr(f"n_a >= n_b AND n_a * {percent} <= n_b * 100 AND room_a >= n_b AND room_b >= n_a")
-    across = opened.join(smaller, ["token", "kind", "gb"]).where(bounds).drop("min_n_a", "max_n_a", "max_room_a").join(larger, ["token", "kind", "ga"]).where(links)
-    second = stored(_verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent))
-    final = stored(connected(first.unionByName(second).unionByName(same)))
+    across = opened.drop("min_n_b").join(qualified, ["kind", "ga", "gb"], "left_semi").join(smaller, ["token", "kind", "gb"]).where(bounds).drop("min_n_a", "max_n_a", "max_room_a").join(larger, ["token", "kind", "ga"]).where(links)
+    pairs = across.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).where(enough("n_a", "n_b"))
+    second = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent)
+    for x in (opened, larger, smaller, known):
+        dropped(x)
+    final = connected(first.unionByName(more).unionByName(second).unionByName(same))
+    for x in (first, more, second, same_id):
+        dropped(x)
     classes = nodes.join(final, "node", "left").select("print", "n", "least", F.coalesce("component", "node").alias("root"))
     heads = classes.groupBy("root").agg(F.min("least").alias("head"))
     classes = classes.join(heads, "root").select("print", "n", "head")
@@ -322,6 +366,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         F.col("doc").alias("id"), F.col("n").alias("n_shingles"), F.when(has_id, F.col("head.doc")).alias("component_id"), F.col("id").alias("key"), (~has_id | (F.col("head.id") == F.col("id"))).alias("kept")
     )
     out = stored(out)
-    for x in (rows, nodes, same_id, known, groups, index, several, larger, smaller, second, final):
+    for x in (rows, nodes, final):
         dropped(x)
+    released(spark)
     return out
