@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchtide.llm import langid, quality, queries, secret_scan
+from watchtide.llm import html_text, langid, quality, queries, secret_scan
 from watchtide.llm.bpe import encode_documents
 from watchtide.llm.components import connected
 from watchtide.llm.embed_dedup import near_duplicates
@@ -389,3 +389,45 @@ def test_html_unmarked():
     assert main_text(f"<p>Lead.</p><p>In.</p><p>So.</p><p>{long}</p><div><a href=x>Next</a></div>").startswith("Lead.\n\nIn.\n\nSo.")
     cards = "".join(f"<article><p>Teaser {i}</p></article>" for i in range(3))
     assert main_text(f"<div><p>{long}</p><p>{long}</p></div>{cards}").count("word") == 60
+
+
+def test_html_windows():
+    """Surge and dive points against a version that looks at every pair of places."""
+    r = random.Random(11)
+    for _ in range(3000):
+        n, window, surge = r.randrange(0, 14), r.randrange(1, 5), r.randrange(1, 40)
+        w = [r.choice([0, 0, 0, 1, 5, 20, 60]) for _ in range(n)]
+        sums = [sum(w[i : i + window]) for i in range(n)]
+        keep = set()
+        for i in range(n):
+            if sums[i] >= surge:
+                end = next((j for j in range(i, n) if not sums[j]), n)  # the dive after this surge
+                own = [j for j in range(i, end) if w[j]]
+                keep |= set(range(own[0], own[-1] + 1)) if own else set()
+        for i in range(n):  # neighbours of some weight
+            for j in range(i + 1, n + 1):
+                if all(w[i:j]) and keep & {i - 1, j}:
+                    keep |= set(range(i, j)) if j in keep else set()
+        want = [i in keep for i in range(n)] if keep else [x > 0 for x in w]
+        assert html_text.between(w, window, surge) == want, (w, window, surge)
+
+
+def test_html_markup_only_weighs():
+    """One class word doesn't drop an article; link lines in an article stay; sums decide on marked pages too."""
+    long, menu = ("word " * 30).strip(), "".join(f"<li><a href=x>To {i}</a>" for i in range(4))
+    for page in ('<article class="post-share"><p>{}</p></article>', '<section class="social-science"><p>{}</p></section>', '<p class="ad-hoc">{}</p>', '<div class="widget"><p>{}</p></div>'):
+        assert main_text(f"<ul>{menu}</ul>" + page.format(long)) == long
+    for name in ("ad-banner", "site-header", "comments-area", "relatedPosts", "js-cookie-notice"):
+        assert main_text(f'<p>{long}</p><div class="{name}"><p>Other text that is not the article.</p></div>') == long
+    page = f"<ul>{menu}</ul><article><h1>Head</h1><ul>{menu}</ul><p>{long}</p><ul>{menu}</ul><p>The end.</p></article><p>After it.</p>"
+    assert main_text(page).split("\n\n") == ["Head", *(f"To {i}" for i in range(4)), long, *(f"To {i}" for i in range(4)), "The end."]
+    assert main_text(f'<article><p>{long}</p></article><div class="comments"><p>{long * 9}</p></div>') == long
+    assert main_text('<article><p>Short.</p></article>') == "Short."
+
+
+def test_html_deep_pages():
+    """Unmatched ends and deep nesting take time in proportion to the page."""
+    for page in ("<b>" * 20_000 + "x</i>" * 20_000, "<p>" + "<b>" * 20_000 + "x<hr>" * 20_000, "<div>" * 20_000 + "x</p>" * 20_000):
+        began = time.process_time()
+        assert main_text(page).count("x") == 20_000
+        assert time.process_time() - began < 10

@@ -1,27 +1,33 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's weight is its text outside links; lines of
-menus, headers, footers, sidebars, notices, adverts, forms and comments are left out beforehand. Weights are summed
-over a sliding window of lines: where the sum surges over a threshold, the main text begins, and where it
-dives to nothing, it ends. The lines between are the text. If the page marks its article and that holds at least half of the text, only lines inside
-can surge, and every one of them does, so that short paragraphs at the article's ends stay.
-
-A null page and a page without text give an empty text. Pages are independent of each other; repeated pages
-give repeated rows; columns other than the kept ones play no part.
+Markup is stripped to lines, one for each block element. Lines of menus, headers, footers, sidebars, notices, adverts,
+forms and comments are left out beforehand, by their element or by a class, id or role that says nothing else.
+Every other line has a weight, and the weights' sums over a sliding window of lines decide: where a sum surges over
+a threshold, the main text begins, and where it dives to nothing, it ends. The lines between are the text, and
+neighbours with a weight of their own belong to it.
+
+A line weighs as much as it has characters outside links. Markup only changes weights: if the page marks an article and
+that holds at least half of the text, its characters, links included, weigh more and others nothing. A class word
+doesn't set aside what holds most of a page's text where nothing else is marked as its article.
+
+A null page and a page without text give an empty text; if no sum surges, all lines with a weight are the text.
+Pages are independent of each other; repeated pages give repeated rows; columns other than the kept ones play
+no part. The work is linear in the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
-#: Lines in a window, and the window sum at which the text begins.
-WINDOW, SURGE = 3, 86
+#: Lines in a window, the window sum at which the text begins, and how often a marked article's characters count.
+WINDOW, SURGE, MARKED = 3, 86, 4
 
 # Elements by their role.
 _RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
@@ -33,13 +39,21 @@ _BLOCK = set(
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _ASIDE = {"nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "audio", "video", "object", "dialog", "menu", "search", "math", "map", "datalist"}
 _NEVER = {"html", "body", "main", *_HEADINGS, "b", "i", "em", "strong", "tr", "td", "th"}
-#: Words of class, id or role that mark what isn't the article.
+#: Words of class, id or role that mark what isn't the article, ...
 _MARKS = set(
     "ad ads adbox adsbox advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert "
     "popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menubar topbar toolbar header masthead footer contentinfo sidebar side aside complementary rail "
     "widget widgets comment comments commentlist reply replies respond disqus discussion related recommended recommendations share sharing social breadcrumb breadcrumbs "
     "pagination pager copyright disclaimer search paywall trending popular".split()
 )
+#: ... and those that may stand beside them: a name with any other word (ad-hoc, social-science) marks nothing.
+_PLAIN = set(
+    "site page main global top bottom left right upper lower primary secondary first last post posts entry article story blog section block box area zone slot unit module list items item "
+    "container wrapper wrap inner outer content body row col column bar strip panel group buttons button icons icon links link text title form field fields input label thread tree count "
+    "wp js id el css google dfp policy law eu message messages media network networks follow us tools actions options toggle mobile desktop small large fixed sticky bg img image".split()
+)
+_COMMENTS = {"comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "discussion"}
+_TITLES = {"header", "masthead", "banner"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -47,31 +61,35 @@ _ROLE_MAIN = re.compile(r"""role\s*=\s*["']?(?:main|article)\b|itemprop\s*=\s*["
 _WORDS = re.compile(r"[a-z]+")
 
 
-def _is_aside(name: str, attrs: str, in_article: bool) -> bool:
-    if name in _ASIDE:
-        return True
-    if name == "header":
-        return not in_article
+def _marks(name: str, attrs: str) -> set[str]:
+    """The words by which an element's class, id or role says that it isn't the article."""
     if not attrs or name in _NEVER:
-        return False
-    if _HIDDEN.search(attrs):
-        return True
+        return set()
+    out: set[str] = set()
     for m in _MARKED.finditer(attrs):
-        value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1]).lower()
-        if not _MARKS.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+        for value in m[1].strip("\"'").split():
+            words = {w for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()) if len(w) > 1}
+            if words & _MARKS and words <= _MARKS | _PLAIN:
+                out |= words & _MARKS
+    return out
+
+
+#: A line is set aside by no region, by its element for good, or by the class of region 1, 2, ...
+_NONE, _GONE = 0, -1
 
 
 class _Lines:
-    """The lines of a page: text, weight, whether inside a marked article, whether set aside."""
+    """The lines of a page: text, characters outside and inside links, whether inside a marked article, region."""
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
         self.linked = 0
-        # open elements: name, set aside, article, link, header inside an article
-        self.open: list[tuple[str, bool, bool, bool, bool]] = []
+        # open elements: name, region, article, link, header inside an article; how many of a name; where the blocks are
+        self.open: list[tuple[str, int, bool, bool, bool]] = []
+        self.count: Counter = Counter()
+        self.blocks: list[int] = []
+        self.regions: list[set[str]] = [set()]
         at, n = 0, len(page)
         while at < n:
             m = _TAG.search(page, at)
@@ -93,8 +111,8 @@ class _Lines:
             self._start(name, attrs)
         self._line()
 
-    def _state(self) -> tuple[str, bool, bool, bool, bool]:
-        return self.open[-1] if self.open else ("", False, False, False, False)
+    def _state(self) -> tuple[str, int, bool, bool, bool]:
+        return self.open[-1] if self.open else ("", _NONE, False, False, False)
 
     def _text(self, raw: str) -> None:
         if not raw:
@@ -107,75 +125,105 @@ class _Lines:
     def _line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            name, aside, article, _, heading_only = self._state()
-            aside |= heading_only and not any(x[0] in _HEADINGS for x in self.open)
-            weight = 0 if aside else max(0, len(text) - text.count(" ") - self.linked)
-            self.lines.append((text, weight, article, aside))
+            _, region, article, _, heading_only = self._state()
+            if heading_only and not any(self.count[h] for h in _HEADINGS):
+                region = _GONE
+            full = len(text) - text.count(" ")
+            self.lines.append((text, max(0, full - self.linked), min(full, self.linked), article, region))
         self.parts, self.linked = [], 0
 
+    def _cut(self, k: int) -> None:
+        """Close the elements from place k on."""
+        for x in self.open[k:]:
+            self.count[x[0]] -= 1
+        del self.open[k:]
+        while self.blocks and self.blocks[-1] >= k:
+            self.blocks.pop()
+
     def _start(self, name: str, attrs: str) -> None:
         if name in _BLOCK:
             self._line()
-            for k in range(len(self.open) - 1, -1, -1):  # an open paragraph ends where a block begins
-                if self.open[k][0] == "p" or self.open[k][0] == name == "li":
-                    del self.open[k:]
-                    break
-                if self.open[k][0] in _BLOCK:
-                    break
+            if self.blocks:  # an open paragraph ends where a block begins
+                inner = self.open[self.blocks[-1]][0]
+                if inner == "p" or inner == name == "li":
+                    self._cut(self.blocks[-1])
         elif name in ("br", "td", "th"):
             self.parts.append(" ")
         if name in _VOID:
             return
-        _, aside, article, link, heading_only = self._state()
-        if not aside and _is_aside(name, attrs, article):
-            if name not in _BLOCK:
+        _, region, article, link, heading_only = self._state()
+        if region == _NONE:
+            marks = _marks(name, attrs)
+            if name in _ASIDE or name == "header" and not article or attrs and name not in _NEVER and _HIDDEN.search(attrs):
+                region = _GONE
+            elif marks and article and marks <= _TITLES:
+                heading_only = True
+            elif marks:
+                region = len(self.regions)
+                self.regions.append(marks)
+            if region and name not in _BLOCK:
                 self._line()
-            aside = True
-        if not aside and (name in ("article", "main") or attrs and _ROLE_MAIN.search(attrs)):
+        if region == _NONE and (name in ("article", "main") or attrs and _ROLE_MAIN.search(attrs)):
             article = True
-        self.open.append((name, aside, article, link or name == "a", heading_only or name == "header" and article))
+        if name in _BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append((name, region, article, link or name == "a", heading_only or name == "header" and article))
+        self.count[name] += 1
 
     def _close(self, name: str) -> None:
         if name in _BLOCK:
             self._line()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == name:
-                if self.open[k][1] and name not in _BLOCK:
-                    self._line()
-                del self.open[k:]
-                return
+        if not self.count[name]:
+            return
+        k = len(self.open) - 1
+        while self.open[k][0] != name:
+            k -= 1
+        if self.open[k][1] and name not in _BLOCK:
+            self._line()
+        self._cut(k)
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The main text of one page; blocks are joined by an empty line."""
-    lines = [x for x in _Lines(page or "").lines if not x[3]]
-    marked = sum(x[1] for x in lines if x[2])
-    if marked and 2 * marked >= sum(x[1] for x in lines):
-        # a marked article: its lines surge by themselves, others weigh nothing
-        weights = [(weight or 1) + surge if article else 0 for _, weight, article, _ in lines]
-    else:
-        weights = [x[1] for x in lines]
-    n, keep = len(lines), [False] * len(lines)
-    total, i = [sum(weights[k : k + window]) for k in range(n)], 0
+def between(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Which lines are text: those from a window whose sum surges until one whose sum is nothing, without lines of no
+    weight at both ends, and with neighbours of some weight. Without a surge: all lines with a weight."""
+    n, keep = len(weights), [False] * len(weights)
+    sums, i = [sum(weights[k : k + window]) for k in range(n)], 0
     while i < n:
-        if total[i] < surge:
+        if sums[i] < surge:
             i += 1
             continue
         start = i
         while not weights[start]:
             start += 1
-        while i < n and total[i]:  # until the dive
+        while i < n and sums[i]:  # until the dive
             i += 1
         end = min(i, n)
         while not weights[end - 1]:
             end -= 1
-        # neighbours with text outside links belong to it
-        while start and weights[start - 1]:
+        while start and weights[start - 1] and not keep[start - 1]:
             start -= 1
         keep[start:end] = [True] * (end - start)
-    if not any(keep):
-        keep = [weight > 0 for weight in weights]
-    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
+    return keep if any(keep) else [w > 0 for w in weights]
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+    """The main text of one page; blocks are joined by an empty line."""
+    found = _Lines(page or "")
+    lines = found.lines
+    marked = sum(x[1] for x in lines if x[3] and x[4] == _NONE)
+    by_region, total = Counter(), 0
+    for _, own, _, _, region in lines:
+        if region != _GONE:
+            by_region[region] += own
+            total += own
+    # a class word doesn't set aside most of a page's text
+    pardoned = {_NONE, *(r for r, own in by_region.items() if r and not marked and own >= surge and 3 * own >= 2 * total and not found.regions[r] & _COMMENTS)}
+    lines = [x for x in lines if x[4] in pardoned]
+    if marked and 2 * marked >= sum(x[1] for x in lines):
+        weights = [MARKED * (own + linked) if article else 0 for _, own, linked, article, _ in lines]
+    else:
+        weights = [x[1] for x in lines]
+    return "\n\n".join(x[0] for x, k in zip(lines, between(weights, window, surge), strict=True) if k)
 
 
 def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, surge: int = SURGE) -> DataFrame:
