@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from watchtide.operators import chain, detectors
+from watchtide.operators.lifecycle import matched_records
+from watchtide.operators.quotes import consensus
 from watchtide.plans import detect as plans
 from watchtide.plans.registry import view
 from watchtide.streaming import twins
@@ -55,6 +57,67 @@ def test_floor_hides_a_crash(spark):
     assert detectors.tvl_detections(_samples(spark, [6e6, 4e6]), RULE | {"min_tvl_floor_usd": 5e6}).count() == 0
 
 
+def test_drop_is_the_largest_of_the_windows(spark):
+    """Slowly, then fast: the fast branch breaches, the drop is that of the longest window; and two protocols are systemic."""
+    rows = _samples(spark, [100e6, 99e6, 98e6, 60e6])
+    got = detectors.tvl_detections(rows, RULE | {"velocity_critical_pct": 90.0, "fast_minutes": 1, "slow_drop_pct": 90.0}).first()
+    assert (got["severity"], round(got["drop"], 6)) == ("high", 40.0)
+    both = rows.unionByName(rows.withColumn("protocol_id", F.lit("q")))
+    assert {r["context"] for r in detectors.tvl_detections(both, RULE).collect()} == {"systemic"}
+    assert {r["context"] for r in detectors.tvl_detections(both, RULE | {"contagion_enabled": False}).collect()} == {"isolated"}
+
+
+def _quotes(spark, rows):
+    return spark.createDataFrame([(i, f"2024-01-01 00:00:{i:02d}", "t", s, k, m, p) for i, (s, k, m, p) in enumerate(rows)], "event_id long, observed_at string, tenant_id string, source_id string, source_type string, market_key string, price double").withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+
+
+def test_two_diverging_markets_are_systemic(spark):
+    """The systemic floor and bands take the place of the isolated ones once two dollar markets diverge."""
+    rows = _quotes(spark, [("a", "cex_websocket", "USDC/USD", 0.998), ("a", "cex_websocket", "DAI/USD", 0.997), ("a", "cex_websocket", "EUR/CHF", 0.5), ("a", "cex_websocket", "USDC/USD", 0.9998)])
+    policy = {"min_sources": 1, "quorum_pct": 0.0, "stale_timeout_ms": 60_000}
+    got = lambda p: [(r["context"], r["breach"], r["rank"]) for r in detectors.peg_evaluations(rows, ["a"], policy | p, ["USDC/USD", "DAI/USD", "EUR/CHF"]).orderBy("event_id").collect()]
+    assert got({}) == [("isolated", False, 0), ("isolated", False, 0), ("isolated", True, 5), ("isolated", False, 0)]
+    assert got({"contagion_detection": True}) == [("isolated", False, 0), ("systemic", True, 5), ("systemic", True, 5), ("systemic", True, 3)]
+
+
+def test_confidence_parts(spark):
+    rows = _quotes(spark, [("a", "cex_websocket", "USDC/USD", 0.99), ("b", "oracle_api", "USDC/USD", 0.98), ("c", "dex_api", "USDC/USD", 1.01)])
+    policy = {"min_sources": 1, "quorum_pct": 0.0, "stale_timeout_ms": 60_000}
+    last = lambda p: consensus(rows, ["a", "b", "c"], policy | p).orderBy(F.desc("event_id")).first()
+    share = 200 / 3
+    assert last({})["confidence"] == pytest.approx(share)
+    assert last({"oracle_confirmation": True})["confidence"] == pytest.approx((share * 0.7 + 100 * 0.2) / 0.9)
+    assert last({"oracle_confirmation": True, "volume_confirmation": True})["confidence"] == pytest.approx(share * 0.7 + 100 * 0.2 + 50 * 0.1)
+
+
+def test_a_broken_pattern_is_left_out(spark):
+    class Good:
+        name = "good"
+
+        def detect(self, events, rules):
+            return events.select("event_id")
+
+    class Broken(Good):
+        name = "broken"
+
+        def detect(self, events, rules):
+            return events.select("no_such_column")
+
+    rows, failed = _samples(spark, [1.0, 2.0]), []
+    got = detectors.detect_all([(Broken(), rows, rows), (Good(), rows, rows)], failed)
+    assert got.count() == 2 and [f[0] for f in failed] == ["broken"]
+    with pytest.raises(Exception, match="no_such_column"):
+        detectors.detect_all([(Broken(), rows, rows)])
+
+
+def test_tokens_inside_words(spark):
+    """A token may stand anywhere in a text; one of several words must be there as it is."""
+    scenarios = spark.createDataFrame([("s1", ["pool", "ab"]), ("s2", ["red bolt", "--"]), ("s3", [" ", ""])], "scenario_id string, tokens array<string>")
+    records = spark.createDataFrame([(1, "LiquidityPools"), (2, "a red\nbolt"), (3, "hundred bolts"), (4, "x--y"), (5, None), (6, "")], "record_id long, haystack string")
+    got = sorted(map(tuple, matched_records(scenarios, records).collect()))
+    assert got == [("s1", 1), ("s2", 3), ("s2", 4)]
+
+
 def _fold(events, depth):
     return chain.finality_step(chain.new_state(), "c", events, depth)
 

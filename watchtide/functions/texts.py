@@ -31,10 +31,18 @@ def tokens(texts: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(low, F.filter(parts, lambda p: F.length(p) > 2))))
 
 
-def supported_patterns(incident_class: Column) -> Column:
+def supported_patterns(incident_class: Column, explicit: Column | None = None) -> Column:
+    """The patterns that a scenario names itself, if any; otherwise by its class (fixed values)."""
     c = F.lower(incident_class)
-    return (
-        F.when(c.rlike("flash|exploit|loan"), F.array(F.lit("flash_loan")))
-        .when(c.rlike("depeg|stress|liquidity"), F.array(F.lit("dpeg")))
-        .otherwise(F.array(F.lit("dpeg"), F.lit("flash_loan")))
+    by_class = (
+        F.when(F.contains(c, F.lit("depeg")), F.array(F.lit("dpeg")))
+        .when(F.contains(c, F.lit("oracle")), F.array(F.lit("oracle_manipulation"), F.lit("flash_loan")))
+        .when(c.rlike("flash|exploit"), F.array(F.lit("flash_loan")))
+        .otherwise(F.array(F.lit("anomaly")))
     )
+    return by_class if explicit is None else F.when(F.size(explicit) > 0, explicit).otherwise(by_class)
+
+
+def step_event_type(incident_class: Column, event_type: Column) -> Column:
+    """The type that a scenario's step names itself; otherwise by the scenario's class (fixed values)."""
+    return F.coalesce(event_type, F.when(F.contains(F.lower(incident_class), F.lit("flash")), "flash_loan_candidate").otherwise("oracle_update"))

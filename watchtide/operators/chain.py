@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,32 +133,31 @@ def finality_step(state: dict, chain: str, rows, depth: int) -> list[tuple]:
             status[key] = "provisional"
             out.append((chain, event_id, key, "provisional", None))
         safe = max(0, state["head"] - depth)
-        while state["pending"] and min(state["pending"]) <= safe:
-            b = min(state["pending"])
-            state["pending"].discard(b)
+        due = []
+        while state["pending"] and state["pending"][0] <= safe:
+            due.append(heapq.heappop(state["pending"]))
+        if block > safe:
+            heapq.heappush(state["pending"], block)
+        elif block not in due:
+            due.append(block)
+        for b in due:
             for k in blocks.get(b, {"keys": []})["keys"]:
                 if status[k] == "provisional":
                     status[k] = "confirmed"
                     out.append((chain, event_id, k, "confirmed", None))
-        if block <= safe:
-            for k in blocks[block]["keys"]:
-                if status[k] == "provisional":
-                    status[k] = "confirmed"
-                    out.append((chain, event_id, k, "confirmed", None))
-        else:
-            state["pending"].add(block)
     return out
 
 
 def new_state() -> dict:
-    return {"head": 0, "blocks": {}, "status": {}, "pending": set()}
+    return {"head": 0, "blocks": {}, "status": {}, "pending": []}
 
 
 def finality(events: DataFrame, depth: int) -> DataFrame:
     """Provisional, confirmed, retracted and reorganisation updates of every chain.
 
-    The order within a chain matters for every event, so a chain that has a reorganisation is folded in one
-    task, in batches of rows; chains without one take the window form (``confirmations``)."""
+    The order within a chain matters for every event, so a chain that has a reorganisation is folded in one task:
+    its events are sorted by Spark and stream through in batches, and what the task holds is the chain's blocks and
+    keys, which a reorganisation at any depth may retract. Chains without one take the window form (``confirmations``)."""
     split = orphaned(events).select("chain").distinct().withColumn("folded", F.lit(True))
     marked = events.join(split, "chain", "left")
     plain = marked.where("folded IS NULL")
@@ -163,12 +165,17 @@ def finality(events: DataFrame, depth: int) -> DataFrame:
     updates = plain.select("chain", "event_id", "event_key", F.lit("provisional").alias("status"), F.lit(None).cast("long").alias("orphaned_from"))
     updates = updates.unionByName(sure.select("chain", F.col("confirmed_by").alias("event_id"), "event_key", F.lit("confirmed").alias("status"), F.lit(None).cast("long").alias("orphaned_from")))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        rows = zip(pdf["event_id"], pdf["block_number"], pdf["block_hash"], pdf["event_key"], strict=True)
-        return pd.DataFrame(finality_step(new_state(), key[0], rows, depth), columns=["chain", "event_id", "event_key", "status", "orphaned_from"]).astype({"orphaned_from": "Int64"})
-
-    folded = marked.where("folded").select("chain", "event_id", "block_number", "block_hash", "event_key").groupBy("chain").applyInPandas(fold, FINALITY_SCHEMA)
+    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, state = None, new_state()
+        for pdf in batches:
+            out = []
+            for chain, *row in zip(*(pdf[c] for c in ("chain", "event_id", "block_number", "block_hash", "event_key")), strict=True):
+                if chain != at:
+                    at, state = chain, new_state()
+                out += finality_step(state, chain, [row], depth)
+            yield pd.DataFrame(out, columns=["chain", "event_id", "event_key", "status", "orphaned_from"]).astype({"orphaned_from": "Int64"})
+
+    folded = marked.where("folded").select("chain", "event_id", "block_number", "block_hash", "event_key").repartition("chain").sortWithinPartitions("chain", "event_id").mapInPandas(fold, FINALITY_SCHEMA)
     return updates.unionByName(folded)
 
 

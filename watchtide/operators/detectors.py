@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import band, rank
 from .asof import micros
-from .quotes import consensus
+from .quotes import bucketed, consensus, setting
 
 RANKS = {"medium": 3, "high": 4, "critical": 5}
 
@@ -30,30 +30,71 @@ class Pattern(Protocol):
     def detect(self, events: DataFrame, rules: DataFrame) -> DataFrame: ...
 
 
-def detect_all(patterns: Iterable[tuple[Pattern, DataFrame, DataFrame]]) -> DataFrame:
-    """All detections of several patterns; each is planned on its own and they run as one job."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (p.detect(e, r).withColumn("pattern_id", F.lit(p.name)) for p, e, r in patterns))
+def detect_all(patterns: Iterable[tuple[Pattern, DataFrame, DataFrame]], failed: list[tuple[str, str]] | None = None) -> DataFrame:
+    """All detections of several patterns; each is planned on its own and they run as one job. A pattern that can't
+    be planned is left out, and its name and error are put into ``failed``; without that list it is an error."""
+    out = []
+    for p, events, rules in patterns:
+        try:
+            out.append(p.detect(events, rules).withColumn("pattern_id", F.lit(p.name)))
+        except Exception as e:  # noqa: BLE001  whatever the plug-in does
+            if failed is None:
+                raise
+            failed.append((p.name, str(e)))
+    if not out:
+        raise ValueError("no pattern could be planned")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
 # Peg deviation
 
 
-def peg_evaluations(quotes: DataFrame, sources: list[str], policy: dict) -> DataFrame:
-    """One evaluation per valid quote: breach, severity rank, divergence, whether any source was eligible."""
-    rows = consensus(quotes, sources, policy)
-    bands = policy.get("severity_bands", {"medium": 0.5, "high": 1.0, "critical": 5.0})
-    severity = band(F.col("divergence"), *(F.lit(bands[k]) for k in ("medium", "high", "critical")))
-    oracle = F.col("oracle_confirmed") if policy.get("oracle_confirmation") else F.lit(True)
-    breach = F.col("has_quorum") & (F.col("divergence") >= policy.get("isolated_floor_pct", 0.5)) & severity.isNotNull() & oracle
-    return rows.select("tenant_id", "market_key", "event_id", micros(F.col("observed_at")).alias("now"), F.coalesce(breach, F.lit(False)).alias("breach"), F.coalesce(rank(severity), F.lit(0)).alias("rank"), "divergence", (F.col("n_sources") > 0).alias("has_quotes"))
+#: Bands of severity by context (fixed values).
+ISOLATED = {"medium": 0.5, "high": 1.0, "critical": 5.0}
+SYSTEMIC = {"medium": 0.01, "high": 0.25, "critical": 0.25}
+#: Settings that the fold needs of each evaluation, with their defaults.
+_FOLDED = {"sustained_window_ms": 60_000, "cooldown_sec": 300, "deescalation_blocks": 5, "resolution_blocks": 30}
+
+
+def _bands(policy: dict, context: str, default: dict) -> list[Column]:
+    got = policy.get(f"severity_bands_{context}")
+    if got is None:
+        got = policy.get("severity_bands") if context == "isolated" else None
+    if isinstance(got, Column):
+        return [F.coalesce(got[k], F.lit(v)) for k, v in default.items()]
+    return [F.lit((got or default)[k]) for k in default]
+
+
+def peg_evaluations(quotes: DataFrame, sources: list[str], policy: dict | DataFrame, markets: list[str] | None = None) -> DataFrame:
+    """One evaluation per valid quote: breach, severity rank, divergence, context, trigger floor, whether any source was
+    eligible, confidence, and what the fold needs of the policy.
+
+    ``policy`` is one for all, or the table of the tenants' policies by market (``configs.peg_policies``): quotes of
+    other markets then have no evaluation."""
+    width_ms = None
+    if isinstance(policy, DataFrame):
+        width_ms = policy.agg(F.max(F.greatest("stale_timeout_ms", F.coalesce(F.array_max(F.transform(F.map_values("overrides"), lambda x: x["stale_timeout_ms"])), F.lit(0))))).first()[0]
+        width_ms = 1 + (width_ms or 0)
+        quotes = quotes.join(policy, ["tenant_id", "market_key"])
+        policy = {c: F.col(c) for c in policy.columns if c not in ("tenant_id", "market_key")}
+    rows = consensus(quotes, sources, policy, markets, width_ms)
+    in_context = lambda one, all_: F.when(F.col("context") == "systemic", one).otherwise(all_)
+    severity = band(F.col("divergence"), *map(in_context, _bands(policy, "systemic", SYSTEMIC), _bands(policy, "isolated", ISOLATED)))
+    oracle = F.col("oracle_confirmed") | ~setting(policy, "oracle_confirmation", False)
+    breach = F.col("has_quorum") & (F.col("divergence") >= F.col("floor")) & severity.isNotNull() & oracle
+    return rows.select(
+        "tenant_id", "market_key", "event_id", micros(F.col("observed_at")).alias("now"), F.coalesce(breach, F.lit(False)).alias("breach"), F.coalesce(rank(severity), F.lit(0)).alias("rank"),
+        "divergence", (F.col("n_sources") > 0).alias("has_quotes"), "floor", "context", "confidence", *(setting(policy, k, v).cast("long").alias(k) for k, v in _FOLDED.items()),
+    )
 
 
 def peg_start() -> dict:
     return {"started": None, "cooldown": None, "rank": 0, "floor": None, "lower": 0, "below": 0}
 
 
-def peg_step(s: dict, now: int, breach: bool, severity: int, divergence: float, has_quotes: bool, policy: dict) -> tuple[str, int] | None:
-    """One evaluation: changes the state and returns ``(transition, severity rank)``, or None."""
+def peg_step(s: dict, now: int, breach: bool, severity: int, divergence: float, has_quotes: bool, policy: dict, floor: float | None = None) -> tuple[str, int] | None:
+    """One evaluation: changes the state and returns ``(transition, severity rank)``, or None. ``floor`` is the
+    evaluation's trigger floor; the one at which an incident began is also the one below which it resolves."""
     if not has_quotes:
         s.update(peg_start())
         return None
@@ -75,7 +116,7 @@ def peg_step(s: dict, now: int, breach: bool, severity: int, divergence: float,
         waited = now - s["started"] >= policy.get("sustained_window_ms", 60_000) * 1000
         if not waited or (s["cooldown"] is not None and s["cooldown"] > now):
             return None
-        s.update(rank=severity, floor=policy.get("isolated_floor_pct", 0.5), lower=0, cooldown=now + cooldown)
+        s.update(rank=severity, floor=policy.get("isolated_floor_pct", 0.5) if floor is None else floor, lower=0, cooldown=now + cooldown)
         return "trigger", severity
     if severity > s["rank"]:
         s.update(rank=severity, lower=0)
@@ -93,61 +134,101 @@ def peg_step(s: dict, now: int, breach: bool, severity: int, divergence: float,
 PEG_SCHEMA = "tenant_id string, market_key string, event_id long, transition string, severity_rank int, divergence double"
 
 
-def peg_transitions(evaluations: DataFrame, policy: dict) -> DataFrame:
-    """Triggers, escalations, de-escalations and resolutions, by a fold over each tenant's market. What is
-    shuffled is one small row per evaluation."""
+def with_policy(evaluations: DataFrame, policy: dict | None) -> DataFrame:
+    return evaluations.withColumns({k: F.lit(policy.get(k, v)).cast("long") for k, v in _FOLDED.items()}) if policy else evaluations
+
+
+def peg_fold(state: dict, row) -> tuple[str, int] | None:
+    """``peg_step`` on an evaluation."""
+    policy = {k: int(getattr(row, k)) for k in _FOLDED}
+    return peg_step(state, int(row.now), bool(row.breach), int(row.rank), float(row.divergence), bool(row.has_quotes), policy, float(row.floor))
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = peg_start(), []
-        pdf = pdf.sort_values(["now", "event_id"])
-        for e, now, breach, severity, divergence, quotes in zip(pdf["event_id"], pdf["now"], pdf["breach"], pdf["rank"], pdf["divergence"], pdf["has_quotes"], strict=True):
-            got = peg_step(state, int(now), bool(breach), int(severity), float(divergence), bool(quotes), policy)
-            if got:
-                out.append((*key, e, *got, divergence))
-        return pd.DataFrame(out, columns=["tenant_id", "market_key", "event_id", "transition", "severity_rank", "divergence"])
 
-    return evaluations.groupBy("tenant_id", "market_key").applyInPandas(fold, PEG_SCHEMA)
+def peg_transitions(evaluations: DataFrame, policy: dict | None = None) -> DataFrame:
+    """Triggers, escalations, de-escalations and resolutions, by a fold over each tenant's market. What is
+    shuffled is one small row per evaluation; a market's rows are sorted by Spark and stream through the fold in
+    batches, so that none has to fit into memory. ``policy`` replaces what the evaluations say of the fold's settings."""
+    evaluations = with_policy(evaluations, policy)
+
+    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, state = None, peg_start()
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if at != (r.tenant_id, r.market_key):
+                    at, state = (r.tenant_id, r.market_key), peg_start()
+                got = peg_fold(state, r)
+                if got:
+                    out.append((*at, r.event_id, *got, r.divergence))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PEG_SCHEMA.split(", ")])
+
+    key = ["tenant_id", "market_key"]
+    rows = evaluations.drop("context", "confidence").repartition(*key).sortWithinPartitions(*key, "now", "event_id")
+    return rows.mapInPandas(fold, PEG_SCHEMA)
 
 
 # Drawdown
 
 
+WINDOWS = ("fast", "slow", "velocity")
+
+
 def drawdowns(samples: DataFrame, rule: dict, key: tuple[str, ...] = ("tenant_id", "protocol_id", "chain_slug")) -> DataFrame:
-    """Peak-to-current drawdowns in per cent over the rule's trailing windows: ``fast, slow, velocity``."""
-    at = micros(F.col("observed_at"))
-    out = samples.withColumn("__at", at)
-    for name in ("fast", "slow", "velocity"):
-        w = Window.partitionBy(*key).orderBy("__at").rangeBetween(-rule[f"{name}_minutes"] * 60_000_000, 0)
+    """Peak-to-current drawdowns in per cent over the rule's trailing windows: ``fast, slow, velocity``. The windows run
+    in stretches of time as long as the longest, so that no subject has to be sorted in one task."""
+    out = bucketed(samples, max(rule[f"{n}_minutes"] for n in WINDOWS) * 60_000).withColumn("__at", micros(F.col("observed_at")))
+    for name in WINDOWS:
+        w = Window.partitionBy(*key, "__bucket").orderBy("__at").rangeBetween(-rule[f"{name}_minutes"] * 60_000_000, 0)
         peak = F.max("tvl_usd").over(w)
         out = out.withColumn(f"{name}_drop", F.when(peak > 0, (peak - F.col("tvl_usd")) / peak * 100).otherwise(0.0))
-    return out.drop("__at")
+    return out.where("__own").drop("__at", "__bucket", "__own")
 
 
 def tvl_detections(samples: DataFrame, rule: dict) -> DataFrame:
     """Breaches of one drawdown rule with severity, context and transition. All of it is windows: severity of
     the last breach, drop of the last sample, and other protocols that breached at about the same time."""
-    key = ("tenant_id", "protocol_id", "chain_slug")
-    rows = drawdowns(samples, rule)
-    floor = F.col("tvl_usd") >= rule["min_tvl_floor_usd"]
-    velocity, fast, slow = (F.col(f"{n}_drop") >= rule[t] for n, t in (("velocity", "velocity_critical_pct"), ("fast", "fast_drop_pct"), ("slow", "slow_drop_pct")))
-    rows = rows.withColumn("breach", floor & (velocity | fast | slow))
-    rows = rows.withColumn("drop", F.when(velocity, F.col("velocity_drop")).when(fast, F.col("fast_drop")).when(slow, F.col("slow_drop")).otherwise(F.greatest("fast_drop", "slow_drop")))
-    near = Window.partitionBy("tenant_id").orderBy(micros(F.col("observed_at"))).rangeBetween(-rule["concurrent_minutes"] * 60_000_000, 0)
-    subject = F.concat_ws(":", "protocol_id", "chain_slug")
-    rows = rows.withColumn("concurrent", F.size(F.collect_set(F.when(F.col("breach"), subject)).over(near)))
-    rows = rows.withColumn("context", F.when(F.col("concurrent") >= 2, "systemic").otherwise("isolated"))
-    severity = F.when(velocity | (F.col("context") == "systemic"), "critical").otherwise("high")
-    rows = rows.withColumn("severity", F.when(F.col("breach"), severity))
+    return _tvl_detections(samples, rule, ("tenant_id", "protocol_id", "chain_slug"))
+
+
+def tvl_detections_by_rule(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """``tvl_detections`` for each of the tenants' rules whose scope a sample matches (``configs.tvl_rules``): adds ``rule_id``.
+    Rules of equal window lengths, which windows can't take from columns, are done together."""
+    times = [f"{n}_minutes" for n in (*WINDOWS, "concurrent")]
+    out = []
+    mine = rules.select("tenant_id", "rule_id", F.col("protocol_id").alias("r_protocol"), F.col("chain_slug").alias("r_chain"), F.col("market_id").alias("r_market"), *(c for c in rules.columns if c.endswith(("_pct", "_usd", "_enabled"))), *times)
+    for lengths in sorted(map(tuple, rules.select(*times).distinct().collect())):
+        same = reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip(times, lengths, strict=True)))
+        both = samples.join(mine.where(same).drop(*times), "tenant_id")
+        market = F.col("market_id") if "market_id" in samples.columns else F.lit(None).cast("string")
+        both = both.where(scope_match(F.col("protocol_id"), F.col("r_protocol"), F.col("chain_slug"), F.col("r_chain"), market, F.col("r_market")))
+        rule = dict(zip(times, lengths, strict=True)) | {c: F.col(c) for c in mine.columns if c.endswith(("_pct", "_usd", "_enabled"))}
+        out.append(_tvl_detections(both, rule, ("tenant_id", "rule_id", "protocol_id", "chain_slug")))
+    if not out:
+        raise ValueError("no enabled drawdown rule")
+    return reduce(DataFrame.unionByName, out)
+
+
+def _tvl_detections(samples: DataFrame, rule: dict, key: tuple[str, ...]) -> DataFrame:
+    rows = drawdowns(samples, rule, key)
+    floor = F.col("tvl_usd") >= F.lit(rule["min_tvl_floor_usd"])
+    velocity, fast, slow = (F.col(f"{n}_drop") >= F.lit(rule[t]) for n, t in (("velocity", "velocity_critical_pct"), ("fast", "fast_drop_pct"), ("slow", "slow_drop_pct")))
+    rows = rows.withColumn("breach", floor & (velocity | fast | slow)).withColumn("by_velocity", velocity)
+    rows = rows.withColumn("drop", F.greatest("fast_drop", "slow_drop", "velocity_drop"))
     earlier = Window.partitionBy(*key).orderBy("observed_at", "event_id")
-    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("prev_severity", F.last("severity", ignorenulls=True).over(before)).withColumn("prev_context", F.coalesce(F.last(F.when(F.col("breach"), F.col("context")), ignorenulls=True).over(before), F.lit("isolated")))
-    rows = rows.withColumn("prev_drop", F.coalesce(F.lag("drop").over(earlier), F.lit(0.0)))
+    rows = rows.withColumn("prev_drop", F.coalesce(F.lag("drop").over(earlier), F.lit(0.0))).where("breach")
+    # two subjects of the tenant (and rule) at least: the least and the greatest name differ
+    width, subject = rule["concurrent_minutes"], F.concat_ws(":", "protocol_id", "chain_slug")
+    near = Window.partitionBy(*(c for c in key if c not in ("protocol_id", "chain_slug")), "__bucket").orderBy(micros(F.col("observed_at"))).rangeBetween(-width * 60_000_000, 0)
+    rows = bucketed(rows, width * 60_000).withColumn("concurrent", F.min(subject).over(near) != F.max(subject).over(near)).where("__own").drop("__bucket", "__own")
+    rows = rows.withColumn("context", F.when(F.col("concurrent") & F.lit(rule.get("contagion_enabled", True)), "systemic").otherwise("isolated"))
+    rows = rows.withColumn("severity", F.when(F.col("by_velocity") | (F.col("context") == "systemic"), "critical").otherwise("high"))
+    rows = rows.withColumn("prev_severity", F.lag("severity").over(earlier)).withColumn("prev_context", F.coalesce(F.lag("context").over(earlier), F.lit("isolated")))
     transition = (
         F.when(F.col("prev_severity").isNull(), "trigger")
         .when(rank(F.col("severity")) > rank(F.col("prev_severity")), "escalate")
         .when((F.col("drop") >= F.col("prev_drop") + 1.0) | (F.col("context") != F.col("prev_context")), "update")
     )
-    return rows.where("breach").withColumn("transition", transition).drop("concurrent", "prev_severity", "prev_context", "prev_drop")
+    return rows.withColumn("transition", transition).drop("concurrent", "by_velocity", "prev_severity", "prev_context", "prev_drop")
 
 
 def pause_updates(pauses: DataFrame, breaches: DataFrame) -> DataFrame:
@@ -189,18 +270,26 @@ def flash_step(cooldowns: dict, now: int, options: list[tuple[str, str, int]]) -
 
 def flash_detections(events: DataFrame, rules: DataFrame) -> DataFrame:
     """The first rule of each event that isn't cooling down. A cooldown belongs to a rule and an attacker, and
-    all of an event's rules are about one attacker, so attackers are folded apart."""
+    all of an event's rules are about one attacker, so attackers are folded apart, their events streaming through in order of time."""
     ready = flash_candidates(events, rules).select("tenant_id", "attacker_address", "event_id", micros(F.col("observed_at")).alias("now"), "rule_order", "rule_id", "cooldown_sec")
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cooldowns, out = {}, []
-        for (now, event), group in pdf.sort_values(["now", "event_id", "rule_order"]).groupby(["now", "event_id"], sort=True):
-            fired = flash_step(cooldowns, int(now), [(r, key[1], int(c)) for r, c in zip(group["rule_id"], group["cooldown_sec"], strict=True)])
-            if fired:
-                out.append((key[0], event, fired, key[1], "high"))
-        return pd.DataFrame(out, columns=["tenant_id", "event_id", "rule_id", "attacker_address", "severity"])
-
-    return ready.groupBy("tenant_id", "attacker_address").applyInPandas(fold, FLASH_SCHEMA)
+    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        at, cooldowns = None, {}
+        for pdf in batches:
+            out = []
+            for tenant, attacker, event, now, options in zip(*(pdf[c] for c in ("tenant_id", "attacker_address", "event_id", "now", "options")), strict=True):
+                if at != (tenant, attacker):
+                    at, cooldowns = (tenant, attacker), {}
+                fired = flash_step(cooldowns, int(now), [(o["rule_id"], attacker, int(o["cooldown_sec"])) for o in options])
+                if fired:
+                    out.append((tenant, event, fired, attacker, "high"))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in FLASH_SCHEMA.split(", ")])
+
+    # an event's rules, in order, are one row: at most as many as the tenant has
+    key = ["tenant_id", "attacker_address"]
+    options = F.array_sort(F.collect_list(F.struct("rule_order", "rule_id", "cooldown_sec")))
+    rows = ready.groupBy(*key, "event_id", "now").agg(options.alias("options"))
+    return rows.repartition(*key).sortWithinPartitions(*key, "now", "event_id").mapInPandas(fold, FLASH_SCHEMA)
 
 
 # Tenant rules

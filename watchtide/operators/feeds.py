@@ -317,10 +317,10 @@ def normalize_feed(raw: DataFrame, parsers: tuple[str, ...] | None = None) -> Da
     kept = raw.columns
     rows = raw.select("*", *(F.lit("quote" if n == "event_type" else None).cast(t).alias(n) for n, t in _OPTIONAL.items() if n not in kept))
     i = _Input()
-    out = _result(parse_error=F.concat(F.lit("unsupported_parser:"), F.col("parser_name")))
-    legacy = _legacy_parsers(i)
+    legacy, branches = _legacy_parsers(i), F
     for name in parsers or (*PARSERS, *legacy):
-        out = F.when(F.col("parser_name") == name, legacy[name] if name in legacy else PARSERS[name](i)).otherwise(out)
+        branches = branches.when(F.col("parser_name") == name, legacy[name] if name in legacy else PARSERS[name](i))
+    out = branches.otherwise(_result(parse_error=F.concat(F.lit("unsupported_parser:"), F.col("parser_name"))))
     parsed = rows.withColumn("__parsed", out)
     keep = [c for c in kept if c not in _FIELDS]
     return parsed.select(*keep, "__parsed.*").withColumn("observed_at", F.coalesce("event_ts", F.col("received_at").cast("timestamp")) if "received_at" in kept else F.col("event_ts"))

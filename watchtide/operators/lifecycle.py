@@ -14,15 +14,25 @@ def alertable(detections: DataFrame) -> DataFrame:
     return detections.where("coalesce(event_key, '') != '' AND n_rules > 0")
 
 
+#: The channels of every alert (fixed values).
+ALERT_ROUTES = ("webhook", "slack", "telegram", "discord")
+
+
 def alerts_from(detections: DataFrame, default_tenant: str = "default") -> DataFrame:
+    """Alerts of the detections that call for one, with all that the detection says: score, confidence, actions, rules, transaction
+    and block. The event key is the key for duplicates, the lifecycle is the detection's own, finality is
+    open."""
     d = alertable(detections)
+    own = [c for c in ("event_key", "subject_type", "subject_key", "pattern_id", "chain_slug", "protocol", "severity", "risk_score", "confidence", "rule_ids", "actions_recommended", "tx_hash", "block_number", "created_at", "arrival") if c in d.columns]
     return d.select(
-        "*",
+        "detection_id",
         F.sha2(F.concat_ws("|", "detection_id", "event_key"), 256).alias("alert_id"),
         F.coalesce(F.nullif(F.trim("tenant_id"), F.lit("")), F.lit(default_tenant)).alias("alert_tenant"),
-        F.concat_ws(":", "pattern_id", "event_key", "severity").alias("dedup_key"),
-        F.lit("provisional").alias("lifecycle_state"),
-        F.array(F.lit("webhook"), F.lit("slack")).alias("routes"),
+        F.col("event_key").alias("dedup_key"),
+        F.col("lifecycle_state"),
+        F.lit("tentative").alias("finality_status"),
+        F.array(*map(F.lit, ALERT_ROUTES)).alias("routes"),
+        *own,
     )
 
 
@@ -57,11 +67,14 @@ def quota(alerts: DataFrame, limit, month: str = "created_at") -> DataFrame:
 
 
 def exposure(alerts: DataFrame, positions: DataFrame) -> DataFrame:
-    """Positions that an alert touches: capital, losses of 5 and 10 per cent, slippage, savings, liquidity."""
+    """Positions that an alert touches: capital, losses of 5 and 10 per cent, slippage (at most 100), savings (by the
+    whole divergence), and liquidity, which is at risk in critical alerts."""
     rows = alerts.where("subject_type = 'market'").join(positions.where("enabled"), ["tenant_id", "asset_symbol"])
     capital = F.when(F.col("price") > 0, F.col("quantity") * F.col("price")).otherwise(F.col("valuation_usd"))
     rows = rows.withColumn("capital", capital).withColumn("slippage", F.least("divergence", F.lit(100.0)))
-    return rows.select("*", (F.col("capital") * 0.05).alias("loss_5"), (F.col("capital") * 0.10).alias("loss_10"), (F.col("capital") * F.col("slippage") / 100).alias("savings"), F.when(F.col("slippage") >= 5, "thin").when(F.col("slippage") >= 1, "moderate").otherwise("deep").alias("liquidity"))
+    liquidity = F.when(F.col("severity") == "critical", "at_risk").otherwise("degraded")
+    savings = F.col("capital") * F.greatest(F.col("divergence") / 100, F.lit(0.0))
+    return rows.select("*", (F.col("capital") * 0.05).alias("loss_5"), (F.col("capital") * 0.10).alias("loss_10"), savings.alias("savings"), liquidity.alias("liquidity"))
 
 
 def exposure_totals(rows: DataFrame) -> DataFrame:
@@ -109,17 +122,41 @@ def reconcile(desired: DataFrame, running: DataFrame, key: str = "stream_id") ->
     return both.select(key, action.alias("action"))
 
 
+def _grams(text: Column) -> Column:
+    """All runs of one to three characters."""
+    n = F.length(text)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(text, i, k))).otherwise(F.array().cast("array<string>")))))
+
+
+def missing_streams(desired: DataFrame, streams: DataFrame, targets: DataFrame) -> DataFrame:
+    """Streams to insert, one row for each of their targets: ``desired`` rows of ``source_id, endpoint_override`` whose source has
+    a stream, but no enabled one with the same endpoint (nulls are equal). They are clones of the source's first
+    stream, and have its enabled targets."""
+    have = streams.where("enabled").select(F.col("source_id").alias("sid"), F.col("endpoint_override").alias("e"))
+    lack = desired.join(streams.select("source_id"), "source_id", "left_semi").join(have, (F.col("source_id") == F.col("sid")) & F.col("endpoint_override").eqNullSafe(F.col("e")), "left_anti")
+    model = streams.groupBy("source_id").agg(F.min(F.struct("stream_id", "parser_name", "market_key")).alias("model"))
+    mapped = targets.where("enabled").select(F.col("stream_id").alias("of"), "tenant_id")
+    rows = lack.join(model, "source_id").join(mapped, F.col("model.stream_id") == F.col("of"), "left")
+    return rows.select(F.concat(F.lit("test-"), "source_id").alias("stream_id"), "source_id", "endpoint_override", "model.parser_name", "model.market_key", "tenant_id")
+
+
 def matched_records(scenarios: DataFrame, records: DataFrame) -> DataFrame:
-    """Scenarios and records that contain one of their tokens, once each. Records are cut into words, and
-    tokens that are one word are joined by equality; only tokens with other characters are searched for, in
-    a small broadcast list of distinct ones (scenario files are few)."""
-    tokens = scenarios.select("scenario_id", F.explode("tokens").alias("token")).where("length(token) > 0").distinct()
-    words = records.select("record_id", F.explode(F.array_distinct(F.split(F.lower("haystack"), "[^a-z0-9]+"))).alias("token"))
-    inside = tokens.where("token RLIKE '^[a-z0-9]+$'")
-    exact = words.join(inside, "token").select("scenario_id", "record_id")
-    other = tokens.join(inside.select("token"), "token", "left_anti")
-    found = records.join(other, F.contains(F.lower("haystack"), F.col("token"))).select("scenario_id", "record_id")
-    return exact.unionByName(found).distinct()
+    """Scenarios and records that contain one of their tokens anywhere, once each.
+
+    The longest part of a token without white space lies inside one word of every record that contains the token.
+    So the distinct words of all records are looked up by the part's first characters, and only records with a word
+    that holds the part are searched for tokens of several parts; tokens of one part are found by then."""
+    tokens = scenarios.select("scenario_id", F.explode("tokens").alias("token")).where("trim(token) != ''").distinct()
+    parts = F.filter(F.split("token", r"\s+"), lambda p: p != "")
+    tokens = tokens.withColumn("several", F.size(parts) > 1).withColumn("part", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"])
+    has = records.select("record_id", F.explode(F.array_distinct(F.split(F.lower("haystack"), r"\s+"))).alias("word")).where("word != ''")
+    looked_up = has.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
+    wanted = tokens.select("part").distinct().withColumn("gram", F.substring("part", 1, 3))
+    held = looked_up.join(wanted, "gram").where(F.contains(F.col("word"), F.col("part"))).select("word", "part")
+    found = has.join(held, "word").select("record_id", "part").distinct().join(tokens, "part")
+    sure = found.where("not several").select("scenario_id", "record_id")
+    searched = found.where("several").join(records, "record_id").where(F.contains(F.lower("haystack"), F.col("token"))).select("scenario_id", "record_id")
+    return sure.unionByName(searched).distinct()
 
 
 def replay_catalog(scenarios: DataFrame, events: DataFrame) -> DataFrame:
@@ -128,6 +165,12 @@ def replay_catalog(scenarios: DataFrame, events: DataFrame) -> DataFrame:
     return scenarios.join(line, "scenario_id", "left").select("scenario_id", F.array_sort(F.array_distinct("tags")).alias("tags"), F.array_sort(F.array_distinct(F.transform("timeline", lambda t: t["source"]))).alias("feeds"), "timeline", F.coalesce("expected_alerts", F.lit(0)).alias("expected_alerts"))
 
 
+def feature_vectors(rows: DataFrame, key: str, numbers: dict[str, str], labels: dict[str, str]) -> DataFrame:
+    """Features of each row as two maps (name to column): numbers as doubles, labels as texts; nulls are left out."""
+    entries = lambda names, kind: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(n).alias("k"), F.col(c).cast(kind).alias("v")) for n, c in names.items())), lambda e: e["v"].isNotNull()))
+    return rows.select(key, entries(numbers, "double").alias("numbers"), entries(labels, "string").alias("labels"))
+
+
 # Source sharing
 
 

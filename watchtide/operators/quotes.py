@@ -25,38 +25,78 @@ def source_kind(source_type: Column) -> Column:
     return out
 
 
+def setting(policy: dict, name: str, default=None) -> Column:
+    """A policy's setting, a plain value or a column, with its default."""
+    got = policy.get(name)
+    return F.lit(default) if got is None else F.coalesce(got, F.lit(default)) if isinstance(got, Column) and default is not None else F.lit(got)
+
+
 def eligible(kind: Column, source_id: Column, age_ms: Column, policy: dict) -> Column:
     """Kind toggles, CEX whitelist (case-insensitive, empty: all), overrides, weight, and age.
 
     ``policy``: ``include_dex, include_oracles, include_aggregators, cex_whitelist, stale_timeout_ms`` and
-    ``overrides`` (source id to ``enabled, weight, stale_timeout_ms``; later entries win)."""
-    allowed = [x.lower() for x in policy.get("cex_whitelist", ())]
+    ``overrides`` (source id to ``enabled, weight, stale_timeout_ms``; later entries win), as plain values or as
+    columns (``cex_whitelist`` an array, ``overrides`` a map)."""
+    allowed = policy.get("cex_whitelist", ())
+    if isinstance(allowed, Column):
+        listed = (F.coalesce(F.size(allowed), F.lit(0)) <= 0) | F.exists(allowed, lambda x: F.lower(x) == F.lower(source_id))
+    else:
+        listed = F.lower(source_id).isin(*(x.lower() for x in allowed)) if allowed else F.lit(True)
     by_kind = (
-        F.when(kind == "cex", F.lower(source_id).isin(*allowed) if allowed else F.lit(True))
-        .when(kind == "dex", F.lit(policy.get("include_dex", True)))
-        .when(kind == "oracle", F.lit(policy.get("include_oracles", True)))
-        .when(kind == "aggregator", F.lit(policy.get("include_aggregators", True)))
+        F.when(kind == "cex", listed)
+        .when(kind == "dex", setting(policy, "include_dex", True))
+        .when(kind == "oracle", setting(policy, "include_oracles", True))
+        .when(kind == "aggregator", setting(policy, "include_aggregators", True))
         .otherwise(True)
     )
-    return by_kind & override(source_id, policy, "enabled", True) & (weight(source_id, policy) > 0) & (age_ms <= override(source_id, policy, "stale_timeout_ms", policy.get("stale_timeout_ms", 60_000)))
+    stale = override(source_id, policy, "stale_timeout_ms", setting(policy, "stale_timeout_ms", 60_000))
+    return by_kind & override(source_id, policy, "enabled", F.lit(True)) & (weight(source_id, policy) > 0) & (age_ms <= stale)
 
 
-def override(source_id: Column, policy: dict, name: str, default) -> Column:
-    return reduce(lambda out, kv: F.when(source_id == kv[0], F.lit(kv[1][name])).otherwise(out) if name in kv[1] else out, policy.get("overrides", {}).items(), F.lit(default))
+def override(source_id: Column, policy: dict, name: str, default: Column) -> Column:
+    own = policy.get("overrides", {})
+    if isinstance(own, Column):
+        return F.coalesce(F.try_element_at(own, source_id)[name], default)
+    return reduce(lambda out, kv: F.when(source_id == kv[0], F.lit(kv[1][name])).otherwise(out) if name in kv[1] else out, own.items(), default)
 
 
 def weight(source_id: Column, policy: dict) -> Column:
-    return override(source_id, policy, "weight", 1.0)
+    return override(source_id, policy, "weight", F.lit(1.0))
+
+
+def enabled_sources(policy: dict) -> Column:
+    """How many sources the policy enables by name; if it names none, the least number that it asks for."""
+    own, least = policy.get("overrides", {}), setting(policy, "min_sources", 1)
+    if isinstance(own, Column):
+        n = F.coalesce(F.size(F.filter(F.map_values(own), lambda x: F.coalesce(x["enabled"], F.lit(True)))), F.lit(0))
+    else:
+        n = F.lit(sum(x.get("enabled", True) for x in own.values()))
+    return F.greatest(F.when(n > 0, n).otherwise(least), F.lit(1))
+
 
+def longest_ms(policy: dict) -> int:
+    """The longest time for which a quote can count; ages are whole milliseconds."""
+    return 1 + max([policy.get("stale_timeout_ms", 60_000), *(x["stale_timeout_ms"] for x in policy.get("overrides", {}).values() if x.get("stale_timeout_ms"))])
 
-def latest_by_source(df: DataFrame, sources: list[str], keys: tuple[str, ...] = ("tenant_id", "market_key")) -> DataFrame:
-    """Add ``latest``: for each configured source, its newest quote up to the row, or null.
 
-    One sort per key; each source is one running ``last``, so the work per row is the number of sources."""
-    w = Window.partitionBy(*keys).orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+def bucketed(df: DataFrame, width_ms: int) -> DataFrame:
+    """Each row in its own stretch of time (``__own``) and, to be looked back on, in the next: windows by key and
+    ``__bucket`` then reach back ``width_ms`` at least, and one busy key is spread over many tasks."""
+    at = F.floor(micros(F.col("observed_at")) / (width_ms * 1000))
+    places = F.array(F.struct(at.alias("__bucket"), F.lit(True).alias("__own")), F.struct((at + 1).alias("__bucket"), F.lit(False).alias("__own")))
+    return df.select("*", F.inline(places))
+
+
+def latest_by_source(df: DataFrame, sources: list[str], keys: tuple[str, ...], width_ms: int) -> DataFrame:
+    """Add ``latest``: for each configured source, its newest quote up to the row, or null. Quotes older than
+    ``width_ms`` may be missing.
+
+    One sort per key and stretch of time; each source is one running ``last``, so the work per row is the number
+    of sources."""
+    w = Window.partitionBy(*keys, "__bucket").orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     quote = F.struct(F.col("observed_at").alias("at"), F.col("source_id").alias("source_id"), F.col("source_type").alias("source_type"), F.col("price").alias("price"))
     last = [F.last(F.when(F.col("source_id") == s, quote), ignorenulls=True).over(w) for s in sources]
-    return df.withColumn("latest", F.array_compact(F.array(*last)))
+    return bucketed(df, width_ms).withColumn("latest", F.array_compact(F.array(*last))).where("__own").drop("__bucket", "__own")
 
 
 def weighted_median(quotes: Column) -> Column:
@@ -69,27 +109,64 @@ def weighted_median(quotes: Column) -> Column:
     return F.aggregate(ordered, start, step)["price"]
 
 
-def consensus(df: DataFrame, sources: list[str], policy: dict) -> DataFrame:
-    """For every valid quote: eligible sources as of its time, their weighted median, divergence from the peg,
-    quorum, and whether an oracle confirms.
+def live_quotes(latest: Column, now: Column, policy: dict) -> Column:
+    return F.filter(latest, lambda q: eligible(source_kind(q["source_type"]), q["source_id"], F.floor((now - micros(q["at"])) / 1000), policy))
+
 
-    Adds ``n_sources, median, divergence, has_quorum, oracle_confirmed, direction_share``."""
-    peg = policy.get("peg_target", 1.0)
-    rows = latest_by_source(valid_price(df), sources)
+def median_of(live: Column, policy: dict) -> Column:
+    return weighted_median(F.transform(live, lambda q: F.struct(q["price"].alias("price"), weight(q["source_id"], policy).alias("weight"))))
+
+
+def consensus(df: DataFrame, sources: list[str], policy: dict, markets: list[str] | None = None, width_ms: int | None = None) -> DataFrame:
+    """For every valid quote: eligible sources as of its time, their weighted median, divergence from the peg, the
+    tenant's diverging markets, quorum, whether an oracle confirms, and confidence.
+
+    ``policy`` holds plain values, or columns of ``df`` (then ``width_ms`` says for how long a quote can count).
+    Adds ``n_sources, median, divergence, n_diverging, context, floor, has_quorum, oracle_confirmed`` and the confidence's parts
+    and total: ``direction_share, oracle_score, volume_score, confidence``. With ``markets`` and the policy's
+    ``contagion_detection``, the context is systemic if at least two of the tenant's dollar markets diverge by the systemic floor.
+    """
+    peg, width_ms = setting(policy, "peg_target", 1.0), width_ms or longest_ms(policy)
+    rows = latest_by_source(valid_price(df), sources, ("tenant_id", "market_key"), width_ms)
     now = micros(F.col("observed_at"))
-    live = F.filter("latest", lambda q: eligible(source_kind(q["source_type"]), q["source_id"], (now - micros(q["at"])) / 1000, policy))
-    rows = rows.withColumn("live", live)
-    weighed = F.transform("live", lambda q: F.struct(q["price"].alias("price"), weight(q["source_id"], policy).alias("weight")))
-    rows = rows.withColumn("n_sources", F.size("live")).withColumn("median", F.coalesce(weighted_median(weighed), F.lit(peg)))
+    rows = rows.withColumn("live", live_quotes(F.col("latest"), now, policy))
+    rows = rows.withColumn("n_sources", F.size("live")).withColumn("median", F.coalesce(median_of(F.col("live"), policy), peg))
     rows = rows.withColumn("divergence", F.abs(F.col("median") - peg) / peg * 100)
-    need = max(policy.get("min_sources", 1), policy.get("min_healthy_sources", 1), 1)
-    rows = rows.withColumn("has_quorum", (F.col("n_sources") >= need) & (F.col("n_sources") / len(sources) >= policy.get("quorum_pct", 0.0)))
-    floor = policy.get("isolated_floor_pct", 0.5)
-    rows = rows.withColumn("oracle_confirmed", F.exists("live", lambda q: (source_kind(q["source_type"]) == "oracle") & (F.abs(q["price"] - peg) / peg * 100 >= floor)))
+    rows = contagion(rows, markets, policy, width_ms) if markets else rows.withColumn("n_diverging", F.lit(0))
+    systemic = setting(policy, "contagion_detection", False) & (F.col("n_diverging") >= 2)
+    rows = rows.withColumn("context", F.when(systemic, "systemic").otherwise("isolated"))
+    rows = rows.withColumn("floor", F.when(F.col("context") == "systemic", setting(policy, "systemic_floor_pct", 0.01)).otherwise(setting(policy, "isolated_floor_pct", 0.5)))
+    need = F.greatest(setting(policy, "min_sources", 1), setting(policy, "min_healthy_sources", 1), F.lit(1))
+    rows = rows.withColumn("has_quorum", (F.col("n_sources") >= need) & (F.col("n_sources") / enabled_sources(policy) >= setting(policy, "quorum_pct", 0.0)))
+    rows = rows.withColumn("oracle_confirmed", F.exists("live", lambda q: (source_kind(q["source_type"]) == "oracle") & (F.abs(q["price"] - peg) / peg * 100 >= F.col("floor"))))
     side = lambda x: F.when(x < peg, -1).otherwise(1)
     same = F.size(F.filter("live", lambda q: side(q["price"]) == side(F.col("median"))))
     rows = rows.withColumn("direction_share", F.when(F.col("n_sources") > 0, same * 100.0 / F.col("n_sources")).otherwise(0.0))
-    return rows.drop("latest", "live")
+    by_oracle, by_volume = setting(policy, "oracle_confirmation", False), setting(policy, "volume_confirmation", False)
+    some = F.col("n_sources") > 0
+    rows = rows.withColumn("oracle_score", F.when(~some, 0.0).when(~by_oracle, 50.0).when(F.col("oracle_confirmed"), 100.0).otherwise(0.0)).withColumn("volume_score", F.lit(50.0))
+    w_oracle, w_volume = F.when(by_oracle, 0.2).otherwise(0.0), F.when(by_volume, 0.1).otherwise(0.0)
+    total = (F.col("direction_share") * 0.7 + F.col("oracle_score") * w_oracle + F.col("volume_score") * w_volume) / (w_oracle + w_volume + 0.7)
+    return rows.withColumn("confidence", F.when(some, total).otherwise(0.0)).drop("latest", "live")
+
+
+def contagion(rows: DataFrame, markets: list[str], policy: dict, width_ms: int) -> DataFrame:
+    """Add ``n_diverging``: how many of the tenant's ``*/USD`` markets, each by its own policy and its quotes that
+    count now, diverge by the row's systemic floor or more. ``rows`` have each market's ``latest`` quotes."""
+    w = Window.partitionBy("tenant_id", "__bucket").orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    columns = {k: v for k, v in policy.items() if isinstance(v, Column)}
+    own = F.struct(F.col("latest"), *(v.alias(f"p_{k}") for k, v in columns.items()))
+    dollar = [m for m in markets if m.upper().endswith("/USD")]
+    last = [F.last(F.when(F.col("market_key") == m, own), ignorenulls=True).over(w) for m in dollar]
+    out = bucketed(rows, width_ms).withColumn("__markets", F.array_compact(F.array(*last))).where("__own").drop("__bucket", "__own")
+    now, floor = micros(F.col("observed_at")), setting(policy, "systemic_floor_pct", 0.01)
+
+    def diverges(m: Column) -> Column:
+        theirs = policy | {k: m[f"p_{k}"] for k in columns}
+        peg = setting(theirs, "peg_target", 1.0)
+        return F.abs(median_of(live_quotes(m["latest"], now, theirs), theirs) - peg) / peg * 100 >= floor
+
+    return out.withColumn("n_diverging", F.size(F.filter("__markets", lambda m: F.coalesce(diverges(m), F.lit(False))))).drop("__markets")
 
 
 def usd_prices(quotes: DataFrame, width_sec: int = 30) -> DataFrame:
@@ -103,20 +180,10 @@ def usd_prices(quotes: DataFrame, width_sec: int = 30) -> DataFrame:
 
 def market_truth(df: DataFrame, sources: list[str], width_sec: int = 30, peg: float = 1.0) -> DataFrame:
     """Unweighted median of each source's newest price of the last ``width_sec`` seconds, in the market."""
-    rows = latest_by_source(valid_price(df), sources, ("market_key",))
+    rows = latest_by_source(valid_price(df), sources, ("market_key",), width_sec * 1000)
     now = micros(F.col("observed_at"))
     prices = F.array_sort(F.transform(F.filter("latest", lambda q: now - micros(q["at"]) <= width_sec * 1_000_000), lambda q: q["price"]))
     rows = rows.withColumn("prices", prices).withColumn("truth_sources", F.size("prices"))
     middle = lambda k: F.get("prices", F.floor((F.col("truth_sources") + k) / 2).cast("int"))
     truth = (middle(-1) + middle(0)) / 2
     return rows.withColumn("truth", truth).withColumn("truth_divergence", F.abs(F.col("truth") - peg) / peg * 100).drop("latest", "prices")
-
-
-def contagion(df: DataFrame, markets: list[str], floor: float, keys: tuple[str, ...] = ("tenant_id",)) -> DataFrame:
-    """Add ``systemic``: as of the row, at least two of the tenant's ``*/USD`` markets diverge by ``floor``
-    or more. ``df`` has a ``divergence`` per row."""
-    w = Window.partitionBy(*keys).orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    dollar = [m for m in markets if m.endswith("/USD")]
-    latest = [F.last(F.when(F.col("market_key") == m, F.col("divergence")), ignorenulls=True).over(w) for m in dollar]
-    n = sum((F.coalesce((x >= floor).cast("int"), F.lit(0)) for x in latest), F.lit(0))
-    return df.withColumn("n_diverging", n).withColumn("systemic", n >= 2)

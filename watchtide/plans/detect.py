@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detectors as ops
-from .quotes import CONSENSUS_SQL, POLICY, SOURCES
+from ..sources.configs import peg_policies, tvl_rules
+from .quotes import MARKETS, POLICY, SOURCES
 from .registry import query, view
+from .tables import PEG_POLICIES_SQL, TVL_RULES_SQL, enabled
 
 PEG = POLICY | {"sustained_window_ms": 3_600_000, "cooldown_sec": 7200, "deescalation_blocks": 2, "resolution_blocks": 3}
 TVL = {"fast_drop_pct": 20.0, "slow_drop_pct": 35.0, "velocity_critical_pct": 15.0, "fast_minutes": 600, "slow_minutes": 3600, "velocity_minutes": 120, "concurrent_minutes": 300, "min_tvl_floor_usd": 20e6}
@@ -21,7 +23,7 @@ d AS (SELECT *, CASE WHEN max(tvl_usd) OVER f > 0 THEN (max(tvl_usd) OVER f - tv
   v AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN INTERVAL 120 MINUTE PRECEDING AND CURRENT ROW))"""
 _TVL_SQL = f"""
 WITH {_DROPS},
-b AS (SELECT *, tvl_usd >= 20e6 AND (velocity_drop >= 15 OR fast_drop >= 20 OR slow_drop >= 35) AS breach, CASE WHEN velocity_drop >= 15 THEN velocity_drop WHEN fast_drop >= 20 THEN fast_drop WHEN slow_drop >= 35 THEN slow_drop ELSE greatest(fast_drop, slow_drop) END AS fall FROM d),
+b AS (SELECT *, tvl_usd >= 20e6 AND (velocity_drop >= 15 OR fast_drop >= 20 OR slow_drop >= 35) AS breach, greatest(fast_drop, slow_drop, velocity_drop) AS fall FROM d),
 c AS (SELECT a.*, (SELECT count(DISTINCT x.protocol_id || ':' || x.chain_slug) FROM b x WHERE x.tenant_id = a.tenant_id AND x.breach AND x.observed_at BETWEEN a.observed_at - INTERVAL 300 MINUTE AND a.observed_at) AS concurrent FROM b a),
 e AS (SELECT *, CASE WHEN concurrent >= 2 THEN 'systemic' ELSE 'isolated' END AS context FROM c),
 g AS (SELECT *, CASE WHEN breach THEN CASE WHEN velocity_drop >= 15 OR context = 'systemic' THEN 'critical' ELSE 'high' END END AS severity FROM e),
@@ -35,10 +37,26 @@ def drawdowns(spark, sf_dir):
     return ops.drawdowns(view(spark, sf_dir, "tvl_samples"), TVL).select("event_id", *(F.round(f"{n}_drop", 6).alias(f"{n}_drop") for n in ("fast", "slow", "velocity")))
 
 
-@query("k2_tvl_drawdown", f"{_TVL_SQL} SELECT event_id, severity, context, round(fall, 6)::DOUBLE AS drop_pct, {_TRANSITION} AS transition FROM h WHERE breach")
+def _range(minutes: str) -> str:
+    return f"OVER (PARTITION BY tenant_id, rule_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN to_minutes({minutes}) PRECEDING AND CURRENT ROW)"
+
+
+_SUBJECT = "PARTITION BY tenant_id, rule_id, protocol_id, chain_slug ORDER BY observed_at, event_id"
+
+
+@query("k2_tvl_drawdown", f"""
+WITH rules AS ({TVL_RULES_SQL}),
+s AS (SELECT x.*, r.* EXCLUDE (tenant_id, protocol_id, chain_slug, market_id) FROM tvl_samples x JOIN rules r ON x.tenant_id = r.tenant_id AND r.protocol_id IN ('all', lower(x.protocol_id)) AND r.chain_slug IN ('all', lower(x.chain_slug)) AND r.market_id IS NULL),
+d AS (SELECT *, {", ".join(f"(max(tvl_usd) {_range(f'{n}_minutes')} - tvl_usd) / max(tvl_usd) {_range(f'{n}_minutes')} * 100 AS {n}_drop" for n in ("fast", "slow", "velocity"))} FROM s WHERE tvl_usd > 0),
+b AS (SELECT *, tvl_usd >= min_tvl_floor_usd AND (velocity_drop >= velocity_critical_pct OR fast_drop >= fast_drop_pct OR slow_drop >= slow_drop_pct) AS breach, greatest(fast_drop, slow_drop, velocity_drop) AS fall FROM d),
+c AS (SELECT a.*, contagion_enabled AND (SELECT count(DISTINCT x.protocol_id || ':' || x.chain_slug) FROM b x WHERE x.tenant_id = a.tenant_id AND x.rule_id = a.rule_id AND x.breach AND x.observed_at BETWEEN a.observed_at - to_minutes(a.concurrent_minutes) AND a.observed_at) >= 2 AS systemic FROM b a),
+g AS (SELECT *, CASE WHEN breach THEN CASE WHEN velocity_drop >= velocity_critical_pct OR systemic THEN 'critical' ELSE 'high' END END AS severity, CASE WHEN breach THEN CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END END AS context FROM c),
+h AS (SELECT *, last_value(severity IGNORE NULLS) OVER p AS prev_severity, coalesce(last_value(context IGNORE NULLS) OVER p, 'isolated') AS prev_context, coalesce(lag(fall) OVER ({_SUBJECT}), 0) AS prev_fall FROM g WINDOW p AS ({_SUBJECT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, rule_id, severity, context, round(fall, 6)::DOUBLE AS drop_pct, {_TRANSITION} AS transition FROM h WHERE breach""")
 def tvl(spark, sf_dir):
-    """Drawdown breaches with severity, contagion and transition."""
-    return ops.tvl_detections(view(spark, sf_dir, "tvl_samples"), TVL).select("event_id", "severity", "context", F.round("drop", 6).alias("drop_pct"), "transition")
+    """Drawdown breaches by the tenants' rules, with severity, contagion and transition."""
+    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
+    return ops.tvl_detections_by_rule(view(spark, sf_dir, "tvl_samples"), rules).select("event_id", "rule_id", "severity", "context", F.round("drop", 6).alias("drop_pct"), "transition")
 
 
 @query("k3_pause_updates", f"""{_TVL_SQL},
@@ -84,39 +102,69 @@ def flash(spark, sf_dir):
     return ops.flash_detections(view(spark, sf_dir, "flash_events"), spark.sql(_RULES)).select("event_id", "rule_id")
 
 
-_SEV = "CASE WHEN divergence >= 5 THEN 5 WHEN divergence >= 1 THEN 4 WHEN divergence >= 0.5 THEN 3 ELSE 0 END"
-
-
-@query("k1_evaluations", f"""WITH snap AS ({CONSENSUS_SQL}) SELECT s.event_id, has_quorum AND divergence >= 0.5 AS breach, CAST({_SEV} AS INTEGER) AS rank FROM snap s""")
+#: What the peg fold sees of each quote, by the tenants' policies.
+_EVALUATIONS = f"""
+pol AS ({PEG_POLICIES_SQL}),
+good AS (SELECT q.*, p.* EXCLUDE (tenant_id, market_key) FROM quotes q JOIN pol p ON q.tenant_id = p.tenant_id AND q.market_key = p.market_key WHERE price > 0),
+newest AS (
+  SELECT e.event_id, e.observed_at AS now, e.market_key AS own_market, q.*, row_number() OVER (PARTITION BY e.event_id, q.market_key, q.source_id ORDER BY q.observed_at DESC, q.qid DESC) AS nth
+  FROM good e JOIN (SELECT * EXCLUDE (event_id), event_id AS qid FROM good) q ON e.tenant_id = q.tenant_id AND (q.observed_at, q.qid) <= (e.observed_at, e.event_id) AND q.observed_at >= e.observed_at - INTERVAL 43200001 MILLISECOND),
+live AS (
+  SELECT *, coalesce(CAST(overrides->source_id->>'$.weight' AS DOUBLE), 1.0) AS weight FROM newest
+  WHERE nth = 1 AND coalesce(CAST(overrides->source_id->>'$.enabled' AS BOOLEAN), true) AND (epoch_us(now) - epoch_us(observed_at)) // 1000 <= coalesce(CAST(overrides->source_id->>'$.stale_timeout_ms' AS BIGINT), stale_timeout_ms)
+    AND CASE source_type WHEN 'cex_websocket' THEN cex_whitelist IS NULL OR list_contains(list_transform(cex_whitelist, lambda x: lower(x)), source_id) WHEN 'dex_api' THEN include_dex ELSE true END),
+weighed AS (SELECT *, sum(weight) OVER (PARTITION BY event_id, market_key ORDER BY price, weight, source_id ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY event_id, market_key) AS total FROM live),
+medians AS (
+  SELECT event_id, market_key, any_value(own_market) AS own_market, count(*) AS n, bool_or(source_type = 'oracle_api') AS has_oracle, min(price) FILTER (run >= total / 2) AS median,
+         abs(min(price) FILTER (run >= total / 2) - any_value(peg_target)) / any_value(peg_target) * 100 AS divergence FROM weighed GROUP BY event_id, market_key),
+others AS (SELECT m.event_id, count(*) FILTER (m.divergence >= e.systemic_floor_pct) AS n_diverging FROM medians m JOIN good e USING (event_id) GROUP BY m.event_id),
+snap AS (
+  SELECT e.*, coalesce(m.n, 0) AS n, coalesce(m.divergence, abs(peg_target - peg_target)) AS d, coalesce(o.n_diverging, 0) AS n_diverging FROM good e LEFT JOIN medians m ON m.event_id = e.event_id AND m.market_key = e.market_key LEFT JOIN others o ON o.event_id = e.event_id),
+placed AS (SELECT *, contagion_detection AND n_diverging >= 2 AS systemic, coalesce(len(list_filter(json_keys(overrides), lambda k: (overrides->k->>'$.enabled') <> 'false')), 0) AS named FROM snap),
+judged AS (
+  SELECT *, CASE WHEN systemic THEN systemic_floor_pct ELSE isolated_floor_pct END AS floor_pct,
+         CASE WHEN d >= CASE WHEN systemic THEN sys_critical ELSE iso_critical END THEN 5 WHEN d >= CASE WHEN systemic THEN sys_high ELSE iso_high END THEN 4 WHEN d >= CASE WHEN systemic THEN sys_medium ELSE iso_medium END THEN 3 ELSE 0 END AS sev FROM placed),
+confirmed AS (SELECT j.event_id, bool_or(abs(l.price - j.peg_target) / j.peg_target * 100 >= j.floor_pct) AS oracle FROM judged j JOIN live l ON l.event_id = j.event_id AND l.market_key = j.market_key AND l.source_type = 'oracle_api' GROUP BY j.event_id),
+n AS (
+  SELECT tenant_id, market_key, event_id, epoch_us(observed_at) AS now, n > 0 AS quotes, d, sev, floor_pct, systemic, sustained_window_ms * 1000 AS sustained, cooldown_sec * 1000000 AS cool, deescalation_blocks AS down, resolution_blocks AS ends,
+         n >= min_sources AND n / (CASE WHEN named > 0 THEN named ELSE min_sources END)::DOUBLE >= quorum_pct AND d >= floor_pct AND sev > 0 AND (NOT oracle_confirmation OR coalesce(oracle, false)) AS breach,
+         row_number() OVER (PARTITION BY tenant_id, market_key ORDER BY observed_at, event_id) AS k
+  FROM judged LEFT JOIN confirmed USING (event_id))"""
+
+
+def _evaluations(spark, sf_dir):
+    return ops.peg_evaluations(view(spark, sf_dir, "quotes"), SOURCES, peg_policies(enabled(spark, sf_dir, "dpeg")), MARKETS)
+
+
+@query("k1_evaluations", f"WITH {_EVALUATIONS} SELECT event_id, breach, CAST(sev AS INTEGER) AS rank, CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END AS context, floor_pct AS floor, quotes AS has_quotes FROM n")
 def evaluations(spark, sf_dir):
-    """What the peg fold sees of each quote."""
-    return ops.peg_evaluations(view(spark, sf_dir, "quotes"), SOURCES, PEG).select("event_id", "breach", "rank")
+    """What the peg fold sees of each quote, by the tenants' policies."""
+    return _evaluations(spark, sf_dir).select("event_id", "breach", "rank", "context", "floor", "has_quotes")
 
 
 @query("k1_peg_deviation", f"""
-WITH RECURSIVE snap AS ({CONSENSUS_SQL}),
-n AS (SELECT q.tenant_id, q.market_key, s.event_id, epoch_us(q.observed_at) AS now, s.has_quorum AND s.divergence >= 0.5 AS breach, {_SEV} AS sev, s.divergence AS d,
-      row_number() OVER (PARTITION BY q.tenant_id, q.market_key ORDER BY q.observed_at, q.event_id) AS k FROM snap s JOIN quotes q USING (event_id)),
+WITH RECURSIVE {_EVALUATIONS},
 fold AS (
-  SELECT tenant_id, market_key, 0::BIGINT AS k, 0::BIGINT AS event_id, NULL::BIGINT AS started, -1::BIGINT AS cooldown, 0 AS rank, 0 AS lower_n, 0 AS below, NULL::VARCHAR AS transition, 0 AS out_rank, 0::DOUBLE AS d FROM (SELECT DISTINCT tenant_id, market_key FROM n)
+  SELECT tenant_id, market_key, 0::BIGINT AS k, 0::BIGINT AS event_id, NULL::BIGINT AS started, -1::BIGINT AS cooldown, 0 AS rank, 0::DOUBLE AS floor, 0 AS lower_n, 0 AS below, NULL::VARCHAR AS transition, 0 AS out_rank, 0::DOUBLE AS d FROM (SELECT DISTINCT tenant_id, market_key FROM n)
   UNION ALL
   SELECT tenant_id, market_key, k, event_id, CASE WHEN breach THEN start2 END,
-         CASE WHEN t IN ('trigger', 'resolve') THEN now + 7200000000 ELSE cooldown END,
-         CASE WHEN t = 'resolve' THEN 0 WHEN t IN ('trigger', 'escalate', 'deescalate') THEN sev ELSE rank END,
+         CASE WHEN NOT quotes THEN -1 WHEN t IN ('trigger', 'resolve') THEN now + cool ELSE cooldown END,
+         CASE WHEN NOT quotes OR t = 'resolve' THEN 0 WHEN t IN ('trigger', 'escalate', 'deescalate') THEN sev ELSE rank END,
+         CASE WHEN t = 'trigger' THEN floor_pct ELSE floor END,
          CASE WHEN breach AND rank > 0 AND sev < rank AND coalesce(t, '') <> 'deescalate' THEN lower_n + 1 ELSE 0 END,
-         CASE WHEN breach OR t = 'resolve' OR rank = 0 THEN CASE WHEN breach OR t = 'resolve' THEN 0 ELSE below END WHEN d < 0.5 THEN below + 1 ELSE 0 END,
+         CASE WHEN NOT quotes OR breach OR t = 'resolve' OR rank = 0 THEN 0 WHEN d < floor THEN below + 1 ELSE 0 END,
          t, CASE WHEN t = 'resolve' THEN rank ELSE sev END, d
-  FROM (SELECT n.*, f.cooldown, f.rank, f.lower_n, f.below, coalesce(f.started, n.now) AS start2,
-               CASE WHEN n.breach AND f.rank = 0 AND n.now - coalesce(f.started, n.now) >= 3600000000 AND NOT f.cooldown > n.now THEN 'trigger'
+  FROM (SELECT n.*, f.cooldown, f.rank, f.floor, f.lower_n, f.below, coalesce(f.started, n.now) AS start2,
+               CASE WHEN NOT n.quotes THEN NULL
+                    WHEN n.breach AND f.rank = 0 AND n.now - coalesce(f.started, n.now) >= n.sustained AND NOT f.cooldown > n.now THEN 'trigger'
                     WHEN n.breach AND f.rank > 0 AND n.sev > f.rank THEN 'escalate'
-                    WHEN n.breach AND f.rank > 0 AND n.sev < f.rank AND f.lower_n + 1 >= 2 THEN 'deescalate'
-                    WHEN NOT n.breach AND f.rank > 0 AND n.d < 0.5 AND f.below + 1 >= 3 THEN 'resolve' END AS t
+                    WHEN n.breach AND f.rank > 0 AND n.sev < f.rank AND f.lower_n + 1 >= n.down THEN 'deescalate'
+                    WHEN NOT n.breach AND f.rank > 0 AND n.d < f.floor AND f.below + 1 >= n.ends THEN 'resolve' END AS t
         FROM fold f JOIN n ON n.tenant_id = f.tenant_id AND n.market_key = f.market_key AND n.k = f.k + 1))
 SELECT tenant_id, market_key, event_id, transition, CAST(out_rank AS INTEGER) AS severity_rank, round(d, 6) AS divergence FROM fold WHERE transition IS NOT NULL""")
 def peg(spark, sf_dir):
-    """Peg-deviation transitions: consensus by windows, hysteresis by a fold."""
-    rows = ops.peg_evaluations(view(spark, sf_dir, "quotes"), SOURCES, PEG)
-    return ops.peg_transitions(rows, PEG).withColumn("divergence", F.round("divergence", 6))
+    """Peg-deviation transitions by the tenants' policies: consensus and context by windows, hysteresis by a fold."""
+    return ops.peg_transitions(_evaluations(spark, sf_dir)).withColumn("divergence", F.round("divergence", 6))
 
 
 _TENANT_RULES = [

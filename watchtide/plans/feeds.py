@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, severity, symbols, texts, times
 from ..operators.feeds import normalize_feed
-from .registry import query, view
+from .registry import ORACLES, query, view
 
 
 def _json(path: str) -> str:
@@ -167,12 +167,32 @@ def legacy_quotes(spark, sf_dir):
     return _parsed(view(spark, sf_dir, "raw_legacy"), *names).select("row_id", "market_key", "price", "event_ms", "parse_error")
 
 
-@query("c00_normalize_all", "SELECT parser_name, CAST(count(*) AS BIGINT) AS n FROM raw_payloads GROUP BY parser_name")
+#: By parser: where its rows' prices and errors come from in SQL.
+_PRICED = {
+    "binance_miniticker_v1": "c01_binance_ticker", "coinbase_ticker_v1": "c02_coinbase_ticker", "kraken_ticker_v2": "c03_kraken_ticker", "okx_tickers_v5": "c04_okx_ticker", "bybit_tickers_v5": "c05_bybit_ticker",
+    "gate_ticker_v4": "c06_gate_ticker", "gemini_marketdata_v1": "c07_gemini_marketdata", "pyth_hermes_v2": "c10_pyth_price", "uniswap_v2_swap_price_v1": "c12_v2_swap_price",
+}
+_COUNTED = "CAST(count(*) AS BIGINT) AS n, CAST(count(parse_error) AS BIGINT) AS n_failed, CAST(count(price) AS BIGINT) AS n_priced, round(sum(price), 2)::DOUBLE AS price_sum, CAST(count(DISTINCT market_key) AS BIGINT) AS markets"
+
+
+def _all_sql() -> str:
+    parts = [f"SELECT '{name}' AS parser_name, {_COUNTED} FROM ({ORACLES[q]})" for name, q in _PRICED.items()]
+    parts.append(f"SELECT 'chainlink_answer_updated_v1', {_COUNTED} FROM (SELECT price, NULL AS parse_error, NULL AS market_key FROM ({ORACLES['c09_oracle_answer']}))")
+    parts.append(f"SELECT 'uniswap_v3_swap_price_v1', {_COUNTED} FROM (SELECT price_m AS price, parse_error, market_key FROM ({ORACLES['c13_v3_swap_price']}))")
+    parts.append(f"SELECT 'protocol_pause_v1', {_COUNTED} FROM (SELECT NULL::DOUBLE AS price, parse_error, NULL AS market_key FROM ({ORACLES['c16_protocol_pause']}))")
+    return " UNION ALL ".join(parts)
+
+
+@query("c00_normalize_all", _all_sql())
 def normalize_all(spark, sf_dir):
-    """All parsers in one pass over the mixed feed."""
-    raw = view(spark, sf_dir, "raw_payloads").withColumnRenamed("event_id", "row_id")
-    got = normalize_feed(raw)
-    return got.groupBy("parser_name").agg(F.count(F.coalesce("parse_error", F.lit("parsed"))).alias("n"))
+    """All parsers in one pass over the mixed feed: what they parsed, by parser."""
+    raw = view(spark, sf_dir, "raw_payloads").withColumnRenamed("event_id", "row_id").where(F.col("parser_name").isin(*_PRICED, "chainlink_answer_updated_v1", "uniswap_v3_swap_price_v1", "protocol_pause_v1"))
+    pool = F.when(F.col("parser_name") == "uniswap_v2_swap_price_v1", _POOL).when(F.col("parser_name") == "uniswap_v3_swap_price_v1", _POOL3)
+    got = normalize_feed(raw.withColumn("filter_config", pool))
+    v3 = F.col("parser_name") == "uniswap_v3_swap_price_v1"
+    price = F.round(F.when(v3, F.col("price") / 1e6).otherwise(F.col("price")), 6)
+    market = F.when(F.col("parser_name") != "chainlink_answer_updated_v1", F.col("market_key"))
+    return got.groupBy("parser_name").agg(F.count("*").alias("n"), F.count("parse_error").alias("n_failed"), F.count(price).alias("n_priced"), F.round(F.sum(price), 2).alias("price_sum"), F.count_distinct(market).alias("markets"))
 
 
 _SYMBOLS = """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'usdc/usdt' WHEN 1 THEN 'DAI-EUR' WHEN 2 THEN 'FRAXUSDC' WHEN 3 THEN ' weth:usd ' WHEN 4 THEN 'USD' WHEN 5 THEN 'a//b' WHEN 6 THEN '/x' ELSE upper(substr(p_name, 1, 3)) || '-USDT' END AS s FROM part"""
@@ -238,11 +258,17 @@ def dedup_keys(spark, sf_dir):
 _CHAINS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in severity.CHAINS.items())
 
 
-@query("j09_chains", f"SELECT n_nationkey, CASE [1, 10, 56, 137, 8453, 42161, 43114, 7][1 + n_nationkey % 8] {_CHAINS} END AS slug, CASE WHEN n_nationkey % 8 < 7 THEN [1, 10, 56, 137, 8453, 42161, 43114, 7][1 + n_nationkey % 8]::BIGINT END AS chain_id FROM nation")
+_NAMES = ["ethereum", "Mainnet", "BNB ", "bsc", "polygon", "base", "arbitrum", "optimism", "avalanche", "solana"]
+
+
+@query("j09_chains", f"""WITH c AS (SELECT *, [1, 10, 56, 137, 8453, 42161, 43114, 7][1 + n_nationkey % 8] AS id, {_NAMES}[1 + n_nationkey % 10] AS raw FROM nation),
+k AS (SELECT *, CASE lower(trim(raw)) WHEN 'mainnet' THEN 'ethereum' WHEN 'bnb' THEN 'bsc' WHEN 'solana' THEN 'unknown' ELSE lower(trim(raw)) END AS name FROM c)
+SELECT n_nationkey, CASE id {_CHAINS} END AS slug, name, CASE name {" ".join(f"WHEN '{v}' THEN {k}" for k, v in severity.CHAINS.items())} END::BIGINT AS chain_id FROM k""")
 def chains(spark, sf_dir):
     n = view(spark, sf_dir, "nation")
     ids = F.element_at(F.array(*(F.lit(x) for x in (*severity.CHAINS, 7))), (F.col("n_nationkey") % 8 + 1).cast("int"))
-    return n.select("n_nationkey", severity.chain_slug(ids).alias("slug"), severity.chain_id(severity.chain_slug(ids)).alias("chain_id"))
+    raw = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("n_nationkey") % 10 + 1).cast("int"))
+    return n.select("n_nationkey", severity.chain_slug(ids).alias("slug"), severity.chain_name(raw).alias("name"), severity.chain_id(raw).alias("chain_id"))
 
 
 _RANK = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 ELSE 0 END"
@@ -274,22 +300,40 @@ def token_lists(spark, sf_dir):
     return p.select("p_partkey", F.array_join(texts.tokens(F.array("p_name", "p_brand")), ",").alias("tokens"), keys.stable_checksum(F.struct(F.col("p_partkey").alias("a"), F.lit("x").alias("b")), short=True).alias("checksum"))
 
 
-@query("j15_actions", """SELECT detection_id, CASE severity WHEN 'critical' THEN 'pause_borrowing,notify_risk_team,rebalance_exposure' WHEN 'high' THEN 'notify_risk_team,review_exposure' ELSE 'monitor' END AS peg,
-CASE severity WHEN 'critical' THEN 'withdraw_liquidity,notify_risk_team' WHEN 'high' THEN 'notify_risk_team' ELSE 'monitor' END AS drawdown, CASE pattern_id WHEN 'flash_loan' THEN 'flash_loan' WHEN 'tvl_drop' THEN 'dpeg,flash_loan' ELSE 'dpeg,flash_loan' END AS patterns,
+def _said(table: dict, otherwise: tuple = ()) -> str:
+    text = lambda x: "'" + "|".join(x) + "'"
+    return f"CASE severity {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {text(v)}' for k, v in table.items())} ELSE {text(otherwise)} END"
+
+
+@query("j15_actions", f"""SELECT detection_id, {_said(severity.PEG_ACTIONS)} AS peg, {_said(severity.DRAWDOWN_ACTIONS, severity.DRAWDOWN_OTHERWISE)} AS drawdown,
+CASE WHEN arrival % 6 = 0 THEN 'x,y' ELSE CASE arrival % 5 WHEN 0 THEN 'dpeg' WHEN 1 THEN 'oracle_manipulation,flash_loan' WHEN 2 THEN 'flash_loan' WHEN 3 THEN 'flash_loan' ELSE 'anomaly' END END AS patterns,
+CASE WHEN arrival % 4 = 0 THEN 'custom' WHEN arrival % 5 = 2 THEN 'flash_loan_candidate' ELSE 'oracle_update' END AS step_type,
 asset_symbol AS base, CASE severity WHEN 'critical' THEN 95.0 WHEN 'high' THEN 80.0 WHEN 'medium' THEN 60.0 WHEN 'low' THEN 30.0 ELSE 10.0 END::DOUBLE AS drawdown_score, CASE severity WHEN 'critical' THEN 95.0 WHEN 'high' THEN 80.0 WHEN 'medium' THEN 60.0 WHEN 'low' THEN 35.0 ELSE 10.0 END::DOUBLE AS rule_score FROM detections""")
 def actions(spark, sf_dir):
-    """Supported patterns, actions, base assets, fixed scores."""
+    """Supported patterns, step event types, actions, base assets, fixed scores."""
     d, s = view(spark, sf_dir, "detections"), F.col("severity")
-    return d.select("detection_id", F.array_join(severity.peg_actions(s), ",").alias("peg"), F.array_join(severity.drawdown_actions(s), ",").alias("drawdown"), F.array_join(texts.supported_patterns(F.col("pattern_id")), ",").alias("patterns"),
+    kind = F.element_at(F.array(*map(F.lit, ("Stable DEPEG", "oracle flash", "Flash-Loan", "exploit", "outage"))), (F.col("arrival") % 5 + 1).cast("int"))
+    kind = F.when(F.col("arrival") % 5 == 1, "oracle").otherwise(kind)
+    named = F.when(F.col("arrival") % 6 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    step = F.when(F.col("arrival") % 4 == 0, "custom")
+    return d.select("detection_id", F.array_join(severity.peg_actions(s), "|").alias("peg"), F.array_join(severity.drawdown_actions(s), "|").alias("drawdown"), F.array_join(texts.supported_patterns(kind, named), ",").alias("patterns"), texts.step_event_type(kind, step).alias("step_type"),
                     symbols.base_asset(F.concat(F.lit("m:"), "asset_symbol", F.lit("/USD"))).alias("base"), severity.choose(s, severity.DRAWDOWN_SCORE).alias("drawdown_score"), severity.choose(s, severity.RULE_SCORE).alias("rule_score"))
 
 
-@query("j22_risk_score", """WITH s AS (SELECT *, least(CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 30 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 ELSE 0 END + CASE WHEN n_rules > 0 THEN 20 ELSE 0 END + 25 * (arrival % 3) + CASE WHEN arrival % 2 = 0 THEN 15 ELSE 0 END, 100) AS score FROM detections)
-SELECT detection_id, score::DOUBLE AS score, round(least(0.6 + score / 250.0, 0.99), 6)::DOUBLE AS confidence, CASE WHEN n_rules > 0 THEN concat_ws(':', 'incident', chain_slug, protocol, arrival) END AS incident_key FROM s""")
+@query("j22_risk_score", """WITH p AS (SELECT *, list_filter([CASE WHEN severity <> 'info' THEN {t: upper(severity[1]) || severity[2:] || ' severity baseline +' || b, f: 'severity_' || severity || '=' || b || ':' || upper(severity[1]) || severity[2:] || ' severity baseline', x: b} END,
+  CASE WHEN n_rules > 0 THEN {t: 'Triggered rules present +20', f: 'triggered_rules=20:1 rule(s) triggered', x: 20} END,
+  CASE WHEN arrival % 3 = 2 THEN {t: 'Oracle divergence triggered +25', f: 'oracle_divergence=25:' || CASE WHEN arrival % 4 = 0 THEN 'seen' ELSE 'divergence value: 1.5000' END, x: 25} END,
+  CASE WHEN arrival % 2 = 0 THEN {t: 'Flash loan in trace summary +15', f: 'trace_flash_loan=15:trace enrichment indicates flash loan', x: 15} END], lambda y: y IS NOT NULL) AS parts
+  FROM (SELECT *, CASE severity WHEN 'critical' THEN 40 WHEN 'high' THEN 30 WHEN 'medium' THEN 20 WHEN 'low' THEN 10 ELSE 0 END AS b FROM detections)),
+s AS (SELECT *, least(coalesce(list_sum(list_transform(parts, lambda y: y.x)), 0), 100) AS score FROM p)
+SELECT detection_id, score::DOUBLE AS score, round(least(0.6 + score / 250.0, 0.99), 6)::DOUBLE AS confidence, array_to_string(list_transform(parts, lambda y: y.t), '|') AS rationale, array_to_string(list_transform(parts, lambda y: y.f), '|') AS attribution,
+       CASE WHEN n_rules > 0 THEN concat_ws(':', 'incident', chain_slug, protocol, arrival) END AS incident_key FROM s""")
 def risk(spark, sf_dir):
-    """Risk scores and incident keys."""
+    """Risk scores with rationale and attribution, and incident keys."""
     d = view(spark, sf_dir, "detections")
     rules = F.when(F.col("n_rules") > 0, F.array(F.lit("r1"))).otherwise(F.array().cast("array<string>"))
-    signals = F.slice(F.array(F.lit("price_divergence"), F.lit("oracle_divergence")), 1, (F.col("arrival") % 3).cast("int"))
+    signal = lambda kind, label: F.struct(F.lit(kind).alias("type"), F.lit(1.5).alias("value"), label.cast("string").alias("label"))
+    signals = F.slice(F.array(signal("price_deviation", F.lit(None)), signal("oracle_divergence", F.when(F.col("arrival") % 4 == 0, "seen"))), 1, (F.col("arrival") % 3).cast("int"))
     r = severity.risk_score(F.col("severity"), rules, signals, F.col("arrival") % 2 == 0)
-    return d.select("detection_id", r["score"].alias("score"), F.round(r["confidence"], 6).alias("confidence"), keys.incident_key(F.col("chain_slug"), F.col("protocol"), F.col("arrival"), rules).alias("incident_key"))
+    named = F.transform(r["attribution"], lambda a: F.concat(a["feature"], F.lit("="), a["contribution"].cast("int").cast("string"), F.lit(":"), a["detail"]))
+    return d.select("detection_id", r["score"].alias("score"), F.round(r["confidence"], 6).alias("confidence"), F.array_join(r["rationale"], "|").alias("rationale"), F.array_join(named, "|").alias("attribution"), keys.incident_key(F.col("chain_slug"), F.col("protocol"), F.col("arrival"), rules).alias("incident_key"))

@@ -58,7 +58,7 @@ SELECT 'det-' || o_orderkey AS detection_id, 'tenant-' || (o_custkey % 5) AS ten
 FROM orders""",
     "positions": """
 SELECT 'ent-' || c_custkey AS entity_id, 'tenant-' || (c_custkey % 5) AS tenant_id,
-       CASE c_custkey % 4 WHEN 0 THEN 'USDC' WHEN 1 THEN 'USDT' WHEN 2 THEN 'DAI' ELSE 'FRAX' END AS asset_symbol,
+       CASE c_custkey % 40 WHEN 0 THEN 'USDC' WHEN 6 THEN 'USDT' WHEN 12 THEN 'DAI' WHEN 18 THEN 'FRAX' ELSE 'TOK' || (c_custkey % 40) END AS asset_symbol,
        c_acctbal AS quantity, c_acctbal * 1.01 AS valuation_usd, c_custkey % 10 <> 0 AS enabled
 FROM customer""",
     "rule_metrics": """
@@ -74,32 +74,47 @@ FROM events WHERE event_type = 'error'""",
 SELECT 'stream-' || (user_id % 4) AS stream, CAST(user_id AS STRING) AS entry_id, max(ts) AS delivered_at
 FROM events WHERE event_type = 'signup' AND user_id % 5 = 0 GROUP BY user_id""",
     "sources": """
-SELECT * FROM (VALUES ('src-0', 'cex_websocket', true, 'wss://a', 's0'), ('src-1', 'cex_websocket', true, 'wss://b', 's1'),
-  ('src-2', 'cex_websocket', false, 'wss://c', 's2'), ('src-3', 'dex_api', true, 'https://d', 's3'),
-  ('src-4', 'dex_api', true, 'https://e', 's4'), ('src-5', 'oracle_api', true, 'https://f', 's5'),
-  ('src-6', 'custom_api', true, 'https://g', 's6')) AS t(source_id, source_type, enabled, endpoint, auth_ref)""",
+SELECT 'src-' || s_suppkey AS source_id,
+       CASE s_suppkey % 7 WHEN 0 THEN 'cex_websocket' WHEN 1 THEN 'cex_websocket' WHEN 2 THEN 'cex_websocket' WHEN 3 THEN 'dex_api'
+            WHEN 4 THEN 'dex_api' WHEN 5 THEN 'oracle_api' ELSE 'custom_api' END AS source_type,
+       s_suppkey % 7 <> 2 AS enabled, 'wss://source/' || s_suppkey AS endpoint, 's' || (s_suppkey % 9) AS auth_ref
+FROM supplier""",
     "streams": """
-SELECT * FROM (VALUES ('st-0', 'src-0', true, CAST(NULL AS STRING), 'binance_miniticker_v1', 'USDC/USD'), ('st-1', 'src-1', true, 'wss://b2', 'okx_tickers_v5', 'USDT/USD'),
-  ('st-2', 'src-2', true, NULL, 'gate_ticker_v4', 'DAI/USD'), ('st-3', 'src-3', false, NULL, 'uniswap_v3_swap_price_v1', 'DAI/USD'),
-  ('st-4', 'src-4', true, 'https://e2', 'uniswap_v2_swap_price_v1', NULL), ('st-5', 'src-5', true, NULL, 'chainlink_answer_updated_v1', 'USDC/USD'),
-  ('st-6', 'src-6', true, NULL, 'protocol_tvl_v1', 'FRAX/USD')) AS t(stream_id, source_id, enabled, endpoint_override, parser_name, market_key)""",
+SELECT 'st-' || p_partkey AS stream_id, 'src-' || (p_partkey % 60) AS source_id, p_partkey % 5 <> 3 AS enabled,
+       CASE WHEN p_partkey % 3 = 1 THEN 'wss://override/' || p_partkey END AS endpoint_override,
+       CASE p_partkey % 4 WHEN 0 THEN 'binance_miniticker_v1' WHEN 1 THEN 'okx_tickers_v5' WHEN 2 THEN 'gate_ticker_v4' ELSE 'chainlink_answer_updated_v1' END AS parser_name,
+       CASE p_partkey % 5 WHEN 0 THEN 'USDC/USD' WHEN 1 THEN 'USDT/USD' WHEN 2 THEN 'DAI/USD' WHEN 3 THEN 'FRAX/USD' END AS market_key
+FROM part""",
     "targets": """
-SELECT * FROM (VALUES ('st-0', 'tenant-0', true), ('st-0', 'tenant-1', true), ('st-1', 'tenant-0', true), ('st-2', 'tenant-1', true),
-  ('st-4', 'tenant-2', false), ('st-5', 'tenant-2', true), ('st-6', 'tenant-0', false)) AS t(stream_id, tenant_id, enabled)""",
+SELECT 'st-' || (c_custkey % 140) AS stream_id, 'tenant-' || (c_nationkey % 5) AS tenant_id, max(c_custkey % 4 <> 1) AS enabled
+FROM customer GROUP BY c_custkey % 140, c_nationkey % 5""",
     "tenant_overrides": """
-SELECT * FROM (VALUES ('tenant-0', 'src-0', true, '{"weight":2.0}'), ('tenant-0', 'src-3', true, CAST(NULL AS STRING)), ('tenant-1', 'src-1', false, NULL),
-  ('tenant-1', 'src-5', true, '{"weight":0.5}'), ('tenant-2', 'src-2', true, NULL)) AS t(tenant_id, source_id, enabled, override_config)""",
+SELECT 'tenant-' || (c_custkey % 40) AS tenant_id, 'src-' || (c_custkey % 70) AS source_id, max(c_custkey % 3 <> 0) AS enabled,
+       max(CASE WHEN c_custkey % 4 = 1 THEN '{"weight":' || (c_nationkey % 3) || '.5}' END) AS override_config
+FROM customer GROUP BY c_custkey % 40, c_custkey % 70""",
     "patterns": """
 SELECT * FROM (VALUES ('dpeg', true), ('flash_loan', true), ('tvl_drop', true), ('old', false)) AS t(pattern_id, enabled)""",
     "tenant_patterns": """
-SELECT * FROM (VALUES
-  ('tenant-0', 'dpeg', true, '[{"market_key":"USDC/USD","min_sources":2,"quorum_pct":0.3,"severity_bands":{"medium":0.5,"high":1.0,"critical":5.0}},{"market_key":"USDT/USD","peg_target":1.0}]'),
-  ('tenant-1', 'dpeg', true, '[{"market_key":"DAI/USD","cooldown_sec":7200,"stale_timeout_ms":43200000},{"market_key":"","peg_target":1.0},{"market_key":"FRAX/USD","peg_target":-1}]'),
-  ('tenant-2', 'dpeg', false, '[{"market_key":"USDC/USD"}]'),
-  ('tenant-0', 'flash_loan', true, '{"rules":[{"rule_id":"f1","min_loan_usd":200000,"min_profit_usd":1000,"cooldown_sec":300},{"rule_id":"f2","enabled":false}]}'),
-  ('tenant-1', 'flash_loan', true, 'oops'),
-  ('tenant-0', 'tvl_drop', true, '{"rules":[{"rule_id":"t1","protocol_id":"proto-1","chain_slug":"base","thresholds":{"fast_drop_pct":20,"fast_window_sec":300}},{"rule_id":"t2","protocol_id":"all","enabled":false}]}'),
-  ('tenant-0', 'old', true, '[]')) AS t(tenant_id, pattern_id, enabled, config)""",
+SELECT 'tenant-' || c_custkey AS tenant_id, 'dpeg' AS pattern_id, c_custkey % 5 <> 3 AS enabled,
+       '[{"market_key":"USDC/USD","min_sources":2,"quorum_pct":0.3,"sustained_window_ms":3600000,"cooldown_sec":7200,"stale_timeout_ms":43200000,"deescalation_blocks":2,"resolution_blocks":3,"severity_bands":{"medium":0.5,"high":1.0,"critical":5.0}},'
+       || '{"market_key":"USDT/USD","peg_target":0.999,"min_sources":' || (1 + c_custkey % 3) || ',"quorum_pct":0.5,"sustained_window_ms":60000,"cooldown_sec":' || (c_nationkey * 60)
+       || ',"stale_timeout_ms":36000000,"deescalation_blocks":2,"resolution_blocks":2,"source_overrides":{"src-1":{"source_id":"src-1","weight":2.5,"enabled":true},"src-4":{"source_id":"src-4","weight":0.5,"enabled":true,"stale_timeout_ms":21600000},"src-6":{"source_id":"src-6","weight":1,"enabled":false}}},'
+       || '{"market_key":"DAI/USD","min_sources":1,"quorum_pct":0,"sustained_window_ms":1800000,"stale_timeout_ms":43200000,"deescalation_blocks":3,"resolution_blocks":4,"systemic_floor_pct":2.5,"severity_bands_systemic":{"medium":2.5,"high":3.0,"critical":4.0},"toggles":{"contagion_detection":true,"volume_confirmation":true}},'
+       || '{"market_key":"FRAX/USD","min_sources":1,"quorum_pct":0,"sustained_window_ms":60000,"stale_timeout_ms":28800000,"isolated_floor_pct":1.5,"deescalation_blocks":2,"resolution_blocks":2,"source_filter":{"cex_whitelist":["SRC-0","src-2"],"include_dex":false,"min_healthy_sources":1},"toggles":{"oracle_confirmation":true}},'
+       || '{"market_key":"","peg_target":1.0},{"market_key":"EUR/USD","peg_target":-' || (1 + c_custkey % 2) || '},{"market_key":"GBP/USD","quorum_pct":1.5}]' AS config
+FROM customer
+UNION ALL
+SELECT 'tenant-' || c_custkey, 'flash_loan', c_custkey % 4 <> 3,
+       CASE WHEN c_custkey % 6 = 2 THEN 'oops' ELSE '{"rules":[{"rule_id":"f' || c_nationkey || '","min_loan_usd":' || (100000 + c_custkey) || ',"cooldown_sec":' || (300 * (1 + c_nationkey)) || '},{"rule_id":"off","enabled":false},{"rule_id":"g","min_profit_usd":500}]}' END
+FROM customer
+UNION ALL
+SELECT 'tenant-' || c_custkey, 'tvl_drop', c_custkey % 7 <> 6,
+       '{"rules":[{"rule_id":"all","protocol_id":"all","chain_slug":"all","thresholds":{"fast_drop_pct":20,"slow_drop_pct":35,"velocity_critical_pct":15,"fast_window_sec":36000,"slow_window_sec":216000,"velocity_window_sec":7200},"contagion":{"enabled":true,"overlap_window_sec":18000},"min_tvl_floor_usd":20000000},'
+       || '{"rule_id":"one","scope":{"protocol_id":"PROTO-' || (c_custkey % 4) || '","chain_slug":"all","market_id":"All"},"thresholds":{"fast_drop_pct":' || (30 + c_nationkey % 3) || ',"fast_window_sec":86399,"slow_window_sec":216000,"velocity_window_sec":1},"contagion":{"enabled":false},"min_tvl_floor_usd":10000000},'
+       || '{"rule_id":"t2","protocol_id":"all","enabled":false},{"scope":{"market_id":"M1"}}]}'
+FROM customer
+UNION ALL
+SELECT 'tenant-' || c_custkey, 'old', true, '[]' FROM customer""",
     "chain_positions": """
 SELECT event_id, ts AS received_at, CASE user_id % 3 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'base' ELSE 'arbitrum' END AS chain,
        CAST(floor(event_id / 5) AS BIGINT) AS block_number, CAST(event_id % 5 AS BIGINT) AS log_index, 'tx-' || CAST(floor(event_id / 2) AS BIGINT) AS tx_hash,
@@ -119,9 +134,11 @@ SELECT 'al-' || detection_id AS alert_id, detection_id, tenant_id, event_key, se
        CASE arrival % 4 WHEN 0 THEN 'closed' ELSE 'active' END AS status, created_at, arrival
 FROM detections WHERE event_key IS NOT NULL AND n_rules > 0""",
     "offers": """
-SELECT * FROM (VALUES ('off-0', 'src-0', 'tenant-0', 'active', 2), ('off-1', 'src-1', 'tenant-1', 'active', 3), ('off-2', 'src-3', 'tenant-2', 'revoked', 1)) AS t(offer_id, source_id, owner_tenant_id, status, promote_at)""",
+SELECT 'off-' || s_suppkey AS offer_id, 'src-' || s_suppkey AS source_id, 'tenant-' || (s_suppkey % 5) AS owner_tenant_id,
+       CASE WHEN s_suppkey % 6 = 2 THEN 'revoked' ELSE 'active' END AS status, CAST(1 + s_suppkey % 4 AS INT) AS promote_at
+FROM supplier""",
     "consents": """
-SELECT o_orderkey AS consent_id, 'off-' || (o_orderkey % 4) AS offer_id, 'tenant-' || (o_custkey % 5) AS tenant_id,
+SELECT o_orderkey AS consent_id, 'off-' || (o_orderkey % 12) AS offer_id, 'tenant-' || (o_custkey % 5) AS tenant_id,
        CASE o_orderstatus WHEN 'F' THEN 'active' WHEN 'O' THEN 'revoked' ELSE 'pending' END AS status, o_orderdate AS changed_at
 FROM orders""",
 }

@@ -16,9 +16,19 @@ def alertable(spark, sf_dir):
     return ops.alertable(view(spark, sf_dir, "detections")).select("detection_id")
 
 
-@query("k11_alerts", f"SELECT detection_id, sha256(concat_ws('|', detection_id, event_key)) AS alert_id, tenant_id AS alert_tenant, concat_ws(':', pattern_id, event_key, severity) AS dedup_key FROM detections WHERE {_ALERTABLE}")
+_STATE = "CASE arrival % 3 WHEN 0 THEN 'provisional' WHEN 1 THEN 'confirmed' ELSE 'retracted' END"
+
+
+@query("k11_alerts", f"""SELECT detection_id, sha256(concat_ws('|', detection_id, event_key)) AS alert_id, tenant_id AS alert_tenant, event_key AS dedup_key, {_STATE} AS lifecycle_state, 'tentative' AS finality_status, 'webhook,slack,telegram,discord' AS routes,
+round(least(risk_score, 100), 6) AS risk_score, round(least(0.6 + least(risk_score, 100) / 250, 0.99), 6) AS confidence, 'rule-' || n_rules AS rule_ids, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END::INTEGER AS n_actions, tx_hash, arrival AS block_number FROM detections WHERE {_ALERTABLE}""")
 def alerts(spark, sf_dir):
-    return ops.alerts_from(view(spark, sf_dir, "detections")).select("detection_id", "alert_id", "alert_tenant", "dedup_key")
+    """Alerts with the contents of their detections."""
+    from ..functions.severity import drawdown_actions
+
+    score = F.least("risk_score", F.lit(100.0))
+    d = view(spark, sf_dir, "detections").withColumn("risk_score", score).withColumn("confidence", F.least(0.6 + score / 250, F.lit(0.99))).withColumn("lifecycle_state", F.expr(_STATE))
+    d = d.withColumn("rule_ids", F.array(F.concat(F.lit("rule-"), F.col("n_rules").cast("string")))).withColumn("actions_recommended", drawdown_actions(F.col("severity"))).withColumn("block_number", F.col("arrival"))
+    return ops.alerts_from(d).select("detection_id", "alert_id", "alert_tenant", "dedup_key", "lifecycle_state", "finality_status", F.array_join("routes", ",").alias("routes"), *(F.round(c, 6).alias(c) for c in ("risk_score", "confidence")), F.array_join("rule_ids", ",").alias("rule_ids"), F.size("actions_recommended").alias("n_actions"), "tx_hash", "block_number")
 
 
 @query("k10_incidents", """
@@ -44,22 +54,22 @@ def quota(spark, sf_dir):
     return ops.quota(view(spark, sf_dir, "alerts"), 10).select("alert_id", "suppressed")
 
 
-_EXPOSED = """SELECT a.alert_id, p.entity_id, CASE WHEN a.arrival % 4 > 0 THEN p.quantity * (0.9::DOUBLE + (a.arrival % 4) / 20.0::DOUBLE) ELSE p.valuation_usd END AS capital, least(a.arrival % 300, 100)::DOUBLE AS slippage
-FROM alerts a JOIN positions p ON a.tenant_id = p.tenant_id AND replace(a.subject_key, '/USD', '') = p.asset_symbol WHERE p.enabled AND a.arrival % 97 = 0"""
+_EXPOSED = """SELECT a.alert_id, a.severity, p.entity_id, CASE WHEN a.arrival % 4 > 0 THEN p.quantity * (0.9::DOUBLE + (a.arrival % 4) / 20.0::DOUBLE) ELSE p.valuation_usd END AS capital, (a.arrival % 300)::DOUBLE AS divergence
+FROM alerts a JOIN positions p ON a.tenant_id = p.tenant_id AND replace(a.subject_key, '/USD', '') = p.asset_symbol WHERE p.enabled"""
 
 
 def _exposed(spark, sf_dir):
-    a = view(spark, sf_dir, "alerts").where("arrival % 97 = 0").select("alert_id", "tenant_id", F.lit("market").alias("subject_type"), F.element_at(F.split("subject_key", "/"), 1).alias("asset_symbol"), F.when(F.expr("arrival % 4 > 0"), F.expr("0.9D + arrival % 4 / 20.0D")).otherwise(0.0).alias("price"), F.expr("double(arrival % 300)").alias("divergence"))
+    a = view(spark, sf_dir, "alerts").select("alert_id", "tenant_id", "severity", F.lit("market").alias("subject_type"), F.element_at(F.split("subject_key", "/"), 1).alias("asset_symbol"), F.when(F.expr("arrival % 4 > 0"), F.expr("0.9D + arrival % 4 / 20.0D")).otherwise(0.0).alias("price"), F.expr("double(arrival % 300)").alias("divergence"))
     return ops.exposure(a, view(spark, sf_dir, "positions"))
 
 
-@query("k15_exposure", f"SELECT alert_id, entity_id, round(capital, 6) AS capital, round(capital * 0.05::DOUBLE, 6) AS loss_5, round(capital * slippage / 100, 6) AS savings, CASE WHEN slippage >= 5 THEN 'thin' WHEN slippage >= 1 THEN 'moderate' ELSE 'deep' END AS liquidity FROM ({_EXPOSED})")
+@query("k15_exposure", f"SELECT alert_id, entity_id, round(capital, 6) AS capital, round(capital * 0.05::DOUBLE, 6) AS loss_5, round(capital * (divergence / 100), 6) AS savings, least(divergence, 100) AS slippage, CASE severity WHEN 'critical' THEN 'at_risk' ELSE 'degraded' END AS liquidity FROM ({_EXPOSED})")
 def exposure(spark, sf_dir):
     """Alerts joined to the tenant's positions, with losses and liquidity."""
-    return _exposed(spark, sf_dir).select("alert_id", "entity_id", *(F.round(c, 6).alias(c) for c in ("capital", "loss_5", "savings")), "liquidity")
+    return _exposed(spark, sf_dir).select("alert_id", "entity_id", *(F.round(c, 6).alias(c) for c in ("capital", "loss_5", "savings")), "slippage", "liquidity")
 
 
-@query("f6_exposure_totals", f"SELECT alert_id, CAST(count(*) AS BIGINT) AS entities, round(sum(capital), 2) AS capital, round(sum(capital * slippage / 100), 2) AS savings FROM ({_EXPOSED}) GROUP BY alert_id")
+@query("f6_exposure_totals", f"SELECT alert_id, CAST(count(*) AS BIGINT) AS entities, round(sum(capital), 2) AS capital, round(sum(capital * (divergence / 100)), 2) AS savings FROM ({_EXPOSED}) GROUP BY alert_id")
 def exposure_totals(spark, sf_dir):
     return ops.exposure_totals(_exposed(spark, sf_dir)).select("alert_id", "entities", F.round("capital", 2).alias("capital"), F.round("savings", 2).alias("savings"))
 
@@ -72,7 +82,7 @@ def active_incident(spark, sf_dir):
     return ops.active_incident(d, view(spark, sf_dir, "incident_table")).select("detection_id", "incident_id")
 
 
-_UPDATES = "SELECT event_key, CASE WHEN event_id % 3 = 0 THEN 'retracted' WHEN event_id % 3 = 1 THEN 'confirmed' ELSE 'provisional' END AS status FROM chain_events WHERE event_id < 1000"
+_UPDATES = "SELECT event_key, CASE WHEN event_id % 3 = 0 THEN 'retracted' WHEN event_id % 3 = 1 THEN 'confirmed' ELSE 'provisional' END AS status FROM chain_events"
 
 
 @query("k13_finality_alerts", f"""
@@ -81,7 +91,7 @@ SELECT u.event_key, n.alert_id, u.status AS new_state, CASE u.status WHEN 'confi
 FROM u JOIN n USING (event_key) WHERE u.status IN ('confirmed', 'retracted') AND u.status <> n.lifecycle_state""")
 def finality_alerts(spark, sf_dir):
     """Finality updates joined to the newest alert of their event."""
-    u = view(spark, sf_dir, "chain_events").where("event_id < 1000").select("event_key", F.expr("CASE WHEN event_id % 3 = 0 THEN 'retracted' WHEN event_id % 3 = 1 THEN 'confirmed' ELSE 'provisional' END").alias("status"))
+    u = view(spark, sf_dir, "chain_events").select("event_key", F.expr("CASE WHEN event_id % 3 = 0 THEN 'retracted' WHEN event_id % 3 = 1 THEN 'confirmed' ELSE 'provisional' END").alias("status"))
     return ops.finality_to_alerts(u, view(spark, sf_dir, "alerts"))
 
 
@@ -160,26 +170,34 @@ def timeline(spark, sf_dir):
     return d.groupBy("event_key").agg(F.array_join(F.transform(items, lambda x: x["detection_id"]), ",").alias("timeline"))
 
 
-@query("i2_reconcile", "SELECT * FROM (VALUES ('st-0', 'keep'), ('st-1', 'restart'), ('st-2', 'keep'), ('st-3', 'start'), ('st-4', 'restart'), ('st-5', 'keep'), ('st-6', 'start'), ('st-9', 'stop')) t(stream_id, action)")
+@query("i2_reconcile", """WITH r AS (SELECT stream_id, source_id, CASE WHEN n % 4 = 1 THEN 'wss://old' ELSE endpoint_override END AS endpoint_override, parser_name, market_key, enabled FROM (SELECT *, CAST(substr(stream_id, 4) AS BIGINT) AS n FROM streams) WHERE n % 6 <> 5),
+h AS (SELECT * FROM r UNION ALL SELECT 'gone-' || stream_id, source_id, endpoint_override, parser_name, market_key, enabled FROM r WHERE market_key IS NULL)
+SELECT coalesce(s.stream_id, h.stream_id) AS stream_id, CASE WHEN h.stream_id IS NULL THEN 'start' WHEN s.stream_id IS NULL THEN 'stop' WHEN s.endpoint_override IS DISTINCT FROM h.endpoint_override THEN 'restart' ELSE 'keep' END AS action FROM streams s FULL JOIN h ON s.stream_id = h.stream_id""")
 def reconcile(spark, sf_dir):
-    want = view(spark, sf_dir, "streams")
-    have = want.where("stream_id NOT IN ('st-3', 'st-6')").withColumn("endpoint_override", F.when(F.col("stream_id").isin("st-1", "st-4"), "wss://old").otherwise(F.col("endpoint_override")))
-    return ops.reconcile(want, have.unionByName(want.where("stream_id = 'st-3'").withColumn("stream_id", F.lit("st-9"))))
+    """The configured streams against those that run: some were never started, some run with an old endpoint, some are gone."""
+    want, n = view(spark, sf_dir, "streams"), F.substring("stream_id", 4, 20).cast("bigint")
+    have = want.where(n % 6 != 5).withColumn("endpoint_override", F.when(n % 4 == 1, "wss://old").otherwise(F.col("endpoint_override")))
+    return ops.reconcile(want, have.unionByName(have.where("market_key IS NULL").withColumn("stream_id", F.concat(F.lit("gone-"), "stream_id"))))
 
 
 @query("i4_missing_targets", "SELECT s.stream_id, t.tenant_id FROM streams s, (SELECT DISTINCT tenant_id FROM targets) t WHERE NOT EXISTS (SELECT 1 FROM targets x WHERE x.stream_id = s.stream_id AND x.tenant_id = t.tenant_id)")
 def missing_targets(spark, sf_dir):
-    """Targets that don't exist yet (I4)."""
+    """Targets that don't exist yet, of every stream for every tenant that has one (I4)."""
     t = view(spark, sf_dir, "targets")
-    want = view(spark, sf_dir, "streams").select("stream_id").withColumn("tenant_id", F.explode(F.array(*(F.lit(f"tenant-{i}") for i in range(3)))))
+    tenants = t.agg(F.collect_set("tenant_id").alias("tenants"))
+    want = view(spark, sf_dir, "streams").select("stream_id").join(F.broadcast(tenants)).select("stream_id", F.explode("tenants").alias("tenant_id"))
     return insert_if_absent(t, want, ["stream_id", "tenant_id"], ["stream_id"])
 
 
 @query("e8_matched_records", """
-WITH tok AS (SELECT DISTINCT p_partkey AS scenario_id, unnest(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS token FROM part WHERE p_partkey % 50 = 0)
-SELECT DISTINCT t.scenario_id, d.doc_id AS record_id FROM tok t JOIN (SELECT doc_id, unnest(list_distinct(string_split_regex(lower(text), '[^a-z0-9]+'))) AS token FROM documents) d USING (token)""")
+WITH s AS (SELECT DISTINCT p_name AS scenario_id, list_concat([lower(p_name)], list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) > 2)) AS tokens FROM part),
+t AS (SELECT DISTINCT scenario_id, unnest(tokens) AS token FROM s)
+SELECT DISTINCT t.scenario_id, d.doc_id AS record_id FROM t JOIN (SELECT doc_id, lower(text) AS haystack FROM documents) d ON contains(d.haystack, t.token)""")
 def matched(spark, sf_dir):
-    s = view(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("scenario_id"), F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda w: F.length(w) > 2).alias("tokens"))
+    """Parts by name as scenarios, documents as records: a token may stand anywhere in the text."""
+    from ..functions.texts import tokens
+
+    s = view(spark, sf_dir, "part").select("p_name").distinct().select(F.col("p_name").alias("scenario_id"), tokens(F.array("p_name")).alias("tokens"))
     return ops.matched_records(s, view(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("haystack")))
 
 
@@ -203,21 +221,29 @@ def ingest_gate(spark, sf_dir):
     return view(spark, sf_dir, "quotes").where("market_key IS NOT NULL").join(live, "source_id", "left_semi").select("event_id")
 
 
-@query("e10_seed_channels", "SELECT s.source_id, c.channel FROM sources s, (VALUES ('webhook'), ('slack'), ('telegram'), ('discord')) c(channel) WHERE s.enabled")
+@query("e10_seed_channels", """SELECT o.tenant_id, s.source_id, c.channel, p.pattern_id FROM tenant_overrides o JOIN sources s USING (source_id) JOIN tenant_patterns p ON p.tenant_id = o.tenant_id AND p.enabled, (VALUES ('webhook'), ('slack'), ('telegram'), ('discord')) c(channel)
+WHERE o.enabled AND s.enabled AND p.pattern_id IN (SELECT pattern_id FROM patterns WHERE enabled)""")
 def seed_channels(spark, sf_dir):
-    """Every enabled source with each of the four channels."""
+    """Seeds: each tenant's enabled sources and enabled patterns, with each of the four channels."""
+    from ..sources.configs import tenant_sources
     from ..sources.tables import CHANNELS
 
-    return view(spark, sf_dir, "sources").where("enabled").select("source_id", F.explode(F.array(*(F.lit(c) for c in CHANNELS))).alias("channel"))
+    mine = tenant_sources(view(spark, sf_dir, "tenant_overrides"), view(spark, sf_dir, "sources")).select("tenant_id", "source_id")
+    on = view(spark, sf_dir, "tenant_patterns").where("enabled").join(view(spark, sf_dir, "patterns").where("enabled").select("pattern_id"), "pattern_id", "left_semi").select("tenant_id", "pattern_id")
+    return mine.join(on, "tenant_id").select("tenant_id", "source_id", F.explode(F.array(*(F.lit(c) for c in CHANNELS))).alias("channel"), "pattern_id")
 
 
-@query("e11_missing_streams", "SELECT s.source_id, 'test-' || s.source_id AS stream_id FROM sources s WHERE s.enabled AND EXISTS (SELECT 1 FROM streams t WHERE t.source_id = s.source_id) AND NOT EXISTS (SELECT 1 FROM streams t WHERE t.source_id = s.source_id AND t.endpoint_override IS NOT DISTINCT FROM NULL AND t.enabled)")
+@query("e11_missing_streams", """
+WITH d AS (SELECT s.source_id, CASE WHEN n % 2 = 0 THEN s.endpoint END AS endpoint_override, 'test-' || s.source_id AS stream_id FROM (SELECT *, CAST(substr(source_id, 5) AS BIGINT) AS n FROM sources WHERE enabled) s WHERE EXISTS (SELECT 1 FROM streams t WHERE t.source_id = s.source_id)),
+m AS (SELECT * FROM d WHERE NOT EXISTS (SELECT 1 FROM streams t WHERE t.source_id = d.source_id AND t.endpoint_override IS NOT DISTINCT FROM d.endpoint_override AND t.enabled)),
+f AS (SELECT source_id, min(stream_id) AS model FROM streams GROUP BY source_id)
+SELECT m.stream_id, m.source_id, m.endpoint_override, x.parser_name, x.market_key, g.tenant_id FROM m JOIN f USING (source_id) JOIN streams x ON x.stream_id = f.model LEFT JOIN (SELECT * FROM targets WHERE enabled) g ON g.stream_id = f.model""")
 def missing_streams(spark, sf_dir):
-    """Streams to insert: sources that have one, but none with the same (null-safe) endpoint."""
-    streams = view(spark, sf_dir, "streams")
-    s = view(spark, sf_dir, "sources").where("enabled").join(streams.select("source_id"), "source_id", "left_semi").withColumn("endpoint_override", F.lit(None).cast("string"))
-    have = streams.where("enabled").select(F.col("source_id").alias("sid"), F.col("endpoint_override").alias("e"))
-    return s.join(have, (F.col("source_id") == F.col("sid")) & F.col("endpoint_override").eqNullSafe(F.col("e")), "left_anti").select("source_id", F.concat(F.lit("test-"), "source_id").alias("stream_id"))
+    """Streams to insert for sources that have one, but none with the same (null-safe) source and endpoint: clones of the
+    source's first stream, with its tenants as targets (E11)."""
+    streams, n = view(spark, sf_dir, "streams"), F.substring("source_id", 5, 20).cast("bigint")
+    want = view(spark, sf_dir, "sources").where("enabled").select("source_id", F.when(n % 2 == 0, F.col("endpoint")).alias("endpoint_override"))
+    return ops.missing_streams(want, streams, view(spark, sf_dir, "targets"))
 
 
 _LATEST = "n AS (SELECT * FROM consents QUALIFY row_number() OVER (PARTITION BY offer_id, tenant_id ORDER BY changed_at DESC, consent_id DESC) = 1)"

@@ -30,35 +30,36 @@ def eligible_sources(spark, sf_dir):
 
 _LATEST = """
 latest AS (
-  SELECT e.event_id, e.observed_at AS now, e.tenant_id, e.market_key, q.source_id, q.source_type, q.price, q.observed_at AS at,
-         row_number() OVER (PARTITION BY e.event_id, q.source_id ORDER BY q.observed_at DESC, q.event_id DESC) AS nth
-  FROM good e JOIN good q ON e.tenant_id = q.tenant_id AND e.market_key = q.market_key AND (q.observed_at, q.event_id) <= (e.observed_at, e.event_id)
-  AND q.observed_at >= e.observed_at - INTERVAL 12 HOUR)"""
+  SELECT e.event_id, e.tenant_id, e.market_key AS own_market, q.market_key, q.source_id, q.source_type, q.price,
+         row_number() OVER (PARTITION BY e.event_id, q.market_key, q.source_id ORDER BY q.observed_at DESC, q.event_id DESC) AS nth
+  FROM good e JOIN good q ON e.tenant_id = q.tenant_id AND (q.observed_at, q.event_id) <= (e.observed_at, e.event_id) AND q.observed_at >= e.observed_at - INTERVAL 12 HOUR),
+medians AS (
+  SELECT event_id, market_key, any_value(own_market) AS own_market, count(*) AS n_sources, quantile_disc(price, 0.5) AS median FROM latest WHERE nth = 1 GROUP BY event_id, market_key)"""
 _GOOD = "good AS (SELECT * FROM quotes WHERE market_key IS NOT NULL AND price > 0)"
 CONSENSUS_SQL = f"""
 WITH {_GOOD}, {_LATEST},
-agg AS (
-  SELECT event_id, count(*) AS n_sources, quantile_disc(price, 0.5) AS median, bool_or(source_type = 'oracle_api' AND abs(price - 1) * 100 >= 0.5) AS oracle_confirmed
-  FROM latest WHERE nth = 1 GROUP BY event_id),
-side AS (SELECT l.event_id, count(*) FILTER ((l.price < 1) = (a.median < 1)) AS same FROM latest l JOIN agg a USING (event_id) WHERE nth = 1 GROUP BY l.event_id)
-SELECT a.event_id, CAST(n_sources AS INTEGER) AS n_sources, round(median, 6) AS median, round(abs(median - 1) * 100, 6) AS divergence,
-       n_sources >= 2 AND n_sources / 7.0 >= 0.3 AS has_quorum, oracle_confirmed, round(same * 100.0 / n_sources, 6)::DOUBLE AS direction_share
-FROM agg a JOIN side USING (event_id)"""
+own AS (SELECT *, abs(median - 1) / 1 * 100 AS divergence FROM medians WHERE market_key = own_market),
+side AS (SELECT l.event_id, count(*) FILTER ((l.price < 1) = (a.median < 1)) AS same, bool_or(source_type = 'oracle_api' AND abs(price - 1) * 100 >= 0.5) AS oracle_confirmed
+         FROM latest l JOIN own a USING (event_id, market_key) WHERE nth = 1 GROUP BY l.event_id)
+SELECT a.event_id, CAST(n_sources AS INTEGER) AS n_sources, round(median, 6) AS median, round(divergence, 6) AS divergence,
+       n_sources >= 2 AND n_sources / 2.0 >= 0.3 AS has_quorum, oracle_confirmed, round(same * 100.0 / n_sources, 6)::DOUBLE AS direction_share,
+       round((same * 100.0 / n_sources * 0.7 + CASE WHEN oracle_confirmed THEN 100 ELSE 0 END * 0.2 + 50 * 0.1) / (0.7 + 0.2 + 0.1), 6)::DOUBLE AS confidence
+FROM own a JOIN side USING (event_id)"""
 
 
 @query("e4_consensus", CONSENSUS_SQL)
 def consensus(spark, sf_dir):
-    """Latest quote per source as of each event, weighted median, quorum, oracle confirmation."""
-    got = ops.consensus(view(spark, sf_dir, "quotes"), SOURCES, POLICY)
-    return got.select("event_id", "n_sources", *(F.round(c, 6).alias(c) for c in ("median", "divergence", "direction_share")), "has_quorum", "oracle_confirmed")
+    """Latest quote per source as of each event, weighted median, quorum, oracle confirmation, confidence."""
+    got = ops.consensus(view(spark, sf_dir, "quotes"), SOURCES, POLICY | {"oracle_confirmation": True, "volume_confirmation": True})
+    return got.select("event_id", "n_sources", *(F.round(c, 6).alias(c) for c in ("median", "divergence", "direction_share", "confidence")), "has_quorum", "oracle_confirmed")
 
 
-@query("f1_weighted_median", """WITH w AS (SELECT tenant_id, market_key, price, CASE source_id WHEN 'src-4' THEN 2.5 WHEN 'src-1' THEN 0.5 ELSE 1.0 END AS weight, event_id FROM quotes WHERE price > 0 AND event_id % 50 < 20),
+@query("f1_weighted_median", """WITH w AS (SELECT tenant_id, market_key, price, CASE source_id WHEN 'src-4' THEN 2.5 WHEN 'src-1' THEN 0.5 ELSE 1.0 END AS weight, event_id FROM quotes WHERE price > 0),
 r AS (SELECT *, sum(weight) OVER (PARTITION BY tenant_id, market_key ORDER BY price, weight, event_id ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY tenant_id, market_key) AS total FROM w)
 SELECT tenant_id, market_key, round(min(price), 6) AS median FROM r WHERE run >= total / 2 GROUP BY ALL""")
 def weighted_median(spark, sf_dir):
     """Weighted median of each market by running weights: grouped and windowed, nothing gathered in arrays."""
-    q = view(spark, sf_dir, "quotes").where("price > 0 AND event_id % 50 < 20")
+    q = view(spark, sf_dir, "quotes").where("price > 0")
     policy = {"overrides": {"src-4": {"weight": 2.5}, "src-1": {"weight": 0.5}}}
     return weighted_median_by(q.withColumn("weight", ops.weight(F.col("source_id"), policy)), ["tenant_id", "market_key"]).select("tenant_id", "market_key", F.round("median", 6).alias("median"))
 
@@ -91,13 +92,13 @@ def market_truth(spark, sf_dir):
 
 
 @query("g3_contagion", f"""
-WITH {_GOOD}, d AS (SELECT *, abs(price - 1) * 100 AS divergence FROM good),
-w AS (SELECT event_id, {", ".join(f"last_value(CASE WHEN market_key = '{m}' THEN divergence END IGNORE NULLS) OVER (PARTITION BY tenant_id ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING) AS m{i}" for i, m in enumerate(("USDC/USD", "USDT/USD", "DAI/USD", "FRAX/USD")))} FROM d),
-n AS (SELECT event_id, {" + ".join(f"coalesce(CAST(m{i} >= 2.5 AS INTEGER), 0)" for i in range(4))} AS n_diverging FROM w)
-SELECT event_id, CAST(n_diverging AS INTEGER) AS n_diverging, n_diverging >= 2 AS systemic FROM n""")
+WITH {_GOOD}, {_LATEST},
+n AS (SELECT event_id, count(*) FILTER (abs(median - 1) / 1 * 100 >= 2.5) AS n_diverging FROM medians WHERE market_key LIKE '%/USD' GROUP BY event_id)
+SELECT event_id, CAST(n_diverging AS INTEGER) AS n_diverging, CASE WHEN n_diverging >= 2 THEN 'systemic' ELSE 'isolated' END AS context FROM n""")
 def contagion(spark, sf_dir):
-    d = ops.valid_price(view(spark, sf_dir, "quotes")).withColumn("divergence", F.abs(F.col("price") - 1) * 100)
-    return ops.contagion(d, MARKETS, 2.5).select("event_id", "n_diverging", "systemic")
+    """The tenant's dollar markets that diverge as of each quote, and the context that follows."""
+    policy = POLICY | {"contagion_detection": True, "systemic_floor_pct": 2.5}
+    return ops.consensus(view(spark, sf_dir, "quotes"), SOURCES, policy, MARKETS).select("event_id", "n_diverging", "context")
 
 
 @query("f7_activity_per_minute", "SELECT source_id, market_key, source_type, epoch_ms(date_trunc('minute', observed_at)) AS minute_ms, CAST(count(*) AS BIGINT) AS n, epoch_us(max(observed_at)) AS last_us FROM quotes GROUP BY ALL")

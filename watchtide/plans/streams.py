@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.lifecycle import feature_vectors
 from ..sources import scans, tables
 from ..sources.shared import run_to_end, shared_folder
 from ..streaming import twins
-from .detect import _RULES, TVL
+from .detect import _RULES, _TVL_SQL, TVL
 from .fixtures import FIXTURES
 from .registry import ORACLES, query, view
 
@@ -40,7 +41,7 @@ def flash_stream(spark, sf_dir):
     return run_to_end(twins.flash_detections(_stream(spark, sf_dir, "flash_events"), spark.sql(_RULES)), "flash").select("event_id", "rule_id")
 
 
-@query("s_k2_drawdown_stream", f"SELECT event_id FROM ({ORACLES['k2_tvl_drawdown']})")
+@query("s_k2_drawdown_stream", f"{_TVL_SQL} SELECT event_id FROM h WHERE breach")
 def drawdown_stream(spark, sf_dir):
     return run_to_end(twins.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), TVL), "drawdown").select("event_id")
 
@@ -51,14 +52,15 @@ def finality_stream(spark, sf_dir):
     return run_to_end(twins.finality(_stream(spark, sf_dir, "chain_events"), 2), "finality").withColumn("orphaned_from", F.col("orphaned_from").cast("long"))
 
 
-@query("a6_scenarios", "SELECT 'sc-' || (o_orderkey % 20) AS scenario_id, CASE WHEN o_orderkey % 20 = 3 THEN 'missing:chain' END AS reject FROM orders GROUP BY ALL")
+@query("a6_scenarios", "SELECT 'sc-' || s_suppkey AS scenario_id, CASE WHEN s_suppkey % 9 = 3 THEN 'missing:chain' END AS reject, CASE WHEN s_suppkey % 9 <> 3 THEN 'case ' || s_name END AS name FROM supplier")
 def scenarios(spark, sf_dir):
-    """Scenario files, one for each of twenty cases; one lacks a required key."""
+    """Scenario files, one for each supplier; some lack a required key."""
     path = shared_folder(spark, "scenarios")
-    k = view(spark, sf_dir, "orders").select((F.col("o_orderkey") % 20).alias("k")).distinct()
-    k.select("k", F.concat(F.lit("sc-"), F.col("k").cast("string")).alias("scenario_id"), F.when(F.col("k") != 3, "base").alias("chain"), F.lit("depeg").alias("incident_class"), F.array().cast("array<string>").alias("steps"), F.col("k").alias("case")).repartition("k").write.partitionBy("k").json(path)
+    s = view(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
+    rows = s.select("k", F.concat(F.lit("sc-"), F.col("k").cast("string")).alias("scenario_id"), F.concat(F.lit("case "), "s_name").alias("name"), F.when(F.col("k") % 9 != 3, "base").alias("chain"), F.lit("depeg").alias("incident_class"), F.array().cast("array<string>").alias("steps"))
+    rows.repartition("k").write.partitionBy("k").json(path)
     got = scans.read_scenarios(spark, path)
-    return got.select(F.concat(F.lit("sc-"), F.regexp_extract("path", "/k=([0-9]+)/", 1)).alias("scenario_id"), "reject")
+    return got.select(F.concat(F.lit("sc-"), F.regexp_extract("path", "/k=([0-9]+)/", 1)).alias("scenario_id"), "reject", F.get_json_object("scenario", "$.name").alias("name"))
 
 
 @query("a7_curated", "SELECT doc_id AS record_id, lang FROM documents")
@@ -80,11 +82,8 @@ def archive(spark, sf_dir):
     return found.join(spark.read.schema("tenant_id string, row_count long").json(f"{path}/manifest"), "tenant_id").select("tenant_id", "archived", F.col("row_count").alias("listed"))
 
 
-@query("l3_features", "SELECT detection_id, round(risk_score, 6) AS risk, CAST(n_rules AS DOUBLE) AS rules, pattern_id AS pattern FROM detections")
+@query("l3_features", "SELECT detection_id, round(risk_score, 6) AS risk, CAST(n_rules AS DOUBLE) AS rules, pattern_id AS pattern, CAST(2 AS INTEGER) + CAST(chain_slug IS NOT NULL AS INTEGER) AS n_labels FROM detections")
 def features(spark, sf_dir):
-    """Feature vectors: numbers and labels as maps."""
-    d = view(spark, sf_dir, "detections")
-    numbers = F.create_map(F.lit("risk"), F.col("risk_score"), F.lit("rules"), F.col("n_rules").cast("double"))
-    labels = F.create_map(F.lit("pattern"), F.col("pattern_id"))
-    v = d.select("detection_id", numbers.alias("numbers"), labels.alias("labels"))
-    return v.select("detection_id", F.round(F.col("numbers")["risk"], 6).alias("risk"), F.col("numbers")["rules"].alias("rules"), F.col("labels")["pattern"].alias("pattern"))
+    """Feature vectors: numbers and labels as maps, without nulls (L3)."""
+    v = feature_vectors(view(spark, sf_dir, "detections"), "detection_id", {"risk": "risk_score", "rules": "n_rules"}, {"pattern": "pattern_id", "chain": "chain_slug", "tx": "tx_hash"})
+    return v.select("detection_id", F.round(F.col("numbers")["risk"], 6).alias("risk"), F.col("numbers")["rules"].alias("rules"), F.col("labels")["pattern"].alias("pattern"), F.size("labels").alias("n_labels"))

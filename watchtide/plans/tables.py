@@ -23,26 +23,56 @@ def raw_feed(spark, sf_dir):
     return e.join(c.select("stream_id", "endpoint"), "stream_id").select("event_id", "stream_id", "user_id", F.round("value", 6).alias("value"), "endpoint")
 
 
-@query("a3_peg_policies", """
-WITH c AS (SELECT tenant_id, unnest(json_extract(config, '$[*]')) AS p FROM tenant_patterns WHERE pattern_id = 'dpeg' AND enabled)
+_ON = "FROM tenant_patterns t WHERE t.enabled AND EXISTS (SELECT 1 FROM patterns p WHERE p.pattern_id = t.pattern_id AND p.enabled)"
+#: A tenant's market policies from their JSON texts, with defaults.
+PEG_POLICIES_SQL = f"""
 SELECT tenant_id, p->>'$.market_key' AS market_key, coalesce(CAST(p->>'$.peg_target' AS DOUBLE), 1.0) AS peg_target, coalesce(CAST(p->>'$.min_sources' AS BIGINT), 3) AS min_sources, coalesce(CAST(p->>'$.quorum_pct' AS DOUBLE), 0.6) AS quorum_pct,
-       coalesce(CAST(p->>'$.cooldown_sec' AS BIGINT), 300) AS cooldown_sec, coalesce(CAST(p->>'$.stale_timeout_ms' AS BIGINT), 30000) AS stale_timeout_ms, coalesce(CAST(p->>'$.severity_bands.critical' AS DOUBLE), 5.0) AS band_critical
-FROM c WHERE coalesce(trim(p->>'$.market_key'), '') <> '' AND coalesce(CAST(p->>'$.peg_target' AS DOUBLE), 1.0) > 0""")
+       coalesce(CAST(p->>'$.sustained_window_ms' AS BIGINT), 60000) AS sustained_window_ms, coalesce(CAST(p->>'$.cooldown_sec' AS BIGINT), 300) AS cooldown_sec, coalesce(CAST(p->>'$.stale_timeout_ms' AS BIGINT), 30000) AS stale_timeout_ms,
+       coalesce(CAST(p->>'$.deescalation_blocks' AS BIGINT), 5) AS deescalation_blocks, coalesce(CAST(p->>'$.resolution_blocks' AS BIGINT), 30) AS resolution_blocks,
+       coalesce(CAST(p->>'$.isolated_floor_pct' AS DOUBLE), 0.5) AS isolated_floor_pct, coalesce(CAST(p->>'$.systemic_floor_pct' AS DOUBLE), 0.01) AS systemic_floor_pct,
+       coalesce(CAST(p->>'$.severity_bands.medium' AS DOUBLE), 0.5) AS iso_medium, coalesce(CAST(p->>'$.severity_bands.high' AS DOUBLE), 1.0) AS iso_high, coalesce(CAST(p->>'$.severity_bands.critical' AS DOUBLE), 5.0) AS iso_critical,
+       coalesce(CAST(p->>'$.severity_bands_systemic.medium' AS DOUBLE), 0.01) AS sys_medium, coalesce(CAST(p->>'$.severity_bands_systemic.high' AS DOUBLE), 0.25) AS sys_high, coalesce(CAST(p->>'$.severity_bands_systemic.critical' AS DOUBLE), 0.25) AS sys_critical,
+       CAST(p->'$.source_filter.cex_whitelist' AS VARCHAR[]) AS cex_whitelist, coalesce(CAST(p->>'$.source_filter.include_dex' AS BOOLEAN), true) AS include_dex,
+       coalesce(CAST(p->>'$.toggles.oracle_confirmation' AS BOOLEAN), false) AS oracle_confirmation, coalesce(CAST(p->>'$.toggles.volume_confirmation' AS BOOLEAN), false) AS volume_confirmation, coalesce(CAST(p->>'$.toggles.contagion_detection' AS BOOLEAN), false) AS contagion_detection,
+       p->'$.source_overrides' AS overrides
+FROM (SELECT tenant_id, unnest(json_extract(config, '$[*]')) AS p {_ON} AND pattern_id = 'dpeg')
+WHERE coalesce(trim(p->>'$.market_key'), '') <> '' AND coalesce(CAST(p->>'$.peg_target' AS DOUBLE), 1.0) > 0 AND coalesce(CAST(p->>'$.quorum_pct' AS DOUBLE), 0.6) BETWEEN 0 AND 1"""
+TVL_RULES_SQL = f"""
+SELECT tenant_id, rule_order, coalesce(r->>'$.rule_id', 'tvl-rule-' || (rule_order + 1)) AS rule_id, lower(coalesce(r->>'$.scope.protocol_id', r->>'$.protocol_id', 'aave_v3')) AS protocol_id, lower(coalesce(r->>'$.scope.chain_slug', r->>'$.chain_slug', 'base')) AS chain_slug,
+       nullif(lower(r->>'$.scope.market_id'), 'all') AS market_id, coalesce(CAST(r->>'$.thresholds.fast_drop_pct' AS DOUBLE), 20.0) AS fast_drop_pct, coalesce(CAST(r->>'$.thresholds.slow_drop_pct' AS DOUBLE), 35.0) AS slow_drop_pct, coalesce(CAST(r->>'$.thresholds.velocity_critical_pct' AS DOUBLE), 15.0) AS velocity_critical_pct,
+       CAST(CASE WHEN r->>'$.thresholds.fast_window_sec' IS NULL THEN 10 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.fast_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS fast_minutes, CAST(CASE WHEN r->>'$.thresholds.slow_window_sec' IS NULL THEN 60 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.slow_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS slow_minutes,
+       CAST(CASE WHEN r->>'$.thresholds.velocity_window_sec' IS NULL THEN 2 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.velocity_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS velocity_minutes, CAST(CASE WHEN r->>'$.contagion.overlap_window_sec' IS NULL THEN 5 ELSE greatest(1, ceil(CAST(r->>'$.contagion.overlap_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS concurrent_minutes,
+       coalesce(CAST(r->>'$.contagion.enabled' AS BOOLEAN), true) AS contagion_enabled, coalesce(CAST(r->>'$.min_tvl_floor_usd' AS DOUBLE), 1e6) AS min_tvl_floor_usd
+FROM (SELECT tenant_id, unnest(rules) AS r, unnest(range(len(rules))) AS rule_order FROM (SELECT tenant_id, json_extract(config, '$.rules[*]') AS rules {_ON} AND pattern_id = 'tvl_drop'))
+WHERE coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true)"""
+
+
+def enabled(spark, sf_dir, pattern):
+    return configs.enabled_configs(view(spark, sf_dir, "tenant_patterns"), view(spark, sf_dir, "patterns"), pattern)
+
+
+_PEG_COLUMNS = ("tenant_id", "market_key", "peg_target", "min_sources", "quorum_pct", "sustained_window_ms", "cooldown_sec", "stale_timeout_ms", "deescalation_blocks", "resolution_blocks", "isolated_floor_pct", "systemic_floor_pct", "include_dex", "oracle_confirmation", "contagion_detection")
+
+
+@query("a3_peg_policies", f"SELECT {', '.join(_PEG_COLUMNS)}, iso_critical, sys_medium, CAST(coalesce(json_array_length(json_keys(overrides)), 0) AS INTEGER) AS n_overrides, array_to_string(cex_whitelist, ',') AS cex_whitelist FROM ({PEG_POLICIES_SQL})".replace("json_array_length(json_keys(overrides))", "len(json_keys(overrides))"))
 def peg_policies(spark, sf_dir):
-    on = configs.enabled_configs(view(spark, sf_dir, "tenant_patterns"), view(spark, sf_dir, "patterns"), "dpeg")
-    return configs.peg_policies(on).select("tenant_id", "market_key", "peg_target", "min_sources", "quorum_pct", "cooldown_sec", "stale_timeout_ms", "band_critical")
+    got = configs.peg_policies(enabled(spark, sf_dir, "dpeg"))
+    bands = F.coalesce("severity_bands_isolated.critical", F.lit(5.0)).alias("iso_critical"), F.coalesce("severity_bands_systemic.medium", F.lit(0.01)).alias("sys_medium")
+    return got.select(*_PEG_COLUMNS, *bands, F.size("overrides").alias("n_overrides"), F.array_join("cex_whitelist", ",").alias("cex_whitelist"))
 
 
-@query("a3_flash_rules", "SELECT * FROM (VALUES ('tenant-0', 0, 'f1', 200000.0::DOUBLE, 1000.0::DOUBLE, 300::BIGINT), ('tenant-1', 0, 'default', 100000.0, 1000.0, 300)) t(tenant_id, rule_order, rule_id, min_loan_usd, min_profit_usd, cooldown_sec)")
+@query("a3_flash_rules", f"""
+WITH c AS (SELECT tenant_id, CASE WHEN json_valid(config) THEN json_extract(config, '$.rules[*]') END AS rules {_ON} AND pattern_id = 'flash_loan'),
+r AS (SELECT tenant_id, unnest(rules) AS r, unnest(range(len(rules))) AS rule_order FROM c WHERE rules IS NOT NULL)
+SELECT tenant_id, CAST(rule_order AS INTEGER) AS rule_order, r->>'$.rule_id' AS rule_id, coalesce(CAST(r->>'$.min_loan_usd' AS DOUBLE), 100000.0) AS min_loan_usd, coalesce(CAST(r->>'$.min_profit_usd' AS DOUBLE), 1000.0) AS min_profit_usd, coalesce(CAST(r->>'$.cooldown_sec' AS BIGINT), 300) AS cooldown_sec
+FROM r WHERE coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true) UNION ALL SELECT tenant_id, 0, 'default', 100000.0, 1000.0, 300 FROM c WHERE rules IS NULL""")
 def flash_rules(spark, sf_dir):
-    on = configs.enabled_configs(view(spark, sf_dir, "tenant_patterns"), view(spark, sf_dir, "patterns"), "flash_loan")
-    return configs.flash_rules(on)
+    return configs.flash_rules(enabled(spark, sf_dir, "flash_loan"))
 
 
-@query("a3_tvl_rules", "SELECT 'tenant-0' AS tenant_id, 't1' AS rule_id, 'proto-1' AS protocol_id, 20.0::DOUBLE AS fast_drop_pct, 35.0::DOUBLE AS slow_drop_pct, 5::BIGINT AS fast_minutes, 60::BIGINT AS slow_minutes, 2::BIGINT AS velocity_minutes")
+@query("a3_tvl_rules", f"SELECT * REPLACE (CAST(rule_order AS INTEGER) AS rule_order) FROM ({TVL_RULES_SQL})")
 def tvl_rules(spark, sf_dir):
-    on = configs.enabled_configs(view(spark, sf_dir, "tenant_patterns"), view(spark, sf_dir, "patterns"), "tvl_drop")
-    return configs.tvl_rules(on).select("tenant_id", "rule_id", "protocol_id", "fast_drop_pct", "slow_drop_pct", "fast_minutes", "slow_minutes", "velocity_minutes")
+    return configs.tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
 
 
 @query("a4_effective_streams", EFFECTIVE)
@@ -91,16 +121,19 @@ def state_samples(spark, sf_dir):
     return samples(calls).select("event_id", "metric", F.round("tvl_usd", 6).alias("tvl_usd"), "paused", "parse_error")
 
 
-@query("b1_insert_if_absent", "SELECT min(detection_id) AS detection_id, tx_hash FROM (SELECT tx_hash, arg_min(detection_id, arrival) AS detection_id FROM detections WHERE arrival % 2 = 1 GROUP BY tx_hash) WHERE tx_hash NOT IN (SELECT tx_hash FROM detections WHERE arrival % 2 = 0 AND arrival < 400) GROUP BY tx_hash")
+@query("b1_insert_if_absent", "SELECT arg_min(detection_id, arrival) AS detection_id, tx_hash FROM detections WHERE tx_hash NOT IN (SELECT tx_hash FROM alerts JOIN detections USING (detection_id) WHERE severity = 'critical') GROUP BY tx_hash".replace("WHERE severity", "WHERE alerts.severity"))
 def insert_if_absent(spark, sf_dir):
+    """Detections whose transaction has no critical alert yet, the first of each transaction."""
     d = view(spark, sf_dir, "detections")
-    return tables.insert_if_absent(d.where("arrival % 2 = 0 AND arrival < 400"), d.where("arrival % 2 = 1"), ["tx_hash"], ["arrival"]).select("detection_id", "tx_hash")
+    have = view(spark, sf_dir, "alerts").where("severity = 'critical'").select("detection_id").join(d.select("detection_id", "tx_hash"), "detection_id")
+    return tables.insert_if_absent(have, d, ["tx_hash"], ["arrival"]).select("detection_id", "tx_hash")
 
 
-@query("b2_upsert", "SELECT tx_hash, detection_id, severity FROM detections WHERE arrival % 3 < 2 QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY (arrival % 3 = 1) DESC, arrival DESC) = 1")
+@query("b2_upsert", "SELECT tx_hash, detection_id, severity FROM detections QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY (arrival % 3 = 1) DESC, arrival DESC) = 1")
 def upsert(spark, sf_dir):
+    """A third of the detections is upserted into the table of the others."""
     d = view(spark, sf_dir, "detections").select("tx_hash", "detection_id", "severity", "arrival")
-    return tables.upsert(d.where("arrival % 3 = 0"), d.where("arrival % 3 = 1"), ["tx_hash"], ["arrival"]).drop("arrival")
+    return tables.upsert(d.where("arrival % 3 != 1"), d.where("arrival % 3 = 1"), ["tx_hash"], ["arrival"]).drop("arrival")
 
 
 _CHANGES = """SELECT tx_hash AS case_id, arrival, CASE arrival % 3 WHEN 0 THEN 'incident' WHEN 1 THEN 'alert' ELSE 'detection' END AS kind, severity, incident_transition AS status, chain_slug AS chain, protocol FROM detections"""
@@ -147,14 +180,37 @@ def fan_out(spark, sf_dir):
 
 @query("b10_dispatch", """SELECT alert_id, channel, alert_id || ':' || channel AS dedup_key, severity FROM (SELECT *, unnest(CASE arrival % 3 WHEN 0 THEN ['slack', 'webhook'] WHEN 1 THEN ['telegram'] ELSE [] END) AS channel FROM alerts)""")
 def dispatch(spark, sf_dir):
-    channels = F.when(F.col("arrival") % 3 == 0, F.array(F.lit("Slack"), F.lit("pager"), F.lit("webhook"), F.lit("slack"))).when(F.col("arrival") % 3 == 1, F.array(F.lit("telegram"))).otherwise(F.array(F.lit("fax")))
-    return tables.dispatch_requests(view(spark, sf_dir, "alerts"), channels).select("alert_id", "channel", "dedup_key", "severity")
+    return tables.dispatch_requests(view(spark, sf_dir, "alerts"), _channels()).select("alert_id", "channel", "dedup_key", "severity")
+
+
+def _channels():
+    return F.when(F.col("arrival") % 3 == 0, F.array(F.lit("Slack"), F.lit("pager"), F.lit("webhook"), F.lit("slack"))).when(F.col("arrival") % 3 == 1, F.array(F.lit("telegram"))).otherwise(F.array(F.lit("fax")))
+
+
+@query("b10_dispatch_results", """SELECT alert_id, channel, arrival % 5 <> 0 OR channel = 'slack' AS delivered, CASE WHEN arrival % 5 = 0 AND channel <> 'slack' THEN CASE WHEN arrival % 2 = 0 THEN 'timeout' ELSE 'no_response' END END AS error
+FROM (SELECT *, unnest(CASE arrival % 3 WHEN 0 THEN ['slack', 'webhook'] WHEN 1 THEN ['telegram'] ELSE [] END) AS channel FROM alerts)""")
+def dispatch_results(spark, sf_dir):
+    """Requests with what the gateway answered of each alert: one result per channel."""
+    failed = F.expr("""CASE WHEN arrival % 2 = 0 THEN '{"channel":"webhook","success":false,"error":"timeout"},{"channel":"telegram","success":false,"error":"timeout"},' ELSE '' END""")
+    answer = F.concat(F.lit('{"results":['), F.when(F.col("arrival") % 5 == 0, failed).otherwise('{"channel":"webhook","success":true},{"channel":"telegram","success":true},'), F.lit('{"channel":"SLACK","success":true}]}'))
+    a = view(spark, sf_dir, "alerts")
+    return tables.dispatch_results(tables.dispatch_requests(a, _channels()), a.select("alert_id", answer.alias("response"))).select("alert_id", "channel", "delivered", "error")
 
 
 @query("b11_batch_metrics", "SELECT source_id, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (price IS NULL) AS BIGINT) AS n_failed, CAST(count(price) AS BIGINT) AS n_parsed FROM quotes GROUP BY source_id")
 def batch_metrics(spark, sf_dir):
-    q = view(spark, sf_dir, "quotes").withColumn("parse_error", F.when(F.col("price").isNull(), "missing_price"))
-    return tables.batch_metrics(q, ["source_id"])
+    return tables.batch_metrics(_batch(spark, sf_dir), ["source_id"])
+
+
+def _batch(spark, sf_dir):
+    return view(spark, sf_dir, "quotes").withColumn("parse_error", F.when(F.col("price").isNull(), "missing_price"))
+
+
+@query("b11_failure_rows", "SELECT event_id, source_id, 'missing_price' AS parse_error, epoch_us(observed_at) AS failed_us, '{\"event_id\":' || event_id || ',\"source_id\":\"' || source_id || '\"}' AS record FROM quotes WHERE price IS NULL")
+def failure_rows(spark, sf_dir):
+    """The rows of a batch that failed, with their error and record."""
+    got = tables.failure_rows(_batch(spark, sf_dir), ["event_id", "source_id"])
+    return got.select("event_id", "source_id", "parse_error", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("failed_us"), "record")
 
 
 @query("b12_export_manifest", "SELECT tenant_id, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', detection_id, severity)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM detections GROUP BY tenant_id")

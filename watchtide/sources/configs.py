@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _BANDS = "struct<medium:double,high:double,critical:double>"
-_POLICY = f"array<struct<market_key:string,peg_target:double,min_sources:bigint,quorum_pct:double,sustained_window_ms:bigint,cooldown_sec:bigint,stale_timeout_ms:bigint,deescalation_blocks:bigint,resolution_blocks:bigint,severity_bands:{_BANDS},enabled:boolean>>"
+_OVERRIDE = "struct<source_id:string,weight:double,enabled:boolean,stale_timeout_ms:bigint>"
+_POLICY = (
+    "array<struct<market_key:string,peg_target:double,min_sources:bigint,quorum_pct:double,sustained_window_ms:bigint,cooldown_sec:bigint,stale_timeout_ms:bigint,deescalation_blocks:bigint,resolution_blocks:bigint,"
+    f"isolated_floor_pct:double,systemic_floor_pct:double,severity_bands:{_BANDS},severity_bands_isolated:{_BANDS},severity_bands_systemic:{_BANDS},"
+    "source_filter:struct<cex_whitelist:array<string>,include_oracles:boolean,include_aggregators:boolean,include_dex:boolean,min_healthy_sources:bigint>,"
+    f"toggles:struct<oracle_confirmation:boolean,volume_confirmation:boolean,contagion_detection:boolean>,source_overrides:map<string,{_OVERRIDE}>>>"
+)
 _FLASH = "struct<rules:array<struct<rule_id:string,enabled:boolean,min_loan_usd:double,min_profit_usd:double,cooldown_sec:bigint>>>"
-_TVL = "struct<rules:array<struct<rule_id:string,protocol_id:string,chain_slug:string,market_id:string,enabled:boolean,thresholds:struct<fast_drop_pct:double,slow_drop_pct:double,velocity_critical_pct:double,fast_window_sec:bigint,slow_window_sec:bigint,velocity_window_sec:bigint>,min_tvl_floor_usd:double>>>"
+_TVL = (
+    "struct<rules:array<struct<rule_id:string,protocol_id:string,chain_slug:string,market_id:string,enabled:boolean,scope:struct<protocol_id:string,chain_slug:string,market_id:string>,"
+    "thresholds:struct<fast_drop_pct:double,slow_drop_pct:double,velocity_critical_pct:double,fast_window_sec:bigint,slow_window_sec:bigint,velocity_window_sec:bigint>,"
+    "contagion:struct<enabled:boolean,overlap_window_sec:bigint>,min_tvl_floor_usd:double>>>"
+)
 #: Defaults of a policy or rule (fixed values).
-PEG_DEFAULTS = {"peg_target": 1.0, "min_sources": 3, "quorum_pct": 0.6, "sustained_window_ms": 60_000, "cooldown_sec": 300, "stale_timeout_ms": 30_000, "deescalation_blocks": 5, "resolution_blocks": 30}
+PEG_DEFAULTS = {"peg_target": 1.0, "min_sources": 3, "quorum_pct": 0.6, "sustained_window_ms": 60_000, "cooldown_sec": 300, "stale_timeout_ms": 30_000, "deescalation_blocks": 5, "resolution_blocks": 30, "isolated_floor_pct": 0.5, "systemic_floor_pct": 0.01}
 FLASH_DEFAULTS = {"min_loan_usd": 100_000.0, "min_profit_usd": 1_000.0, "cooldown_sec": 300}
-TVL_DEFAULTS = {"fast_drop_pct": 20.0, "slow_drop_pct": 35.0, "velocity_critical_pct": 15.0, "fast_minutes": 10, "slow_minutes": 60, "velocity_minutes": 2, "min_tvl_floor_usd": 1e6}
+TVL_DEFAULTS = {"fast_drop_pct": 20.0, "slow_drop_pct": 35.0, "velocity_critical_pct": 15.0, "fast_minutes": 10, "slow_minutes": 60, "velocity_minutes": 2, "concurrent_minutes": 5, "min_tvl_floor_usd": 1e6, "protocol_id": "aave_v3", "chain_slug": "base"}
 
 
 def enabled_configs(tenant_patterns: DataFrame, patterns: DataFrame, pattern: str) -> DataFrame:
@@ -25,11 +35,21 @@ def enabled_configs(tenant_patterns: DataFrame, patterns: DataFrame, pattern: st
 
 
 def peg_policies(configs: DataFrame) -> DataFrame:
-    """One row per market policy; those without market or with a peg that isn't positive are invalid."""
-    rows = configs.select("tenant_id", F.explode(F.from_json("config", _POLICY)).alias("p"))
+    """One row per market policy, as ``detectors.peg_evaluations`` takes them; those without market or with settings
+    out of range are invalid. Of several for one market, the last one counts."""
+    rows = configs.select("tenant_id", F.posexplode(F.from_json("config", _POLICY)).alias("place", "p"))
     fields = [F.coalesce(F.col(f"p.{k}"), F.lit(v)).alias(k) for k, v in PEG_DEFAULTS.items()]
-    bands = [F.coalesce(F.col(f"p.severity_bands.{k}"), F.lit(v)).alias(f"band_{k}") for k, v in (("medium", 0.5), ("high", 1.0), ("critical", 5.0))]
-    return rows.select("tenant_id", F.col("p.market_key").alias("market_key"), *fields, *bands).where("coalesce(trim(market_key), '') != '' AND peg_target > 0")
+    wanted = F.coalesce("p.severity_bands_isolated", F.when(F.col("p.severity_bands.medium") > 0, F.col("p.severity_bands")))
+    flag = lambda path, name, default: F.coalesce(F.col(f"p.{path}.{name}"), F.lit(default)).alias(name)
+    out = rows.select(
+        "tenant_id", F.col("p.market_key").alias("market_key"), "place", *fields, wanted.alias("severity_bands_isolated"), F.col("p.severity_bands_systemic").alias("severity_bands_systemic"),
+        F.col("p.source_filter.cex_whitelist").alias("cex_whitelist"), *(flag("source_filter", k, True) for k in ("include_oracles", "include_aggregators", "include_dex")), flag("source_filter", "min_healthy_sources", 1),
+        *(flag("toggles", k, False) for k in ("oracle_confirmation", "volume_confirmation", "contagion_detection")), F.coalesce("p.source_overrides", F.create_map().cast(f"map<string,{_OVERRIDE}>")).alias("overrides"),
+    )
+    positive = " AND ".join(f"{k} > 0" for k in ("peg_target", "min_sources", "sustained_window_ms", "stale_timeout_ms", "isolated_floor_pct", "systemic_floor_pct", "deescalation_blocks", "resolution_blocks"))
+    valid = out.where(f"coalesce(trim(market_key), '') != '' AND {positive} AND quorum_pct BETWEEN 0 AND 1 AND cooldown_sec >= 0")
+    last = F.max_by(F.struct(*(c for c in out.columns if c not in ("tenant_id", "market_key", "place"))), "place").alias("x")
+    return valid.groupBy("tenant_id", "market_key").agg(last).select("tenant_id", "market_key", "x.*")
 
 
 def flash_rules(configs: DataFrame) -> DataFrame:
@@ -41,11 +61,17 @@ def flash_rules(configs: DataFrame) -> DataFrame:
 
 
 def tvl_rules(configs: DataFrame) -> DataFrame:
-    """Enabled drawdown rules; windows in whole minutes, 1 at least."""
+    """Enabled drawdown rules; windows in whole minutes, 1 at least. A market only counts if it isn't ``all``."""
     rows = configs.select("tenant_id", F.posexplode(F.from_json("config", _TVL)["rules"]).alias("rule_order", "r")).where("coalesce(r.enabled, true)")
     t = lambda k: F.coalesce(F.col(f"r.thresholds.{k}"), F.lit(TVL_DEFAULTS[k])).alias(k)
-    m = lambda k: F.when(F.col(f"r.thresholds.{k}_window_sec").isNull(), F.lit(TVL_DEFAULTS[f"{k}_minutes"])).otherwise(F.greatest(F.ceil(F.col(f"r.thresholds.{k}_window_sec") / 60), F.lit(1))).cast("bigint").alias(f"{k}_minutes")
-    return rows.select("tenant_id", "rule_order", *(F.col(f"r.{k}").alias(k) for k in ("rule_id", "protocol_id", "chain_slug", "market_id")), t("fast_drop_pct"), t("slow_drop_pct"), t("velocity_critical_pct"), m("fast"), m("slow"), m("velocity"), F.coalesce("r.min_tvl_floor_usd", F.lit(1e6)).alias("min_tvl_floor_usd"))
+    minutes = lambda sec, k: F.when(F.col(sec).isNull(), F.lit(TVL_DEFAULTS[f"{k}_minutes"])).otherwise(F.greatest(F.ceil(F.col(sec) / 60), F.lit(1))).cast("bigint").alias(f"{k}_minutes")
+    scope = lambda k: F.lower(F.trim(F.coalesce(f"r.scope.{k}", f"r.{k}", F.lit(TVL_DEFAULTS.get(k)))))
+    market = F.when(~scope("market_id").isin("", "all"), scope("market_id"))
+    return rows.select(
+        "tenant_id", "rule_order", F.coalesce("r.rule_id", F.concat(F.lit("tvl-rule-"), (F.col("rule_order") + 1).cast("string"))).alias("rule_id"), scope("protocol_id").alias("protocol_id"), scope("chain_slug").alias("chain_slug"), market.alias("market_id"),
+        t("fast_drop_pct"), t("slow_drop_pct"), t("velocity_critical_pct"), *(minutes(f"r.thresholds.{k}_window_sec", k) for k in ("fast", "slow", "velocity")), minutes("r.contagion.overlap_window_sec", "concurrent"),
+        F.coalesce("r.contagion.enabled", F.lit(True)).alias("contagion_enabled"), F.coalesce("r.min_tvl_floor_usd", F.lit(TVL_DEFAULTS["min_tvl_floor_usd"])).alias("min_tvl_floor_usd"),
+    )
 
 
 def effective_streams(sources: DataFrame, streams: DataFrame, targets: DataFrame) -> DataFrame:

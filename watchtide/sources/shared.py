@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one where the setting is absent."""
+    """A new folder below ``spark.checkpoint.dir``; below a temporary one where the setting is absent
+    on one machine (on a cluster that is an error, as executors couldn't see it)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root}/{name}-{uuid.uuid4().hex}"

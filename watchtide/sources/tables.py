@@ -77,10 +77,24 @@ def dispatch_requests(alerts: DataFrame, channels: Column) -> DataFrame:
     return rows.withColumn("dedup_key", F.concat_ws(":", "alert_id", "channel"))
 
 
+def dispatch_results(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """What became of each request: ``responses`` has a JSON text per alert with a result for each channel. Where
+    a response or its result for the channel is missing, the request failed with ``no_response``."""
+    parsed = F.from_json("response", "struct<results:array<struct<channel:string,success:boolean,error:string>>>")["results"]
+    answered = responses.select("alert_id", F.explode(parsed).alias("r")).groupBy("alert_id", F.lower("r.channel").alias("channel")).agg(F.max(F.struct("r.success", "r.error")).alias("r"))
+    rows = requests.join(answered, ["alert_id", "channel"], "left")
+    return rows.withColumn("delivered", F.coalesce("r.success", F.lit(False))).withColumn("error", F.when(~F.col("delivered"), F.coalesce("r.error", F.lit("no_response")))).drop("r")
+
+
 def batch_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count("parse_error").alias("n_failed"), F.count(F.when(F.col("parse_error").isNull(), 1)).alias("n_parsed"))
 
 
+def failure_rows(rows: DataFrame, record: list[str]) -> DataFrame:
+    """Side output of a batch: the rows that couldn't be parsed, with the columns ``record`` as JSON."""
+    return rows.where("parse_error IS NOT NULL").withColumn("record", F.to_json(F.struct(*record)))
+
+
 def export_manifest(rows: DataFrame, partition: list[str], columns: list[str]) -> DataFrame:
     """Row count and checksum of each partition. Rows are digested first, and the digests are added up in a
     way that doesn't depend on their order, so no partition is gathered in one task."""

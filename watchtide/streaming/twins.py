@@ -54,18 +54,13 @@ def _folded(events: DataFrame, keys: list[str], order: list[str], start, step, s
     return events.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
 
 
-def peg_transitions(evaluations: DataFrame, policy: dict) -> DataFrame:
+def peg_transitions(evaluations: DataFrame, policy: dict | None = None) -> DataFrame:
     """Hysteresis of peg deviation over a stream of evaluations."""
 
     def step(s, key, rows):
-        out = []
-        for r in rows.itertuples():
-            got = detectors.peg_step(s, int(r.now), bool(r.breach), int(r.rank), float(r.divergence), bool(r.has_quotes), policy)
-            if got:
-                out.append((*key, r.event_id, *got, r.divergence))
-        return out
+        return [(*key, r.event_id, *got, r.divergence) for r in rows.itertuples() if (got := detectors.peg_fold(s, r))]
 
-    return _folded(evaluations, ["tenant_id", "market_key"], ["now", "event_id"], detectors.peg_start, step, detectors.PEG_SCHEMA)
+    return _folded(detectors.with_policy(evaluations, policy).drop("context", "confidence"), ["tenant_id", "market_key"], ["now", "event_id"], detectors.peg_start, step, detectors.PEG_SCHEMA)
 
 
 def flash_detections(events: DataFrame, rules: DataFrame) -> DataFrame:
