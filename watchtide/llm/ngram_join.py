@@ -20,7 +20,9 @@ with nothing). Two documents link if ``100 * |intersection| >= percent * |union|
    worth a row. Two groups qualify if their unions overlap in ``OVERLAP`` shingles (or as many as their smallest
    sizes need) and their sizes allow a link. Only qualifying groups are opened, and only pairs of documents of
    different groups are compared that have as many of those shingles in common themselves. Groups of copies are
-   thus never expanded into all pairs.
+   thus never expanded into all pairs. Where a row of the matrix would bring together too many documents (families of texts that are
+   nearly, but not quite similar enough), they are dealt into blocks, and every two blocks compare their
+   documents' sketches as a matrix; only pairs that may link come out.
 
 Before texts are fetched, an odd sketch of each set (parities of 1,024 hashed shingle counts) gives a lower
 bound on how many shingles two sets differ in; pairs that differ in too many are dropped with certainty.
@@ -49,6 +51,8 @@ WIDTH, PERCENT = 4, 85
 FEW, LEADERS, STEPS = 12, 4, (3, 8, 32, 128, 512, 2048, 8192, 32768)
 #: Groups that share a shingle before it is called busy; shingles in common that open a group.
 BUSY, OVERLAP = 12, 3
+#: Pairs of documents of one matrix row from which it is hot, and documents of a block.
+HOT, BLOCK = 1 << 12, 256
 SKETCH = 1024
 
 _BASE = 0x9E3779B97F4A7C15
@@ -98,7 +102,7 @@ class Shingler:
         """The sorted distinct shingle hashes of each text."""
         offsets, data = text_buffer(column)
         k = self.width
-        for a, b in byte_windows(offsets, 1 << 20):
+        for a, b in byte_windows(offsets, 1 << 18):
             row, word = self.words(offsets[a : b + 1] - offsets[a], data[offsets[a] : offsets[b]])
             ends = np.searchsorted(row, np.arange(b - a + 1))
             sums = np.zeros(max(0, len(word) - k + 1), np.uint64)
@@ -245,19 +249,21 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
 
     def compare(batches):
         shingler = Shingler(width)
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            sets = {}
-            for ids_, texts_ in ((a, batch.column(2)), (b, batch.column(3))):
-                new = {x: i for i, x in enumerate(ids_.tolist()) if x not in sets}
-                sets.update(zip(new, shingler.sets(texts_.take(pa.array(list(new.values()), pa.int64()))), strict=True))
-            keep = []
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                x, y = sets[x], sets[y]
-                at = np.searchsorted(y, x)
-                common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # so many pairs have their sets in memory at once
+                batch = whole.slice(at, 1024)
+                a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                sets = {}
+                for ids_, texts_ in ((a, batch.column(2)), (b, batch.column(3))):
+                    new = {x: i for i, x in enumerate(ids_.tolist()) if x not in sets}
+                    sets.update(zip(new, shingler.sets(texts_.take(pa.array(list(new.values()), pa.int64()))), strict=True))
+                keep = []
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    x, y = sets[x], sets[y]
+                    at_y = np.searchsorted(y, x)
+                    common = int((y[np.minimum(at_y, len(y) - 1)] == x).sum()) if len(y) else 0
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     out = stored(with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
     dropped(near)
@@ -266,6 +272,38 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return out
 
 
+def _block_pairs(larger: DataFrame, smaller: DataFrame, hot: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of the hot matrix rows (``token, kind, docs_a, docs_b``) that sizes, places and sketches let link, as a stored table."""
+    numbers = ("node", "g", "n", "room")
+
+    def pack(group):
+        first, sketch = group.slice(0, 1), group["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        own = [pa.array([group[c].to_numpy().astype("<i8").tobytes()], pa.binary()) for c in numbers]
+        return pa.table([first["token"], first["kind"], *own, pa.array([sketch.astype("<i8").tobytes()], pa.binary())], ["token", "kind", *numbers, "sketch"])
+
+    def packed(rows: DataFrame, side: str) -> DataFrame:
+        rows = rows.join(hot, ["token", "kind"]).select("token", "kind", F.col(side).alias("node"), F.col(f"g{side}").alias("g"), F.col(f"n_{side}").alias("n"), F.col(f"room_{side}").alias("room"), F.pmod(F.xxhash64(side), F.ceil(F.col(f"docs_{side}") / BLOCK)).alias("block"))
+        rows = rows.join(known.select("node", "sketch"), "node").select("token", "kind", "block", *numbers, "sketch")
+        out = rows.groupBy("token", "kind", "block").applyInArrow(pack, "token long, kind long, node binary, g binary, n binary, room binary, sketch binary")
+        return out.select("token", "kind", *(F.col(c).alias(f"{c}_{side}") for c in (*numbers, "sketch")))
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                (a, ga, n_a, room_a), (b, gb, n_b, room_b) = ([np.frombuffer(r[f"{c}_{k}"], "<i8") for c in numbers] for k in "ab")
+                x, y = (np.frombuffer(r[f"sketch_{k}"], "<u8").reshape(-1, SKETCH // 64) for k in "ab")
+                ok = (ga[:, None] != gb) & (n_a[:, None] >= n_b) & (n_a[:, None] * percent <= n_b * 100) & (room_a[:, None] >= n_b) & (room_b >= n_a[:, None])
+                i, j = np.nonzero(ok)
+                apart = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64)
+                keep = apart * (100 + percent) <= (n_a[i] + n_b[j]) * (100 - percent)
+                p, q = a[i[keep]], b[j[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["a", "b"])
+
+    both = packed(larger, "a").join(packed(smaller, "b"), ["token", "kind"]).drop("token", "kind")
+    names = [f"{c}_{k}" for k in "ab" for c in (*numbers, "sketch")]
+    return stored(both.select(*names).mapInArrow(compare, "a long, b long").distinct())
+
+
 def row_key(doc_id: Column, text: Column) -> Column:
     """A row's id and text in 64 bits; null without id."""
     return F.when(doc_id.isNotNull(), F.xxhash64(doc_id.cast("long"), text.cast("string")))
@@ -338,10 +376,14 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     larger = placed.where(F.col("room") * 100 >= F.col("n") * percent)
     larger = larger.withColumn("kind", F.explode(F.sequence(kind(F.ceil(F.col("n") * percent / 100)), kind(F.least("n", "room"))))).select("token", "kind", F.col("g").alias("ga"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
     smaller = placed.where("short").select("token", kind(F.col("n")).alias("kind"), F.col("g").alias("gb"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"))
-    larger, smaller = stored(larger), stored(smaller)
+    all_larger, all_smaller = larger, smaller = stored(larger), stored(smaller)
     dropped(posts)
     dropped(groups)
     released(spark)
+    count = lambda rows, name: rows.groupBy("token", "kind").agg(F.count("*").alias(name))
+    hot = stored(count(larger, "docs_a").join(count(smaller, "docs_b"), ["token", "kind"]).where(F.col("docs_a") * F.col("docs_b") > HOT))
+    in_blocks = _block_pairs(larger, smaller, hot, known, percent)
+    larger, smaller = (rows.join(hot.select("token", "kind"), ["token", "kind"], "left_anti") for rows in (all_larger, all_smaller))
     x = larger.groupBy("token", "kind", "ga").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_a", "room_a")))
     y = smaller.groupBy("token", "kind", "gb").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n_b", "room_b")))
     may_link = F.expr(f"ga != gb AND max_n_a >= min_n_b AND max_room_a >= min_n_b AND max_room_b >= min_n_a AND min_n_a * {percent} <= max_n_b * 100")
@@ -352,8 +394,9 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = F.expr(f"n_a >= n_b AND n_a * {percent} <= n_b * 100 AND room_a >= n_b AND room_b >= n_a")
     across = opened.drop("min_n_b").join(qualified, ["kind", "ga", "gb"], "left_semi").join(smaller, ["token", "kind", "gb"]).where(bounds).drop("min_n_a", "max_n_a", "max_room_a").join(larger, ["token", "kind", "ga"]).where(links)
     pairs = across.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).where(enough("n_a", "n_b"))
-    second = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), known, docs, width, percent)
-    for x in (opened, larger, smaller, known):
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(in_blocks)
+    second = _verified(pairs.distinct(), known, docs, width, percent)
+    for x in (opened, all_larger, all_smaller, hot, in_blocks, known):
         dropped(x)
     final = connected(first.unionByName(more).unionByName(second).unionByName(same))
     for x in (first, more, second, same_id):
