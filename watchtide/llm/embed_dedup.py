@@ -3,9 +3,14 @@
 Rotations are learned on a bounded sample so that the signs of a centred, rotated vector make a balanced
 binary code with little quantisation error (a few rotations from different fixed starts, one code each).
 Every vector is coded. Each code is cut into substrings, one hash table each; a vector probes a table with its
-own substring and those that differ in one bit. A pair is taken from the first table that brings it together,
-and only if the codes' whole Hamming distance is small. The pairs are reranked by the original vectors: cosine
-in double precision, so that no pair below the threshold ever links.
+own substring and those that differ in one bit. Substrings grow with the logarithm of the number of vectors, so that
+a table's buckets don't, and there are as many rotations as keep the expected recall (``RECALL`` at the threshold).
+
+Vectors are sorted by their first code and cut into blocks. Where many vectors of a block share a bucket with many of
+another (a dense group of near copies), the two blocks are compared as a whole, once, as a matrix product; out of that come
+counts and a few links that hold the found components together, never all pairs. Other pairs are taken from the first
+table that brings them together, if the codes' whole Hamming distance is small. All are compared by the original
+vectors: cosine in double precision, so that no pair below the threshold ever links.
 
 Equal vectors are one class, compared once. Vectors that are null, zero, or hold null or non-finite
 components link with nothing; vectors of different lengths don't link. A row without id links with nothing
@@ -25,8 +30,20 @@ from pyspark.sql import types as T
 from .common import dropped, stored
 from .components import connected
 
-#: Rotations, rows to learn from, bits in a table's substring, whole distance up to which pairs are reranked (share of the bits).
-ROTATIONS, SAMPLE, SUBSTRING, REACH = 3, 4096, 16, 0.3
+#: Rows to learn from, least bits of a table's substring, whole distance up to which pairs are reranked (share of the bits), expected recall at the threshold.
+SAMPLE, SUBSTRING, REACH, RECALL = 4096, 16, 0.3, 0.985
+#: Vectors of a block, and vectors of a block in one bucket from which it is dense there.
+BLOCK, DENSE = 256, 8
+
+
+def tables(n: int, bits: int, least: float, substring: int = SUBSTRING, recall: float = RECALL) -> tuple[int, int]:
+    """Bits of a substring and rotations for ``n`` vectors: a bit of two vectors at the threshold's angle differs by
+    chance ``p``, and a table finds them if at most one of its bits does."""
+    size = min(bits, max(substring, (n - 1).bit_length()))
+    p = float(np.arccos(np.clip(least, -1, 1)) / np.pi)
+    found = (1 - p) ** size + size * p * (1 - p) ** (size - 1)
+    wanted = np.log(1 - recall) / np.log1p(-min(found, 1 - 1e-9))
+    return size, max(1, int(np.ceil(wanted / (bits // size))))
 
 
 @dataclass
@@ -49,7 +66,7 @@ class Quantiser:
         return out
 
 
-def learn(x: np.ndarray, rotations: int = ROTATIONS, rounds: int = 40) -> Quantiser:
+def learn(x: np.ndarray, rotations: int = 3, rounds: int = 40) -> Quantiser:
     """Principal directions, then alternately the nearest signs and the rotation that fits them best."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
@@ -88,7 +105,7 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, rotations: int = ROTATIONS, sample: int = SAMPLE, substring: int = SUBSTRING, reach: float = REACH) -> DataFrame:
+def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, sample: int = SAMPLE, substring: int = SUBSTRING, reach: float = REACH, dense: int = DENSE) -> DataFrame:
     """Per row ``id, n_links, component_id, kept``; ``least`` is the cosine from which two vectors link."""
     own = df.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{embedding}`").alias("v"))
     kind = own.schema["v"].dataType
@@ -102,14 +119,11 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     nodes = stored(valid.groupBy("print").agg(F.min("id").alias("node"), F.count("*").alias("copies")))
     vectors = stored(valid.join(nodes.withColumnRenamed("node", "id"), ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).select(F.col("id").alias("node"), "v"))
     drawn = vectors.orderBy(F.xxhash64("node"), "node").limit(sample).toArrow()
+    copies = stored(nodes.groupBy("node").agg(F.sum("copies").alias("copies")))
     if not drawn.num_rows:
-        links = df.sparkSession.createDataFrame([], "a long, b long")
+        links, linked = stored(df.sparkSession.createDataFrame([], "a long, b long")), stored(df.sparkSession.createDataFrame([], "node long, linked long"))
     else:
-        links = _links(vectors, drawn.column("v").combine_chunks(), kind, least, rotations, substring, reach)
-    links = stored(links)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = nodes.groupBy("node").agg(F.sum("copies").alias("copies"))
-    linked = both.join(copies.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked")).withColumnRenamed("a", "node")
+        links, linked = _links(vectors, copies, drawn.column("v").combine_chunks(), kind, least, substring, reach, dense)
     final = connected(links)
     classes = nodes.join(linked, "node", "left").join(final, "node", "left").select(
         "print", F.col("node").alias("node_"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")
@@ -124,13 +138,19 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     others = others.unionByName(own.where("id is not null and v is not null").mapInArrow(rest, T.StructType([own.schema["id"]])))
     out = found.unionByName(others.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("found")))
     out = stored(out.select("id", "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(False)).alias("kept")))
-    for x in (valid, nodes, vectors, links):
+    for x in (valid, nodes, vectors, copies, links, linked, final):
         dropped(x)
     return out
 
 
-def _links(vectors: DataFrame, drawn: pa.Array, kind: T.DataType, least: float, rotations: int, substring: int, reach: float) -> DataFrame:
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x / np.linalg.norm(x, axis=1)[:, None]) @ (y / np.linalg.norm(y, axis=1)[:, None]).T
+
+
+def _links(vectors: DataFrame, copies: DataFrame, drawn: pa.Array, kind: T.DataType, least: float, substring: int, reach: float, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` that hold the components together, and ``node, linked``: copies of others that a node links with."""
     width = int(np.median(drawn.value_lengths().to_numpy()))
+    size, rotations = tables(vectors.count(), min(64, width), least, substring)
     model = learn(_matrix(drawn, width), rotations)
     shared = vectors.sparkSession.sparkContext.broadcast(model)
     names = [f"c{i}" for i in range(rotations)]
@@ -138,24 +158,42 @@ def _links(vectors: DataFrame, drawn: pa.Array, kind: T.DataType, least: float,
     def code(batches):
         for batch in batches:
             codes = shared.value.codes(_matrix(batch.column(1), width)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(rotations))], ["node", *names])
-
-    coded = stored(vectors.mapInArrow(code, "node long, " + ", ".join(f"{c} long" for c in names)))
-    cuts = [(i, at, min(substring, model.bits - at)) for i in range(rotations) for at in range(0, model.bits, substring)]
-    part = lambda c, at, size: F.shiftrightunsigned(c, at).bitwiseAND((1 << size) - 1)
-    entries = coded.select("node", *names, F.posexplode(F.array(*(part(f"c{i}", at, size) for i, at, size in cuts))).alias("t", "key"))
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(substring)))
-    probes = coded.select(F.col("node").alias("a"), *(F.col(c).alias(f"x{c}") for c in names), F.posexplode(F.array(*(part(f"c{i}", at, size) for i, at, size in cuts))).alias("t", "own"))
-    probes = probes.select("a", *(f"x{c}" for c in names), "t", F.explode(F.transform(flips, lambda f: F.col("own").bitwiseXOR(f))).alias("key"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(codes[:, i])) for i in range(rotations))], ["node", "v", "copies", *names])
+
+    def place(batches):
+        at = 0
+        for batch in batches:
+            own = (np.arange(at, at + batch.num_rows) // BLOCK).astype(np.int64)
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], [*batch.schema.names, "block"])
+
+    coded = vectors.join(copies, "node").select("node", "v", "copies").mapInArrow(code, T.StructType([T.StructField("node", T.LongType()), T.StructField("v", kind), T.StructField("copies", T.LongType()), *(T.StructField(c, T.LongType()) for c in names)]))
+    ordered = coded.repartitionByRange("c0", "node").withColumn("part", F.spark_partition_id().cast("long")).sortWithinPartitions("c0", "node")
+    placed = stored(ordered.mapInArrow(place, T.StructType([*ordered.schema.fields, T.StructField("block", T.LongType())])).withColumn("block", F.col("part") * (1 << 40) + F.col("block")).drop("part"))
+
+    cuts = [(i, at) for i in range(rotations) for at in range(0, model.bits - size + 1, size)]
+    part = lambda c, at: F.shiftrightunsigned(c, at).bitwiseAND((1 << size) - 1)
+    keys = F.array(*(part(f"c{i}", at) for i, at in cuts))
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(size)))
+    probing = lambda rows: rows.withColumn("key", F.explode(F.transform(flips, lambda f: F.col("key").bitwiseXOR(f))))
+    # blocks that are dense in the same bucket, or in two that differ in a bit
+    entries = placed.select("node", "block", *names, F.posexplode(keys).alias("t", "key"))
+    cells = stored(entries.groupBy("t", "key", "block").agg(F.count("*").alias("n")).where(F.col("n") >= dense).drop("n"))
+    opened = cells.join(probing(cells).withColumnRenamed("block", "other"), ["t", "key"]).select(F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b")).distinct()
+    opened = stored(opened)
+    sparse = entries.join(cells, ["t", "key", "block"], "left_anti")
+    crowded = entries.join(cells, ["t", "key", "block"], "left_semi")
+    renamed = lambda rows: probing(rows).select("t", "key", F.col("node").alias("a"), F.col("block").alias("other"), *(F.col(c).alias(f"x{c}") for c in names))
     apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"x{c}"))) for c in names[1:]), F.bit_count(F.col("c0").bitwiseXOR(F.col("xc0"))))
-    meets = F.array(*(F.bit_count(part(F.col(f"c{i}").bitwiseXOR(F.col(f"xc{i}")), at, size)) <= 1 for i, at, size in cuts))
-    pairs = (
-        entries.join(probes, ["t", "key"])
-        .where((F.col("a") < F.col("node")) & (apart <= int(reach * rotations * model.bits)))
-        .where(F.array_position(meets, F.lit(True)) == F.col("t") + 1)
-        .select("a", F.col("node").alias("b"))
-    )
-    side = lambda name, v: vectors.select(F.col("node").alias(name), F.col("v").alias(v))
+    meets = F.array(*(F.bit_count(part(F.col(f"c{i}").bitwiseXOR(F.col(f"xc{i}")), at)) <= 1 for i, at in cuts))
+    near = (F.col("a") != F.col("node")) & (apart <= int(reach * rotations * model.bits))
+    # a pair comes from its first table; sparse with sparse once, sparse with crowded once
+    once = F.array_position(meets, F.lit(True)) == F.col("t") + 1
+    in_order = lambda rows: rows.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"), F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
+    alike = in_order(sparse.join(renamed(sparse), ["t", "key"]).where(near & once & (F.col("a") < F.col("node"))))
+    mixed = in_order(sparse.join(renamed(crowded), ["t", "key"]).where(near)).distinct()
+    pairs = stored(alike.unionByName(mixed).distinct().join(opened, ["block_a", "block_b"], "left_anti").select("a", "b"))
+    side = lambda name, v: placed.select(F.col("node").alias(name), F.col("v").alias(v))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def rerank(batches):
@@ -171,4 +209,47 @@ def _links(vectors: DataFrame, drawn: pa.Array, kind: T.DataType, least: float,
                 keep[at] = (p * q).sum(axis=1) / np.sqrt((p * p).sum(axis=1) * (q * q).sum(axis=1)) >= least
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return both.mapInArrow(rerank, "a long, b long")
+    singly = stored(both.mapInArrow(rerank, "a long, b long"))
+
+    # whole blocks: one row each, with the vectors as bytes, by their length
+    def pack(group):
+        flat = group["v"].combine_chunks()
+        ids, copies_, d = group["node"].to_numpy(), group["copies"].to_numpy(), len(flat[0])
+        data = flat.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        return pa.table({"block": group["block"].slice(0, 1), "d": pa.array([d], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "n": pa.array([copies_.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+
+    wanted = opened.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
+    packs = placed.join(wanted, "block", "left_semi").select("block", F.size("v").alias("d"), "node", "copies", "v").groupBy("block", "d").applyInArrow(pack, "block long, d int, ids binary, n binary, data binary")
+    packs = stored(packs)
+    named = lambda k: packs.select(F.col("block").alias(f"block_{k}"), "d", *(F.col(c).alias(f"{c}_{k}") for c in ("ids", "n", "data")))
+    met = opened.join(named("a"), "block_a").join(named("b"), ["block_b", "d"]).select("block_a", "block_b", "d", "ids_a", "n_a", "data_a", "ids_b", "n_b", "data_b")
+
+    def compare(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                (ids, n, x), (ids2, n2, y) = ((np.frombuffer(r[f"ids_{k}"], "<i8"), np.frombuffer(r[f"n_{k}"], "<i8"), np.frombuffer(r[f"data_{k}"], "<f8").reshape(-1, r["d"])) for k in "ab")
+                hit = (_cosines(x, y) >= least) & (ids[:, None] != ids2)
+                own = r["block_a"] == r["block_b"]
+                node, linked = (ids, hit @ n2) if own else (np.r_[ids, ids2], np.r_[hit @ n2, hit.T @ n])
+                # labels: the smallest id that can be reached inside the two blocks
+                left, right = ids.copy(), ids if own else ids2.copy()
+                while True:
+                    after = np.minimum(right, np.where(hit, left[:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max))
+                    before = np.minimum(left, np.where(hit, after[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+                    if own:
+                        after = before = np.minimum(after, before)
+                    if (after == right).all() and (before == left).all():
+                        break
+                    left, right = before, after
+                label = left if own else np.r_[left, right]
+                some = linked > 0
+                yield pa.RecordBatch.from_arrays([pa.array(label[some]), pa.array(node[some]), pa.array(linked[some])], ["a", "b", "linked"])
+
+    wholly = stored(met.mapInArrow(compare, "a long, b long, linked long"))
+    turned = singly.unionByName(singly.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = turned.join(copies.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), F.col("copies").alias("linked")).unionByName(wholly.select(F.col("b").alias("node"), "linked"))
+    linked = stored(counted.groupBy("node").agg(F.sum("linked").alias("linked")))
+    links = stored(singly.unionByName(wholly.where("a != b").select("a", "b")))
+    for x in (placed, cells, opened, pairs, singly, packs, wholly):
+        dropped(x)
+    return links, linked
