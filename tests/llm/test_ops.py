@@ -11,12 +11,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchtide.llm import html_text, langid, quality, queries, secret_scan
+from watchtide.llm import html_text, langid, ngram_join, quality, queries, secret_scan
 from watchtide.llm.bpe import encode_documents
 from watchtide.llm.components import connected
-from watchtide.llm.embed_dedup import near_duplicates
+from watchtide.llm.embed_dedup import near_duplicates, tables
 from watchtide.llm.html_text import extract_text, main_text
-from watchtide.llm.line_dedup import dedup_lines, dropped_lines
+from watchtide.llm.line_dedup import dedup_lines, kept_lines
 from watchtide.llm.mixing import mix
 from watchtide.llm.ngram_join import jaccard_components
 from watchtide.llm.secret_scan import RULES, Automaton, Rule, scan_secrets
@@ -107,6 +107,15 @@ def test_mixing_weights(spark):
     assert {x["l2"]: x["n"] for x in got} == {"s0": 30, "s1": 10}
 
 
+def test_mixing_equal_rows_and_names(spark):
+    """Equal rows at the cut are taken together; kept columns with the names of results are replaced."""
+    df = spark.createDataFrame([(i // 10, "a b c d", "d", "en", "s", 9, 9) for i in range(100)], "doc_id long, text string, dom string, lang string, source string, tokens int, id int")
+    got = mix(df, (F.col("dom"), F.col("lang"), F.col("source")), 0.25, keep=("doc_id", "tokens", "id")).collect()
+    taken = {i: [r["copies"] for r in got if r["doc_id"] == i] for i in range(10)}
+    assert all(len(set(v)) == 1 for v in taken.values()) and sum(v[0] for v in taken.values()) == 3
+    assert {r["tokens"] for r in got} == {4} and all(r["id"] == r["doc_id"] for r in got)
+
+
 # 3
 
 
@@ -128,6 +137,32 @@ def test_embeddings(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_dense_group(spark):
+    """A third of all vectors are near copies of one: counts and components as by brute force, and few links to join."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((900, 32))
+    x[:300] = x[0] + 0.05 * r.standard_normal((300, 32))
+    x[300:310] = x[305]
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    e = x / np.linalg.norm(x, axis=1)[:, None]
+    s = e @ e.T >= 0.9
+    got = {g["id"]: g for g in near_duplicates(df).collect()}
+    assert [got[i]["n_links"] for i in range(300)] == [int(s[i].sum()) - 1 for i in range(300)]
+    assert {got[i]["component_id"] for i in range(300)} == {0} and {got[i]["component_id"] for i in range(300, 310)} == {300}
+    assert sum(got[i]["n_links"] for i in range(300, 900)) == s[300:].sum() - 600
+    assert [near_duplicates(df, dense=10_000).agg(F.sum("n_links")).first()[0]] == [s.sum() - 900]
+
+
+def test_embedding_tables():
+    """Substrings grow with the number of vectors, and rotations keep the expected recall."""
+    assert tables(50_000, 64, 0.9) == (16, 3)
+    for n in (10, 10**6, 10**9, 10**11):
+        size, rotations = tables(n, 64, 0.9)
+        p = np.arccos(0.9) / np.pi
+        found = (1 - p) ** size + size * p * (1 - p) ** (size - 1)
+        assert n <= 1 << size and 1 - (1 - found) ** (rotations * (64 // size)) >= 0.985
+
+
 # 4
 
 
@@ -173,6 +208,35 @@ def test_quality_held_out(spark, sf):
     assert len(hits) > 50 and np.mean(hits) > 0.9
 
 
+def test_quality_votes():
+    """Scores against a vote that looks at one document and one labelled vector at a time."""
+    r = np.random.default_rng(4)
+    counts = r.poisson(0.05, (60, quality.CODES)).astype(np.float32)
+    counts[7] = 0
+    basis = np.linalg.qr(r.standard_normal((quality.CODES, 9)))[0].astype(np.float32)
+    weight = r.random(quality.CODES).astype(np.float32)
+    vectors = quality._unit(r.standard_normal((40, 9))).astype(np.float32)
+    model = quality.Model(weight, basis, vectors, (r.random(40) > 0.4).astype(float), 0.55, 5)
+    for x, got in zip(counts, quality._vote(model, counts), strict=True):
+        if not x.any():
+            assert got == model.share
+            continue
+        tf = np.array([np.log1p(c) for c in x])
+        z = (tf / np.sqrt((tf**2).sum()) * weight) @ basis
+        sims = sorted(((float(z @ v / np.sqrt(z @ z)), y) for v, y in zip(vectors, model.labels, strict=True)), reverse=True)[:5]
+        w = [max(0.0, min(1.0, s)) ** quality.POWER for s, _ in sims]
+        want = (sum(a * y for a, (_, y) in zip(w, sims, strict=True)) + quality.PRIOR_VOTES * model.share) / (sum(w) + quality.PRIOR_VOTES)
+        assert abs(got - want) < 1e-4
+
+
+def test_quality_bound_with_repeated_ids(spark):
+    """Rows that share an id don't multiply what is learned from."""
+    df = docs(spark, [f"text number {i} of many" for i in range(200)], [i % 4 for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4)] * 3, "doc_id long, quality int, toxic int")
+    counts, y = quality.labelled_sample(df, labels, "doc_id", "text", "quality", lambda c: F.lit(True), 10)
+    assert len(counts) == 20 and y.sum() == 10
+
+
 # 6
 
 
@@ -193,7 +257,25 @@ def test_lines(spark):
     assert dedup_lines(docs(spark, texts).limit(0)).count() == 0
     firsts = dedup_lines(docs(spark, ["x\ny", "x\nz", "x"] * 5), min_docs=3, keep_first=True).collect()
     assert sum(g["kept_text"].split("\n").count("x") for g in firsts) == 1
-    assert dropped_lines(docs(spark, ["a\nb"])).count() == 0
+    assert kept_lines(docs(spark, ["a\nb"])).count() == 0
+
+
+def test_line_bitmaps(spark):
+    """Keep bitmaps by word of 64 lines; rows that share an id are one document, rows without id are their texts;
+    a line in most documents and very frequent lines of other kinds are found alike."""
+    lone = [f"only {i}" for i in range(130)]
+    lone[3] = lone[70] = "both"
+    texts = ["\n".join(lone), *["both\nmine"] * 4, "both\nyours", "both", "both", "both", "both"]
+    rows = docs(spark, texts, [1, 2, 2, 2, 3, 3, 4, None, None, 5])
+    got = {r["doc_key"].hex(): r["kept"] for r in kept_lines(rows, min_docs=6).collect()}
+    assert len(got) == 7  # texts of an id, whatever their number
+    assert {0: ~(1 << 3), 1: ~(1 << 6)} in got.values() and all(set(k.values()) == {~1} for k in got.values() if len(k) == 1)
+    assert kept_lines(rows, min_docs=7).count() == 0
+    for hot in (2, 4096):
+        many = docs(spark, ["same\nuni" + str(i % 40) + "\n" + str(i) for i in range(400)])
+        left = dedup_lines(many, min_docs=11, hot_keys=hot).groupBy("n_dropped").count().collect()
+        assert [tuple(x) for x in left] == [(1, 400)]
+        assert [tuple(x) for x in dedup_lines(many, min_docs=10, hot_keys=hot).groupBy("n_dropped").count().collect()] == [(2, 400)]
 
 
 # 7
@@ -242,6 +324,35 @@ def test_jaccard(spark, seed):
         assert jaccard_components(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_jaccard_family(spark, monkeypatch):
+    """Variants of one text that are nearly similar enough: hot rows of the matrix, in blocks."""
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    r = random.Random(12)
+    base = words(r, 150).split()
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(r.choice([2, 2, 2, 3, 1]) if i else 3):
+            w[r.randrange(150)] = "".join(r.choices("xyz", k=6))
+        texts.append(" ".join(w))
+    got = {g["id"]: g["component_id"] for g in jaccard_components(docs(spark, texts)).collect()}
+    s = [{tuple(t.split()[k : k + 4]) for k in range(147)} for t in texts]
+    parent = list(range(120))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(120):
+        for b in range(a + 1, 120):
+            if 100 * len(s[a] & s[b]) >= 85 * len(s[a] | s[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    assert got == {i: find(i) for i in range(120)} and 1 < len(set(got.values())) < 120
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)] + [(7, 7)]
@@ -345,6 +456,32 @@ def test_top_k(spark, k):
     assert top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_large_components(spark):
+    """Every finite vector takes part, exactly; blocks that are too large to broadcast are sent to parts of the shards;
+    what a long can't hold is an error."""
+    r = np.random.default_rng(2)
+    x = np.floor(r.standard_normal((400, 6)) * 2.0 ** r.choice([4, 20, 30, 45], (400, 1)))
+    x[5], x[6], x[7] = [2.0**60, 0, 0, 0, 0, 0], [0, 2.0**70, 1, 0, 0, 0], [3.0, 0, 0, 0, 0, 0]
+    x[8:12] = np.floor(r.standard_normal((4, 6)) * 16)
+    x[8:12, :2] = 0
+    small = [i for i in range(400) if i not in (5, 6) and abs(x[i]).max() < 2**25]
+    df = spark.createDataFrame([(i, list(map(float, x[i]))) for i in (*small, 5, 6)], "vec_id long, embedding array<double>")
+    queries = [i for i in small if i % 20 == 0 or i in (8, 9)]
+    whole = {i: [int(c) for c in x[i]] for i in (*small, 5, 6)}
+    want = []
+    for q in queries:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    fits = [w for w in want if abs(w[3]) < 1 << 63]
+    exact = {q for q in queries if all(w in fits for w in want if w[0] == q)}
+    assert {8, 9} <= exact and exact < set(queries)
+    for limit in (1 << 20, 0):
+        got = top_k(df, F.col("id").isin(sorted(exact)), k=5, scale=1, shard=30, block=3, pilot=40, broadcast=limit)
+        assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == [w for w in sorted(want) if w[0] in exact]
+    with pytest.raises(Exception, match="fit into a long"):
+        top_k(df, F.col("id").isin(sorted(set(queries) - exact)), k=5, scale=1)
+
+
 # 10
 
 
@@ -366,6 +503,53 @@ def test_languages(spark):
     assert langid.identify_languages(df.limit(0), model).count() == 0
 
 
+def test_language_mixtures():
+    """Expectation-maximisation and the choice of the set, one n-gram and one language at a time."""
+    r = np.random.default_rng(5)
+    p = r.random((30, 4)) ** 4 + 1e-4
+    p /= p.sum(axis=0)
+    model = langid.Model(list("abcd"), p, np.log(p))
+
+    def em(cols, n):
+        share = [1 / len(cols)] * len(cols)
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(cols)
+            for g, k in enumerate(n):
+                whole = sum(s * p[g][c] for s, c in zip(share, cols, strict=True))
+                for i, c in enumerate(cols):
+                    new[i] += k * share[i] * p[g][c] / whole
+            share = [x / sum(n) for x in new]
+        return share, sum(k * np.log(sum(s * p[g][c] for s, c in zip(share, cols, strict=True))) for g, k in enumerate(n))
+
+    for _ in range(40):
+        truth = r.dirichlet([0.4] * 4)
+        n = r.multinomial(int(r.integers(5, 400)), p @ truth).astype(float)
+        code = np.flatnonzero(n)
+        alone = [sum(k * np.log(p[g][c]) for g, k in enumerate(n)) for c in range(4)]
+        best = max(range(4), key=lambda c: alone[c])
+        share, full = em(range(4), n)
+        cost = langid.PENALTY * np.log(n.sum() / len(langid.ORDERS) + 1) * 2
+        chosen, likely, own = [best], alone[best], [1.0]
+        for c in sorted((c for c in range(4) if c != best), key=lambda c: -share[c]):
+            if (full - likely) / len(langid.ORDERS) <= cost:
+                break
+            own2, likely2 = em([*chosen, c], n)
+            if (likely2 - likely) / len(langid.ORDERS) <= cost:
+                break
+            chosen, own, likely = [*chosen, c], own2, likely2
+        top = max(range(len(chosen)), key=lambda i: own[i])
+        got = langid.identify(model, code, n[code])
+        assert got[0] == chosen[top] and abs(got[1] - own[top]) < 1e-9
+    tie = langid.Model(["x", "y"], np.full((3, 2), 1 / 3), np.log(np.full((3, 2), 1 / 3)))
+    assert langid.identify(tie, np.arange(3), np.ones(3))[0] == 0
+
+
+def test_too_many_languages(spark):
+    df = docs(spark, ["some text"] * 520, langs=[f"l{i}" for i in range(520)])
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df, lambda c: F.lit(True))
+
+
 # rows that share an id
 
 

@@ -13,7 +13,7 @@ one row for each leaf: its whole epochs and the last place that the partial epoc
 shuffled: documents are compared with their leaf's row.
 
 Null level values are values of their own. Null and empty texts have no tokens; they are never taken. Rows that
-share an id have the same place in the order; ties go by the hash of the text. Children whose weight is not
+share an id have the same place in the order; ties go by the hash of the text, and rows equal in both are taken together or not at all. Children whose weight is not
 above 0 get nothing.
 """
 
@@ -99,8 +99,9 @@ def mix(df: DataFrame, levels: tuple[Column, Column, Column], fraction: float, e
     """Per row the columns ``keep`` and ``id, l0, l1, l2, tokens, copies``: how often the mixture takes it.
 
     The last, partial epoch takes documents in order as long as fewer tokens than the budget were taken
-    before. ``keep`` columns travel along (none of them may be named like the columns above).
+    before. ``keep`` columns travel along; one that is named like a column above is replaced by it.
     """
+    keep = tuple(c for c in keep if c not in ("id", *LEVEL_COLUMNS, "tokens", "copies"))
     rows = df.select(
         *(F.col(f"`{c}`").alias(f"__keep_{c}") for c in keep),
         F.col(f"`{doc_id}`").alias("id"),

@@ -7,7 +7,7 @@ them are computed exactly, in blocks, and the nearest ones vote with a power of
 The share of label 1 among all training labels votes too, so that texts unlike anything labelled get it.
 
 The model is fitted on a bounded sample: of each label, the ``per_label`` training rows with the smallest
-hash of id and text. Its size, and so the broadcast, depends on the parameters alone. Whole texts are scored.
+hash of the id (rows that share an id: of the text). Its size, and so the broadcast, depends on the parameters alone. Whole texts are scored.
 
 Null and empty texts have a zero vector and get the share of label 1 among all training labels. Null labels and labels other than 0 and
 1 are not used. A label whose document has no row is left out; repeated documents or labels count as often as
@@ -92,6 +92,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     chosen = [marks.where(F.col("label") == y).select("id", "label").join(own.select("id"), "id", "left_semi").orderBy(order, "id").limit(per_label) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
     texts = own.join(F.broadcast(chosen), "id")
+    # rows that share an id count one by one: those with the smallest hashes of id and text stay within the bound
+    rows = [texts.where(F.col("label") == y).orderBy(order, "id", F.xxhash64("text")).limit(per_label) for y in (0, 1)]
+    texts = rows[0].unionByName(rows[1])
 
     def scan():
         def run(column: pa.Array) -> list:
