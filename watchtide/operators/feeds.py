@@ -6,6 +6,8 @@ and no shuffle. A payload that can't be parsed keeps its row, with ``parse_error
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -306,6 +308,7 @@ PARSERS = {
     "uniswap_v2_swap_v1": _swap_amounts, "uniswap_v2_swap_price_v1": _v2_price, "uniswap_v3_swap_price_v1": _v3_price, "aerodrome_swap_price_v1": _aerodrome,
     "protocol_tvl_v1": _tvl, "protocol_pause_v1": _pause,
 }
+LEGACY = ("legacy_binance", "legacy_coinbase", "legacy_uniswap", "legacy_curve", "legacy_chainlink", "legacy_pyth")
 #: Settings that a raw row may lack.
 _OPTIONAL = {"event_type": "string", "asset_pair_hint": "string", "market_key_hint": "string", "filter_config": "string", "payload_ts_path": "string", "payload_ts_unit": "string"}
 
@@ -317,10 +320,21 @@ def normalize_feed(raw: DataFrame, parsers: tuple[str, ...] | None = None) -> Da
     kept = raw.columns
     rows = raw.select("*", *(F.lit("quote" if n == "event_type" else None).cast(t).alias(n) for n, t in _OPTIONAL.items() if n not in kept))
     i = _Input()
-    legacy, branches = _legacy_parsers(i), F
-    for name in parsers or (*PARSERS, *legacy):
-        branches = branches.when(F.col("parser_name") == name, legacy[name] if name in legacy else PARSERS[name](i))
-    out = branches.otherwise(_result(parse_error=F.concat(F.lit("unsupported_parser:"), F.col("parser_name"))))
+    names, branches = parsers or (*PARSERS, *LEGACY), F
+    legacy = _legacy_parsers(i) if set(names) & set(LEGACY) else {}  # expressions take time to build
+    for name in names:
+        if name:
+            branches = branches.when(F.col("parser_name") == name, legacy[name] if name in legacy else PARSERS[name](i))
+    unsupported = _result(parse_error=F.concat(F.lit("unsupported_parser:"), F.col("parser_name")))
+    out = unsupported if branches is F else branches.otherwise(unsupported)
     parsed = rows.withColumn("__parsed", out)
     keep = [c for c in kept if c not in _FIELDS]
     return parsed.select(*keep, "__parsed.*").withColumn("observed_at", F.coalesce("event_ts", F.col("received_at").cast("timestamp")) if "received_at" in kept else F.col("event_ts"))
+
+
+def normalize_by_parser(raw: DataFrame, parsers: tuple[str, ...] | None = None) -> DataFrame:
+    """``normalize_feed`` for a table that is partitioned by ``parser_name``: each parser reads its own partitions and
+    has a plan of its own, which is far smaller than one that can do everything; rows of other parsers follow as unsupported."""
+    names = parsers or (*PARSERS, *LEGACY)
+    other = raw.where(~F.col("parser_name").isin(*names) | F.col("parser_name").isNull())
+    return reduce(DataFrame.unionByName, [normalize_feed(raw.where(F.col("parser_name") == name), (name,)) for name in names], normalize_feed(other, ("",)))

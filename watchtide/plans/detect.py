@@ -203,18 +203,16 @@ def registry(spark, sf_dir):
     return ops.detect_all([(Flash(), view(spark, sf_dir, "flash_events"), rules), (Big(), view(spark, sf_dir, "tvl_samples"), rules)]).groupBy("pattern_id").agg(F.count("*").alias("n"))
 
 
-@query("e2_rule_scope", """SELECT event_id, rule_id FROM tvl_samples s JOIN (VALUES ('tenant-0', 'a', 'PROTO-1', 'base'), ('tenant-0', 'b', 'all', NULL), ('tenant-1', 'c', NULL, 'Ethereum')) r(tenant_id, rule_id, protocol_id, chain_slug) ON s.tenant_id = r.tenant_id
-AND (r.protocol_id IS NULL OR lower(r.protocol_id) IN ('all', lower(s.protocol_id))) AND (r.chain_slug IS NULL OR lower(r.chain_slug) IN ('all', lower(s.chain_slug)))""")
+@query("e2_rule_scope", f"""SELECT event_id, rule_id FROM tvl_samples s JOIN ({TVL_RULES_SQL}) r ON s.tenant_id = r.tenant_id AND r.protocol_id IN ('all', lower(s.protocol_id)) AND r.chain_slug IN ('all', lower(s.chain_slug)) AND r.market_id IS NULL""")
 def rule_scope(spark, sf_dir):
     """Samples joined to the tenant's rules whose scope they match."""
-    rules = spark.sql("SELECT * FROM (VALUES ('tenant-0', 'a', 'PROTO-1', 'base'), ('tenant-0', 'b', 'all', NULL), ('tenant-1', 'c', NULL, 'Ethereum')) AS r(tenant_id, rule_id, rule_protocol, rule_chain)")
-    s = view(spark, sf_dir, "tvl_samples").join(rules, "tenant_id")
-    none = F.lit(None).cast("string")
-    return s.where(ops.scope_match(F.col("protocol_id"), F.col("rule_protocol"), F.col("chain_slug"), F.col("rule_chain"), none, none)).select("event_id", "rule_id")
+    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop")).select("tenant_id", "rule_id", F.col("protocol_id").alias("rule_protocol"), F.col("chain_slug").alias("rule_chain"), F.col("market_id").alias("rule_market"))
+    s, none = view(spark, sf_dir, "tvl_samples").join(rules, "tenant_id"), F.lit(None).cast("string")
+    return s.where(ops.scope_match(F.col("protocol_id"), F.col("rule_protocol"), F.col("chain_slug"), F.col("rule_chain"), none, F.col("rule_market"))).select("event_id", "rule_id")
 
 
-@query("e1_tenant_policies", """SELECT q.event_id, p.min_sources FROM quotes q JOIN (VALUES ('tenant-0', 'USDC/USD', 2), ('tenant-1', 'DAI/USD', 3)) p(tenant_id, market_key, min_sources) USING (tenant_id, market_key)""")
+@query("e1_tenant_policies", f"SELECT q.event_id, p.min_sources, p.peg_target, p.stale_timeout_ms FROM quotes q JOIN ({PEG_POLICIES_SQL}) p USING (tenant_id, market_key)")
 def tenant_policies(spark, sf_dir):
     """Quotes joined to their tenant's policy of the market."""
-    policies = spark.sql("SELECT * FROM (VALUES ('tenant-0', 'USDC/USD', 2), ('tenant-1', 'DAI/USD', 3)) AS p(tenant_id, market_key, min_sources)")
-    return view(spark, sf_dir, "quotes").join(policies, ["tenant_id", "market_key"]).select("event_id", "min_sources")
+    policies = peg_policies(enabled(spark, sf_dir, "dpeg")).select("tenant_id", "market_key", "min_sources", "peg_target", "stale_timeout_ms")
+    return view(spark, sf_dir, "quotes").join(policies, ["tenant_id", "market_key"]).select("event_id", "min_sources", "peg_target", "stale_timeout_ms")

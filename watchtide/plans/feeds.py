@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, severity, symbols, texts, times
-from ..operators.feeds import normalize_feed
+from ..operators.feeds import normalize_by_parser, normalize_feed
+from ..sources.shared import shared_folder
 from .registry import ORACLES, query, view
 
 
@@ -185,10 +186,13 @@ def _all_sql() -> str:
 
 @query("c00_normalize_all", _all_sql())
 def normalize_all(spark, sf_dir):
-    """All parsers in one pass over the mixed feed: what they parsed, by parser."""
-    raw = view(spark, sf_dir, "raw_payloads").withColumnRenamed("event_id", "row_id").where(F.col("parser_name").isin(*_PRICED, "chainlink_answer_updated_v1", "uniswap_v3_swap_price_v1", "protocol_pause_v1"))
+    """The mixed feed lands by parser and is parsed, each parser reading its own rows: what they made of it."""
+    landing = shared_folder(spark, "landing")
+    view(spark, sf_dir, "raw_payloads").write.partitionBy("parser_name").parquet(landing)
+    names = (*_PRICED, "chainlink_answer_updated_v1", "uniswap_v3_swap_price_v1", "protocol_pause_v1")
+    raw = spark.read.schema("event_id long, received_at timestamp_ntz, payload string, parser_name string").parquet(landing).withColumnRenamed("event_id", "row_id").where(F.col("parser_name").isin(*names))
     pool = F.when(F.col("parser_name") == "uniswap_v2_swap_price_v1", _POOL).when(F.col("parser_name") == "uniswap_v3_swap_price_v1", _POOL3)
-    got = normalize_feed(raw.withColumn("filter_config", pool))
+    got = normalize_by_parser(raw.withColumn("filter_config", pool), names)
     v3 = F.col("parser_name") == "uniswap_v3_swap_price_v1"
     price = F.round(F.when(v3, F.col("price") / 1e6).otherwise(F.col("price")), 6)
     market = F.when(F.col("parser_name") != "chainlink_answer_updated_v1", F.col("market_key"))

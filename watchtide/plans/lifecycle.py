@@ -118,10 +118,11 @@ def protocol_health(spark, sf_dir):
     return recent.groupBy("protocol").agg(F.count("*").alias("n"), F.round(F.max("risk_score"), 6).alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"), F.count_distinct("tx_hash").alias("txs"), F.unix_millis(F.max("created_at").cast("timestamp")).alias("last_ms"))
 
 
-@query("f9_rule_performance", "SELECT rule_id, chain, CAST(count(*) AS BIGINT) AS runs, round(avg(execution_time_ms), 4) AS avg_ms, max(execution_time_ms) AS max_ms, CAST(count(*) FILTER (triggered) AS BIGINT) AS triggers, round(count(*) FILTER (triggered) * 100.0 / count(*), 2)::DOUBLE AS trigger_rate FROM rule_metrics GROUP BY ALL")
+@query("f9_rule_performance", "SELECT rule_id, chain, CAST(count(*) AS BIGINT) AS runs, round(avg(execution_time_ms), 4) AS avg_ms, max(execution_time_ms) AS max_ms, CAST(count(*) FILTER (triggered) AS BIGINT) AS triggers, round(count(*) FILTER (triggered) * 100.0 / count(*), 2)::DOUBLE AS trigger_rate FROM rule_metrics WHERE created_at >= (SELECT max(created_at) FROM rule_metrics) - INTERVAL 30 DAY GROUP BY ALL")
 def rule_performance(spark, sf_dir):
-    hits = F.count_if("triggered")
-    return view(spark, sf_dir, "rule_metrics").groupBy("rule_id", "chain").agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 4).alias("avg_ms"), F.max("execution_time_ms").alias("max_ms"), hits.alias("triggers"), F.round(hits * 100.0 / F.count("*"), 2).cast("double").alias("trigger_rate"))
+    hits, m = F.count_if("triggered"), view(spark, sf_dir, "rule_metrics")
+    recent = m.join(F.broadcast(m.agg(F.max("created_at").alias("newest_at"))), F.expr("created_at >= newest_at - INTERVAL 30 DAYS"))
+    return recent.groupBy("rule_id", "chain").agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 4).alias("avg_ms"), F.max("execution_time_ms").alias("max_ms"), hits.alias("triggers"), F.round(hits * 100.0 / F.count("*"), 2).cast("double").alias("trigger_rate"))
 
 
 @query("f10_monthly_usage", "SELECT tenant_id, strftime(created_at, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS quantity FROM detections GROUP BY ALL")

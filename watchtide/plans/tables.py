@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.severity import rank
 from ..sources import configs, scans, tables
+from ..sources.shared import shared_folder
 from .registry import query, view
 
 _EVENTS = "SELECT event_id, stream_id, user_id, round(value, 6) AS value, endpoint FROM (SELECT *, 'st-' || (user_id % 7) AS stream_id FROM events) JOIN ("
@@ -159,11 +160,14 @@ def raw_landing(spark, sf_dir):
     return got.select("idempotency_key", "detection_id", "landing_table", "pointer", F.unix_millis(F.col("last_observed_at").cast("timestamp")).alias("last_ms"), "partition_key")
 
 
-@query("b4_append_log", "SELECT incident_id, status, CAST(arrival AS BIGINT) AS arrival FROM incident_table UNION ALL SELECT alert_id, status, arrival FROM alerts")
+@query("b4_append_log", "SELECT 'incident' AS kind, incident_id AS subject, status, CAST(arrival AS BIGINT) AS arrival FROM incident_table UNION ALL SELECT 'alert', alert_id, status, arrival FROM alerts")
 def append_log(spark, sf_dir):
-    """Rows of an append-only log of incidents and alerts."""
-    i = view(spark, sf_dir, "incident_table").select("incident_id", "status", "arrival")
-    return i.unionByName(view(spark, sf_dir, "alerts").select(F.col("alert_id").alias("incident_id"), "status", "arrival"))
+    """An append-only log: incidents, then alerts are appended, and the whole log is read again."""
+    path = shared_folder(spark, "log")
+    log = lambda name, key: view(spark, sf_dir, name).select(F.lit(name.split("_")[0].removesuffix("s")).alias("kind"), F.col(key).alias("subject"), "status", "arrival", "created_at")
+    tables.append_log(log("incident_table", "incident_id"), path, "created_at")
+    tables.append_log(log("alerts", "alert_id"), path, "created_at")
+    return spark.read.parquet(path).select("kind", "subject", "status", "arrival")
 
 
 @query("b8_feature_slices", "SELECT detection_id, version, 's3a://features/version=' || version || '/detection=' || detection_id AS uri FROM feature_vectors")

@@ -64,6 +64,11 @@ def write_landed(rows: DataFrame, root: str) -> None:
         rows.where(F.col("landing_table") == name).write.mode("append").partitionBy("partition_key").parquet(f"{root}/{name}")
 
 
+def append_log(rows: DataFrame, path: str, ts: str) -> None:
+    """Append rows to a log that is partitioned by kind and month; nothing that stands there is touched."""
+    rows.withColumn("month", F.date_format(ts, "yyyy-MM")).write.mode("append").partitionBy("kind", "month").parquet(path)
+
+
 def fan_out(events: DataFrame, targets: DataFrame, key: str = "stream_id") -> DataFrame:
     """One event for each enabled tenant of its stream, with ids and price in the payload."""
     rows = events.join(targets.where("enabled").select(key, "tenant_id"), key)

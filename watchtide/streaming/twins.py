@@ -1,8 +1,10 @@
 """Structured Streaming twins: the same step functions and projections on streams.
 
 Stateful twins keep state per key in the state store (one small value per key) and run as
-``applyInPandasWithState``. Within a micro-batch, events are folded in order of time and id. Late events are
-kept out by the watermark; the batch forms have no watermark and fold everything.
+``applyInPandasWithState``. With ``late`` they hold events back until the watermark has passed them, and fold them in
+order of time and id whatever micro-batch they came in; events that come later than that are dropped. Without it,
+every micro-batch is folded when it comes, in order within itself, and nothing is dropped. The batch forms have no
+watermark and fold everything.
 """
 
 from __future__ import annotations
@@ -32,38 +34,49 @@ def activity(events: DataFrame, keys: list[str], ts: str = "observed_at", late:
 
 
 def usd_candidates(quotes: DataFrame, rates: DataFrame, width_sec: int, late: str = LATE) -> DataFrame:
-    """Quotes in USDT with every rate of the last ``width_sec`` seconds: a time-bounded stream-stream join.
-    The newest rate of each quote is picked downstream (``max_by`` per quote)."""
-    q = quotes.where("quote_asset = 'USDT'").withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", late)
+    """Quotes in USDT with every rate of the last ``width_sec`` seconds: a time-bounded stream-stream join, by stretches of
+    time of that length. The newest rate of each quote is picked downstream (``max_by`` per quote)."""
+    stretch = lambda ts: F.floor(micros(F.col(ts)) / (width_sec * 1_000_000))
+    q = quotes.where("quote_asset = 'USDT'").withColumn("observed_at", F.col("observed_at").cast("timestamp")).withWatermark("observed_at", late).withColumn("stretch", stretch("observed_at"))
     r = rates.select(F.col("observed_at").cast("timestamp").alias("rate_at"), F.col("price").alias("rate")).withWatermark("rate_at", late)
-    return q.join(r, F.expr(f"rate_at <= observed_at AND rate_at >= observed_at - INTERVAL {width_sec} SECONDS"))
+    r = r.withColumn("rate_stretch", F.explode(F.array(stretch("rate_at"), stretch("rate_at") + 1)))
+    return q.join(r, F.expr(f"stretch = rate_stretch AND rate_at <= observed_at AND rate_at >= observed_at - INTERVAL {width_sec} SECONDS")).drop("stretch", "rate_stretch")
 
 
-def _folded(events: DataFrame, keys: list[str], order: list[str], start, step, schema: str) -> DataFrame:
-    """``step(state, key, ordered rows) -> list of tuples`` per key and micro-batch, with pickled state."""
+def _folded(events: DataFrame, keys: list[str], order: list[str], start, step, schema: str, late: str | None = None) -> DataFrame:
+    """``step(state, key, ordered rows) -> list of tuples`` per key, with pickled state: by micro-batch, or with
+    ``late`` as far as the watermark of ``now`` (microseconds) has come."""
     names = [x.split()[0] for x in schema.split(",")]
 
     def run(key, batches, state: GroupState):
-        s = pickle.loads(state.get[0]) if state.exists else start()
-        rows = pd.concat(list(batches)).sort_values(order)
-        out = step(s, key, rows)
-        state.update((pickle.dumps(s),))
-        frame = pd.DataFrame(out, columns=names)
-        yield frame
-
-    return events.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
-
-
-def peg_transitions(evaluations: DataFrame, policy: dict | None = None) -> DataFrame:
+        s, held = pickle.loads(state.get[0]) if state.exists else (start(), None)
+        rows = [x for x in (held, *batches) if x is not None and len(x)]
+        rows = pd.concat(rows).sort_values(order) if rows else None
+        if rows is not None and late:
+            mark = state.getCurrentWatermarkMs()
+            ready = rows["now"] // 1000 <= mark
+            rows, held = rows[ready], rows[~ready]
+            if len(held):
+                state.setTimeoutTimestamp(max(int(held["now"].iloc[0]) // 1000, mark) + 1)
+        out = step(s, key, rows) if rows is not None and len(rows) else []
+        state.update((pickle.dumps((s, held)),))
+        yield pd.DataFrame(out, columns=names)
+
+    if late:
+        events = events.withColumn("__at", F.timestamp_micros("now")).withWatermark("__at", late)
+    return events.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
+
+
+def peg_transitions(evaluations: DataFrame, policy: dict | None = None, late: str | None = None) -> DataFrame:
     """Hysteresis of peg deviation over a stream of evaluations."""
 
     def step(s, key, rows):
         return [(*key, r.event_id, *got, r.divergence) for r in rows.itertuples() if (got := detectors.peg_fold(s, r))]
 
-    return _folded(detectors.with_policy(evaluations, policy).drop("context", "confidence"), ["tenant_id", "market_key"], ["now", "event_id"], detectors.peg_start, step, detectors.PEG_SCHEMA)
+    return _folded(detectors.with_policy(evaluations, policy).drop("context", "confidence"), ["tenant_id", "market_key"], ["now", "event_id"], detectors.peg_start, step, detectors.PEG_SCHEMA, late)
 
 
-def flash_detections(events: DataFrame, rules: DataFrame) -> DataFrame:
+def flash_detections(events: DataFrame, rules: DataFrame, late: str | None = None) -> DataFrame:
     """Flash loans with cooldowns over a stream; ``rules`` is a static table."""
     ready = detectors.flash_candidates(events, rules).select("tenant_id", "attacker_address", "event_id", micros(F.col("observed_at")).alias("now"), "rule_order", "rule_id", "cooldown_sec")
 
@@ -75,7 +88,7 @@ def flash_detections(events: DataFrame, rules: DataFrame) -> DataFrame:
                 out.append((key[0], event, fired, key[1], "high"))
         return out
 
-    return _folded(ready, ["tenant_id", "attacker_address"], ["now", "event_id", "rule_order"], dict, step, detectors.FLASH_SCHEMA)
+    return _folded(ready, ["tenant_id", "attacker_address"], ["now", "event_id", "rule_order"], dict, step, detectors.FLASH_SCHEMA, late)
 
 
 def finality(events: DataFrame, depth: int) -> DataFrame:
@@ -89,7 +102,7 @@ def finality(events: DataFrame, depth: int) -> DataFrame:
     return _folded(events.select("chain", "event_id", "block_number", "block_hash", "event_key"), ["chain"], ["event_id"], chain.new_state, step, schema)
 
 
-def drawdown_breaches(samples: DataFrame, rule: dict) -> DataFrame:
+def drawdown_breaches(samples: DataFrame, rule: dict, late: str | None = None) -> DataFrame:
     """Fast, slow and velocity drawdowns over a stream: the state is the samples of the longest window."""
     width = max(rule[f"{n}_minutes"] for n in ("fast", "slow", "velocity")) * 60_000_000
 
@@ -106,4 +119,4 @@ def drawdown_breaches(samples: DataFrame, rule: dict) -> DataFrame:
         return out
 
     rows = samples.select("tenant_id", "protocol_id", "chain_slug", "event_id", micros(F.col("observed_at")).alias("now"), "tvl_usd")
-    return _folded(rows, ["tenant_id", "protocol_id", "chain_slug"], ["now", "event_id"], lambda: {"samples": []}, step, "tenant_id string, protocol_id string, chain_slug string, event_id long, fast_drop double, slow_drop double, velocity_drop double")
+    return _folded(rows, ["tenant_id", "protocol_id", "chain_slug"], ["now", "event_id"], lambda: {"samples": []}, step, "tenant_id string, protocol_id string, chain_slug string, event_id long, fast_drop double, slow_drop double, velocity_drop double", late)
