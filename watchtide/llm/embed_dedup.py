@@ -212,10 +212,12 @@ def _links(vectors: DataFrame, copies: DataFrame, drawn: pa.Array, kind: T.DataT
     singly = stored(both.mapInArrow(rerank, "a long, b long"))
 
     # whole blocks: one row each, with the vectors as bytes, by their length
+    as_given = "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
+
     def pack(group):
         flat = group["v"].combine_chunks()
         ids, copies_, d = group["node"].to_numpy(), group["copies"].to_numpy(), len(flat[0])
-        data = flat.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+        data = flat.flatten().to_numpy(zero_copy_only=False).astype(as_given)
         return pa.table({"block": group["block"].slice(0, 1), "d": pa.array([d], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "n": pa.array([copies_.tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
     wanted = opened.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
@@ -226,8 +228,9 @@ def _links(vectors: DataFrame, copies: DataFrame, drawn: pa.Array, kind: T.DataT
 
     def compare(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                (ids, n, x), (ids2, n2, y) = ((np.frombuffer(r[f"ids_{k}"], "<i8"), np.frombuffer(r[f"n_{k}"], "<i8"), np.frombuffer(r[f"data_{k}"], "<f8").reshape(-1, r["d"])) for k in "ab")
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                (ids, n, x), (ids2, n2, y) = ((np.frombuffer(r[f"ids_{k}"], "<i8"), np.frombuffer(r[f"n_{k}"], "<i8"), np.frombuffer(r[f"data_{k}"], as_given).astype(np.float64).reshape(-1, r["d"])) for k in "ab")
                 hit = (_cosines(x, y) >= least) & (ids[:, None] != ids2)
                 own = r["block_a"] == r["block_b"]
                 node, linked = (ids, hit @ n2) if own else (np.r_[ids, ids2], np.r_[hit @ n2, hit.T @ n])

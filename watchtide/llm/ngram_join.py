@@ -289,7 +289,8 @@ def _block_pairs(larger: DataFrame, smaller: DataFrame, hot: DataFrame, known: D
 
     def compare(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 (a, ga, n_a, room_a), (b, gb, n_b, room_b) = ([np.frombuffer(r[f"{c}_{k}"], "<i8") for c in numbers] for k in "ab")
                 x, y = (np.frombuffer(r[f"sketch_{k}"], "<u8").reshape(-1, SKETCH // 64) for k in "ab")
                 ok = (ga[:, None] != gb) & (n_a[:, None] >= n_b) & (n_a[:, None] * percent <= n_b * 100) & (room_a[:, None] >= n_b) & (room_b >= n_a[:, None])

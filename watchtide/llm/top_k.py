@@ -176,7 +176,7 @@ def top_k(df: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: st
         def search(batches):
             known: dict = {}
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                     tree = BallTree(*vectors(r["ids"], r["data"], r["d"]))
                     for d, number, q_ids, q in shared.value:
                         if d == r["d"]:
@@ -193,7 +193,7 @@ def top_k(df: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: st
         def search(batches):
             at, trees, known = None, [], {}
             for batch in batches:
-                for r in batch.to_pylist():
+                for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                     if at != (r["d"], r["part"]):
                         at, trees = (r["d"], r["part"]), []
                     if r["block"] < 0:
