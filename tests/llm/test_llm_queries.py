@@ -6,6 +6,7 @@ import re
 import sys
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -104,3 +105,34 @@ def test_pipeline_keeps_one_row_of_an_id(spark, sf):
     rows = [(5, a, "en", "s1", 1), (7, a, "en", "s1", 1), (7, c, "en", "s1", 1), (9, c, "en", "s1", 1), (11, a + " y", "de", "s2", 1), (40, "p q", "en", "s1", 1), (40, "r s", "en", "s1", 1), (41, "t u", "en", "s2", 1), (41, "t u", "en", "s1", 1)]
     got = [sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(x, schema), sf).collect())) for x in (rows, rows[::-1])]
     assert got[0] == got[1] and [r[0] for r in got[0]] == [5, 40, 41] and got[0][2][3] == "s1"
+
+
+def test_mixing_stage(spark, sf):
+    """The stage keeps the documents that SQL takes for the mixture of one epoch."""
+    sql = queries.OP2_SQL.replace("sum(n_tokens) * 2.0::DOUBLE AS capacity", "sum(n_tokens) * 1.0::DOUBLE AS capacity")
+    assert sql != queries.OP2_SQL
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(r[0] for r in con.sql(f"select doc_id from ({sql}) where copies > 0").fetchall())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.mix_sources(spark, docs, sf).collect()) == want and 0 < len(want) < docs.count()
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """What each stage makes of nulls, empty texts and repeats, whatever the order of the rows."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    rows = [(None, "a b c d e", None, None, None), (1, None, "en", "s1", 0), (2, "", None, "other", 0), (3, "x\ny", "en", "s2", 3), (3, "x\ny", "en", "s2", 3), (4, "X Y", "de", None, None), (5, "long " * 40_000, "en", "s1", 0)]
+    df, back = (spark.createDataFrame(x, schema) for x in (rows, rows[::-1]))
+    key = lambda rows: sorted(map(str, rows))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("quality", "line_dedup", "ngram_jaccard", "mixing", "bpe"):
+        one, two = (key(map(tuple, stages[name](spark, x, sf).collect())) for x in (df, back))
+        assert one == two, name
+    lines = {(r["doc_id"], r["text"]) for r in stages["line_dedup"](spark, df, sf).collect()}
+    assert lines == {(i, t or "") for i, t, *_ in rows}
+    kept = key((r["doc_id"], r["text"]) for r in stages["ngram_jaccard"](spark, df, sf).collect())
+    assert kept == key([(None, "a b c d e"), (1, None), (2, ""), (3, "x\ny"), (5, "long " * 40_000)])  # x y is the same two words
+    mixed = stages["mixing"](spark, df, sf).collect()
+    assert {r["doc_id"] for r in mixed} <= {None, 3, 4, 5} and all((r["text"] or "").split() for r in mixed)
+    tokens = stages["bpe"](spark, df, sf).collect()
+    assert len(tokens) == 7 and {r["n_tokens"] for r in tokens if r["doc_id"] in (1, 2)} == {0}
