@@ -40,19 +40,28 @@ def _mark(edges: DataFrame) -> tuple:
 LEAST_BITS, MOST_BITS, BITS_PER_ROW = 20, 28, 8
 
 
-def bit_set(df: DataFrame, value: Column, rows: int) -> np.ndarray:
-    """A set of ``2**bits`` bits, as bytes: bit ``value >>> (64 - bits)`` is set for each (well mixed) long.
+def bit_sets(df: DataFrame, value: Column, conditions: list[Column], rows: int) -> list[np.ndarray]:
+    """For each condition, a set of ``2**bits`` bits, as bytes: bit ``value >>> (64 - bits)`` is set for each (well
+    mixed) long where it holds.
 
-    Its size follows from the number of ``rows`` (an upper bound will do), up to 32 MB; beyond that, sets fill up: they tell less
-    apart, but miss nothing. Words of 64 bits are or-ed on the executors, so the driver gets at most
+    Their size follows from the number of ``rows`` (an upper bound will do), up to 32 MB; beyond that, sets fill up: they
+    tell less apart, but miss nothing. Words of 64 bits are or-ed on the executors, so the driver gets at most
     ``2**bits / 64`` rows however many there were.
     """
     bits = min(MOST_BITS, max(LEAST_BITS, (rows * BITS_PER_ROW).bit_length()))
-    at = df.select(F.shiftrightunsigned(value, 64 - bits).alias("at"))
-    words = at.groupBy(F.shiftrightunsigned("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("b"))
-    got, bitmap = words.toArrow(), np.zeros(1 << (bits - 6), np.int64)
-    bitmap[got["word"].to_numpy()] = got["b"].to_numpy()
-    return bitmap.view(np.uint8)
+    at = df.select(F.shiftrightunsigned(value, 64 - bits).alias("at"), *(c.alias(f"c{i}") for i, c in enumerate(conditions)))
+    bit = F.expr("shiftleft(1L, cast(at % 64 as int))")
+    ors = [F.bit_or(F.when(F.col(f"c{i}"), bit).otherwise(F.lit(0).cast("long"))).alias(f"b{i}") for i in range(len(conditions))]
+    got, out = at.groupBy(F.shiftrightunsigned("at", 6).cast("int").alias("word")).agg(*ors).toArrow(), []
+    for i in range(len(conditions)):
+        bitmap = np.zeros(1 << (bits - 6), np.int64)
+        bitmap[got["word"].to_numpy()] = got[f"b{i}"].to_numpy()
+        out.append(bitmap.view(np.uint8))
+    return out
+
+
+def bit_set(df: DataFrame, value: Column, rows: int) -> np.ndarray:
+    return bit_sets(df, value, [F.lit(True)], rows)[0]
 
 
 def in_set(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_windows, dropped, map_texts, released, stored, text_buffer
-from .components import bit_set, connected, in_set
+from .components import bit_set, bit_sets, connected, in_set
 
 WIDTH, PERCENT = 4, 85
 #: Smallest hashes by which groups are formed; numbers of groups at which a shingle moves to the next step.
@@ -221,6 +221,8 @@ def _counted(docs: DataFrame, roots: DataFrame, width: int, percent: int) -> Dat
     more = docs.where("id IS NOT NULL").select(F.xxhash64("id").alias("h"), "text").mapInArrow(count, "token long, n long")
     out = stored(more.groupBy("token").agg(F.sum("n").alias("groups")).where(F.col("groups") >= least).unionByName(first).groupBy("token").agg(F.sum("groups").alias("groups")))
     dropped(first)
+    busy.destroy()
+    wanted.destroy()
     return out
 
 
@@ -268,6 +270,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     out = stored(with_texts.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
     dropped(near)
     dropped(ids)
+    wanted.destroy()
     released(docs.sparkSession)
     return out
 
@@ -347,15 +350,12 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # 3. the order, from one document of each group, and the index
     counts = _counted(docs, known.join(groups.select("node"), "node", "left_anti"), width, percent)
     released(spark)
-    order = []
-    for x in steps:
-        step = counts.where(F.col("groups") >= x)
-        order.append(bit_set(step, F.col("token"), step.count()))
-    order = spark.sparkContext.broadcast(order)
+    order = spark.sparkContext.broadcast(bit_sets(counts, F.col("token"), [F.col("groups") >= x for x in steps], counts.count()))
     dropped(counts)
     who = known.select("node", "n").distinct().join(groups.withColumnRenamed("component", "g"), "node", "left").select(F.col("node").alias("id"), "n", F.coalesce("g", "node").alias("g"))
     index = stored(_indexed(docs, width, percent, order).join(who, ["id", "n"]).withColumnRenamed("id", "node"))
     dropped(groups)
+    order.destroy()
     released(spark)
     placed = index.select("node", "n", "light", "g", F.posexplode("tokens").alias("at", "token")).withColumn("short", F.col("at") < short_prefix(F.col("n"), percent))
     several = placed.groupBy("token").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.max("short").alias("any_short"), F.count("*").alias("docs"), F.min(F.struct("light", "node", "n", "g")).alias("leader"))

@@ -92,9 +92,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
     chosen = [marks.where(F.col("label") == y).select("id", "label").join(own.select("id"), "id", "left_semi").orderBy(order, "id").limit(per_label) for y in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])
     texts = own.join(F.broadcast(chosen), "id")
-    # rows that share an id count one by one: those with the smallest hashes of id and text stay within the bound
-    rows = [texts.where(F.col("label") == y).orderBy(order, "id", F.xxhash64("text")).limit(per_label) for y in (0, 1)]
-    texts = rows[0].unionByName(rows[1])
+    if texts.select("id").count() > 2 * per_label:
+        # rows that share an id count one by one: those with the smallest hashes of id and text stay within the bound
+        rows = [texts.where(F.col("label") == y).orderBy(order, "id", F.xxhash64("text")).limit(per_label) for y in (0, 1)]
+        texts = rows[0].unionByName(rows[1])
 
     def scan():
         def run(column: pa.Array) -> list:
