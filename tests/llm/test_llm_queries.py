@@ -21,8 +21,8 @@ def test_sql(spark, sf, name):
     compare(spark, sf, queries.QUERIES[name], queries.ORACLES[name])
 
 
-def test_all_ten():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_thirteen():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_pipeline(spark, sf):

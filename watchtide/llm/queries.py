@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, quality
+from .align import align_tokenizers
 from .bpe import encode_documents
 from .common import table
 from .embed_dedup import near_duplicates
@@ -14,13 +15,15 @@ from .line_dedup import dedup_lines
 from .mixing import mix
 from .ngram_join import jaccard_components
 from .secret_scan import scan_secrets
+from .spelling import spelling_variants
 from .top_k import top_k
+from .url_rules import judge_urls
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +86,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling_variants(table(spark, sf_dir, "documents"), factor=5, counts={"min_chars": 6, "min_count": 5, "drop_every": 199})
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+#: Entries of the URL filter: verdict, host, beginning of the path.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_source_mixing": op2_source_mixing,
@@ -94,6 +114,9 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_top_k": op9_top_k,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_url_filter": op13_url_filter,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -217,10 +240,23 @@ SELECT doc_id, domain, lang, source, n_tokens,
 FROM summed
 """
 
+OP13_SQL = f"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(verdict, h, p) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
+fit AS (
+  SELECT page_id, host, path, arg_max(struct_pack(r := h || p, v := verdict), (len(string_split(h, '.')), len(p), verdict = 'block')) AS best
+  FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM fit
+"""
+
 ORACLES: dict[str, str] = {
     "op2_source_mixing": OP2_SQL,
     "op3_embedding_dedup": OP3_SQL,
     "op6_line_dedup": OP6_SQL,
     "op7_ngram_jaccard": OP7_SQL,
     "op9_top_k": OP9_SQL,
+    "op13_url_filter": OP13_SQL,
 }
