@@ -190,24 +190,6 @@ def tvl_detections(samples: DataFrame, rule: dict) -> DataFrame:
     return _tvl_detections(samples, rule, ("tenant_id", "protocol_id", "chain_slug"))
 
 
-def tvl_detections_by_rule(samples: DataFrame, rules: DataFrame) -> DataFrame:
-    """``tvl_detections`` for each of the tenants' rules whose scope a sample matches (``configs.tvl_rules``): adds ``rule_id``.
-    Rules of equal window lengths, which windows can't take from columns, are done together."""
-    times = [f"{n}_minutes" for n in (*WINDOWS, "concurrent")]
-    out = []
-    mine = rules.select("tenant_id", "rule_id", F.col("protocol_id").alias("r_protocol"), F.col("chain_slug").alias("r_chain"), F.col("market_id").alias("r_market"), *(c for c in rules.columns if c.endswith(("_pct", "_usd", "_enabled"))), *times)
-    for lengths in sorted(map(tuple, rules.select(*times).distinct().collect())):
-        same = reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip(times, lengths, strict=True)))
-        both = samples.join(mine.where(same).drop(*times), "tenant_id")
-        market = F.col("market_id") if "market_id" in samples.columns else F.lit(None).cast("string")
-        both = both.where(scope_match(F.col("protocol_id"), F.col("r_protocol"), F.col("chain_slug"), F.col("r_chain"), market, F.col("r_market")))
-        rule = dict(zip(times, lengths, strict=True)) | {c: F.col(c) for c in mine.columns if c.endswith(("_pct", "_usd", "_enabled"))}
-        out.append(_tvl_detections(both, rule, ("tenant_id", "rule_id", "protocol_id", "chain_slug")))
-    if not out:
-        raise ValueError("no enabled drawdown rule")
-    return reduce(DataFrame.unionByName, out)
-
-
 def _tvl_detections(samples: DataFrame, rule: dict, key: tuple[str, ...]) -> DataFrame:
     rows = drawdowns(samples, rule, key)
     floor = F.col("tvl_usd") >= F.lit(rule["min_tvl_floor_usd"])
@@ -231,22 +213,6 @@ def _tvl_detections(samples: DataFrame, rule: dict, key: tuple[str, ...]) -> Dat
     return rows.withColumn("transition", transition).drop("concurrent", "by_velocity", "prev_severity", "prev_context", "prev_drop")
 
 
-def pause_updates(pauses: DataFrame, breaches: DataFrame) -> DataFrame:
-    """Pauses and unpauses while an incident is open: an update with the last breach's severity and context."""
-    key = ["tenant_id", "protocol_id", "chain_slug"]
-    both = pauses.select(*key, "observed_at", "event_id", "paused").withColumn("severity", F.lit(None).cast("string")).withColumn("context", F.lit(None).cast("string"))
-    both = both.unionByName(breaches.select(*key, "observed_at", "event_id", F.lit(None).cast("boolean").alias("paused"), "severity", "context"))
-    w = Window.partitionBy(*key).orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("last", F.last(F.when(F.col("severity").isNotNull(), F.struct("severity", "context")), ignorenulls=True).over(w))
-    return last.where("paused IS NOT NULL AND last IS NOT NULL").select(*key, "event_id", "paused", F.lit("update").alias("transition"), F.col("last.severity").alias("severity"), F.col("last.context").alias("context"))
-
-
-def scope_match(protocol: Column, rule_protocol: Column, chain: Column, rule_chain: Column, market: Column, rule_market: Column) -> Column:
-    """Case-insensitive; a null or ``all`` in the rule matches everything."""
-    any_ = lambda rule, x: rule.isNull() | (F.lower(rule) == "all") | (F.lower(rule) == F.lower(x))
-    return any_(rule_protocol, protocol) & any_(rule_chain, chain) & any_(rule_market, market)
-
-
 # Flash loans
 
 

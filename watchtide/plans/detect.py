@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import detectors as ops
+from ..operators import drawdown
 from ..sources.configs import peg_policies, tvl_rules
 from .quotes import MARKETS, POLICY, SOURCES
 from .registry import query, view
@@ -37,48 +38,49 @@ def drawdowns(spark, sf_dir):
     return ops.drawdowns(view(spark, sf_dir, "tvl_samples"), TVL).select("event_id", *(F.round(f"{n}_drop", 6).alias(f"{n}_drop") for n in ("fast", "slow", "velocity")))
 
 
-def _range(minutes: str) -> str:
-    return f"OVER (PARTITION BY tenant_id, rule_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN to_minutes({minutes}) PRECEDING AND CURRENT ROW)"
+_IN_SCOPE = """r.tenant_id = s.tenant_id AND r.protocol_id = lower(s.protocol_id) AND r.chain_slug = lower(s.chain_slug) AND (r.market_id IS NULL OR r.market_id = lower(s.market_id))"""
+_SUBJECT = "PARTITION BY tenant_id, rule_order, rule_id, subject_key ORDER BY observed_at, event_id"
+_peak = lambda n: f"(SELECT max(x.tvl_usd) FROM s x WHERE x.tenant_id = s.tenant_id AND x.rule_order = s.rule_order AND x.subject_key = s.subject_key AND x.observed_at >= s.observed_at - to_minutes(s.{n}_minutes) AND (x.observed_at, x.event_id) <= (s.observed_at, s.event_id))"
+#: Breaches of the tenants' rules, as the pattern's rules say (k): samples by rule and subject, peaks, breaches, contagion.
+_BREACHES = f"""
+rules AS ({TVL_RULES_SQL}),
+s AS (SELECT s.event_id, s.observed_at, s.tvl_usd, lower(s.protocol_id) || ':' || lower(s.chain_slug) AS protocol_key, CASE WHEN r.market_id IS NULL THEN 'protocol' ELSE 'market' END AS subject_type,
+        concat_ws(':', lower(s.protocol_id), lower(s.chain_slug), r.market_id) AS subject_key, r.* FROM tvl_samples s JOIN rules r ON {_IN_SCOPE} WHERE s.tvl_usd > 0),
+d AS (SELECT s.*, {", ".join(f"({_peak(n)} - tvl_usd) / {_peak(n)} * 100 AS {n}_drop" for n in ("fast", "slow", "velocity"))} FROM s),
+b AS (SELECT *, tvl_usd >= min_tvl_floor_usd AND (velocity_drop >= velocity_critical_pct OR fast_drop >= fast_drop_pct OR slow_drop >= slow_drop_pct) AS breach, greatest(fast_drop, slow_drop, velocity_drop) AS fall FROM d),
+c AS (SELECT a.*, contagion_enabled AND EXISTS (SELECT 1 FROM b x WHERE x.tenant_id = a.tenant_id AND x.protocol_key <> a.protocol_key AND x.breach AND x.observed_at >= a.observed_at - to_minutes(a.concurrent_minutes) AND (x.observed_at, x.event_id) < (a.observed_at, a.event_id)) AS systemic FROM b a),
+g AS (SELECT *, CASE WHEN breach THEN CASE WHEN velocity_drop >= velocity_critical_pct OR systemic THEN 'critical' ELSE 'high' END END AS severity, CASE WHEN breach THEN CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END END AS context FROM c),
+h AS (SELECT *, last_value(severity IGNORE NULLS) OVER p AS prev_severity, coalesce(last_value(context IGNORE NULLS) OVER p, 'isolated') AS prev_context, coalesce(lag(fall) OVER ({_SUBJECT}), 0) AS prev_fall FROM g WINDOW p AS ({_SUBJECT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, {_TRANSITION} AS transition FROM h WHERE breach)"""
 
 
-_SUBJECT = "PARTITION BY tenant_id, rule_id, protocol_id, chain_slug ORDER BY observed_at, event_id"
+def _drawdowns(spark, sf_dir):
+    return drawdown.detections(view(spark, sf_dir, "tvl_samples"), tvl_rules(enabled(spark, sf_dir, "tvl_drop")))
 
 
-@query("k2_tvl_drawdown", f"""
-WITH rules AS ({TVL_RULES_SQL}),
-s AS (SELECT x.*, r.* EXCLUDE (tenant_id, protocol_id, chain_slug, market_id) FROM tvl_samples x JOIN rules r ON x.tenant_id = r.tenant_id AND r.protocol_id IN ('all', lower(x.protocol_id)) AND r.chain_slug IN ('all', lower(x.chain_slug)) AND r.market_id IS NULL),
-d AS (SELECT *, {", ".join(f"(max(tvl_usd) {_range(f'{n}_minutes')} - tvl_usd) / max(tvl_usd) {_range(f'{n}_minutes')} * 100 AS {n}_drop" for n in ("fast", "slow", "velocity"))} FROM s WHERE tvl_usd > 0),
-b AS (SELECT *, tvl_usd >= min_tvl_floor_usd AND (velocity_drop >= velocity_critical_pct OR fast_drop >= fast_drop_pct OR slow_drop >= slow_drop_pct) AS breach, greatest(fast_drop, slow_drop, velocity_drop) AS fall FROM d),
-c AS (SELECT a.*, contagion_enabled AND (SELECT count(DISTINCT x.protocol_id || ':' || x.chain_slug) FROM b x WHERE x.tenant_id = a.tenant_id AND x.rule_id = a.rule_id AND x.breach AND x.observed_at BETWEEN a.observed_at - to_minutes(a.concurrent_minutes) AND a.observed_at) >= 2 AS systemic FROM b a),
-g AS (SELECT *, CASE WHEN breach THEN CASE WHEN velocity_drop >= velocity_critical_pct OR systemic THEN 'critical' ELSE 'high' END END AS severity, CASE WHEN breach THEN CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END END AS context FROM c),
-h AS (SELECT *, last_value(severity IGNORE NULLS) OVER p AS prev_severity, coalesce(last_value(context IGNORE NULLS) OVER p, 'isolated') AS prev_context, coalesce(lag(fall) OVER ({_SUBJECT}), 0) AS prev_fall FROM g WINDOW p AS ({_SUBJECT} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, rule_id, severity, context, round(fall, 6)::DOUBLE AS drop_pct, {_TRANSITION} AS transition FROM h WHERE breach""")
+@query("k2_tvl_drawdown", f"WITH {_BREACHES} SELECT event_id, rule_id, subject_type, subject_key, severity, context, round(fall, 6)::DOUBLE AS drop_pct, transition FROM k")
 def tvl(spark, sf_dir):
     """Drawdown breaches by the tenants' rules, with severity, contagion and transition."""
-    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
-    return ops.tvl_detections_by_rule(view(spark, sf_dir, "tvl_samples"), rules).select("event_id", "rule_id", "severity", "context", F.round("drop", 6).alias("drop_pct"), "transition")
+    return _drawdowns(spark, sf_dir).select("event_id", "rule_id", "subject_type", "subject_key", "severity", "context", F.round("drop", 6).alias("drop_pct"), "transition")
 
 
-@query("k3_pause_updates", f"""{_TVL_SQL},
-u AS (SELECT tenant_id, protocol_id, chain_slug, observed_at, event_id, paused, NULL AS severity, NULL AS context FROM pause_events UNION ALL SELECT tenant_id, protocol_id, chain_slug, observed_at, event_id, NULL, severity, context FROM h WHERE breach),
-l AS (SELECT *, last_value(severity IGNORE NULLS) OVER w AS s, last_value(context IGNORE NULLS) OVER w AS c FROM u WINDOW w AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at, event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, paused, s AS severity, c AS context FROM l WHERE paused IS NOT NULL AND s IS NOT NULL""")
+@query("k3_pause_updates", f"""WITH {_BREACHES},
+u AS (SELECT r.tenant_id, r.rule_order, r.rule_id, concat_ws(':', lower(s.protocol_id), lower(s.chain_slug), r.market_id) AS subject_key, s.observed_at, s.event_id, s.paused, NULL AS severity, NULL AS context FROM pause_events s JOIN rules r ON {_IN_SCOPE}
+      UNION ALL SELECT tenant_id, rule_order, rule_id, subject_key, observed_at, event_id, NULL, severity, context FROM k),
+l AS (SELECT *, last_value(severity IGNORE NULLS) OVER w AS s, last_value(context IGNORE NULLS) OVER w AS c FROM u WINDOW w AS ({_SUBJECT} ROWS UNBOUNDED PRECEDING))
+SELECT event_id, rule_id, subject_key, paused, s AS severity, c AS context FROM l WHERE paused IS NOT NULL AND s IS NOT NULL""")
 def pauses(spark, sf_dir):
-    breaches = ops.tvl_detections(view(spark, sf_dir, "tvl_samples"), TVL)
-    return ops.pause_updates(view(spark, sf_dir, "pause_events"), breaches).select("event_id", "paused", "severity", "context")
+    """Pauses while a tenant's rule has an incident open (K3)."""
+    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
+    return drawdown.pause_updates(view(spark, sf_dir, "pause_events"), rules, _drawdowns(spark, sf_dir)).select("event_id", "rule_id", "subject_key", "paused", "severity", "context")
 
 
-@query("h2_highest_severity", f"""{_TVL_SQL} SELECT event_id, 'strict' AS rule_id, severity FROM h WHERE breach
-UNION ALL SELECT event_id, 'loose', 'medium' FROM tvl_samples WHERE tvl_usd >= 20e6 AND event_id % 3 = 0 AND event_id NOT IN (SELECT event_id FROM h WHERE breach)""")
+@query("h2_highest_severity", f"""WITH {_BREACHES},
+o AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, event_id ORDER BY CASE severity WHEN 'critical' THEN 5 ELSE 4 END DESC, rule_order, subject_type DESC) AS nth FROM k WHERE transition IS NOT NULL)
+SELECT tenant_id, event_id, rule_id, subject_key, severity, transition FROM o WHERE nth = 1""")
 def highest(spark, sf_dir):
     """Of several rules' detections of one event, the one with the highest severity; ties keep the first rule."""
-    from ..functions.severity import rank
-
-    s = view(spark, sf_dir, "tvl_samples")
-    strict = ops.tvl_detections(s, TVL).select("event_id", F.lit("strict").alias("rule_id"), F.lit(1).alias("rule_order"), "severity")
-    loose = s.where("tvl_usd >= 20e6 AND event_id % 3 = 0").select("event_id", F.lit("loose").alias("rule_id"), F.lit(0).alias("rule_order"), F.lit("medium").alias("severity"))
-    best = F.max_by(F.struct("rule_id", "severity"), F.struct(rank(F.col("severity")), -F.col("rule_order")))
-    return strict.unionByName(loose).groupBy("event_id").agg(best.alias("x")).select("event_id", "x.*")
+    return drawdown.highest(_drawdowns(spark, sf_dir)).select("tenant_id", "event_id", "rule_id", "subject_key", "severity", "transition")
 
 
 @query("d5_flash_thresholds", f"SELECT event_id, rule_id FROM flash_events JOIN ({_RULES_SQL}) r USING (tenant_id) WHERE source_type = 'evm_chain' AND loan_amount_usd >= min_loan_usd AND profit_usd >= min_profit_usd")
@@ -203,12 +205,11 @@ def registry(spark, sf_dir):
     return ops.detect_all([(Flash(), view(spark, sf_dir, "flash_events"), rules), (Big(), view(spark, sf_dir, "tvl_samples"), rules)]).groupBy("pattern_id").agg(F.count("*").alias("n"))
 
 
-@query("e2_rule_scope", f"""SELECT event_id, rule_id FROM tvl_samples s JOIN ({TVL_RULES_SQL}) r ON s.tenant_id = r.tenant_id AND r.protocol_id IN ('all', lower(s.protocol_id)) AND r.chain_slug IN ('all', lower(s.chain_slug)) AND r.market_id IS NULL""")
+@query("e2_rule_scope", f"SELECT event_id, rule_id FROM tvl_samples s JOIN ({TVL_RULES_SQL}) r ON {_IN_SCOPE}")
 def rule_scope(spark, sf_dir):
-    """Samples joined to the tenant's rules whose scope they match."""
-    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop")).select("tenant_id", "rule_id", F.col("protocol_id").alias("rule_protocol"), F.col("chain_slug").alias("rule_chain"), F.col("market_id").alias("rule_market"))
-    s, none = view(spark, sf_dir, "tvl_samples").join(rules, "tenant_id"), F.lit(None).cast("string")
-    return s.where(ops.scope_match(F.col("protocol_id"), F.col("rule_protocol"), F.col("chain_slug"), F.col("rule_chain"), none, F.col("rule_market"))).select("event_id", "rule_id")
+    """Samples with the tenant's rules whose scope they match."""
+    rules = tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
+    return drawdown.in_scope(view(spark, sf_dir, "tvl_samples"), rules).select("event_id", F.explode("rules.rule_id").alias("rule_id"))
 
 
 @query("e1_tenant_policies", f"SELECT q.event_id, p.min_sources, p.peg_target, p.stale_timeout_ms FROM quotes q JOIN ({PEG_POLICIES_SQL}) p USING (tenant_id, market_key)")

@@ -23,12 +23,14 @@ SELECT event_id, observed_at, tenant_id, source_id, market_key, price,
 FROM quotes WHERE market_key IS NOT NULL AND price IS NOT NULL""",
     "tvl_samples": """
 SELECT event_id, ts AS observed_at, 'tenant-' || (user_id % 3) AS tenant_id, 'proto-' || (user_id % 4) AS protocol_id,
-       CASE user_id % 2 WHEN 0 THEN 'base' ELSE 'ethereum' END AS chain_slug, value * 1000000.0 AS tvl_usd
+       CASE user_id % 2 WHEN 0 THEN 'base' ELSE 'ethereum' END AS chain_slug, CASE event_id % 3 WHEN 1 THEN 'm1' WHEN 2 THEN 'M2' END AS market_id,
+       value * 1000000.0 AS tvl_usd
 FROM events WHERE event_type = 'view'""",
     "pause_events": """
 SELECT event_id, ts AS observed_at, 'tenant-' || (user_id % 3) AS tenant_id, 'proto-' || (user_id % 4) AS protocol_id,
-       CASE user_id % 2 WHEN 0 THEN 'base' ELSE 'ethereum' END AS chain_slug, event_id % 2 = 0 AS paused
-FROM events WHERE event_type = 'signup' AND event_id % 10 < 2""",
+       CASE user_id % 2 WHEN 0 THEN 'base' ELSE 'ethereum' END AS chain_slug, CASE event_id % 3 WHEN 1 THEN 'M1' WHEN 2 THEN 'm2' END AS market_id,
+       event_id % 2 = 0 AS paused
+FROM events WHERE event_type = 'signup'""",
     "flash_events": """
 SELECT event_id, ts AS observed_at, 'tenant-' || (user_id % 3) AS tenant_id, 'addr-' || user_id AS attacker_address,
        value * 10000.0 AS loan_amount_usd, value * 100.0 AS profit_usd,
@@ -109,9 +111,15 @@ SELECT 'tenant-' || c_custkey, 'flash_loan', c_custkey % 4 <> 3,
 FROM customer
 UNION ALL
 SELECT 'tenant-' || c_custkey, 'tvl_drop', c_custkey % 7 <> 6,
-       '{"rules":[{"rule_id":"all","protocol_id":"all","chain_slug":"all","thresholds":{"fast_drop_pct":20,"slow_drop_pct":35,"velocity_critical_pct":15,"fast_window_sec":36000,"slow_window_sec":216000,"velocity_window_sec":7200},"contagion":{"enabled":true,"overlap_window_sec":18000},"min_tvl_floor_usd":20000000},'
-       || '{"rule_id":"one","scope":{"protocol_id":"PROTO-' || (c_custkey % 4) || '","chain_slug":"all","market_id":"All"},"thresholds":{"fast_drop_pct":' || (30 + c_nationkey % 3) || ',"fast_window_sec":86399,"slow_window_sec":216000,"velocity_window_sec":1},"contagion":{"enabled":false},"min_tvl_floor_usd":10000000},'
-       || '{"rule_id":"t2","protocol_id":"all","enabled":false},{"scope":{"market_id":"M1"}}]}'
+       CASE WHEN c_custkey % 11 = 4 THEN 'oops' WHEN c_custkey % 9 = 5 THEN '{"rules":[{"protocol_id":"proto-0","slow_drop_pct":0},{"rule_id":"x","min_tvl_floor_usd":-1}]}' WHEN c_custkey % 13 = 6 THEN '{"rules":{"rule_id":"no array"}}' ELSE
+       '{"rules":[{"rule_id":"base","scope":{"protocol_id":"PROTO-0","chain_slug":"Base","market_id":"All"},"thresholds":{"fast_drop_pct":20,"slow_drop_pct":35,"velocity_critical_pct":15,"fast_window_sec":36000,"slow_window_sec":216001,"velocity_window_sec":7200},"contagion":{"enabled":true,"overlap_window_sec":18000},"min_tvl_floor_usd":20000000},'
+       || '{"protocol_id":"proto-1","chain_slug":"ethereum","fast_drop_pct":"' || (25 + c_nationkey % 3) || '","slow_window_minutes":' || (3000 + 17 * c_nationkey) || ',"fast_window_minutes":"' || (700 + c_custkey % 50) || '","velocity_critical_minutes":90,"concurrent_window_minutes":240,"min_tvl_floor_usd":10000000},'
+       || '{"rule_id":"m","scope":{"protocol_id":"proto-2","chain_slug":"base","market_id":" M1 "},"thresholds":{"fast_drop_pct":30,"fast_window_sec":86399,"slow_window_sec":216000,"velocity_window_sec":1,"fast_window_minutes":2.5},"contagion":{"enabled":false},"min_tvl_floor_usd":10000000},'
+       || '{"rule_id":"wide","protocol_id":"proto-2","chain_slug":"base","slow_drop_pct":30,"slow_window_minutes":' || (5000 + c_custkey) || ',"fast_window_minutes":4000,"concurrent_window_sec":90000,"thresholds":{"min_tvl_floor_usd":"15000000"}},'
+       || '{"rule_id":"no market","scope":"market","protocol_id":"proto-2","chain_slug":"base"},{"rule_id":"neg","protocol_id":"proto-3","chain_slug":"ethereum","velocity_critical_pct":-1},'
+       || '{"rule_id":"","scope":"protocol","protocol_id":"proto-3","chain_slug":"ethereum","market_id":"m2","fast_window_minutes":-3,"slow_window_minutes":1500,"contagion_enabled":' || CASE WHEN c_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || '},'
+       || '{"rule_id":"m2","scope":"market","protocol_id":"proto-3","chain_slug":"ethereum","market_id":"m2","fast_window_minutes":900,"slow_window_minutes":2000,"fast_drop_pct":10},'
+       || '{"rule_id":"off","protocol_id":"proto-1","chain_slug":"ethereum","enabled":false},7]}' END
 FROM customer
 UNION ALL
 SELECT 'tenant-' || c_custkey, 'old', true, '[]' FROM customer""",

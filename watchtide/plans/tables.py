@@ -38,14 +38,46 @@ SELECT tenant_id, p->>'$.market_key' AS market_key, coalesce(CAST(p->>'$.peg_tar
        p->'$.source_overrides' AS overrides
 FROM (SELECT tenant_id, unnest(json_extract(config, '$[*]')) AS p {_ON} AND pattern_id = 'dpeg')
 WHERE coalesce(trim(p->>'$.market_key'), '') <> '' AND coalesce(CAST(p->>'$.peg_target' AS DOUBLE), 1.0) > 0 AND coalesce(CAST(p->>'$.quorum_pct' AS DOUBLE), 0.6) BETWEEN 0 AND 1"""
+
+
+def _got(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"r->>'$.{p}'" for p in paths) + ", NULL)"
+
+
+def _whole(*paths: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({_got(*paths)}), '[+-]?[0-9]+') THEN TRY_CAST(trim({_got(*paths)}) AS BIGINT) END"
+
+
+def _minutes(name: str, default: int, own: tuple, sec: tuple) -> str:
+    return f"greatest(1, coalesce({_whole(*own)}, ({_whole(*sec)} + 59) // 60, {default}))::BIGINT AS {name}"
+
+
+def _number(name: str, default: str, *paths: str) -> str:
+    return f"coalesce(TRY_CAST(trim({_got(*paths)}) AS DOUBLE), {default}::DOUBLE) AS {name}"
+
+
+_both = lambda k: (f"thresholds.{k}", k)
+_SCOPE_SAID = "CASE WHEN json_type(r->'$.scope') = 'VARCHAR' THEN lower(trim(r->>'$.scope')) END"
+_MARKET = f"nullif(nullif(lower(trim({_got('scope.market_id', 'market_id')})), ''), 'all')"
 TVL_RULES_SQL = f"""
-SELECT tenant_id, rule_order, coalesce(r->>'$.rule_id', 'tvl-rule-' || (rule_order + 1)) AS rule_id, lower(coalesce(r->>'$.scope.protocol_id', r->>'$.protocol_id', 'aave_v3')) AS protocol_id, lower(coalesce(r->>'$.scope.chain_slug', r->>'$.chain_slug', 'base')) AS chain_slug,
-       nullif(lower(r->>'$.scope.market_id'), 'all') AS market_id, coalesce(CAST(r->>'$.thresholds.fast_drop_pct' AS DOUBLE), 20.0) AS fast_drop_pct, coalesce(CAST(r->>'$.thresholds.slow_drop_pct' AS DOUBLE), 35.0) AS slow_drop_pct, coalesce(CAST(r->>'$.thresholds.velocity_critical_pct' AS DOUBLE), 15.0) AS velocity_critical_pct,
-       CAST(CASE WHEN r->>'$.thresholds.fast_window_sec' IS NULL THEN 10 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.fast_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS fast_minutes, CAST(CASE WHEN r->>'$.thresholds.slow_window_sec' IS NULL THEN 60 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.slow_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS slow_minutes,
-       CAST(CASE WHEN r->>'$.thresholds.velocity_window_sec' IS NULL THEN 2 ELSE greatest(1, ceil(CAST(r->>'$.thresholds.velocity_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS velocity_minutes, CAST(CASE WHEN r->>'$.contagion.overlap_window_sec' IS NULL THEN 5 ELSE greatest(1, ceil(CAST(r->>'$.contagion.overlap_window_sec' AS BIGINT) / 60)) END AS BIGINT) AS concurrent_minutes,
-       coalesce(CAST(r->>'$.contagion.enabled' AS BOOLEAN), true) AS contagion_enabled, coalesce(CAST(r->>'$.min_tvl_floor_usd' AS DOUBLE), 1e6) AS min_tvl_floor_usd
-FROM (SELECT tenant_id, unnest(rules) AS r, unnest(range(len(rules))) AS rule_order FROM (SELECT tenant_id, json_extract(config, '$.rules[*]') AS rules {_ON} AND pattern_id = 'tvl_drop'))
-WHERE coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true)"""
+WITH of_tenants AS (SELECT tenant_id, config, CASE WHEN json_valid(config) THEN CASE WHEN json_type(config, '$.rules') = 'ARRAY' THEN json_extract(config, '$.rules[*]') END END AS rules {_ON} AND pattern_id = 'tvl_drop'),
+items AS (SELECT tenant_id, unnest(rules) AS r, unnest(range(len(rules))) AS rule_order FROM of_tenants),
+parsed AS (
+  SELECT tenant_id, rule_order, coalesce(nullif(trim(r->>'$.rule_id'), ''), 'tvl-rule-' || (rule_order + 1)) AS rule_id,
+         lower(coalesce(nullif(trim({_got("scope.protocol_id", "protocol_id")}), ''), 'aave_v3')) AS protocol_id, lower(coalesce(nullif(trim({_got("scope.chain_slug", "chain_slug")}), ''), 'base')) AS chain_slug,
+         {_MARKET} AS market, CASE WHEN {_SCOPE_SAID} IN ('market', 'protocol') THEN {_SCOPE_SAID} = 'market' ELSE {_MARKET} IS NOT NULL END AS of_market,
+         {_number("fast_drop_pct", "20", *_both("fast_drop_pct"))}, {_number("slow_drop_pct", "35", *_both("slow_drop_pct"))}, {_number("velocity_critical_pct", "15", *_both("velocity_critical_pct"))},
+         {_minutes("fast_minutes", 10, _both("fast_window_minutes"), _both("fast_window_sec"))}, {_minutes("slow_minutes", 60, _both("slow_window_minutes"), _both("slow_window_sec"))},
+         {_minutes("velocity_minutes", 2, _both("velocity_critical_minutes"), _both("velocity_window_sec"))},
+         {_minutes("concurrent_minutes", 5, ("concurrent_window_minutes", "thresholds.concurrent_window_minutes"), ("contagion.overlap_window_sec", "concurrent_window_sec"))},
+         coalesce(CAST({_got("contagion.enabled", "contagion_enabled")} AS BOOLEAN), true) AS contagion_enabled, {_number("min_tvl_floor_usd", "1e6", "min_tvl_floor_usd", "thresholds.min_tvl_floor_usd")},
+         coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true) AS on_
+  FROM items WHERE json_type(r) = 'OBJECT'),
+valid AS (SELECT * FROM parsed WHERE fast_drop_pct > 0 AND slow_drop_pct > 0 AND velocity_critical_pct > 0 AND min_tvl_floor_usd >= 0 AND (NOT of_market OR market IS NOT NULL)),
+fallen AS (SELECT DISTINCT tenant_id FROM of_tenants WHERE tenant_id NOT IN (SELECT tenant_id FROM valid))
+SELECT tenant_id, CAST(rule_order AS INTEGER) AS rule_order, rule_id, protocol_id, chain_slug, CASE WHEN of_market THEN market END AS market_id, fast_drop_pct, slow_drop_pct, velocity_critical_pct,
+       fast_minutes, slow_minutes, velocity_minutes, concurrent_minutes, contagion_enabled, min_tvl_floor_usd FROM valid WHERE on_
+UNION ALL SELECT tenant_id, 0, 'tvl-default', 'aave_v3', 'base', NULL, 20, 35, 15, 10, 60, 2, 5, true, 1e6 FROM fallen"""
 
 
 def enabled(spark, sf_dir, pattern):
@@ -71,7 +103,7 @@ def flash_rules(spark, sf_dir):
     return configs.flash_rules(enabled(spark, sf_dir, "flash_loan"))
 
 
-@query("a3_tvl_rules", f"SELECT * REPLACE (CAST(rule_order AS INTEGER) AS rule_order) FROM ({TVL_RULES_SQL})")
+@query("a3_tvl_rules", TVL_RULES_SQL)
 def tvl_rules(spark, sf_dir):
     return configs.tvl_rules(enabled(spark, sf_dir, "tvl_drop"))
 

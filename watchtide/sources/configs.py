@@ -5,7 +5,7 @@ Configuration tables are small by nature, but nothing here forces a broadcast: S
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BANDS = "struct<medium:double,high:double,critical:double>"
@@ -17,11 +17,6 @@ _POLICY = (
     f"toggles:struct<oracle_confirmation:boolean,volume_confirmation:boolean,contagion_detection:boolean>,source_overrides:map<string,{_OVERRIDE}>>>"
 )
 _FLASH = "struct<rules:array<struct<rule_id:string,enabled:boolean,min_loan_usd:double,min_profit_usd:double,cooldown_sec:bigint>>>"
-_TVL = (
-    "struct<rules:array<struct<rule_id:string,protocol_id:string,chain_slug:string,market_id:string,enabled:boolean,scope:struct<protocol_id:string,chain_slug:string,market_id:string>,"
-    "thresholds:struct<fast_drop_pct:double,slow_drop_pct:double,velocity_critical_pct:double,fast_window_sec:bigint,slow_window_sec:bigint,velocity_window_sec:bigint>,"
-    "contagion:struct<enabled:boolean,overlap_window_sec:bigint>,min_tvl_floor_usd:double>>>"
-)
 #: Defaults of a policy or rule (fixed values).
 PEG_DEFAULTS = {"peg_target": 1.0, "min_sources": 3, "quorum_pct": 0.6, "sustained_window_ms": 60_000, "cooldown_sec": 300, "stale_timeout_ms": 30_000, "deescalation_blocks": 5, "resolution_blocks": 30, "isolated_floor_pct": 0.5, "systemic_floor_pct": 0.01}
 FLASH_DEFAULTS = {"min_loan_usd": 100_000.0, "min_profit_usd": 1_000.0, "cooldown_sec": 300}
@@ -61,17 +56,44 @@ def flash_rules(configs: DataFrame) -> DataFrame:
 
 
 def tvl_rules(configs: DataFrame) -> DataFrame:
-    """Enabled drawdown rules; windows in whole minutes, 1 at least. A market only counts if it isn't ``all``."""
-    rows = configs.select("tenant_id", F.posexplode(F.from_json("config", _TVL)["rules"]).alias("rule_order", "r")).where("coalesce(r.enabled, true)")
-    t = lambda k: F.coalesce(F.col(f"r.thresholds.{k}"), F.lit(TVL_DEFAULTS[k])).alias(k)
-    minutes = lambda sec, k: F.when(F.col(sec).isNull(), F.lit(TVL_DEFAULTS[f"{k}_minutes"])).otherwise(F.greatest(F.ceil(F.col(sec) / 60), F.lit(1))).cast("bigint").alias(f"{k}_minutes")
-    scope = lambda k: F.lower(F.trim(F.coalesce(f"r.scope.{k}", f"r.{k}", F.lit(TVL_DEFAULTS.get(k)))))
-    market = F.when(~scope("market_id").isin("", "all"), scope("market_id"))
-    return rows.select(
-        "tenant_id", "rule_order", F.coalesce("r.rule_id", F.concat(F.lit("tvl-rule-"), (F.col("rule_order") + 1).cast("string"))).alias("rule_id"), scope("protocol_id").alias("protocol_id"), scope("chain_slug").alias("chain_slug"), market.alias("market_id"),
-        t("fast_drop_pct"), t("slow_drop_pct"), t("velocity_critical_pct"), *(minutes(f"r.thresholds.{k}_window_sec", k) for k in ("fast", "slow", "velocity")), minutes("r.contagion.overlap_window_sec", "concurrent"),
-        F.coalesce("r.contagion.enabled", F.lit(True)).alias("contagion_enabled"), F.coalesce("r.min_tvl_floor_usd", F.lit(TVL_DEFAULTS["min_tvl_floor_usd"])).alias("min_tvl_floor_usd"),
+    """Enabled drawdown rules, each for a protocol on a chain or one of its markets.
+
+    Thresholds stand under ``thresholds`` or at the top of a rule, scopes under ``scope`` or at the top; windows are in
+    minutes, or else in seconds that are rounded up to minutes, 1 at least. A rule with a market that isn't ``all`` is about that
+    market, unless ``scope`` says ``protocol``. Rules with thresholds of zero or less, a negative floor, or a market
+    scope without market are invalid and left out; a tenant without any valid rule, enabled or not, gets the default one."""
+    listed = F.get_json_object("config", "$.rules")
+    items = F.when(F.ltrim(listed).startswith("["), F.from_json(listed, "array<string>"))
+    rows = configs.select("tenant_id", F.posexplode_outer(items).alias("rule_order", "r")).withColumn("r", F.when(F.ltrim("r").startswith("{"), F.col("r")))
+    got = lambda *paths: F.coalesce(*(F.get_json_object("r", f"$.{p}") for p in paths))
+    text = lambda k: F.lower(F.coalesce(F.nullif(F.trim(got(f"scope.{k}", k)), F.lit("")), F.lit(TVL_DEFAULTS[k]))).alias(k)
+    number = lambda k, *paths: F.coalesce(F.trim(got(*paths)).try_cast("double"), F.lit(TVL_DEFAULTS[k])).alias(k)
+    both = lambda k: (f"thresholds.{k}", k)
+
+    def whole(*paths: str) -> Column:
+        x = F.trim(got(*paths))
+        return F.when(x.rlike("^[+-]?[0-9]+$"), x.try_cast("bigint"))
+
+    def minutes(k: str, own: tuple, sec: tuple) -> Column:
+        return F.greatest(F.coalesce(whole(*own), F.floor((whole(*sec) + 59) / 60), F.lit(TVL_DEFAULTS[f"{k}_minutes"])), F.lit(1)).cast("bigint").alias(f"{k}_minutes")
+
+    market = F.lower(F.trim(got("scope.market_id", "market_id")))
+    market = F.when(~market.isin("", "all"), market)
+    said = F.lower(F.trim(got("scope")))
+    of_market = F.when(said.isin("market", "protocol"), said == "market").otherwise(market.isNotNull())
+    flag = lambda *paths: F.coalesce(got(*paths).try_cast("boolean"), F.lit(True))
+    rules = rows.where("r IS NOT NULL").select(
+        "tenant_id", "rule_order", F.coalesce(F.nullif(F.trim(got("rule_id")), F.lit("")), F.concat(F.lit("tvl-rule-"), (F.col("rule_order") + 1).cast("string"))).alias("rule_id"), text("protocol_id"), text("chain_slug"),
+        F.when(of_market, market).alias("market_id"), of_market.alias("__of_market"), *(number(k, *both(k)) for k in ("fast_drop_pct", "slow_drop_pct", "velocity_critical_pct")),
+        *(minutes(k, both(f"{k}_window_minutes"), both(f"{k}_window_sec")) for k in ("fast", "slow")), minutes("velocity", both("velocity_critical_minutes"), both("velocity_window_sec")),
+        minutes("concurrent", ("concurrent_window_minutes", "thresholds.concurrent_window_minutes"), ("contagion.overlap_window_sec", "concurrent_window_sec")),
+        flag("contagion.enabled", "contagion_enabled").alias("contagion_enabled"), number("min_tvl_floor_usd", "min_tvl_floor_usd", "thresholds.min_tvl_floor_usd"), flag("enabled").alias("__enabled"),
     )
+    valid = rules.where("fast_drop_pct > 0 AND slow_drop_pct > 0 AND velocity_critical_pct > 0 AND min_tvl_floor_usd >= 0 AND (NOT __of_market OR market_id IS NOT NULL)").drop("__of_market")
+    default = {"rule_order": F.lit(0), "rule_id": F.lit("tvl-default"), "market_id": F.lit(None).cast("string"), "contagion_enabled": F.lit(True), "__enabled": F.lit(True)}
+    without = configs.select("tenant_id").distinct().join(valid.select("tenant_id"), "tenant_id", "left_anti")
+    fallen = without.select("tenant_id", *((default[f.name] if f.name in default else F.lit(TVL_DEFAULTS[f.name])).cast(f.dataType).alias(f.name) for f in valid.schema.fields if f.name != "tenant_id"))
+    return valid.unionByName(fallen).where("__enabled").drop("__enabled")
 
 
 def effective_streams(sources: DataFrame, streams: DataFrame, targets: DataFrame) -> DataFrame:

@@ -28,3 +28,11 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     if q.exception():
         raise q.exception()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write rows to a table in the shared folder and read it again: a cut in the lineage that outlives executors, for
+    rows that are read more than once. The table stays as long as the folder does."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
