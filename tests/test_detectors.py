@@ -119,7 +119,7 @@ def test_tokens_inside_words(spark):
 
 
 def _fold(events, depth):
-    return chain.finality_step(chain.new_state(), "c", events, depth)
+    return chain.finality_step(chain.new_state(), "c", [(*e, depth) for e in events])
 
 
 def test_third_block_confirms_the_first():
@@ -214,13 +214,6 @@ def test_flash_stream_equals_batch(spark, sf, tmp_path):
     assert want and _streamed(spark, rows, lambda s: twins.flash_detections(s, rules), tmp_path, ["event_id", "rule_id"]) == want
 
 
-def test_finality_stream_equals_batch(spark, sf, tmp_path):
-    rows = view(spark, sf, "chain_events")
-    want = sorted(map(str, chain.finality(rows, 2).where("status != 'provisional' AND event_key IS NOT NULL").select("event_key", "status").collect()))
-    got = _streamed(spark, rows, lambda s: twins.finality(s, 2), tmp_path, ["event_key", "status"])
-    assert sorted(str(x) for x in spark.createDataFrame([g for g in got if g[0] and g[1] != "provisional"], "event_key string, status string").collect()) == want
-
-
 def test_drawdown_stream_equals_batch(spark, sf, tmp_path):
     rows = view(spark, sf, "tvl_samples")
     want = sorted(map(tuple, detectors.tvl_detections(rows, plans.TVL).select("event_id").collect()), key=str)

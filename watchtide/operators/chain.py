@@ -3,19 +3,13 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import hex_words, i256_to_double, scale, u256_to_double
 from ..functions.texts import sanitise_protocol
 
-#: Confirmations by chain; chains that aren't listed need ``DEFAULT_DEPTH`` (fixed values).
-DEPTHS, DEFAULT_DEPTH = {"base": 64, "offchain": 1}, 3
-
-
 def state_samples(calls: DataFrame) -> DataFrame:
     """Results of state calls as drawdown samples (scaled, times price) and pause states (not zero). A call
     without result keeps its row with ``parse_error``."""
@@ -108,11 +102,14 @@ def confirmations(events: DataFrame, depth: int) -> DataFrame:
 FINALITY_SCHEMA = "chain string, event_id long, event_key string, status string, orphaned_from long"
 
 
-def finality_step(state: dict, chain: str, rows, depth: int) -> list[tuple]:
-    """Fold events of one chain, in order of arrival, over ``state`` (``head, blocks, status, order``)."""
+def finality_step(state: dict, chain: str, rows, horizon: int | None = None) -> list[tuple]:
+    """Fold events of one chain, in order of arrival, over ``state``: ``(event_id, block, hash, key, depth)``.
+
+    With ``horizon``, blocks further below the head are forgotten with their keys afterwards: no reorganisation may be
+    deeper than that, and no key may come again after it."""
     out = []
     blocks, status = state["blocks"], state["status"]
-    for event_id, block, block_hash, key in rows:
+    for event_id, block, block_hash, key, depth in rows:
         known = blocks.get(block)
         if known and block_hash is not None and known["hash"] is not None and known["hash"] != block_hash:
             gone = sorted(b for b in blocks if b >= block)
@@ -145,6 +142,10 @@ def finality_step(state: dict, chain: str, rows, depth: int) -> list[tuple]:
                 if status[k] == "provisional":
                     status[k] = "confirmed"
                     out.append((chain, event_id, k, "confirmed", None))
+    if horizon is not None:
+        for b in [b for b in blocks if b < state["head"] - horizon]:
+            for k in blocks.pop(b)["keys"]:
+                status.pop(k, None)
     return out
 
 
@@ -152,38 +153,5 @@ def new_state() -> dict:
     return {"head": 0, "blocks": {}, "status": {}, "pending": []}
 
 
-def finality(events: DataFrame, depth: int) -> DataFrame:
-    """Provisional, confirmed, retracted and reorganisation updates of every chain.
-
-    The order within a chain matters for every event, so a chain that has a reorganisation is folded in one task:
-    its events are sorted by Spark and stream through in batches, and what the task holds is the chain's blocks and
-    keys, which a reorganisation at any depth may retract. Chains without one take the window form (``confirmations``)."""
-    split = orphaned(events).select("chain").distinct().withColumn("folded", F.lit(True))
-    marked = events.join(split, "chain", "left")
-    plain = marked.where("folded IS NULL")
-    sure = confirmations(plain, depth).where("confirmed_by IS NOT NULL")
-    updates = plain.select("chain", "event_id", "event_key", F.lit("provisional").alias("status"), F.lit(None).cast("long").alias("orphaned_from"))
-    updates = updates.unionByName(sure.select("chain", F.col("confirmed_by").alias("event_id"), "event_key", F.lit("confirmed").alias("status"), F.lit(None).cast("long").alias("orphaned_from")))
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        at, state = None, new_state()
-        for pdf in batches:
-            out = []
-            for chain, *row in zip(*(pdf[c] for c in ("chain", "event_id", "block_number", "block_hash", "event_key")), strict=True):
-                if chain != at:
-                    at, state = chain, new_state()
-                out += finality_step(state, chain, [row], depth)
-            yield pd.DataFrame(out, columns=["chain", "event_id", "event_key", "status", "orphaned_from"]).astype({"orphaned_from": "Int64"})
-
-    folded = marked.where("folded").select("chain", "event_id", "block_number", "block_hash", "event_key").repartition("chain").sortWithinPartitions("chain", "event_id").mapInPandas(fold, FINALITY_SCHEMA)
-    return updates.unionByName(folded)
-
-
-def apply_notices(status: DataFrame, notices: DataFrame) -> DataFrame:
-    """Retract the keys that notices affect; keys retracted before are left alone."""
-    hit = notices.select(F.explode("affected").alias("event_key")).distinct()
-    return status.join(hit.withColumn("__hit", F.lit(True)), "event_key", "left").select("event_key", F.when(F.col("__hit"), "retracted").otherwise(F.col("status")).alias("status"), (F.col("__hit").isNotNull() & (F.col("status") != "retracted")).alias("changed"))
-
-
 def answers(logs: DataFrame) -> DataFrame:
     return logs.withColumn("raw_answer", i256_to_double(F.col("topic1")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chain
+from ..operators import finality as ranges
 from .registry import query, view
 
 DEPTH = 2
@@ -59,15 +60,53 @@ def confirmations(spark, sf_dir):
     return chain.confirmations(view(spark, sf_dir, "chain_events"), DEPTH).where("confirmed_by IS NOT NULL").select("chain", "event_key", "confirmed_by")
 
 
-@query("k7_finality")
+#: Confirmations by chain in the queries.
+DEPTHS = {"ethereum": 2, "base": 5}
+_FORKS = """
+e AS (SELECT chain, event_id, block_number AS b, block_hash AS h, event_key, CASE WHEN requires_confirmation THEN greatest(confirmation_depth, 1) WHEN chain = 'ethereum' THEN 2 WHEN chain = 'base' THEN 5 ELSE 3 END AS depth FROM chain_events),
+cand AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY event_id) AS k FROM (SELECT chain, event_id, b, h, lag(event_id) OVER w AS since, lag(h) OVER w AS other FROM e WHERE h IS NOT NULL WINDOW w AS (PARTITION BY chain, b ORDER BY event_id)) WHERE other <> h),
+fold AS (
+  SELECT DISTINCT chain, 0::BIGINT AS k, []::STRUCT(c BIGINT, q BIGINT)[] AS forks FROM e
+  UNION ALL
+  SELECT f.chain, n.k, CASE WHEN len(list_filter(f.forks, lambda x: x.c > n.since AND x.q < n.b)) > 0 THEN f.forks ELSE list_append(f.forks, struct_pack(c := n.event_id, q := n.b)) END FROM fold f JOIN cand n ON n.chain = f.chain AND n.k = f.k + 1),
+conf AS (SELECT chain, f.c, f.q FROM (SELECT chain, unnest(arg_max(forks, k)) AS f FROM fold GROUP BY chain)),
+gone AS (SELECT e.*, (SELECT min(struct_pack(c := x.c, q := x.q)) FROM conf x WHERE x.chain = e.chain AND x.c > e.event_id AND x.q <= e.b) AS g FROM e),
+final AS (SELECT a.chain, a.event_id, greatest(max(x.b) - any_value(a.depth), 0) AS final FROM gone a JOIN gone x ON x.chain = a.chain AND x.event_id <= a.event_id AND (x.g IS NULL OR x.g.c > a.event_id) GROUP BY a.chain, a.event_id),
+reached AS (SELECT a.*, (SELECT min(f.event_id) FROM final f WHERE f.chain = a.chain AND f.event_id >= a.event_id AND f.final >= a.b) AS r FROM gone a),
+keys AS (SELECT chain, event_key, min(event_id) AS seen, min(g) AS g, min(r) FILTER (g IS NULL OR r < g.c) AS sure FROM reached GROUP BY chain, event_key)"""
+_FINALITY = f"""WITH RECURSIVE {_FORKS}
+SELECT chain, seen AS event_id, event_key, 'provisional' AS status, NULL::BIGINT AS orphaned_from FROM keys
+UNION ALL SELECT chain, sure, event_key, 'confirmed', NULL FROM keys WHERE sure IS NOT NULL AND (g IS NULL OR sure < g.c)
+UNION ALL SELECT chain, g.c, event_key, 'retracted', g.q FROM keys WHERE g IS NOT NULL
+UNION ALL SELECT chain, c, NULL, 'reorg', q FROM conf"""
+
+
+@query("k7_finality", _FINALITY)
 def finality(spark, sf_dir):
-    """Full finality with reorganisations; a fold per chain, tested against a plain model."""
-    return chain.finality(view(spark, sf_dir, "chain_events"), DEPTH)
+    """Finality with reorganisations, depths by event and chain, in ranges of heights and arrivals."""
+    return ranges.finality(view(spark, sf_dir, "chain_events"), DEPTHS)
 
 
-@query("k9_notices", """SELECT event_key, CASE WHEN event_id % 4 = 0 OR event_id % 5 = 0 THEN 'retracted' ELSE 'provisional' END AS status, event_id % 4 = 0 AND event_id % 5 <> 0 AS changed FROM chain_events""")
-def notices(spark, sf_dir):
+_NOTED = "FROM chain_events WHERE event_id % 4 = 0 AND block_number >= 40"
+_STATUS = "CASE WHEN event_id % 5 = 0 THEN 'retracted' ELSE 'provisional' END"
+
+
+def _noticed(spark, sf_dir):
     e = view(spark, sf_dir, "chain_events")
-    status = e.select("event_key", F.when(F.col("event_id") % 5 == 0, "retracted").otherwise("provisional").alias("status"))
-    notice = e.where("event_id % 4 = 0").groupBy("chain", "block_number").agg(F.collect_list("event_key").alias("affected"))
-    return chain.apply_notices(status, notice)
+    status = e.select("chain", "event_key", F.when(F.col("event_id") % 5 == 0, "retracted").otherwise("provisional").alias("status"))
+    notice = e.where("event_id % 4 = 0 AND block_number >= 40").groupBy("chain", F.col("block_number").alias("orphaned_from")).agg(F.collect_list("event_key").alias("affected"))
+    return ranges.apply_notices(e, status, notice)
+
+
+@query("k9_notices", f"""SELECT event_key, CASE WHEN event_id % 4 = 0 AND block_number >= 40 THEN 'retracted' ELSE {_STATUS} END AS status, event_id % 4 = 0 AND block_number >= 40 AND event_id % 5 <> 0 AS changed FROM chain_events""")
+def notices(spark, sf_dir):
+    """Statuses after notices of reorganisations."""
+    return _noticed(spark, sf_dir)[2].select("event_key", "status", "changed")
+
+
+@query("k9_rolled_back", f"""WITH l AS (SELECT chain, min(block_number) AS f {_NOTED} GROUP BY chain)
+SELECT e.chain, coalesce(max(block_number) FILTER (f IS NULL OR block_number < f), 0) AS head, CAST(count(*) FILTER (f IS NULL OR block_number < f) AS BIGINT) AS n_left FROM chain_events e LEFT JOIN l USING (chain) GROUP BY e.chain""")
+def rolled_back(spark, sf_dir):
+    """Heads and blocks after notices of reorganisations have rolled chains back."""
+    left, head, _ = _noticed(spark, sf_dir)
+    return head.join(left.groupBy("chain").agg(F.count("*").alias("n_left")), "chain", "left").select("chain", "head", F.coalesce("n_left", F.lit(0).cast("long")).alias("n_left"))

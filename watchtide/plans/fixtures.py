@@ -39,9 +39,10 @@ FROM events WHERE event_type = 'purchase'""",
     "chain_events": """
 SELECT event_id, ts AS observed_at,
        CASE user_id % 3 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'base' ELSE 'arbitrum' END AS chain,
-       CAST(floor(event_id / 5) AS BIGINT) AS block_number, 'ev-' || event_id AS event_key,
-       'h' || CAST(floor(event_id / 5) AS BIGINT)
-           || CASE WHEN event_type = 'error' AND event_id % 50 = 4 THEN 'b' ELSE 'a' END AS block_hash
+       CAST(floor(event_id / 5) AS BIGINT) - CASE WHEN event_id % 173 = 169 THEN 4 ELSE 0 END AS block_number, 'ev-' || event_id AS event_key,
+       CASE WHEN event_id % 29 <> 7 THEN 'h' || CAST(floor(event_id / 5) AS BIGINT)
+           || CASE WHEN event_id % 173 = 169 THEN 'c' WHEN event_type = 'error' AND event_id % 50 = 4 THEN 'b' ELSE 'a' END END AS block_hash,
+       event_id % 7 = 3 AS requires_confirmation, CAST(event_id % 6 AS BIGINT) AS confirmation_depth
 FROM events""",
     "detections": """
 SELECT 'det-' || o_orderkey AS detection_id, 'tenant-' || (o_custkey % 5) AS tenant_id,

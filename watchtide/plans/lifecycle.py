@@ -20,7 +20,7 @@ _STATE = "CASE arrival % 3 WHEN 0 THEN 'provisional' WHEN 1 THEN 'confirmed' ELS
 
 
 @query("k11_alerts", f"""SELECT detection_id, sha256(concat_ws('|', detection_id, event_key)) AS alert_id, tenant_id AS alert_tenant, event_key AS dedup_key, {_STATE} AS lifecycle_state, 'tentative' AS finality_status, 'webhook,slack,telegram,discord' AS routes,
-round(least(risk_score, 100), 6) AS risk_score, round(least(0.6 + least(risk_score, 100) / 250, 0.99), 6) AS confidence, 'rule-' || n_rules AS rule_ids, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END::INTEGER AS n_actions, tx_hash, arrival AS block_number FROM detections WHERE {_ALERTABLE}""")
+least(risk_score, 100.0::DOUBLE) AS risk_score, least(0.6::DOUBLE + least(risk_score, 100.0::DOUBLE) / 250.0::DOUBLE, 0.99::DOUBLE) AS confidence, 'rule-' || n_rules AS rule_ids, CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 1 END::INTEGER AS n_actions, tx_hash, arrival AS block_number FROM detections WHERE {_ALERTABLE}""")
 def alerts(spark, sf_dir):
     """Alerts with the contents of their detections."""
     from ..functions.severity import drawdown_actions
@@ -28,7 +28,7 @@ def alerts(spark, sf_dir):
     score = F.least("risk_score", F.lit(100.0))
     d = view(spark, sf_dir, "detections").withColumn("risk_score", score).withColumn("confidence", F.least(0.6 + score / 250, F.lit(0.99))).withColumn("lifecycle_state", F.expr(_STATE))
     d = d.withColumn("rule_ids", F.array(F.concat(F.lit("rule-"), F.col("n_rules").cast("string")))).withColumn("actions_recommended", drawdown_actions(F.col("severity"))).withColumn("block_number", F.col("arrival"))
-    return ops.alerts_from(d).select("detection_id", "alert_id", "alert_tenant", "dedup_key", "lifecycle_state", "finality_status", F.array_join("routes", ",").alias("routes"), *(F.round(c, 6).alias(c) for c in ("risk_score", "confidence")), F.array_join("rule_ids", ",").alias("rule_ids"), F.size("actions_recommended").alias("n_actions"), "tx_hash", "block_number")
+    return ops.alerts_from(d).select("detection_id", "alert_id", "alert_tenant", "dedup_key", "lifecycle_state", "finality_status", F.array_join("routes", ",").alias("routes"), "risk_score", "confidence", F.array_join("rule_ids", ",").alias("rule_ids"), F.size("actions_recommended").alias("n_actions"), "tx_hash", "block_number")
 
 
 @query("k10_incidents", """

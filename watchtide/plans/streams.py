@@ -11,6 +11,7 @@ from ..operators.lifecycle import feature_vectors
 from ..sources import scans, tables
 from ..sources.shared import run_to_end, shared_folder
 from ..streaming import twins
+from .chain import _FINALITY, DEPTHS
 from .detect import _RULES, _TVL_SQL, TVL
 from .fixtures import FIXTURES
 from .registry import ORACLES, query, view
@@ -56,10 +57,10 @@ def drawdown_stream(spark, sf_dir):
     return run_to_end(twins.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), TVL), "drawdown").select("event_id")
 
 
-@query("s_k7_finality_stream")
+@query("s_k7_finality_stream", _FINALITY)
 def finality_stream(spark, sf_dir):
-    """Rows as in ``k7_finality``, folded in the state store."""
-    return run_to_end(twins.finality(_stream(spark, sf_dir, "chain_events"), 2), "finality").withColumn("orphaned_from", F.col("orphaned_from").cast("long"))
+    """Rows as in ``k7_finality``, folded in the state store, which forgets blocks far below the head."""
+    return run_to_end(twins.finality(_stream(spark, sf_dir, "chain_events"), DEPTHS), "finality").withColumn("orphaned_from", F.col("orphaned_from").cast("long"))
 
 
 @query("a6_scenarios", "SELECT 'sc-' || s_suppkey AS scenario_id, CASE WHEN s_suppkey % 9 = 3 THEN 'missing:chain' END AS reject, CASE WHEN s_suppkey % 9 <> 3 THEN 'case ' || s_name END AS name FROM supplier")

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import chain, detectors
 from ..operators.asof import micros
+from ..operators.finality import DEFAULT_DEPTH, own_depth
 
 LATE = "1 hour"
 
@@ -91,15 +92,17 @@ def flash_detections(events: DataFrame, rules: DataFrame, late: str | None = Non
     return _folded(ready, ["tenant_id", "attacker_address"], ["now", "event_id", "rule_order"], dict, step, detectors.FLASH_SCHEMA, late)
 
 
-def finality(events: DataFrame, depth: int) -> DataFrame:
-    """Block finality over a stream, one fold per chain. The state keeps the chain's blocks; a deployment
-    prunes those far below the head."""
+def finality(events: DataFrame, depths: dict[str, int] | None = None, default: int = DEFAULT_DEPTH, horizon: int | None = 4096) -> DataFrame:
+    """Block finality over a stream, one fold per chain, with the depth of each event or chain. The state keeps the
+    blocks down to ``horizon`` below the head: no reorganisation may be deeper."""
 
     def step(s, key, rows):
-        return [(c, int(e), k, st, float(o) if o is not None else None) for c, e, k, st, o in chain.finality_step(s, key[0], zip(rows["event_id"], rows["block_number"], rows["block_hash"], rows["event_key"], strict=True), depth)]
+        events = zip(rows["event_id"], rows["block_number"], rows["block_hash"].where(rows["block_hash"].notna(), None), rows["event_key"], rows["depth"], strict=True)
+        return [(c, int(e), k, st, float(o) if o is not None else None) for c, e, k, st, o in chain.finality_step(s, key[0], events, horizon)]
 
     schema = chain.FINALITY_SCHEMA.replace("orphaned_from long", "orphaned_from double")
-    return _folded(events.select("chain", "event_id", "block_number", "block_hash", "event_key"), ["chain"], ["event_id"], chain.new_state, step, schema)
+    rows = events.select("chain", "event_id", "block_number", "block_hash", "event_key", own_depth(events, depths, default).alias("depth"))
+    return _folded(rows, ["chain"], ["event_id"], chain.new_state, step, schema)
 
 
 def drawdown_breaches(samples: DataFrame, rule: dict, late: str | None = None) -> DataFrame:
