@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import band, rank
+from . import hysteresis
 from .asof import micros
 from .quotes import bucketed, consensus, setting
 
@@ -144,27 +145,10 @@ def peg_fold(state: dict, row) -> tuple[str, int] | None:
     return peg_step(state, int(row.now), bool(row.breach), int(row.rank), float(row.divergence), bool(row.has_quotes), policy, float(row.floor))
 
 
-def peg_transitions(evaluations: DataFrame, policy: dict | None = None) -> DataFrame:
-    """Triggers, escalations, de-escalations and resolutions, by a fold over each tenant's market. What is
-    shuffled is one small row per evaluation; a market's rows are sorted by Spark and stream through the fold in
-    batches, so that none has to fit into memory. ``policy`` replaces what the evaluations say of the fold's settings."""
-    evaluations = with_policy(evaluations, policy)
-
-    def fold(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        at, state = None, peg_start()
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                if at != (r.tenant_id, r.market_key):
-                    at, state = (r.tenant_id, r.market_key), peg_start()
-                got = peg_fold(state, r)
-                if got:
-                    out.append((*at, r.event_id, *got, r.divergence))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in PEG_SCHEMA.split(", ")])
-
-    key = ["tenant_id", "market_key"]
-    rows = evaluations.drop("context", "confidence").repartition(*key).sortWithinPartitions(*key, "now", "event_id")
-    return rows.mapInPandas(fold, PEG_SCHEMA)
+def peg_transitions(evaluations: DataFrame, policy: dict | None = None, width_us: int = hysteresis.STRETCH_US) -> DataFrame:
+    """Triggers, escalations, de-escalations and resolutions of each tenant's market, in stretches of time side by side
+    (``hysteresis``). ``policy`` replaces what the evaluations say of the fold's settings."""
+    return hysteresis.transitions(with_policy(evaluations, policy), width_us)
 
 
 # Drawdown
