@@ -6,8 +6,8 @@ the start of every A token the B token that covers it, and the other way round;
 that overlap (a pair with one start is found twice and counts once). Where tokens of both sides end at the same
 byte, groups end.
 
-Encoding is cut where no token and no piece can reach across (white space after other characters), and each
-distinct fragment is encoded once for as long as it is remembered.
+A is encoded by tiktoken with the file's own ids as ranks, where they are in the order of its merges (which gives the
+ids of the tokenizers library), else by that library.
 
 Per document the distinct id pairs with their counts are kept as packed arrays in a written table. The corpus counts are
 added up per task first. Then the most frequent id pairs, ``MOST_PAIRS`` at most, are broadcast and looked up in
@@ -30,87 +30,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import LONG, Encoder, Vocabulary, windows
+from .bpe import Vocabulary, windows
 from .common import dropped, stored
 
+#: The byte-level splitting rule (fixed value).
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Most id pairs that are broadcast (17 bytes each).
 MOST_PAIRS = 1_000_000
-#: Fragments that a task remembers.
-MEMORY = 200_000
 #: Bytes of text that are aligned together (a longer text stands alone).
 WINDOW = 1 << 20
 #: Distinct id pairs that a task adds up before it hands them on.
 PARTIAL = 1 << 20
-_GAP = "▁"
+
+
+class ByteModel:
+    """A byte-level BPE file of the tokenizers library as bytes per token; special tokens are plain text."""
+
+    def __init__(self, spec: str):
+        vocabulary = Vocabulary(spec)
+        self.token, self.tok, self.ranked = vocabulary.token, None, None
+        if (np.diff(vocabulary.made) > 0).all():  # ids are in order of merges, so they serve as ranks
+            import tiktoken
+
+            ranks = {t: i for i, t in enumerate(self.token) if t and t not in vocabulary.added}
+            self.ranked = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        else:
+            from tokenizers import Tokenizer
+
+            self.tok = Tokenizer.from_str(spec)
+            self.tok.no_truncation()
+            self.tok.no_padding()
+            self.tok.encode_special_tokens = True
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int64)
 
 
 class PieceModel:
-    """A sentencepiece model as bytes per piece."""
+    """A sentencepiece model as bytes per piece; it puts a space before each text itself."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        self.token = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace(_GAP, " ").encode() for i, p in enumerate(pieces)]
-        # fragments may be encoded alone if no piece holds a space after another character, or other white space
-        self.cuts = not any(c in p for p in pieces for c in "\t\r\n") and not any(_GAP in p.lstrip(_GAP) for p in pieces)
-        self.gap = self.sp.piece_to_id(_GAP)
+        self.token = [bytes([int(p[3:5], 16)]) if self.sp.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
 
-    def encode(self, fragments: list[bytes]) -> list[list[int]]:
-        """Ids of fragments; the model puts a space before each, which takes the place of the fragment's own or, where it begins
-        with other white space, is taken off again."""
-        texts = [f[1:].decode() if f[:1] == b" " else f.decode() for f in fragments]
-        got = self.sp.encode(texts, num_threads=1)
-        return [ids if f[:1] == b" " else ids[1:] if ids[:1] == [self.gap] else [] for f, ids in zip(fragments, got, strict=True)]
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.sp.encode(text, num_threads=1), np.int64)
 
 
 class Pair:
-    """Both encoders in one task, with a bounded memory of fragments."""
+    """Both encoders in one task."""
 
-    def __init__(self, spec: str, model: bytes, memory: int = MEMORY):
-        vocabulary = Vocabulary(spec)
-        vocabulary.added = {}  # special tokens are plain text
-        self.a, self.b, self.memory = Encoder(vocabulary, memory), PieceModel(model), memory
-        self.token_a, self.token_b = vocabulary.token, self.b.token
+    def __init__(self, spec: str, model: bytes):
+        self.a, self.b = ByteModel(spec), PieceModel(model)
+        self.token_a, self.token_b = self.a.token, self.b.token
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.token_a, self.token_b))
-        self.known: dict[bytes, tuple[bytes, bytes, bool]] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        own_a, own_b = self.a.encode(new), self.b.encode(new)
-        self.a.known = {}
-        for f, a, b in zip(new, own_a, own_b, strict=True):
-            exact = b"".join(map(self.token_a.__getitem__, np.frombuffer(a, "<u4").tolist())) == f == b"".join(map(self.token_b.__getitem__, b))
-            self.known[f] = (a, np.array(b, "<u4").tobytes(), exact)
-
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of A and B, little-endian unsigned 32-bit integers, for each text; None for one without tokens."""
-        cut: list[list[bytes]] = []
-        for t in texts:
-            try:
-                t.decode()
-            except UnicodeDecodeError:
-                t = b""  # tokens can't give these bytes
-            cut.append([] if not t else self.a.fragments(b" " + t) if self.b.cuts else [b" " + t])
-        new = set().union(*cut).difference(self.known)
-        if new:
-            self._learn(list(new))
-        out = []
-        for t, fragments in zip(texts, cut, strict=True):
-            got = [self.known[f] for f in fragments]
-            a, b = b"".join(x[0] for x in got), b"".join(x[1] for x in got)
-            if got and not all(x[2] for x in got):
-                whole = b" " + t
-                if any(b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist())) != whole for token, ids in ((self.token_a, a), (self.token_b, b))):
-                    got = []
-            out.append((a, b) if got else None)
-        if len(self.known) > self.memory:
-            self.known = {}
-        else:
-            for f in new:
-                if len(f) > LONG:
-                    del self.known[f]
-        return out
+
+    def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of A and B, or None if the tokens of either don't give the bytes of the space and the text."""
+        try:
+            text = data.decode()
+        except UnicodeDecodeError:
+            return None
+        if not text:
+            return None
+        a, b, whole = self.a.encode(" " + text), self.b.encode(text), b" " + data
+        for token, ids in ((self.token_a, a), (self.token_b, b)):
+            if b"".join(map(token.__getitem__, ids.tolist())) != whole:
+                return None
+        return a, b
 
 
 def overlaps(doc_a: np.ndarray, start_a: np.ndarray, doc_b: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,13 +129,13 @@ class Aligner:
     def align(self, texts: list[bytes]) -> list[tuple[int, int, int, int, bytes, bytes, bytes]]:
         """Per text: numbers of A tokens, B tokens, groups, links; the groups' text; pairs (8 bytes each, A id times
         the number of pieces plus B id) and their counts (4 bytes each)."""
-        got = self.pair.encode(texts)
+        got = [self.pair.encode(t) for t in texts]
         held = [i for i, x in enumerate(got) if x]
         out: list[tuple] = [(0, 0, 0, 0, b"", b"", b"")] * len(texts)
         if not held:
             return out
-        a, b = (np.frombuffer(b"".join(got[i][side] for i in held), "<u4").astype(np.int64) for side in (0, 1))
-        n_a, n_b = (np.array([len(got[i][side]) // 4 for i in held]) for side in (0, 1))
+        a, b = (np.concatenate([got[i][side] for i in held]) for side in (0, 1))
+        n_a, n_b = (np.array([len(got[i][side]) for i in held]) for side in (0, 1))
         doc_a, doc_b = np.repeat(np.arange(len(held)), n_a), np.repeat(np.arange(len(held)), n_b)
         end_a, end_b = np.cumsum(self.pair.size_a[a]), np.cumsum(self.pair.size_b[b])
         of_a, of_b = overlaps(doc_a, end_a - self.pair.size_a[a], doc_b, end_b - self.pair.size_b[b])
@@ -172,7 +164,7 @@ class Aligner:
         return out
 
 
-def aligned(df: DataFrame, vocabulary_file: str, piece_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), groups: bool = False, memory: int = MEMORY) -> DataFrame:
+def aligned(df: DataFrame, vocabulary_file: str, piece_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), groups: bool = False) -> DataFrame:
     """Per row ``keep`` and ``n_a, n_b, n_groups, n_links, groups_sha256, pairs, counts`` (with ``groups``: also their
     text as ``groups``): see ``Aligner.align``. Both files are read by the driver and sent to the tasks once."""
     sc = df.sparkSession.sparkContext
@@ -184,7 +176,7 @@ def aligned(df: DataFrame, vocabulary_file: str, piece_file: str, text: str = "t
     schema = T.StructType([*(source.schema[c] for c in names), *results.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(Pair(*files.value, memory))
+        aligner = Aligner(Pair(*files.value))
         for batch in batches:
             at = 0
             for texts in windows(batch.column(len(names)), WINDOW):
