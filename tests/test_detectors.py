@@ -37,8 +37,8 @@ def test_no_eligible_source_resets_the_state():
 def test_oracle_confirmation_gates_the_breach(spark):
     rows = spark.sql("SELECT 1L AS event_id, TIMESTAMP '2024-01-01' AS observed_at, 't' AS tenant_id, 'a' AS source_id, 'cex_websocket' AS source_type, 'USDC/USD' AS market_key, 0.99D AS price")
     policy = {"min_sources": 1, "quorum_pct": 0.0}
-    assert detectors.peg_evaluations(rows, ["a"], policy | {"oracle_confirmation": True}).first()["breach"] is False
-    assert detectors.peg_evaluations(rows, ["a"], policy).first()["breach"] is True
+    assert detectors.peg_evaluations(rows, policy | {"oracle_confirmation": True}).first()["breach"] is False
+    assert detectors.peg_evaluations(rows, policy).first()["breach"] is True
 
 
 def _samples(spark, values):
@@ -75,7 +75,7 @@ def test_two_diverging_markets_are_systemic(spark):
     """The systemic floor and bands take the place of the isolated ones once two dollar markets diverge."""
     rows = _quotes(spark, [("a", "cex_websocket", "USDC/USD", 0.998), ("a", "cex_websocket", "DAI/USD", 0.997), ("a", "cex_websocket", "EUR/CHF", 0.5), ("a", "cex_websocket", "USDC/USD", 0.9998)])
     policy = {"min_sources": 1, "quorum_pct": 0.0, "stale_timeout_ms": 60_000}
-    got = lambda p: [(r["context"], r["breach"], r["rank"]) for r in detectors.peg_evaluations(rows, ["a"], policy | p, ["USDC/USD", "DAI/USD", "EUR/CHF"]).orderBy("event_id").collect()]
+    got = lambda p: [(r["context"], r["breach"], r["rank"]) for r in detectors.peg_evaluations(rows, policy | p, with_markets=True).orderBy("event_id").collect()]
     assert got({}) == [("isolated", False, 0), ("isolated", False, 0), ("isolated", True, 5), ("isolated", False, 0)]
     assert got({"contagion_detection": True}) == [("isolated", False, 0), ("systemic", True, 5), ("systemic", True, 5), ("systemic", True, 3)]
 
@@ -83,7 +83,7 @@ def test_two_diverging_markets_are_systemic(spark):
 def test_confidence_parts(spark):
     rows = _quotes(spark, [("a", "cex_websocket", "USDC/USD", 0.99), ("b", "oracle_api", "USDC/USD", 0.98), ("c", "dex_api", "USDC/USD", 1.01)])
     policy = {"min_sources": 1, "quorum_pct": 0.0, "stale_timeout_ms": 60_000}
-    last = lambda p: consensus(rows, ["a", "b", "c"], policy | p).orderBy(F.desc("event_id")).first()
+    last = lambda p: consensus(rows, policy | p).orderBy(F.desc("event_id")).first()
     share = 200 / 3
     assert last({})["confidence"] == pytest.approx(share)
     assert last({"oracle_confirmation": True})["confidence"] == pytest.approx((share * 0.7 + 100 * 0.2) / 0.9)
@@ -182,7 +182,7 @@ def _streamed(spark, df, build, tmp_path, columns):
 
 
 def test_peg_stream_equals_batch(spark, sf, tmp_path):
-    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.SOURCES, plans.PEG).cache()
+    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.PEG).cache()
     want = sorted(map(tuple, detectors.peg_transitions(rows, plans.PEG).select("event_id", "transition").collect()), key=str)
     assert _streamed(spark, rows, lambda s: twins.peg_transitions(s, plans.PEG), tmp_path, ["event_id", "transition"]) == want
 
@@ -190,7 +190,7 @@ def test_peg_stream_equals_batch(spark, sf, tmp_path):
 def test_peg_stream_out_of_order(spark, sf, tmp_path):
     """Rows in several micro-batches, out of order within the watermark: the batch form's transitions; a row that is later
     than that is dropped."""
-    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.SOURCES, plans.PEG).drop("context", "confidence").cache()
+    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.PEG).drop("context", "confidence").cache()
     day = 86_400_000_000
     last = rows.agg(F.max("now")).first()[0]
     end = rows.limit(1).withColumns({"now": F.lit(last + 9 * day), "event_id": F.lit(10**9), "tenant_id": F.lit("end")})

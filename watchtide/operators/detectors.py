@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions.severity import band, rank
 from . import hysteresis
 from .asof import micros
-from .quotes import bucketed, consensus, setting
+from .latest import bucketed
+from .quotes import consensus, setting
 
 RANKS = {"medium": 3, "high": 4, "critical": 5}
 
@@ -66,7 +67,7 @@ def _bands(policy: dict, context: str, default: dict) -> list[Column]:
     return [F.lit((got or default)[k]) for k in default]
 
 
-def peg_evaluations(quotes: DataFrame, sources: list[str], policy: dict | DataFrame, markets: list[str] | None = None) -> DataFrame:
+def peg_evaluations(quotes: DataFrame, policy: dict | DataFrame, with_markets: bool = False) -> DataFrame:
     """One evaluation per valid quote: breach, severity rank, divergence, context, trigger floor, whether any source was
     eligible, confidence, and what the fold needs of the policy.
 
@@ -78,7 +79,7 @@ def peg_evaluations(quotes: DataFrame, sources: list[str], policy: dict | DataFr
         width_ms = 1 + (width_ms or 0)
         quotes = quotes.join(policy, ["tenant_id", "market_key"])
         policy = {c: F.col(c) for c in policy.columns if c not in ("tenant_id", "market_key")}
-    rows = consensus(quotes, sources, policy, markets, width_ms)
+    rows = consensus(quotes, policy, with_markets, width_ms)
     in_context = lambda one, all_: F.when(F.col("context") == "systemic", one).otherwise(all_)
     severity = band(F.col("divergence"), *map(in_context, _bands(policy, "systemic", SYSTEMIC), _bands(policy, "isolated", ISOLATED)))
     oracle = F.col("oracle_confirmed") | ~setting(policy, "oracle_confirmation", False)
@@ -145,7 +146,7 @@ def peg_fold(state: dict, row) -> tuple[str, int] | None:
     return peg_step(state, int(row.now), bool(row.breach), int(row.rank), float(row.divergence), bool(row.has_quotes), policy, float(row.floor))
 
 
-def peg_transitions(evaluations: DataFrame, policy: dict | None = None, width_us: int = hysteresis.STRETCH_US) -> DataFrame:
+def peg_transitions(evaluations: DataFrame, policy: dict | None = None, width_us: int | None = None) -> DataFrame:
     """Triggers, escalations, de-escalations and resolutions of each tenant's market, in stretches of time side by side
     (``hysteresis``). ``policy`` replaces what the evaluations say of the fold's settings."""
     return hysteresis.transitions(with_policy(evaluations, policy), width_us)

@@ -23,8 +23,8 @@ from ..sources.shared import written
 
 KEY = ["tenant_id", "market_key"]
 SETTINGS = ("sustained_window_ms", "cooldown_sec", "deescalation_blocks", "resolution_blocks")
-#: Length of a stretch.
-STRETCH_US = 24 * 3600 * 1_000_000
+#: Least length of a stretch, and evaluations that a market should have in one on average.
+STRETCH_US, STRETCH_ROWS = 24 * 3600 * 1_000_000, 1 << 16
 _STATE = {"started": "long", "cooldown": "long", "rank": "int", "floor": "double", "lower": "int", "below": "int"}
 _FRESH = {"started": None, "cooldown": None, "rank": 0, "floor": None, "lower": 0, "below": 0}
 
@@ -118,10 +118,18 @@ def _worked(rows: DataFrame, round_: int) -> DataFrame:
     return written(rows.repartition(*key).sortWithinPartitions(*key, "now", "event_id").mapInPandas(run, schema), f"round{round_}")
 
 
-def transitions(evaluations: DataFrame, width_us: int = STRETCH_US) -> DataFrame:
-    """``tenant_id, market_key, event_id, transition, severity_rank, divergence`` of all markets."""
+def stretch_length(rows: DataFrame) -> int:
+    """Long enough for ``STRETCH_ROWS`` evaluations of a market of average traffic."""
+    first, last, n, markets = rows.agg(F.min("now"), F.max("now"), F.count("*"), F.approx_count_distinct(F.struct(*KEY))).first()
+    return STRETCH_US if not n else max(STRETCH_US, (last - first + 1) * markets * STRETCH_ROWS // n)
+
+
+def transitions(evaluations: DataFrame, width_us: int | None = None) -> DataFrame:
+    """``tenant_id, market_key, event_id, transition, severity_rank, divergence`` of all markets. The length of a stretch
+    follows from the evaluations if it isn't given."""
     columns = [*KEY, "event_id", "now", "breach", "rank", "divergence", "has_quotes", "floor", *SETTINGS]
-    rows = written(evaluations.select(*columns, F.floor(F.col("now") / width_us).alias("__stretch")), "evaluations")
+    rows = written(evaluations.select(*columns), "evaluations")
+    rows = rows.withColumn("__stretch", F.floor(F.col("now") / (width_us or stretch_length(rows))))
     stretch = [*KEY, "__stretch"]
     fresh = {f"in_{k}": F.lit(v).cast(_STATE[k]) for k, v in _FRESH.items()}
     done = [_worked(rows.withColumns(fresh), 0)]

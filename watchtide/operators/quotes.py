@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
 from .asof import latest_within, micros
+from .latest import latest_of_each
 
 KINDS = {"cex_websocket": "cex", "dex_api": "dex", "oracle_api": "oracle"}
 
@@ -79,24 +80,11 @@ def longest_ms(policy: dict) -> int:
     return 1 + max([policy.get("stale_timeout_ms", 60_000), *(x["stale_timeout_ms"] for x in policy.get("overrides", {}).values() if x.get("stale_timeout_ms"))])
 
 
-def bucketed(df: DataFrame, width_ms: int) -> DataFrame:
-    """Each row in its own stretch of time (``__own``) and, to be looked back on, in the next: windows by key and
-    ``__bucket`` then reach back ``width_ms`` at least, and one busy key is spread over many tasks."""
-    at = F.floor(micros(F.col("observed_at")) / (width_ms * 1000))
-    places = F.array(F.struct(at.alias("__bucket"), F.lit(True).alias("__own")), F.struct((at + 1).alias("__bucket"), F.lit(False).alias("__own")))
-    return df.select("*", F.inline(places))
-
-
-def latest_by_source(df: DataFrame, sources: list[str], keys: tuple[str, ...], width_ms: int) -> DataFrame:
-    """Add ``latest``: for each configured source, its newest quote up to the row, or null. Quotes older than
-    ``width_ms`` may be missing.
-
-    One sort per key and stretch of time; each source is one running ``last``, so the work per row is the number
-    of sources."""
-    w = Window.partitionBy(*keys, "__bucket").orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+def latest_by_source(df: DataFrame, keys: tuple[str, ...], width_ms: int) -> DataFrame:
+    """Add ``latest``: of every source that has quoted, its newest quote up to the row. Quotes older than ``width_ms`` may be
+    missing."""
     quote = F.struct(F.col("observed_at").alias("at"), F.col("source_id").alias("source_id"), F.col("source_type").alias("source_type"), F.col("price").alias("price"))
-    last = [F.last(F.when(F.col("source_id") == s, quote), ignorenulls=True).over(w) for s in sources]
-    return bucketed(df, width_ms).withColumn("latest", F.array_compact(F.array(*last))).where("__own").drop("__bucket", "__own")
+    return latest_of_each(df, keys, F.col("source_id"), quote, "latest", width_ms)
 
 
 def weighted_median(quotes: Column) -> Column:
@@ -117,22 +105,22 @@ def median_of(live: Column, policy: dict) -> Column:
     return weighted_median(F.transform(live, lambda q: F.struct(q["price"].alias("price"), weight(q["source_id"], policy).alias("weight"))))
 
 
-def consensus(df: DataFrame, sources: list[str], policy: dict, markets: list[str] | None = None, width_ms: int | None = None) -> DataFrame:
+def consensus(df: DataFrame, policy: dict, with_markets: bool = False, width_ms: int | None = None) -> DataFrame:
     """For every valid quote: eligible sources as of its time, their weighted median, divergence from the peg, the
     tenant's diverging markets, quorum, whether an oracle confirms, and confidence.
 
     ``policy`` holds plain values, or columns of ``df`` (then ``width_ms`` says for how long a quote can count).
     Adds ``n_sources, median, divergence, n_diverging, context, floor, has_quorum, oracle_confirmed`` and the confidence's parts
-    and total: ``direction_share, oracle_score, volume_score, confidence``. With ``markets`` and the policy's
+    and total: ``direction_share, oracle_score, volume_score, confidence``. With ``with_markets`` and the policy's
     ``contagion_detection``, the context is systemic if at least two of the tenant's dollar markets diverge by the systemic floor.
     """
     peg, width_ms = setting(policy, "peg_target", 1.0), width_ms or longest_ms(policy)
-    rows = latest_by_source(valid_price(df), sources, ("tenant_id", "market_key"), width_ms)
+    rows = latest_by_source(valid_price(df), ("tenant_id", "market_key"), width_ms)
     now = micros(F.col("observed_at"))
     rows = rows.withColumn("live", live_quotes(F.col("latest"), now, policy))
     rows = rows.withColumn("n_sources", F.size("live")).withColumn("median", F.coalesce(median_of(F.col("live"), policy), peg))
     rows = rows.withColumn("divergence", F.abs(F.col("median") - peg) / peg * 100)
-    rows = contagion(rows, markets, policy, width_ms) if markets else rows.withColumn("n_diverging", F.lit(0))
+    rows = contagion(rows, policy, width_ms) if with_markets else rows.withColumn("n_diverging", F.lit(0))
     systemic = setting(policy, "contagion_detection", False) & (F.col("n_diverging") >= 2)
     rows = rows.withColumn("context", F.when(systemic, "systemic").otherwise("isolated"))
     rows = rows.withColumn("floor", F.when(F.col("context") == "systemic", setting(policy, "systemic_floor_pct", 0.01)).otherwise(setting(policy, "isolated_floor_pct", 0.5)))
@@ -150,15 +138,13 @@ def consensus(df: DataFrame, sources: list[str], policy: dict, markets: list[str
     return rows.withColumn("confidence", F.when(some, total).otherwise(0.0)).drop("latest", "live")
 
 
-def contagion(rows: DataFrame, markets: list[str], policy: dict, width_ms: int) -> DataFrame:
+def contagion(rows: DataFrame, policy: dict, width_ms: int) -> DataFrame:
     """Add ``n_diverging``: how many of the tenant's ``*/USD`` markets, each by its own policy and its quotes that
-    count now, diverge by the row's systemic floor or more. ``rows`` have each market's ``latest`` quotes."""
-    w = Window.partitionBy("tenant_id", "__bucket").orderBy("observed_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    count now, diverge by the row's systemic floor or more; 0 where the policy doesn't ask. ``rows`` have each market's ``latest`` quotes."""
     columns = {k: v for k, v in policy.items() if isinstance(v, Column)}
     own = F.struct(F.col("latest"), *(v.alias(f"p_{k}") for k, v in columns.items()))
-    dollar = [m for m in markets if m.upper().endswith("/USD")]
-    last = [F.last(F.when(F.col("market_key") == m, own), ignorenulls=True).over(w) for m in dollar]
-    out = bucketed(rows, width_ms).withColumn("__markets", F.array_compact(F.array(*last))).where("__own").drop("__bucket", "__own")
+    dollar = F.when(F.upper("market_key").endswith("/USD"), F.col("market_key"))
+    out = latest_of_each(rows, ("tenant_id",), dollar, own, "__markets", width_ms, setting(policy, "contagion_detection", False))
     now, floor = micros(F.col("observed_at")), setting(policy, "systemic_floor_pct", 0.01)
 
     def diverges(m: Column) -> Column:
@@ -166,7 +152,7 @@ def contagion(rows: DataFrame, markets: list[str], policy: dict, width_ms: int)
         peg = setting(theirs, "peg_target", 1.0)
         return F.abs(median_of(live_quotes(m["latest"], now, theirs), theirs) - peg) / peg * 100 >= floor
 
-    return out.withColumn("n_diverging", F.size(F.filter("__markets", lambda m: F.coalesce(diverges(m), F.lit(False))))).drop("__markets")
+    return out.withColumn("n_diverging", F.coalesce(F.size(F.filter("__markets", lambda m: F.coalesce(diverges(m), F.lit(False)))), F.lit(0))).drop("__markets")
 
 
 def usd_prices(quotes: DataFrame, width_sec: int = 30) -> DataFrame:
@@ -178,9 +164,9 @@ def usd_prices(quotes: DataFrame, width_sec: int = 30) -> DataFrame:
     return found.withColumn("fx_status", status).withColumn("price_usd", F.when(F.col("quote_asset") != "USDT", F.col("price")).otherwise(F.col("price") * F.col("rate")))
 
 
-def market_truth(df: DataFrame, sources: list[str], width_sec: int = 30, peg: float = 1.0) -> DataFrame:
+def market_truth(df: DataFrame, width_sec: int = 30, peg: float = 1.0) -> DataFrame:
     """Unweighted median of each source's newest price of the last ``width_sec`` seconds, in the market."""
-    rows = latest_by_source(valid_price(df), sources, ("market_key",), width_sec * 1000)
+    rows = latest_by_source(valid_price(df), ("market_key",), width_sec * 1000)
     now = micros(F.col("observed_at"))
     prices = F.array_sort(F.transform(F.filter("latest", lambda q: now - micros(q["at"]) <= width_sec * 1_000_000), lambda q: q["price"]))
     rows = rows.withColumn("prices", prices).withColumn("truth_sources", F.size("prices"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detectors as ops
 from ..operators import drawdown
 from ..sources.configs import peg_policies, tvl_rules
-from .quotes import MARKETS, POLICY, SOURCES
+from .quotes import POLICY
 from .registry import query, view
 from .tables import PEG_POLICIES_SQL, TVL_RULES_SQL, enabled
 
@@ -135,7 +135,7 @@ n AS (
 
 
 def _evaluations(spark, sf_dir):
-    return ops.peg_evaluations(view(spark, sf_dir, "quotes"), SOURCES, peg_policies(enabled(spark, sf_dir, "dpeg")), MARKETS)
+    return ops.peg_evaluations(view(spark, sf_dir, "quotes"), peg_policies(enabled(spark, sf_dir, "dpeg")), with_markets=True)
 
 
 @query("k1_evaluations", f"WITH {_EVALUATIONS} SELECT event_id, breach, CAST(sev AS INTEGER) AS rank, CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END AS context, floor_pct AS floor, quotes AS has_quotes FROM n")

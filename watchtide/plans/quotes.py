@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import quotes as ops
 from .registry import query, view
 
-SOURCES = [f"src-{i}" for i in range(7)]
-MARKETS = ["USDC/USD", "USDT/USD", "DAI/USD", "FRAX/USD"]
 #: The fixture's quotes are about an hour apart, so times are hours instead of seconds.
 POLICY = {"peg_target": 1.0, "stale_timeout_ms": 12 * 3_600_000, "min_sources": 2, "quorum_pct": 0.3, "isolated_floor_pct": 0.5}
 STRICT = POLICY | {"cex_whitelist": ["SRC-0", "src-1"], "include_dex": True, "include_oracles": False, "overrides": {"src-3": {"weight": 0.0}, "src-4": {"weight": 2.5, "stale_timeout_ms": 6 * 3_600_000}, "src-6": {"enabled": False}}}
@@ -50,7 +48,7 @@ FROM own a JOIN side USING (event_id)"""
 @query("e4_consensus", CONSENSUS_SQL)
 def consensus(spark, sf_dir):
     """Latest quote per source as of each event, weighted median, quorum, oracle confirmation, confidence."""
-    got = ops.consensus(view(spark, sf_dir, "quotes"), SOURCES, POLICY | {"oracle_confirmation": True, "volume_confirmation": True})
+    got = ops.consensus(view(spark, sf_dir, "quotes"), POLICY | {"oracle_confirmation": True, "volume_confirmation": True})
     return got.select("event_id", "n_sources", *(F.round(c, 6).alias(c) for c in ("median", "divergence", "direction_share", "confidence")), "has_quorum", "oracle_confirmed")
 
 
@@ -87,7 +85,7 @@ WITH {_GOOD}, latest AS (
   FROM good e JOIN good q ON e.market_key = q.market_key AND (q.observed_at, q.event_id) <= (e.observed_at, e.event_id) AND q.observed_at >= e.observed_at - INTERVAL 6 HOUR)
 SELECT event_id, CAST(count(*) AS INTEGER) AS truth_sources, round(median(price), 6) AS truth, round(abs(median(price) - 1) * 100, 6) AS truth_divergence FROM latest WHERE nth = 1 GROUP BY event_id""")
 def market_truth(spark, sf_dir):
-    got = ops.market_truth(view(spark, sf_dir, "quotes"), SOURCES, 6 * 3600)
+    got = ops.market_truth(view(spark, sf_dir, "quotes"), 6 * 3600)
     return got.select("event_id", "truth_sources", F.round("truth", 6).alias("truth"), F.round("truth_divergence", 6).alias("truth_divergence"))
 
 
@@ -98,7 +96,7 @@ SELECT event_id, CAST(n_diverging AS INTEGER) AS n_diverging, CASE WHEN n_diverg
 def contagion(spark, sf_dir):
     """The tenant's dollar markets that diverge as of each quote, and the context that follows."""
     policy = POLICY | {"contagion_detection": True, "systemic_floor_pct": 2.5}
-    return ops.consensus(view(spark, sf_dir, "quotes"), SOURCES, policy, MARKETS).select("event_id", "n_diverging", "context")
+    return ops.consensus(view(spark, sf_dir, "quotes"), policy, with_markets=True).select("event_id", "n_diverging", "context")
 
 
 @query("f7_activity_per_minute", "SELECT source_id, market_key, source_type, epoch_ms(date_trunc('minute', observed_at)) AS minute_ms, CAST(count(*) AS BIGINT) AS n, epoch_us(max(observed_at)) AS last_us FROM quotes GROUP BY ALL")
