@@ -5,10 +5,12 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.severity import rank
 from ..sources import configs, scans, tables
 from ..sources.shared import shared_folder
+from ..sources.versioned import CASE_COLUMNS, VersionedTable, cases, inserts, upserts
 from .registry import query, view
 
 _EVENTS = "SELECT event_id, stream_id, user_id, round(value, 6) AS value, endpoint FROM (SELECT *, 'st-' || (user_id % 7) AS stream_id FROM events) JOIN ("
@@ -172,17 +174,53 @@ def upsert(spark, sf_dir):
 _CHANGES = """SELECT tx_hash AS case_id, arrival, CASE arrival % 3 WHEN 0 THEN 'incident' WHEN 1 THEN 'alert' ELSE 'detection' END AS kind, severity, incident_transition AS status, chain_slug AS chain, protocol FROM detections"""
 
 
-@query("b3_upsert_by_policy", f"""
-WITH c AS (SELECT *, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 END AS r FROM ({_CHANGES})),
-last_incident AS (SELECT case_id, chain, protocol FROM c WHERE kind = 'incident' QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY arrival DESC) = 1),
-firsts AS (SELECT case_id, arg_min(chain, arrival) FILTER (chain IS NOT NULL) AS chain, arg_min(protocol, arrival) FILTER (protocol IS NOT NULL) AS protocol FROM c WHERE kind <> 'alert' GROUP BY case_id),
-base AS (SELECT case_id, arg_max(severity, arrival) AS severity_last, CAST(max(r) AS INTEGER) AS severity_rank_peak, arg_max(status, arrival) FILTER (kind IN ('incident', 'alert')) AS status FROM c GROUP BY case_id)
-SELECT b.*, coalesce(i.chain, f.chain) AS chain, coalesce(i.protocol, f.protocol) AS protocol FROM base b LEFT JOIN last_incident i USING (case_id) LEFT JOIN firsts f USING (case_id)""")
+def _cases_sql(changes: str, place: str) -> str:
+    return f"""
+WITH c AS (SELECT *, {place} AS pos, CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'info' THEN 1 END AS r FROM ({changes})),
+k AS (SELECT *, coalesce(max(CASE WHEN kind = 'incident' THEN pos END) OVER (PARTITION BY case_id), -1) AS since FROM c)
+SELECT case_id, arg_max(severity, pos) AS severity_last, CAST(max(r) AS INTEGER) AS severity_rank_peak, arg_max(status, pos) FILTER (kind IN ('incident', 'alert')) AS status,
+       arg_min(chain, pos) FILTER (chain IS NOT NULL AND kind <> 'alert' AND pos >= since) AS chain, arg_min(protocol, pos) FILTER (protocol IS NOT NULL AND kind <> 'alert' AND pos >= since) AS protocol FROM k GROUP BY case_id"""
+
+
+@query("b3_upsert_by_policy", _cases_sql(_CHANGES, "arrival"))
 def upsert_by_policy(spark, sf_dir):
     changes = spark.sql(_CHANGES.replace("FROM detections", "FROM {d}"), d=view(spark, sf_dir, "detections")).withColumn("severity_rank", rank(F.col("severity")))
     return tables.upsert_by_policy(changes, "case_id", ["arrival"])
 
 
+def _merged(spark, name, rows, keys, how, schema=None):
+    """Rows in three batches by their arrival, the second of them twice, merged into a table that is read again."""
+    table = VersionedTable(spark, shared_folder(spark, name), keys, parts=8)
+    for batch in (0, 1, 1, 2):
+        table.merge(rows.where(F.col("arrival") % 3 == batch), how, "query", batch, schema)
+    return table.read()
+
+
+@query("b1_inserted", "SELECT tx_hash, detection_id FROM detections QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY arrival % 3, arrival) = 1")
+def inserted(spark, sf_dir):
+    """Insert if absent into a stored table, in batches of which one is repeated (B1)."""
+    d = view(spark, sf_dir, "detections").select("tx_hash", "detection_id", "arrival")
+    return _merged(spark, "inserted", d, ["tx_hash"], inserts(["tx_hash"], ["arrival"])).drop("arrival")
+
+
+@query("b2_upserted", "SELECT tx_hash, detection_id, severity FROM detections QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY arrival % 3 DESC, arrival DESC) = 1")
+def upserted(spark, sf_dir):
+    """Upserts into a stored table (B2)."""
+    d = view(spark, sf_dir, "detections").select("tx_hash", "detection_id", "severity", "arrival")
+    return _merged(spark, "upserted", d, ["tx_hash"], upserts(["tx_hash"], ["arrival"])).drop("arrival")
+
+
+_MIXED = _CHANGES.replace("CASE arrival % 3", "CASE CAST(floor(arrival / 3) AS BIGINT) % 3")
+
+
+@query("b3_cases_written", _cases_sql(_MIXED, "arrival % 3 * 1000000000000 + arrival"))
+def cases_written(spark, sf_dir):
+    """Changes of several kinds, merged batch by batch into a stored table of cases."""
+    changes = spark.sql(_MIXED.replace("FROM detections", "FROM {d}"), d=view(spark, sf_dir, "detections")).withColumn("severity_rank", rank(F.col("severity")))
+    schema = T.StructType([T.StructField(c, T.IntegerType() if c == "severity_rank_peak" else T.StringType()) for c in ("case_id", *CASE_COLUMNS)])
+    return _merged(spark, "cases", changes, ["case_id"], cases("case_id", ["arrival"]), schema)
+
+
 @query("b5_raw_landing", """SELECT tx_hash AS idempotency_key, detection_id, CASE pattern_id WHEN 'dpeg' THEN 'raw_cex' WHEN 'flash_loan' THEN 'raw_dex' ELSE 'raw_chain' END AS landing_table,
 'rawdb:' || CASE pattern_id WHEN 'dpeg' THEN 'raw_cex' WHEN 'flash_loan' THEN 'raw_dex' ELSE 'raw_chain' END AS pointer, epoch_ms(last) AS last_ms, strftime(created_at, '%Y-%m-%d') AS partition_key
 FROM (SELECT *, max(created_at) OVER (PARTITION BY tx_hash) AS last FROM detections) QUALIFY row_number() OVER (PARTITION BY tx_hash ORDER BY created_at, arrival) = 1""")

@@ -31,16 +31,16 @@ def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[
 
 def upsert_by_policy(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Cases from an ordered log of changes of several kinds. Incidents set everything; alerts set severity
-    and status; detections set severity, and chain and protocol only where there is none yet."""
+    and status; detections set severity, and chain and protocol only where the last incident and what came since left none."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     kind = F.col("kind")
     sets = lambda c, cond: F.when(cond, F.col(c))
     log = changes.withColumn("__severity", F.last("severity", ignorenulls=True).over(w))
     log = log.withColumn("__status", F.last(sets("status", kind.isin("incident", "alert")), ignorenulls=True).over(w))
-    for c in ("chain", "protocol"):
-        since = F.max(F.when(kind == "incident", F.struct(*order, F.col(c).alias("v")))).over(w)["v"]
-        own = F.first(sets(c, kind != "alert"), ignorenulls=True).over(w)
-        log = log.withColumn(f"__{c}", F.coalesce(since, own))
+    # an incident sets chain and protocol even to nothing; detections after it fill them
+    since = Window.partitionBy(key, "__incidents").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    log = log.withColumn("__incidents", F.count(sets("kind", kind == "incident")).over(w))
+    log = log.withColumns({f"__{c}": F.first(sets(c, kind != "alert"), ignorenulls=True).over(since) for c in ("chain", "protocol")})
     rank = F.max("severity_rank").over(w)
     last = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
     done = log.withColumn("severity_rank_peak", rank).withColumn("__n", F.row_number().over(last)).where("__n = 1")
