@@ -209,7 +209,7 @@ def test_peg_stream_out_of_order(spark, sf, tmp_path):
 
 
 def test_flash_stream_equals_batch(spark, sf, tmp_path):
-    rows, rules = view(spark, sf, "flash_events"), spark.sql(plans._RULES)
+    rows, rules = view(spark, sf, "flash_events"), plans.flash_of_tenants(spark, sf)
     want = sorted(map(tuple, detectors.flash_detections(rows, rules).select("event_id", "rule_id").collect()), key=str)
     assert want and _streamed(spark, rows, lambda s: twins.flash_detections(s, rules), tmp_path, ["event_id", "rule_id"]) == want
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.severity import band, rank
+from ..sources.shared import written
 from . import hysteresis
 from .asof import micros
 from .latest import bucketed
@@ -32,13 +33,17 @@ class Pattern(Protocol):
     def detect(self, events: DataFrame, rules: DataFrame) -> DataFrame: ...
 
 
-def detect_all(patterns: Iterable[tuple[Pattern, DataFrame, DataFrame]], failed: list[tuple[str, str]] | None = None) -> DataFrame:
-    """All detections of several patterns; each is planned on its own and they run as one job. A pattern that can't
-    be planned is left out, and its name and error are put into ``failed``; without that list it is an error."""
+def detect_all(patterns: Iterable[tuple[Pattern, DataFrame, DataFrame]], failed: list[tuple[str, str]] | None = None, isolated: bool = False) -> DataFrame:
+    """All detections of several patterns, with their ``pattern_id``.
+
+    A pattern that can't be planned is left out, and its name and error are put into ``failed``; without that list it is an
+    error. With ``isolated``, each pattern also runs on its own and its detections are stored first, so that one that
+    fails on some row while it runs is left out in the same way and the others stand."""
     out = []
     for p, events, rules in patterns:
         try:
-            out.append(p.detect(events, rules).withColumn("pattern_id", F.lit(p.name)))
+            found = p.detect(events, rules).withColumn("pattern_id", F.lit(p.name))
+            out.append(written(found, "detections") if isolated else found)
         except Exception as e:  # noqa: BLE001  whatever the plug-in does
             if failed is None:
                 raise

@@ -6,16 +6,13 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as ops
 from ..operators import drawdown
-from ..sources.configs import peg_policies, tvl_rules
+from ..sources.configs import flash_rules, peg_policies, tvl_rules
 from .quotes import POLICY
 from .registry import query, view
-from .tables import PEG_POLICIES_SQL, TVL_RULES_SQL, enabled
+from .tables import FLASH_RULES_SQL, PEG_POLICIES_SQL, TVL_RULES_SQL, enabled
 
 PEG = POLICY | {"sustained_window_ms": 3_600_000, "cooldown_sec": 7200, "deescalation_blocks": 2, "resolution_blocks": 3}
 TVL = {"fast_drop_pct": 20.0, "slow_drop_pct": 35.0, "velocity_critical_pct": 15.0, "fast_minutes": 600, "slow_minutes": 3600, "velocity_minutes": 120, "concurrent_minutes": 300, "min_tvl_floor_usd": 20e6}
-_RULES = "SELECT * FROM (VALUES ('tenant-0', 0, 'r0', 100000.0D, 1000.0D, 86400L), ('tenant-0', 1, 'r1', 50000.0D, 500.0D, 3600L), ('tenant-1', 0, 'r0', 100000.0D, 1000.0D, 86400L)) AS t(tenant_id, rule_order, rule_id, min_loan_usd, min_profit_usd, cooldown_sec)"
-_RULES_SQL = _RULES.replace("D,", ",").replace("L)", ")")
-
 _DROPS = """
 d AS (SELECT *, CASE WHEN max(tvl_usd) OVER f > 0 THEN (max(tvl_usd) OVER f - tvl_usd) / max(tvl_usd) OVER f * 100 ELSE 0 END AS fast_drop,
         (max(tvl_usd) OVER s - tvl_usd) / max(tvl_usd) OVER s * 100 AS slow_drop, (max(tvl_usd) OVER v - tvl_usd) / max(tvl_usd) OVER v * 100 AS velocity_drop FROM tvl_samples WINDOW
@@ -83,25 +80,36 @@ def highest(spark, sf_dir):
     return drawdown.highest(_drawdowns(spark, sf_dir)).select("tenant_id", "event_id", "rule_id", "subject_key", "severity", "transition")
 
 
-@query("d5_flash_thresholds", f"SELECT event_id, rule_id FROM flash_events JOIN ({_RULES_SQL}) r USING (tenant_id) WHERE source_type = 'evm_chain' AND loan_amount_usd >= min_loan_usd AND profit_usd >= min_profit_usd")
+def flash_of_tenants(spark, sf_dir):
+    return flash_rules(enabled(spark, sf_dir, "flash_loan"))
+
+
+_PASSED = f"flash_events f JOIN ({FLASH_RULES_SQL}) r ON f.tenant_id = r.tenant_id WHERE source_type = 'evm_chain' AND loan_amount_usd >= min_loan_usd AND profit_usd >= min_profit_usd"
+
+
+@query("d5_flash_thresholds", f"SELECT event_id, rule_id FROM {_PASSED}")
 def flash_thresholds(spark, sf_dir):
-    return ops.flash_candidates(view(spark, sf_dir, "flash_events"), spark.sql(_RULES)).select("event_id", "rule_id")
+    return ops.flash_candidates(view(spark, sf_dir, "flash_events"), flash_of_tenants(spark, sf_dir)).select("event_id", "rule_id")
 
 
-@query("k4_flash_loans", f"""
-WITH RECURSIVE c AS (SELECT f.tenant_id, attacker_address, event_id, epoch_us(observed_at) AS now, max(CASE WHEN rule_id = 'r0' THEN 1 ELSE 0 END) AS p0, max(CASE WHEN rule_id = 'r1' THEN 1 ELSE 0 END) AS p1
-  FROM flash_events f JOIN ({_RULES_SQL}) r ON f.tenant_id = r.tenant_id WHERE source_type = 'evm_chain' AND loan_amount_usd >= min_loan_usd AND profit_usd >= min_profit_usd GROUP BY ALL),
+#: A tenant has two rules at most here, the first and another: each with its id and cooldown, or null if the event doesn't pass it.
+_FLASH_SQL = f"""
+WITH RECURSIVE c AS (SELECT f.tenant_id, attacker_address, event_id, epoch_us(observed_at) AS now, max(CASE WHEN rule_order = 0 THEN rule_id END) AS p0, max(CASE WHEN rule_order > 0 THEN rule_id END) AS p1,
+         max(CASE WHEN rule_order = 0 THEN cooldown_sec END) * 1000000 AS d0, max(CASE WHEN rule_order > 0 THEN cooldown_sec END) * 1000000 AS d1 FROM {_PASSED} GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, attacker_address ORDER BY now, event_id) AS k FROM c),
 fold AS (
-  SELECT tenant_id, attacker_address, k, event_id, CASE WHEN p0 = 1 THEN 'r0' WHEN p1 = 1 THEN 'r1' END AS fired, CASE WHEN p0 = 1 THEN now + 86400000000 ELSE 0 END AS c0, CASE WHEN p0 = 0 AND p1 = 1 THEN now + 3600000000 ELSE 0 END AS c1 FROM n WHERE k = 1
+  SELECT tenant_id, attacker_address, k, event_id, coalesce(p0, p1) AS fired, CASE WHEN p0 IS NOT NULL THEN now + d0 ELSE 0 END AS c0, CASE WHEN p0 IS NULL THEN now + d1 ELSE 0 END AS c1 FROM n WHERE k = 1
   UNION ALL
-  SELECT n.tenant_id, n.attacker_address, n.k, n.event_id, CASE WHEN p0 = 1 AND c0 <= now THEN 'r0' WHEN p1 = 1 AND c1 <= now THEN 'r1' END,
-         CASE WHEN p0 = 1 AND c0 <= now THEN now + 86400000000 ELSE c0 END, CASE WHEN NOT (p0 = 1 AND c0 <= now) AND p1 = 1 AND c1 <= now THEN now + 3600000000 ELSE c1 END
+  SELECT n.tenant_id, n.attacker_address, n.k, n.event_id, CASE WHEN p0 IS NOT NULL AND c0 <= now THEN p0 WHEN p1 IS NOT NULL AND c1 <= now THEN p1 END,
+         CASE WHEN p0 IS NOT NULL AND c0 <= now THEN now + d0 ELSE c0 END, CASE WHEN NOT (p0 IS NOT NULL AND c0 <= now) AND p1 IS NOT NULL AND c1 <= now THEN now + d1 ELSE c1 END
   FROM fold f JOIN n ON n.tenant_id = f.tenant_id AND n.attacker_address = f.attacker_address AND n.k = f.k + 1)
-SELECT event_id, fired AS rule_id FROM fold WHERE fired IS NOT NULL""")
+SELECT event_id, fired AS rule_id FROM fold WHERE fired IS NOT NULL"""
+
+
+@query("k4_flash_loans", _FLASH_SQL)
 def flash(spark, sf_dir):
-    """Flash-loan detections with cooldowns; the first rule that passes wins (K4, H3)."""
-    return ops.flash_detections(view(spark, sf_dir, "flash_events"), spark.sql(_RULES)).select("event_id", "rule_id")
+    """Flash-loan detections by the tenants' rules with cooldowns; the first rule that passes wins (K4, H3, A3)."""
+    return ops.flash_detections(view(spark, sf_dir, "flash_events"), flash_of_tenants(spark, sf_dir)).select("event_id", "rule_id")
 
 
 #: What the peg fold sees of each quote, by the tenants' policies.
@@ -144,7 +152,7 @@ def evaluations(spark, sf_dir):
     return _evaluations(spark, sf_dir).select("event_id", "breach", "rank", "context", "floor", "has_quotes")
 
 
-@query("k1_peg_deviation", f"""
+_PEG_SQL = f"""
 WITH RECURSIVE {_EVALUATIONS},
 fold AS (
   SELECT tenant_id, market_key, 0::BIGINT AS k, 0::BIGINT AS event_id, NULL::BIGINT AS started, -1::BIGINT AS cooldown, 0 AS rank, 0::DOUBLE AS floor, 0 AS lower_n, 0 AS below, NULL::VARCHAR AS transition, 0 AS out_rank, 0::DOUBLE AS d FROM (SELECT DISTINCT tenant_id, market_key FROM n)
@@ -163,7 +171,10 @@ fold AS (
                     WHEN n.breach AND f.rank > 0 AND n.sev < f.rank AND f.lower_n + 1 >= n.down THEN 'deescalate'
                     WHEN NOT n.breach AND f.rank > 0 AND n.d < f.floor AND f.below + 1 >= n.ends THEN 'resolve' END AS t
         FROM fold f JOIN n ON n.tenant_id = f.tenant_id AND n.market_key = f.market_key AND n.k = f.k + 1))
-SELECT tenant_id, market_key, event_id, transition, CAST(out_rank AS INTEGER) AS severity_rank, round(d, 6) AS divergence FROM fold WHERE transition IS NOT NULL""")
+SELECT tenant_id, market_key, event_id, transition, CAST(out_rank AS INTEGER) AS severity_rank, round(d, 6) AS divergence FROM fold WHERE transition IS NOT NULL"""
+
+
+@query("k1_peg_deviation", _PEG_SQL)
 def peg(spark, sf_dir):
     """Peg-deviation transitions by the tenants' policies: consensus and context by windows, hysteresis by a fold."""
     return ops.peg_transitions(_evaluations(spark, sf_dir)).withColumn("divergence", F.round("divergence", 6))
@@ -184,25 +195,42 @@ def tenant_rules(spark, sf_dir):
     return ops.rule_detections(view(spark, sf_dir, "flash_events"), _TENANT_RULES).select("event_id", "rule_id", "severity")
 
 
-@query("l1_detect_all", f"""WITH a AS (SELECT 'flash_loan' AS pattern_id, event_id FROM flash_events JOIN ({_RULES_SQL}) r USING (tenant_id) WHERE source_type = 'evm_chain' AND loan_amount_usd >= min_loan_usd AND profit_usd >= min_profit_usd)
-SELECT pattern_id, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY ALL UNION ALL SELECT 'big_tvl', CAST(count(*) AS BIGINT) FROM tvl_samples WHERE tvl_usd > 5e7""")
+_DRAWDOWN_SQL = f"WITH {_BREACHES} SELECT * FROM k WHERE transition IS NOT NULL"
+
+
+@query("l1_detect_all", f"""SELECT 'dpeg' AS pattern_id, CAST(count(*) AS BIGINT) AS n, NULL AS error FROM ({_PEG_SQL}) UNION ALL SELECT 'tvl_drop', count(*), NULL FROM ({_DRAWDOWN_SQL})
+UNION ALL SELECT 'flash_loan', count(*), NULL FROM ({_FLASH_SQL}) UNION ALL SELECT 'broken', 0, 'failed'""")
 def registry(spark, sf_dir):
-    """The registry runs every pattern and unites their detections."""
+    """The registry runs every pattern by the tenants' rules and unites their detections; one fails while it runs (L1)."""
+
+    class Peg:
+        name = "dpeg"
+
+        def detect(self, events, rules):
+            return ops.peg_transitions(ops.peg_evaluations(events, rules, with_markets=True)).select("event_id")
+
+    class Drawdown:
+        name = "tvl_drop"
+
+        def detect(self, events, rules):
+            return drawdown.detections(events, rules).where("transition IS NOT NULL").select("event_id", "rule_id")
 
     class Flash:
         name = "flash_loan"
 
         def detect(self, events, rules):
-            return ops.flash_candidates(events, rules).select("event_id", "rule_id")
+            return ops.flash_detections(events, rules).select("event_id", "rule_id")
 
-    class Big:
-        name = "big_tvl"
+    class Broken:
+        name = "broken"
 
         def detect(self, events, rules):
-            return events.where("tvl_usd > 5e7").select("event_id")
+            return events.select(F.when(F.col("event_id") >= 0, F.raise_error(F.lit("a fault of this rule"))).cast("long").alias("event_id"))
 
-    rules = spark.sql(_RULES)
-    return ops.detect_all([(Flash(), view(spark, sf_dir, "flash_events"), rules), (Big(), view(spark, sf_dir, "tvl_samples"), rules)]).groupBy("pattern_id").agg(F.count("*").alias("n"))
+    events, failed = (lambda n: view(spark, sf_dir, n)), []
+    found = ops.detect_all([(Peg(), events("quotes"), peg_policies(enabled(spark, sf_dir, "dpeg"))), (Drawdown(), events("tvl_samples"), tvl_rules(enabled(spark, sf_dir, "tvl_drop"))), (Broken(), events("quotes"), None), (Flash(), events("flash_events"), flash_of_tenants(spark, sf_dir))], failed, isolated=True)
+    errors = spark.createDataFrame([(name, 0, "failed") for name, _ in failed], "pattern_id string, n long, error string")
+    return found.groupBy("pattern_id").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(errors)
 
 
 @query("e2_rule_scope", f"SELECT event_id, rule_id FROM tvl_samples s JOIN ({TVL_RULES_SQL}) r ON {_IN_SCOPE}")

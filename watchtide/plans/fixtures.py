@@ -108,7 +108,7 @@ SELECT 'tenant-' || c_custkey AS tenant_id, 'dpeg' AS pattern_id, c_custkey % 5
 FROM customer
 UNION ALL
 SELECT 'tenant-' || c_custkey, 'flash_loan', c_custkey % 4 <> 3,
-       CASE WHEN c_custkey % 6 = 2 THEN 'oops' ELSE '{"rules":[{"rule_id":"f' || c_nationkey || '","min_loan_usd":' || (100000 + c_custkey) || ',"cooldown_sec":' || (300 * (1 + c_nationkey)) || '},{"rule_id":"off","enabled":false},{"rule_id":"g","min_profit_usd":500}]}' END
+       CASE WHEN c_custkey % 6 = 2 THEN 'oops' ELSE '{"rules":[{"rule_id":"f' || c_nationkey || '","min_loan_usd":' || (100000 + c_custkey) || ',"cooldown_sec":' || (86400 * (1 + c_nationkey % 9)) || '},{"rule_id":"off","enabled":false},{"rule_id":"g","min_profit_usd":500}]}' END
 FROM customer
 UNION ALL
 SELECT 'tenant-' || c_custkey, 'tvl_drop', c_custkey % 7 <> 6,

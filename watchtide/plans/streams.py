@@ -12,7 +12,7 @@ from ..sources import scans, tables
 from ..sources.shared import run_to_end, shared_folder
 from ..streaming import twins
 from .chain import _FINALITY, DEPTHS
-from .detect import _RULES, _TVL_SQL, TVL
+from .detect import _TVL_SQL, TVL, flash_of_tenants
 from .fixtures import FIXTURES
 from .registry import ORACLES, query, view
 
@@ -39,7 +39,7 @@ def dedupe_stream(spark, sf_dir):
 
 @query("s_k4_flash_stream", ORACLES["k4_flash_loans"])
 def flash_stream(spark, sf_dir):
-    return run_to_end(twins.flash_detections(_stream(spark, sf_dir, "flash_events"), spark.sql(_RULES)), "flash").select("event_id", "rule_id")
+    return run_to_end(twins.flash_detections(_stream(spark, sf_dir, "flash_events"), flash_of_tenants(spark, sf_dir)), "flash").select("event_id", "rule_id")
 
 
 @query("s_e3_fx_stream", """WITH rates AS (SELECT observed_at, price AS rate FROM fx_quotes WHERE market_key = 'USDT/USD' AND quote_asset = 'USD')

@@ -96,11 +96,14 @@ def peg_policies(spark, sf_dir):
     return got.select(*_PEG_COLUMNS, *bands, F.size("overrides").alias("n_overrides"), F.array_join("cex_whitelist", ",").alias("cex_whitelist"))
 
 
-@query("a3_flash_rules", f"""
+FLASH_RULES_SQL = f"""
 WITH c AS (SELECT tenant_id, CASE WHEN json_valid(config) THEN json_extract(config, '$.rules[*]') END AS rules {_ON} AND pattern_id = 'flash_loan'),
 r AS (SELECT tenant_id, unnest(rules) AS r, unnest(range(len(rules))) AS rule_order FROM c WHERE rules IS NOT NULL)
 SELECT tenant_id, CAST(rule_order AS INTEGER) AS rule_order, r->>'$.rule_id' AS rule_id, coalesce(CAST(r->>'$.min_loan_usd' AS DOUBLE), 100000.0) AS min_loan_usd, coalesce(CAST(r->>'$.min_profit_usd' AS DOUBLE), 1000.0) AS min_profit_usd, coalesce(CAST(r->>'$.cooldown_sec' AS BIGINT), 300) AS cooldown_sec
-FROM r WHERE coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true) UNION ALL SELECT tenant_id, 0, 'default', 100000.0, 1000.0, 300 FROM c WHERE rules IS NULL""")
+FROM r WHERE coalesce(CAST(r->>'$.enabled' AS BOOLEAN), true) UNION ALL SELECT tenant_id, 0, 'default', 100000.0, 1000.0, 300 FROM c WHERE rules IS NULL"""
+
+
+@query("a3_flash_rules", FLASH_RULES_SQL)
 def flash_rules(spark, sf_dir):
     return configs.flash_rules(enabled(spark, sf_dir, "flash_loan"))
 
