@@ -508,7 +508,7 @@ def test_language_mixtures():
     r = np.random.default_rng(5)
     p = r.random((30, 4)) ** 4 + 1e-4
     p /= p.sum(axis=0)
-    model = langid.Model(list("abcd"), p, np.log(p))
+    model = langid.Block(list("abcd"), p, np.log(p))
 
     def em(cols, n):
         share = [1 / len(cols)] * len(cols)
@@ -540,17 +540,26 @@ def test_language_mixtures():
         top = max(range(len(chosen)), key=lambda i: own[i])
         got = langid.identify(model, code, n[code])
         assert got[0] == chosen[top] and abs(got[1] - own[top]) < 1e-9
-    tie = langid.Model(["x", "y"], np.full((3, 2), 1 / 3), np.log(np.full((3, 2), 1 / 3)))
+    tie = langid.Block(["x", "y"], np.full((3, 2), 1 / 3), np.log(np.full((3, 2), 1 / 3)))
     assert langid.identify(tie, np.arange(3), np.ones(3))[0] == 0
 
 
-def test_too_many_languages(spark):
-    df = docs(spark, ["some text"] * 520, langs=[f"l{i}" for i in range(520)])
-    with pytest.raises(ValueError, match="languages"):
-        langid.learn(df, lambda c: F.lit(True))
-
-
-# rows that share an id
+def test_any_number_of_languages(spark):
+    """Six hundred languages, and blocks of any size, give the same as one block of all."""
+    r = random.Random(5)
+    rows = []
+    for k in range(600):
+        letters = "".join(r.sample("abcdefghijklmnopqrstuvwxyz", 6))
+        rows += [(3 * k + i, words(r, 25, letters), f"l{k:03}") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, lambda c: F.lit(True))
+    assert len(model.languages) == 600
+    asked = df.limit(120).unionByName(spark.createDataFrame([(9001, None, None), (9002, "12 3", None), (9003, rows[0][1] + " " + rows[900][1], None), (9003, rows[0][1], None)], df.schema))
+    got = sorted(map(tuple, langid.identify_languages(asked, model).collect()))
+    assert sum(x[1] == f"l{x[0] // 3:03}" for x in got if x[0] < 9000) >= 118 and [x[1:] for x in got if x[0] in (9001, 9002)] == [("und", 0.0)] * 2
+    for size in (599, 1000):
+        other = sorted(map(tuple, langid.identify_languages(asked, model, block=size).collect()))
+        assert [x[:2] for x in other] == [x[:2] for x in got] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(other, got, strict=True))
 
 
 def test_jaccard_shared_ids(spark):
