@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .asof import micros
+from .stretches import last_before, running_sum
+
 TERMINAL = ("resolved", "retracted", "closed", "cancelled")
 INCIDENT_KEY = ("tenant_id", "pattern_id", "subject_type", "subject_key", "chain_slug")
 
@@ -36,18 +40,25 @@ def alerts_from(detections: DataFrame, default_tenant: str = "default") -> DataF
     )
 
 
-def incident_lifecycle(log: DataFrame) -> DataFrame:
+#: Stretches of time in which a key's rows are put in order.
+STRETCH_US = 7 * 86_400 * 1_000_000
+
+
+def incident_lifecycle(log: DataFrame, width_us: int = STRETCH_US) -> DataFrame:
     """Attach detections to incidents: an incident's number is the count of terminal transitions of its key
-    before. Status and previous status follow from the transition; null transitions are triggers."""
+    before. Status and previous status follow from the transition; null transitions are triggers. Rows are ordered by
+    ``created_at`` and ``arrival``, in stretches of time, so that a key with a long history is no single task."""
     t = F.coalesce("incident_transition", F.lit("trigger"))
     status = F.when(t == "trigger", "triggered").when(t == "resolve", "resolved").when(t == "retract", "retracted").otherwise("active")
-    key = [F.coalesce(F.col(c), F.lit("")) for c in INCIDENT_KEY]
-    w = Window.partitionBy(*key).orderBy("created_at", "arrival")
-    done = F.sum(F.when(t.isin("resolve", "retract"), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = log.withColumn("to_state", status).withColumn("incident_seq", F.coalesce(done, F.lit(0)))
-    own = Window.partitionBy(*key, "incident_seq").orderBy("created_at", "arrival")
-    rows = rows.withColumn("from_state", F.coalesce(F.lag("to_state").over(own), F.col("to_state")))
-    return rows.withColumn("incident_id", F.sha2(F.concat_ws("|", *key, F.col("incident_seq").cast("string")), 256))
+    own = [c for c in log.columns if c != "incident_seq"]
+    rows = log.select(*own, status.alias("to_state"), micros(F.col("created_at")).alias("__at"), *(F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in INCIDENT_KEY))
+    rows, key, order = written(rows, "incidents"), [f"__{c}" for c in INCIDENT_KEY], ["arrival"]
+    over = F.col("to_state").isin("resolved", "retracted")
+    rows = written(last_before(rows, key, "__at", order, {"__last": F.col("to_state")}, width_us), "incidents")
+    rows = running_sum(rows, key, "__at", order, {"incident_seq": F.when(over, 1).otherwise(0).cast("long")}, width_us)
+    before = F.when(~F.col("__last").isin("resolved", "retracted"), F.col("__last"))
+    rows = rows.withColumn("from_state", F.coalesce(before, F.col("to_state")))
+    return rows.withColumn("incident_id", F.sha2(F.concat_ws("|", *key, F.col("incident_seq").cast("string")), 256)).drop("__at", "__last", *key)
 
 
 def quota(alerts: DataFrame, limit, month: str = "created_at") -> DataFrame:
@@ -159,10 +170,24 @@ def matched_records(scenarios: DataFrame, records: DataFrame) -> DataFrame:
     return sure.unionByName(searched).distinct()
 
 
+def within_last(rows: DataFrame, ts: str, hours: int) -> DataFrame:
+    """Rows of the last hours before the newest one (a single row, which is broadcast)."""
+    newest = F.broadcast(rows.agg(F.max(ts).alias("__newest")))
+    return rows.join(newest, F.col(ts) >= F.col("__newest") - F.expr(f"INTERVAL {hours} HOURS")).drop("__newest")
+
+
+def timeline(events: DataFrame, key: str, at: str, order: list[str], width_us: int = STRETCH_US) -> DataFrame:
+    """Add ``position``: the row's place among the key's, from 1, in order of time; in stretches of time."""
+    rows = written(events.withColumn("__at", micros(F.col(at))), "timeline")
+    return running_sum(rows, [key], "__at", order, {"position": F.lit(1).cast("long")}, width_us).withColumn("position", F.col("position") + 1).drop("__at")
+
+
 def replay_catalog(scenarios: DataFrame, events: DataFrame) -> DataFrame:
-    """One row per scenario: sorted distinct tags, distinct source feeds, ordered timeline, expected alerts."""
-    line = events.groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("event_time", "event_type", "source"))).alias("timeline"), F.count(F.when(F.col("event_type") == "alert", 1)).alias("expected_alerts"))
-    return scenarios.join(line, "scenario_id", "left").select("scenario_id", F.array_sort(F.array_distinct("tags")).alias("tags"), F.array_sort(F.array_distinct(F.transform("timeline", lambda t: t["source"]))).alias("feeds"), "timeline", F.coalesce("expected_alerts", F.lit(0)).alias("expected_alerts"))
+    """One row per scenario: sorted distinct tags, distinct source feeds, numbers of steps and of expected alerts, and the time
+    of the first and last step. The steps themselves are rows, see ``timeline``."""
+    line = events.groupBy("scenario_id").agg(F.array_sort(F.collect_set("source")).alias("feeds"), F.count("*").alias("steps"), F.count(F.when(F.col("event_type") == "alert", 1)).alias("expected_alerts"), F.min("event_time").alias("first_at"), F.max("event_time").alias("last_at"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return scenarios.join(line, "scenario_id", "left").select("scenario_id", F.array_sort(F.array_distinct("tags")).alias("tags"), F.coalesce("feeds", F.array().cast("array<string>")).alias("feeds"), zero("steps"), zero("expected_alerts"), "first_at", "last_at")
 
 
 def feature_vectors(rows: DataFrame, key: str, numbers: dict[str, str], labels: dict[str, str]) -> DataFrame:
@@ -185,6 +210,11 @@ def desired_targets(consents: DataFrame, offers: DataFrame, streams: DataFrame)
     return now.join(streams.select("stream_id", "source_id"), "source_id").groupBy("stream_id", "tenant_id").agg(F.max(F.col("status") == "active").alias("enabled"))
 
 
+def missing_targets(wanted: DataFrame, targets: DataFrame) -> DataFrame:
+    """Targets that consents enable and that don't exist yet."""
+    return wanted.where("enabled").select("stream_id", "tenant_id").join(targets.select("stream_id", "tenant_id"), ["stream_id", "tenant_id"], "left_anti")
+
+
 def promotions(consents: DataFrame, offers: DataFrame) -> DataFrame:
     """Offers with as many active subscribers as their threshold, as outbox rows."""
     active = latest_consents(consents).where("status = 'active'").groupBy("offer_id").agg(F.count_distinct("tenant_id").alias("subscribers"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
@@ -97,6 +97,24 @@ def weighted_median(quotes: Column) -> Column:
     return F.aggregate(ordered, start, step)["price"]
 
 
+def weighted_median_by(df: DataFrame, keys: list[str], ranges: int = 256) -> DataFrame:
+    """Weighted median of ``price`` by ``weight`` for each key: the first price, by price, at which the running weight
+    reaches half of the key's.
+
+    Prices are cut at approximate quantiles into ranges. Weights are added up by range, and only the rows of the range that
+    holds the half are put in order, so a busy key is never sorted as a whole. Equal prices are summed first."""
+    summed = df.where(F.col("price").isNotNull() & (F.col("weight") > 0)).groupBy(*keys, "price").agg(F.sum("weight").alias("weight"))
+    steps = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    cuts = summed.groupBy(*keys).agg(F.percentile_approx("price", steps, 4 * ranges).alias("__cuts"), F.sum("weight").alias("__total"))
+    cut = summed.join(cuts, keys).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("price")))).drop("__cuts")
+    by_range = cut.groupBy(*keys, "__range").agg(F.sum("weight").alias("__here"), F.first("__total").alias("__half"))
+    before = F.coalesce(F.sum("__here").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    holds = by_range.withColumn("__before", before).where("__before < __half / 2 AND __before + __here >= __half / 2").select(*keys, "__range", "__before")
+    run = F.col("__before") + F.sum("weight").over(Window.partitionBy(*keys).orderBy("price").rowsBetween(Window.unboundedPreceding, 0))
+    inside = cut.join(holds, [*keys, "__range"]).withColumn("__run", run)
+    return inside.where("__run >= __total / 2").groupBy(*keys).agg(F.min("price").alias("median"))
+
+
 def live_quotes(latest: Column, now: Column, policy: dict) -> Column:
     return F.filter(latest, lambda q: eligible(source_kind(q["source_type"]), q["source_id"], F.floor((now - micros(q["at"])) / 1000), policy))
 

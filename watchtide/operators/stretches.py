@@ -37,3 +37,16 @@ def latest_of_another(df: DataFrame, keys: list[str], subject: str, at: str, ord
     rows = rows.withColumn("__before", F.lag(F.struct(subject, at)).over(w))
     rows = rows.withColumn("__run", F.when(F.col(f"__before.{subject}") != F.col(subject), F.col(f"__before.{at}")))
     return rows.withColumn("other_at", F.last("__run", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__own").drop("__bucket", "__own", "__before", "__run")
+
+
+def running_sum(df: DataFrame, keys: list[str], at: str, order: list[str], values: dict[str, Column], width_us: int) -> DataFrame:
+    """Add, for each entry of ``values``, its sum over the key's rows before the row (0 if there is none). ``df`` is read
+    twice, so it should be a table."""
+    df = df.withColumn("__stretch", F.floor(F.col(at) / width_us))
+    before = Window.partitionBy(*keys, "__stretch").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumns({k: F.sum(v).over(before) for k, v in values.items()})
+    totals = df.groupBy(*keys, "__stretch").agg(*(F.sum(v).alias(f"__all_{k}") for k, v in values.items()))
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "__stretch", *(F.sum(f"__all_{k}").over(earlier).alias(f"__from_{k}") for k in values))
+    both = inside.join(carried, [*keys, "__stretch"], "left")
+    return both.withColumns({k: F.coalesce(k, F.lit(0)) + F.coalesce(f"__from_{k}", F.lit(0)) for k in values}).drop("__stretch", *(f"__from_{k}" for k in values))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as ops
-from ..sources.tables import insert_if_absent
 from .registry import query, view
 
 _ALERTABLE = "event_key IS NOT NULL AND n_rules > 0"
 
 
+_LATEST = "n AS (SELECT * FROM consents QUALIFY row_number() OVER (PARTITION BY offer_id, tenant_id ORDER BY changed_at DESC, consent_id DESC) = 1)"
+
+
 @query("d6_alertable", f"SELECT detection_id FROM detections WHERE {_ALERTABLE}")
 def alertable(spark, sf_dir):
     return ops.alertable(view(spark, sf_dir, "detections")).select("detection_id")
@@ -111,17 +113,17 @@ def active_alerts(spark, sf_dir):
 
 
 @query("f8_protocol_health", """WITH m AS (SELECT max(created_at) AS newest_at FROM detections) SELECT protocol, CAST(count(*) AS BIGINT) AS n, round(max(risk_score), 6) AS max_risk, round(avg(risk_score), 6) AS avg_risk, CAST(count(DISTINCT tx_hash) AS BIGINT) AS txs, epoch_ms(max(created_at)) AS last_ms
-FROM detections, m WHERE protocol IS NOT NULL AND created_at >= newest_at - INTERVAL 30 DAY GROUP BY protocol""")
+FROM detections, m WHERE protocol IS NOT NULL AND created_at >= newest_at - INTERVAL 24 HOUR GROUP BY protocol""")
 def protocol_health(spark, sf_dir):
-    d = view(spark, sf_dir, "detections")
-    recent = d.join(F.broadcast(d.agg(F.max("created_at").alias("newest_at"))), F.expr("created_at >= newest_at - INTERVAL 30 DAYS")).where("protocol IS NOT NULL")
+    """Protocols in the last 24 hours."""
+    recent = ops.within_last(view(spark, sf_dir, "detections"), "created_at", hours=24).where("protocol IS NOT NULL")
     return recent.groupBy("protocol").agg(F.count("*").alias("n"), F.round(F.max("risk_score"), 6).alias("max_risk"), F.round(F.avg("risk_score"), 6).alias("avg_risk"), F.count_distinct("tx_hash").alias("txs"), F.unix_millis(F.max("created_at").cast("timestamp")).alias("last_ms"))
 
 
-@query("f9_rule_performance", "SELECT rule_id, chain, CAST(count(*) AS BIGINT) AS runs, round(avg(execution_time_ms), 4) AS avg_ms, max(execution_time_ms) AS max_ms, CAST(count(*) FILTER (triggered) AS BIGINT) AS triggers, round(count(*) FILTER (triggered) * 100.0 / count(*), 2)::DOUBLE AS trigger_rate FROM rule_metrics WHERE created_at >= (SELECT max(created_at) FROM rule_metrics) - INTERVAL 30 DAY GROUP BY ALL")
+@query("f9_rule_performance", "SELECT rule_id, chain, CAST(count(*) AS BIGINT) AS runs, round(avg(execution_time_ms), 4) AS avg_ms, max(execution_time_ms) AS max_ms, CAST(count(*) FILTER (triggered) AS BIGINT) AS triggers, round(count(*) FILTER (triggered) * 100.0 / count(*), 2)::DOUBLE AS trigger_rate FROM rule_metrics WHERE created_at >= (SELECT max(created_at) FROM rule_metrics) - INTERVAL 1 HOUR GROUP BY ALL")
 def rule_performance(spark, sf_dir):
-    hits, m = F.count_if("triggered"), view(spark, sf_dir, "rule_metrics")
-    recent = m.join(F.broadcast(m.agg(F.max("created_at").alias("newest_at"))), F.expr("created_at >= newest_at - INTERVAL 30 DAYS"))
+    """Rules in the last hour."""
+    hits, recent = F.count_if("triggered"), ops.within_last(view(spark, sf_dir, "rule_metrics"), "created_at", hours=1)
     return recent.groupBy("rule_id", "chain").agg(F.count("*").alias("runs"), F.round(F.avg("execution_time_ms"), 4).alias("avg_ms"), F.max("execution_time_ms").alias("max_ms"), hits.alias("triggers"), F.round(hits * 100.0 / F.count("*"), 2).cast("double").alias("trigger_rate"))
 
 
@@ -164,11 +166,11 @@ def case_events(spark, sf_dir):
     return got.drop("event_time")
 
 
-@query("h6_timeline", "SELECT event_key, string_agg(detection_id, ',' ORDER BY created_at, arrival) AS timeline FROM detections WHERE event_key IS NOT NULL GROUP BY event_key")
+@query("h6_timeline", "SELECT event_key, row_number() OVER (PARTITION BY event_key ORDER BY created_at, arrival) AS position, detection_id FROM detections WHERE event_key IS NOT NULL")
 def timeline(spark, sf_dir):
-    d = view(spark, sf_dir, "detections").where("event_key IS NOT NULL")
-    items = F.sort_array(F.collect_list(F.struct("created_at", "arrival", "detection_id")))
-    return d.groupBy("event_key").agg(F.array_join(F.transform(items, lambda x: x["detection_id"]), ",").alias("timeline"))
+    """Detections of each event in order of time, one row each."""
+    d = view(spark, sf_dir, "detections").where("event_key IS NOT NULL").select("event_key", "created_at", "arrival", "detection_id")
+    return ops.timeline(d, "event_key", "created_at", ["arrival"]).select("event_key", "position", "detection_id")
 
 
 @query("i2_reconcile", """WITH r AS (SELECT stream_id, source_id, CASE WHEN n % 4 = 1 THEN 'wss://old' ELSE endpoint_override END AS endpoint_override, parser_name, market_key, enabled FROM (SELECT *, CAST(substr(stream_id, 4) AS BIGINT) AS n FROM streams) WHERE n % 6 <> 5),
@@ -181,13 +183,12 @@ def reconcile(spark, sf_dir):
     return ops.reconcile(want, have.unionByName(have.where("market_key IS NULL").withColumn("stream_id", F.concat(F.lit("gone-"), "stream_id"))))
 
 
-@query("i4_missing_targets", "SELECT s.stream_id, t.tenant_id FROM streams s, (SELECT DISTINCT tenant_id FROM targets) t WHERE NOT EXISTS (SELECT 1 FROM targets x WHERE x.stream_id = s.stream_id AND x.tenant_id = t.tenant_id)")
+@query("i4_missing_targets", f"""WITH {_LATEST}, w AS (SELECT st.stream_id, n.tenant_id FROM n JOIN offers o ON n.offer_id = o.offer_id AND o.status = 'active' JOIN streams st ON st.source_id = o.source_id GROUP BY ALL HAVING bool_or(n.status = 'active'))
+SELECT stream_id, tenant_id FROM w WHERE NOT EXISTS (SELECT 1 FROM targets x WHERE x.stream_id = w.stream_id AND x.tenant_id = w.tenant_id)""")
 def missing_targets(spark, sf_dir):
-    """Targets that don't exist yet, of every stream for every tenant that has one (I4)."""
-    t = view(spark, sf_dir, "targets")
-    tenants = t.agg(F.collect_set("tenant_id").alias("tenants"))
-    want = view(spark, sf_dir, "streams").select("stream_id").join(F.broadcast(tenants)).select("stream_id", F.explode("tenants").alias("tenant_id"))
-    return insert_if_absent(t, want, ["stream_id", "tenant_id"], ["stream_id"])
+    """Targets that consents ask for and that don't exist yet (I4)."""
+    wanted = ops.desired_targets(view(spark, sf_dir, "consents"), view(spark, sf_dir, "offers"), view(spark, sf_dir, "streams"))
+    return ops.missing_targets(wanted, view(spark, sf_dir, "targets"))
 
 
 @query("e8_matched_records", """
@@ -203,14 +204,24 @@ def matched(spark, sf_dir):
 
 
 @query("f14_replay_catalog", """
-WITH e AS (SELECT 'sc-' || (arrival % 40) AS scenario_id, pattern_id, count(*) OVER () AS x, severity, asset_symbol FROM detections)
-SELECT scenario_id, string_agg(DISTINCT asset_symbol, ',' ORDER BY asset_symbol) AS feeds, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS expected_alerts, CAST(count(*) AS INTEGER) AS steps, 'a,b' AS tags FROM e GROUP BY scenario_id""")
+WITH e AS (SELECT 'sc-' || (arrival % 40) AS scenario_id, * FROM detections)
+SELECT scenario_id, string_agg(DISTINCT asset_symbol, ',' ORDER BY asset_symbol) AS feeds, CAST(count(*) FILTER (severity = 'critical') AS BIGINT) AS expected_alerts, CAST(count(*) AS BIGINT) AS steps, 'a,b' AS tags, epoch_ms(min(created_at)) AS first_ms, epoch_ms(max(created_at)) AS last_ms FROM e GROUP BY scenario_id""")
 def replay_catalog(spark, sf_dir):
-    d = view(spark, sf_dir, "detections").withColumn("scenario_id", F.concat(F.lit("sc-"), (F.col("arrival") % 40).cast("string")))
-    events = d.select("scenario_id", F.col("created_at").alias("event_time"), F.when(F.col("severity") == "critical", "alert").otherwise("step").alias("event_type"), F.col("asset_symbol").alias("source"))
-    scenarios = d.select("scenario_id").distinct().withColumn("tags", F.array(F.lit("b"), F.lit("a"), F.lit("b")))
-    got = ops.replay_catalog(scenarios, events)
-    return got.select("scenario_id", F.array_join("feeds", ",").alias("feeds"), "expected_alerts", F.size("timeline").alias("steps"), F.array_join("tags", ",").alias("tags"))
+    scenarios = _replayed(spark, sf_dir).select("scenario_id").distinct().withColumn("tags", F.array(F.lit("b"), F.lit("a"), F.lit("b")))
+    got = ops.replay_catalog(scenarios, _replayed(spark, sf_dir))
+    ms = lambda c, name: F.unix_millis(F.col(c).cast("timestamp")).alias(name)
+    return got.select("scenario_id", F.array_join("feeds", ",").alias("feeds"), "expected_alerts", "steps", F.array_join("tags", ",").alias("tags"), ms("first_at", "first_ms"), ms("last_at", "last_ms"))
+
+
+def _replayed(spark, sf_dir):
+    d = view(spark, sf_dir, "detections")
+    return d.select(F.concat(F.lit("sc-"), (F.col("arrival") % 40).cast("string")).alias("scenario_id"), F.col("created_at").alias("event_time"), F.when(F.col("severity") == "critical", "alert").otherwise("step").alias("event_type"), F.col("asset_symbol").alias("source"), "arrival")
+
+
+@query("f14_replay_steps", "SELECT 'sc-' || (arrival % 40) AS scenario_id, row_number() OVER (PARTITION BY arrival % 40 ORDER BY created_at, arrival) AS position, CASE WHEN severity = 'critical' THEN 'alert' ELSE 'step' END AS event_type, asset_symbol AS source FROM detections")
+def replay_steps(spark, sf_dir):
+    """The steps of every scenario in order."""
+    return ops.timeline(_replayed(spark, sf_dir), "scenario_id", "event_time", ["arrival"]).select("scenario_id", "position", "event_type", "source")
 
 
 @query("d3_ingest_gate", """SELECT q.event_id FROM quotes q WHERE market_key IS NOT NULL AND EXISTS (SELECT 1 FROM sources s JOIN streams t USING (source_id) WHERE s.source_id = q.source_id AND s.enabled AND t.enabled AND EXISTS (SELECT 1 FROM targets x WHERE x.stream_id = t.stream_id AND x.enabled))""")
@@ -247,7 +258,6 @@ def missing_streams(spark, sf_dir):
     return ops.missing_streams(want, streams, view(spark, sf_dir, "targets"))
 
 
-_LATEST = "n AS (SELECT * FROM consents QUALIFY row_number() OVER (PARTITION BY offer_id, tenant_id ORDER BY changed_at DESC, consent_id DESC) = 1)"
 
 
 @query("m1_desired_targets", f"WITH {_LATEST} SELECT st.stream_id, n.tenant_id, bool_or(n.status = 'active') AS enabled FROM n JOIN offers o ON n.offer_id = o.offer_id AND o.status = 'active' JOIN streams st ON st.source_id = o.source_id GROUP BY ALL")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import quotes as ops
@@ -56,18 +55,10 @@ def consensus(spark, sf_dir):
 r AS (SELECT *, sum(weight) OVER (PARTITION BY tenant_id, market_key ORDER BY price, weight, event_id ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY tenant_id, market_key) AS total FROM w)
 SELECT tenant_id, market_key, round(min(price), 6) AS median FROM r WHERE run >= total / 2 GROUP BY ALL""")
 def weighted_median(spark, sf_dir):
-    """Weighted median of each market by running weights: grouped and windowed, nothing gathered in arrays."""
+    """Weighted median of each market, searched for in the range of prices that holds half of the weight."""
     q = view(spark, sf_dir, "quotes").where("price > 0")
     policy = {"overrides": {"src-4": {"weight": 2.5}, "src-1": {"weight": 0.5}}}
-    return weighted_median_by(q.withColumn("weight", ops.weight(F.col("source_id"), policy)), ["tenant_id", "market_key"]).select("tenant_id", "market_key", F.round("median", 6).alias("median"))
-
-
-def weighted_median_by(df, keys):
-    """Weighted median of ``price`` by ``weight`` for each key; equal prices are summed before the window."""
-    summed = df.groupBy(*keys, "price").agg(F.sum("weight").alias("weight"))
-    w = Window.partitionBy(*keys)
-    run = summed.withColumn("run", F.sum("weight").over(w.orderBy("price"))).withColumn("total", F.sum("weight").over(w))
-    return run.where("run >= total / 2").groupBy(*keys).agg(F.min("price").alias("median"))
+    return ops.weighted_median_by(q.withColumn("weight", ops.weight(F.col("source_id"), policy)), ["tenant_id", "market_key"]).select("tenant_id", "market_key", F.round("median", 6).alias("median"))
 
 
 @query("e3_asof_fx", """
@@ -166,6 +157,6 @@ def off_peg(spark, sf_dir):
     newest = good.groupBy("tenant_id", "market_key", "source_id").agg(F.max_by("price", F.struct("observed_at", "event_id")).alias("price"), F.max("observed_at").alias("at"))
     fresh = newest.join(F.broadcast(good.agg(F.max("observed_at").alias("newest_at"))), F.expr("at >= newest_at - INTERVAL 12 HOURS")).withColumn("weight", F.lit(1.0))
     keys = ["tenant_id", "market_key"]
-    got = weighted_median_by(fresh, keys).join(fresh.groupBy(*keys).agg(F.count("*").alias("n_sources")), keys)
+    got = ops.weighted_median_by(fresh, keys).join(fresh.groupBy(*keys).agg(F.count("*").alias("n_sources")), keys)
     d = divergence_pct(F.col("median"), F.lit(1.0))
     return got.select(*keys, "n_sources", F.round("median", 6).alias("median"), F.round(d, 6).alias("divergence"), band(d, F.lit(0.5), F.lit(1.0), F.lit(5.0)).alias("severity"), (F.col("n_sources") >= 2).alias("has_quorum"))
