@@ -181,33 +181,6 @@ def _streamed(spark, df, build, tmp_path, columns):
     return sorted(map(tuple, spark.table(name).select(*columns).collect()), key=str)
 
 
-def test_peg_stream_equals_batch(spark, sf, tmp_path):
-    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.PEG).cache()
-    want = sorted(map(tuple, detectors.peg_transitions(rows, plans.PEG).select("event_id", "transition").collect()), key=str)
-    assert _streamed(spark, rows, lambda s: twins.peg_transitions(s, plans.PEG), tmp_path, ["event_id", "transition"]) == want
-
-
-def test_peg_stream_out_of_order(spark, sf, tmp_path):
-    """Rows in several micro-batches, out of order within the watermark: the batch form's transitions; a row that is later
-    than that is dropped."""
-    rows = detectors.peg_evaluations(view(spark, sf, "quotes"), plans.PEG).drop("context", "confidence").cache()
-    day = 86_400_000_000
-    last = rows.agg(F.max("now")).first()[0]
-    end = rows.limit(1).withColumns({"now": F.lit(last + 9 * day), "event_id": F.lit(10**9), "tenant_id": F.lit("end")})
-    late = rows.limit(1).withColumns({"now": F.lit(last - 20 * day), "event_id": F.lit(10**9 + 1), "breach": F.lit(True), "rank": F.lit(5)})
-    path = str(tmp_path / "in")
-    mixed = rows.withColumn("file", F.floor((F.col("now") + F.pmod(F.xxhash64("event_id"), day)) / (4 * day)))
-    low = mixed.agg(F.min("file")).first()[0]
-    for i, part in enumerate([*(mixed.where(F.col("file") == low + k).drop("file") for k in range(9)), end, late, end.withColumn("now", F.lit(last + 20 * day))]):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/{i:02d}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
-    q = twins.peg_transitions(stream, plans.PEG, late="2 days").writeStream.format("memory").queryName("mixed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
-    got = sorted(map(tuple, spark.table("mixed").where("tenant_id != 'end'").select("event_id", "transition").collect()), key=str)
-    assert got and got == sorted(map(tuple, detectors.peg_transitions(rows, plans.PEG).select("event_id", "transition").collect()), key=str)
-
-
 def test_flash_stream_equals_batch(spark, sf, tmp_path):
     rows, rules = view(spark, sf, "flash_events"), plans.flash_of_tenants(spark, sf)
     want = sorted(map(tuple, detectors.flash_detections(rows, rules).select("event_id", "rule_id").collect()), key=str)

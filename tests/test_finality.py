@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from watchtide.operators import chain, finality
 from watchtide.plans import chain as plans
 from watchtide.plans.registry import view
-from watchtide.streaming import twins
 
 SCHEMA = "chain string, event_id long, block_number long, block_hash string, event_key string, requires_confirmation boolean, confirmation_depth long"
 
@@ -59,17 +58,7 @@ def test_depth_of_event_or_chain(spark):
     assert [r[0] for r in df.select(finality.own_depth(df)).collect()] == [64, 3, 1, 7]
 
 
-def test_stream_in_micro_batches(spark, tmp_path):
-    """Several files, one a micro-batch; and a state that forgets what no reorganisation reaches."""
-    r = random.Random(9)
-    rows = random_chain(r, "a", 200, 0, 0.02) + random_chain(r, "b", 200, 0, 0.05)
-    for i in range(4):
-        spark.createDataFrame([x for x in rows if x[1] // 50 == i], SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    q = twins.finality(stream, {"a": 2}, horizon=None).writeStream.format("memory").queryName("fin_s").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [(*x[:4], None if x[4] is None else int(x[4])) for x in map(tuple, spark.table("fin_s").collect())]
-    assert sorted(map(str, got)) == folded(rows, {"a": 2})
+def test_horizon_bounds_the_state():
     s = chain.new_state()
     chain.finality_step(s, "a", [(i, i, "h", f"k{i}", 2) for i in range(500)], horizon=10)
     assert len(s["blocks"]) == len(s["status"]) == 11

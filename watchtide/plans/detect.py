@@ -142,14 +142,14 @@ n AS (
   FROM judged LEFT JOIN confirmed USING (event_id))"""
 
 
-def _evaluations(spark, sf_dir):
+def evaluations_of(spark, sf_dir):
     return ops.peg_evaluations(view(spark, sf_dir, "quotes"), peg_policies(enabled(spark, sf_dir, "dpeg")), with_markets=True)
 
 
 @query("k1_evaluations", f"WITH {_EVALUATIONS} SELECT event_id, breach, CAST(sev AS INTEGER) AS rank, CASE WHEN systemic THEN 'systemic' ELSE 'isolated' END AS context, floor_pct AS floor, quotes AS has_quotes FROM n")
 def evaluations(spark, sf_dir):
     """What the peg fold sees of each quote, by the tenants' policies."""
-    return _evaluations(spark, sf_dir).select("event_id", "breach", "rank", "context", "floor", "has_quotes")
+    return evaluations_of(spark, sf_dir).select("event_id", "breach", "rank", "context", "floor", "has_quotes")
 
 
 _PEG_SQL = f"""
@@ -177,7 +177,7 @@ SELECT tenant_id, market_key, event_id, transition, CAST(out_rank AS INTEGER) AS
 @query("k1_peg_deviation", _PEG_SQL)
 def peg(spark, sf_dir):
     """Peg-deviation transitions by the tenants' policies: consensus and context by windows, hysteresis by a fold."""
-    return ops.peg_transitions(_evaluations(spark, sf_dir)).withColumn("divergence", F.round("divergence", 6))
+    return ops.peg_transitions(evaluations_of(spark, sf_dir)).withColumn("divergence", F.round("divergence", 6))
 
 
 _TENANT_RULES = [

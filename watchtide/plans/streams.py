@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators.lifecycle import feature_vectors
 from ..sources import scans, tables
-from ..sources.shared import run_to_end, shared_folder
-from ..streaming import twins
+from ..sources.shared import run_to_end, shared_folder, written
+from ..streaming import state, twins
 from .chain import _FINALITY, DEPTHS
-from .detect import _TVL_SQL, TVL, flash_of_tenants
+from .detect import _PEG_SQL, _TVL_SQL, TVL, evaluations_of, flash_of_tenants
 from .fixtures import FIXTURES
 from .registry import ORACLES, query, view
 
@@ -59,8 +59,26 @@ def drawdown_stream(spark, sf_dir):
 
 @query("s_k7_finality_stream", _FINALITY)
 def finality_stream(spark, sf_dir):
-    """Rows as in ``k7_finality``, folded in the state store, which forgets blocks far below the head."""
-    return run_to_end(twins.finality(_stream(spark, sf_dir, "chain_events"), DEPTHS), "finality").withColumn("orphaned_from", F.col("orphaned_from").cast("long"))
+    """Rows as in ``k7_finality``, with blocks and keys as maps in the state store."""
+    state.with_rocksdb(spark)
+    return run_to_end(state.finality(_stream(spark, sf_dir, "chain_events").drop("observed_at"), DEPTHS), "finality").withColumn("orphaned_from", F.col("orphaned_from").cast("long"))
+
+
+@query("s_k1_peg_stream", _PEG_SQL)
+def peg_stream(spark, sf_dir):
+    """The hysteresis of the peg over a stream of evaluations, with one value of state for each market."""
+    state.with_rocksdb(spark)
+    rows = written(evaluations_of(spark, sf_dir), "evaluations")
+    stream = spark.readStream.schema(rows.schema).parquet(rows.inputFiles()[0].rpartition("/")[0])
+    return run_to_end(state.peg_transitions(stream), "peg").withColumn("divergence", F.round("divergence", 6))
+
+
+@query("s_f7_activity_stream", """WITH w AS (SELECT source_id, market_key, time_bucket(INTERVAL 1 DAY, observed_at) AS day, count(*) AS n, max(observed_at) AS last FROM quotes GROUP BY ALL)
+SELECT source_id, market_key, epoch_ms(day) AS start_ms, CAST(n AS BIGINT) AS n, epoch_us(last) AS last_us FROM w WHERE day + INTERVAL 1 DAY <= (SELECT max(observed_at) FROM quotes)""")
+def activity_stream(spark, sf_dir):
+    """Activity by day, given out when the watermark has passed the day."""
+    got = run_to_end(twins.activity(_stream(spark, sf_dir, "quotes"), ["source_id", "market_key"], late="0 seconds", width="1 day"), "activity")
+    return got.select("source_id", "market_key", F.unix_millis("start").alias("start_ms"), "n", F.unix_micros("last").alias("last_us"))
 
 
 @query("a6_scenarios", "SELECT 'sc-' || s_suppkey AS scenario_id, CASE WHEN s_suppkey % 9 = 3 THEN 'missing:chain' END AS reject, CASE WHEN s_suppkey % 9 <> 3 THEN 'case ' || s_name END AS name FROM supplier")

@@ -16,9 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import chain, detectors
+from ..operators import detectors
 from ..operators.asof import micros
-from ..operators.finality import DEFAULT_DEPTH, own_depth
 
 LATE = "1 hour"
 
@@ -68,15 +67,6 @@ def _folded(events: DataFrame, keys: list[str], order: list[str], start, step, s
     return events.groupBy(*keys).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
 
 
-def peg_transitions(evaluations: DataFrame, policy: dict | None = None, late: str | None = None) -> DataFrame:
-    """Hysteresis of peg deviation over a stream of evaluations."""
-
-    def step(s, key, rows):
-        return [(*key, r.event_id, *got, r.divergence) for r in rows.itertuples() if (got := detectors.peg_fold(s, r))]
-
-    return _folded(detectors.with_policy(evaluations, policy).drop("context", "confidence"), ["tenant_id", "market_key"], ["now", "event_id"], detectors.peg_start, step, detectors.PEG_SCHEMA, late)
-
-
 def flash_detections(events: DataFrame, rules: DataFrame, late: str | None = None) -> DataFrame:
     """Flash loans with cooldowns over a stream; ``rules`` is a static table."""
     ready = detectors.flash_candidates(events, rules).select("tenant_id", "attacker_address", "event_id", micros(F.col("observed_at")).alias("now"), "rule_order", "rule_id", "cooldown_sec")
@@ -92,19 +82,6 @@ def flash_detections(events: DataFrame, rules: DataFrame, late: str | None = Non
     return _folded(ready, ["tenant_id", "attacker_address"], ["now", "event_id", "rule_order"], dict, step, detectors.FLASH_SCHEMA, late)
 
 
-def finality(events: DataFrame, depths: dict[str, int] | None = None, default: int = DEFAULT_DEPTH, horizon: int | None = 4096) -> DataFrame:
-    """Block finality over a stream, one fold per chain, with the depth of each event or chain. The state keeps the
-    blocks down to ``horizon`` below the head: no reorganisation may be deeper."""
-
-    def step(s, key, rows):
-        events = zip(rows["event_id"], rows["block_number"], rows["block_hash"].where(rows["block_hash"].notna(), None), rows["event_key"], rows["depth"], strict=True)
-        return [(c, int(e), k, st, float(o) if o is not None else None) for c, e, k, st, o in chain.finality_step(s, key[0], events, horizon)]
-
-    schema = chain.FINALITY_SCHEMA.replace("orphaned_from long", "orphaned_from double")
-    rows = events.select("chain", "event_id", "block_number", "block_hash", "event_key", own_depth(events, depths, default).alias("depth"))
-    return _folded(rows, ["chain"], ["event_id"], chain.new_state, step, schema)
-
-
 def drawdown_breaches(samples: DataFrame, rule: dict, late: str | None = None) -> DataFrame:
     """Fast, slow and velocity drawdowns over a stream: the state is the samples of the longest window."""
     width = max(rule[f"{n}_minutes"] for n in ("fast", "slow", "velocity")) * 60_000_000
