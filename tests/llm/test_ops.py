@@ -482,6 +482,31 @@ def test_top_k_large_components(spark):
         top_k(df, F.col("id").isin(sorted(set(queries) - exact)), k=5, scale=1)
 
 
+def test_quality_ties(spark):
+    """Labelled vectors of equal similarity all vote, whatever their order."""
+    r = np.random.default_rng(3)
+    basis, counts = np.eye(quality.CODES, 4, dtype=np.float32), np.zeros((1, quality.CODES), np.int64)
+    counts[0, 0] = 3
+    labels = np.array([1] * 20 + [0] * 20, float)
+    vectors = np.tile(np.eye(4, dtype=np.float32)[0], (40, 1))
+    scores = set()
+    for _ in range(6):
+        order = r.permutation(40)
+        model = quality.Model(np.ones(quality.CODES, np.float32), basis, vectors[order], labels[order], 0.5, 21)
+        scores.add(round(float(quality._vote(model, counts)[0]), 12))
+    assert scores == {0.5}
+    # the same rows with one id, in two orders
+    texts = [f"a text of words number {i} and {i * 7}" for i in range(60)]
+    rows = [(i % 20, t) for i, t in enumerate(texts)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    out = []
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "doc_id long, text string")
+        model = quality.fit(df, marks, lambda c: F.lit(True), per_label=500)
+        out.append(sorted((x["doc_id"], round(x["score"], 6)) for x in quality.score_documents(df, model).collect()))
+    assert out[0] == out[1]
+
+
 # 10
 
 

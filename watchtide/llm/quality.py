@@ -3,7 +3,8 @@
 Texts become counts of hashed byte trigrams and four-grams and of one term for the share of words that repeat
 the word before, weighted by inverse document frequency and by how unlike the two labels' mean counts are, and are projected to a few latent dimensions (singular value
 decomposition of labelled texts). The labelled vectors are broadcast; every document's cosines with all of
-them are computed exactly, in blocks, and the nearest ones vote with a power of their similarity as weight.
+them are computed exactly, in blocks, and the nearest ones vote with a power of their similarity as weight; all that are as
+near as the last of them (up to rounding) vote too, so a score doesn't depend on the order of the rows.
 The share of label 1 among all training labels votes too, so that texts unlike anything labelled get it.
 
 The model is fitted on a bounded sample: of each label, the ``per_label`` training rows with the smallest
@@ -29,6 +30,8 @@ from .grams import gram_counts
 BITS, ORDERS, RANK, PER_LABEL, NEIGHBOURS = 12, (3, 4), 48, 1500, 21
 #: Upper ends of the classes of the share of repeated words; the power of the similarity; the prior's votes.
 REPEATS, POWER, PRIOR_VOTES = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7), 8, 1.0
+#: Similarities (32-bit floats) that differ by less are equal.
+TIE = 1e-5
 CODES = (1 << BITS) + len(REPEATS)
 
 
@@ -105,9 +108,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str,
         return run
 
     got = map_texts(texts, "text", ["label", "id"], "counts binary", scan).toArrow()
-    order = np.argsort([-1 if x is None else x for x in got["id"].to_pylist()], kind="stable")
-    counts = np.array([np.expm1(np.frombuffer(x, "<f2").astype(np.float32)) for x in got["counts"].to_pylist()], np.float32).reshape(-1, CODES)
-    return counts[order], np.array(got["label"].to_pylist(), np.float64)[order]
+    # rows that share an id are ordered by label and counts
+    rows = sorted(zip([-1 if x is None else x for x in got["id"].to_pylist()], got["label"].to_pylist(), got["counts"].to_pylist(), strict=True))
+    counts = np.array([np.expm1(np.frombuffer(x, "<f2").astype(np.float32)) for _, _, x in rows], np.float32).reshape(-1, CODES)
+    return counts, np.array([y for _, y, _ in rows], np.float64)
 
 
 def _basis(x: np.ndarray, rank: int) -> np.ndarray:
@@ -147,7 +151,14 @@ def _vote(model: Model, counts: np.ndarray) -> np.ndarray:
     k = model.neighbours
     near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     w = np.clip(np.take_along_axis(sims, near, axis=1), 0, 1).astype(np.float64) ** POWER
-    score = ((w * model.labels[near]).sum(axis=1) + PRIOR_VOTES * model.share) / (w.sum(axis=1) + PRIOR_VOTES)
+    votes, total = (w * model.labels[near]).sum(axis=1), w.sum(axis=1)
+    # where others are as near as the last one, all of them vote
+    last = np.take_along_axis(sims, near, axis=1).min(axis=1) - TIE
+    for i in np.flatnonzero((sims >= last[:, None]).sum(axis=1) > k):
+        all_ = sims[i] >= last[i]
+        w = np.clip(sims[i][all_], 0, 1).astype(np.float64) ** POWER
+        votes[i], total[i] = w @ model.labels[all_], w.sum()
+    score = (votes + PRIOR_VOTES * model.share) / (total + PRIOR_VOTES)
     return np.where(counts.sum(axis=1) == 0, model.share, np.clip(score, 0.0, 1.0))
 
 
