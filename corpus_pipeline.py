@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from watchtide.llm import quality
 from watchtide.llm.bpe import encode_documents
-from watchtide.llm.common import stored, table
+from watchtide.llm.common import dropped, stored, table
 from watchtide.llm.line_dedup import dedup_lines
 from watchtide.llm.mixing import mix
 from watchtide.llm.ngram_join import jaccard_components, row_key
@@ -69,9 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's output is stored, and deleted when the next one's stands; the last stage
+    reads the one before it, which stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs)
+            if before is not None:
+                dropped(before)
+            before = docs
     return docs
