@@ -643,6 +643,26 @@ def test_html_markup_only_weighs():
     assert main_text('<article><p>Short.</p></article>') == "Short."
 
 
+def test_html_density_and_marks():
+    """What density finds and the mark of an article settles; menus, comments and sentences in links without a mark."""
+    long, other = ("word " * 30).strip(), ("else " * 30).strip()
+    page = f"<article><p>{long}</p></article><div>Junk one</div><div>Junk two</div><article><p>{other}</p></article>"
+    assert main_text(page).split("\n\n") == [long, other]  # a gap between articles isn't text
+    assert main_text(f"<article><p>{long}</p></article><div>{other * 4}</div>") == long  # nor what stands beside a short one
+    assert main_text(f"<div>Junk</div><article><h1>Head</h1></article><div>{other}</div><article><p>{long}</p></article>") == f"Head\n\n{long}"
+    menu = "".join(f"<div>{x}</div>" for x in ("Home", "About us", "Contact", "Privacy policy"))
+    assert main_text(f"{menu}<h1>Head</h1><p>{long}</p>") == f"Head\n\n{long}" == main_text(f"<h1>Head</h1><p>{long}</p>{menu}")
+    assert main_text(f"<p>{long}</p><div>By A. Writer</div>") == f"{long}\n\nBy A. Writer" and main_text(menu).count("\n\n") == 3
+    for title in ("3 Comments", "Leave a reply", "Comments (12)"):
+        assert main_text(f"<p>{long}</p><div>{title}</div><div>Ann</div><p>{other}</p>") == long
+    assert main_text(f"<div>Comments</div><p>{long}</p>") == f"Comments\n\n{long}"
+    said = "All of this sentence stands inside of one link."
+    assert main_text(f"<p>{long}</p><p><a href=x>{said}</a></p><p>{other}</p><p><a href=x>{said}</a></p>").split("\n\n") == [long, said, other, said]
+    assert main_text(f"<p>{long}</p><div><a href=x>Next story of the same kind as this</a></div>") == long
+    dense = "".join(f"<li><a href=x>To {i}</a>" for i in range(5))
+    assert main_text(f"<article><p>{long}</p></article><ul>{dense}</ul><article>x</article>") == long  # a mark alone isn't text
+
+
 def test_html_deep_pages():
     """Unmatched ends and deep nesting take time in proportion to the page."""
     for page in ("<b>" * 20_000 + "x</i>" * 20_000, "<p>" + "<b>" * 20_000 + "x<hr>" * 20_000, "<div>" * 20_000 + "x</p>" * 20_000):

@@ -2,13 +2,15 @@
 
 Markup is stripped to lines, one for each block element. Lines of menus, headers, footers, sidebars, notices, adverts,
 forms and comments are left out beforehand, by their element or by a class, id or role that says nothing else.
-Every other line has a weight, and the weights' sums over a sliding window of lines decide: where a sum surges over
-a threshold, the main text begins, and where it dives to nothing, it ends. The lines between are the text, and
+Every other line has a weight, and the weights' sums over a sliding window of lines decide on every page: where a sum
+surges over a threshold, dense text begins, and where it dives to nothing, it ends. The lines between are the text, and
 neighbours with a weight of their own belong to it.
 
-A line weighs as much as it has characters outside links. Markup only changes weights: if the page marks an article and
-that holds at least half of the text, its characters, links included, weigh more and others nothing. A class word
-doesn't set aside what holds most of a page's text where nothing else is marked as its article.
+A line weighs as much as it has characters outside links; a whole sentence inside a link weighs too. Markup settles what
+density leaves open: the characters of a marked article weigh more, and if it holds a tenth of the text, only its
+lines of the dense stretches stay. Without a marked article, a run of bare labels at either end of the text is a menu, and
+what follows a line that announces comments is the readers'. A class word doesn't set aside what holds most of a page's text
+where nothing else is marked as its article.
 
 A null page and a page without text give an empty text; if no sum surges, all lines with a weight are the text.
 Pages are independent of each other; repeated pages give repeated rows; columns other than the kept ones play
@@ -74,15 +76,20 @@ def _marks(name: str, attrs: str) -> set[str]:
     return out
 
 
+#: A line that announces readers' comments, the end of a sentence, and labels in a row that are a menu.
+_ANNOUNCED = re.compile(r"(?:\d+\s+|leave\s+(?:a|your)\s+|post\s+a\s+|add\s+a\s+|all\s+|read\s+)?(?:comments?|repl(?:y|ies)|responses?)(?:\s*\(\d+\))?:?", re.I)
+_SENTENCE = re.compile(r"[.!?\u2026:;][\"'\u201d\u2019\u00bb)\]]*$")
+MENU = 4
+
 #: A line is set aside by no region, by its element for good, or by the class of region 1, 2, ...
 _NONE, _GONE = 0, -1
 
 
 class _Lines:
-    """The lines of a page: text, characters outside and inside links, whether inside a marked article, region."""
+    """The lines of a page: text, characters outside and inside links, whether inside a marked article, region, whether a heading."""
 
     def __init__(self, page: str):
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
         # open elements: name, region, article, link, header inside an article; how many of a name; where the blocks are
@@ -126,10 +133,11 @@ class _Lines:
         text = " ".join("".join(self.parts).split())
         if text:
             _, region, article, _, heading_only = self._state()
-            if heading_only and not any(self.count[h] for h in _HEADINGS):
+            heading = any(self.count[h] for h in _HEADINGS)
+            if heading_only and not heading:
                 region = _GONE
             full = len(text) - text.count(" ")
-            self.lines.append((text, max(0, full - self.linked), min(full, self.linked), article, region))
+            self.lines.append((text, max(0, full - self.linked), min(full, self.linked), article, region, heading))
         self.parts, self.linked = [], 0
 
     def _cut(self, k: int) -> None:
@@ -206,24 +214,55 @@ def between(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return keep if any(keep) else [w > 0 for w in weights]
 
 
+def _label(text: str) -> bool:
+    return len(text.split()) <= 4 and not _SENTENCE.search(text)
+
+
+def _trimmed(lines: list[tuple], keep: list[bool], surge: int) -> list[bool]:
+    """Of a page without a marked article: without announced comments, and without menus of bare labels at the ends."""
+    places = [i for i, k in enumerate(keep) if k]
+    sizes = 0
+    for n, i in enumerate(places):
+        if sizes >= surge and _ANNOUNCED.fullmatch(lines[i][0]):
+            places = places[:n]
+            break
+        sizes += lines[i][1]
+    for side in (1, -1):
+        ends, labels = places[::side], 0
+        while labels < len(ends) and not lines[ends[labels]][5] and _label(lines[ends[labels]][0]):
+            labels += 1
+        if MENU <= labels < len(ends):
+            places = ends[labels:][::side]
+    out = [False] * len(keep)
+    for i in places:
+        out[i] = True
+    return out
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page; blocks are joined by an empty line."""
     found = _Lines(page or "")
     lines = found.lines
     marked = sum(x[1] for x in lines if x[3] and x[4] == _NONE)
     by_region, total = Counter(), 0
-    for _, own, _, _, region in lines:
+    for _, own, _, _, region, _ in lines:
         if region != _GONE:
             by_region[region] += own
             total += own
     # a class word doesn't set aside most of a page's text
     pardoned = {_NONE, *(r for r, own in by_region.items() if r and not marked and own >= surge and 3 * own >= 2 * total and not found.regions[r] & _COMMENTS)}
     lines = [x for x in lines if x[4] in pardoned]
-    if marked and 2 * marked >= sum(x[1] for x in lines):
-        weights = [MARKED * (own + linked) if article else 0 for _, own, linked, article, _ in lines]
+    all_own = sum(x[1] for x in lines)
+    if marked and (2 * marked >= all_own or marked >= surge and 10 * marked >= all_own):
+        # density decides where text stands, the mark which of it is the article
+        keep = between([MARKED * (own + linked) if article else own for _, own, linked, article, _, _ in lines], window, surge)
+        keep = [k and x[3] for k, x in zip(keep, lines, strict=True)]
+        if not any(keep):
+            keep = [x[3] and x[1] + x[2] > 0 for x in lines]
     else:
-        weights = [x[1] for x in lines]
-    return "\n\n".join(x[0] for x, k in zip(lines, between(weights, window, surge), strict=True) if k)
+        keep = between([own + (linked if linked and len(text.split()) > 5 and _SENTENCE.search(text) else 0) for text, own, linked, _, _, _ in lines], window, surge)
+        keep = _trimmed(lines, keep, surge)
+    return "\n\n".join(x[0] for x, k in zip(lines, keep, strict=True) if k)
 
 
 def extract_text(df: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url"), window: int = WINDOW, surge: int = SURGE) -> DataFrame:
