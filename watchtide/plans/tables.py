@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.severity import rank
-from ..sources import configs, scans, tables
+from ..sources import configs, cursors, scans, tables
 from ..sources.shared import shared_folder
 from ..sources.versioned import CASE_COLUMNS, VersionedTable, cases, inserts, upserts
 from .registry import query, view
@@ -133,13 +133,47 @@ WITH heads AS (SELECT chain, max(block_number) - 12 AS safe FROM chain_events GR
 b AS (SELECT h.chain, safe, CASE h.chain WHEN 'base' THEN 51 ELSE greatest(safe - 100, 0) END AS start FROM heads h)
 SELECT e.event_id, e.chain, e.block_number FROM chain_events e JOIN b USING (chain) WHERE block_number BETWEEN start AND safe""")
 def confirmed(spark, sf_dir):
-    cursors = spark.sql("SELECT 'base' AS chain, 50L AS cursor")
-    return scans.confirmed_range(view(spark, sf_dir, "chain_events"), cursors, 12).select("event_id", "chain", "block_number")
+    base = spark.sql("SELECT 'base' AS chain, 50L AS cursor")
+    return scans.confirmed_range(view(spark, sf_dir, "chain_events"), base, 12).select("event_id", "chain", "block_number")
 
 
 _FILTERS = "SELECT * FROM (VALUES ('0xpool0', '0xanswer'), ('0xpool1', '0xswap'), ('0xpool2', CAST(NULL AS STRING)), ('0xpool2', '0xflash')) AS t(address, topic0)"
 
 
+@query("a8_resumed_scan", "SELECT detection_id, arrival, CAST((row_number() OVER (ORDER BY created_at, arrival) - 1) // (SELECT CAST(ceil(count(*) / 3.0) AS BIGINT) FROM detections) AS BIGINT) AS batch FROM detections")
+def resumed(spark, sf_dir):
+    """A keyset scan in three batches, each from where the last one ended; the second is broken off and read again."""
+    d, root = view(spark, sf_dir, "detections").select("detection_id", "arrival", "created_at"), shared_folder(spark, "cursor")
+    table = VersionedTable(spark, f"{root}/rows", ["detection_id"], parts=4)
+    limit = -(-d.count() // 3)
+
+    def sink(rows, batch):
+        table.merge(rows.withColumn("batch", F.lit(batch).cast("long")), inserts(["detection_id"], ["arrival"]), "scan", batch)
+        if batch == 1 and not broken:
+            broken.append(batch)
+            raise InterruptedError
+
+    broken: list = []
+    while True:
+        try:
+            if cursors.keyset(cursors.Cursor(spark, root), d, "created_at", "arrival", sink, limit) is None:
+                return table.read().drop("created_at")
+        except InterruptedError:
+            continue
+
+
+@query("a9_resumed_range", """WITH h AS (SELECT chain, max(block_number) - 12 AS safe, max(block_number) FILTER (event_id < 500) - 12 AS first FROM chain_events GROUP BY chain)
+SELECT event_id, e.chain, block_number, CAST(CASE WHEN block_number <= first THEN 0 ELSE 1 END AS BIGINT) AS batch FROM chain_events e JOIN h USING (chain) WHERE block_number BETWEEN 0 AND safe AND (event_id < 500 OR block_number > first)""")
+def resumed_range(spark, sf_dir):
+    """Confirmed blocks of the events so far, and later of what has been confirmed since."""
+    e, root = view(spark, sf_dir, "chain_events").select("event_id", "chain", "block_number"), shared_folder(spark, "cursor")
+    table = VersionedTable(spark, f"{root}/rows", ["event_id"], parts=4)
+    sink = lambda rows, batch: table.merge(rows.withColumn("batch", F.lit(batch).cast("long")), inserts(["event_id"], ["event_id"]), "range", batch)
+    for events in (e.where("event_id < 500"), e, e):
+        cursors.confirmed(cursors.Cursor(spark, root), events, 12, sink, lookback=1_000_000)
+    return table.read()
+
+
 @query("a10_select_logs", f"SELECT event_id FROM chain_positions l WHERE EXISTS (SELECT 1 FROM ({_FILTERS}) f WHERE f.address = l.address AND (f.topic0 = l.topic0 OR f.topic0 IS NULL))")
 def logs(spark, sf_dir):
     return scans.select_logs(view(spark, sf_dir, "chain_positions"), spark.sql(_FILTERS)).select("event_id")

@@ -32,11 +32,17 @@ def incremental_scan(df: DataFrame, ts: str, key: str, last_ts: datetime.datetim
     return later if limit is None else later.orderBy(ts, key).limit(limit)
 
 
-def confirmed_range(events: DataFrame, cursors: DataFrame, depth: int, lookback: int = 100) -> DataFrame:
-    """Events from each chain's cursor + 1 to its head less ``depth``; without a cursor, ``lookback`` blocks."""
+def confirmed_bounds(events: DataFrame, cursors: DataFrame, depth: int, lookback: int = 100) -> DataFrame:
+    """``chain, start, safe``: from each chain's cursor + 1 to its head less ``depth``; without a cursor, from ``lookback`` blocks
+    before that."""
     heads = events.groupBy("chain").agg((F.max("block_number") - depth).alias("safe"))
     bounds = heads.join(cursors, "chain", "left").withColumn("start", F.coalesce(F.col("cursor") + 1, F.greatest(F.col("safe") - lookback, F.lit(0))))
-    return events.join(bounds.select("chain", "start", "safe"), "chain").where("block_number BETWEEN start AND safe").drop("start", "safe")
+    return bounds.select("chain", "start", "safe")
+
+
+def confirmed_range(events: DataFrame, cursors: DataFrame, depth: int, lookback: int = 100) -> DataFrame:
+    """Events from each chain's cursor + 1 to its head less ``depth``; without a cursor, ``lookback`` blocks."""
+    return events.join(confirmed_bounds(events, cursors, depth, lookback), "chain").where("block_number BETWEEN start AND safe").drop("start", "safe")
 
 
 def select_logs(logs: DataFrame, filters: DataFrame) -> DataFrame:
