@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.severity import rank
-from ..sources import configs, cursors, scans, tables
+from ..sources import configs, cursors, ingest, scans, tables
 from ..sources.shared import shared_folder
 from ..sources.versioned import CASE_COLUMNS, VersionedTable, cases, inserts, upserts
 from .registry import query, view
@@ -324,6 +324,30 @@ def failure_rows(spark, sf_dir):
     return got.select("event_id", "source_id", "parse_error", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("failed_us"), "record")
 
 
+@query("b11_ingest_batches", """WITH q AS (SELECT event_id % 4 AS b, event_id // 3 AS k, price IS NULL AS bad FROM quotes)
+SELECT 'batch-' || b AS batch_id, 'feed' AS stream_id, CAST(count(DISTINCT k) FILTER (NOT bad) AS BIGINT) AS rows_ingested, CAST(count(*) FILTER (NOT bad) - count(DISTINCT k) FILTER (NOT bad) AS BIGINT) AS rows_deduped,
+       CAST(count(*) FILTER (bad) AS BIGINT) AS rows_failed, CASE WHEN count(*) FILTER (bad) > 0 THEN 'partial' ELSE 'completed' END AS status, CASE WHEN count(*) FILTER (bad) > 0 THEN 'missing_price' END AS error_summary FROM q GROUP BY b
+UNION ALL SELECT 'batch-x', 'feed', 0, 0, 0, 'failed', 'the sink is full'""")
+def ingest_batches(spark, sf_dir):
+    """Batches with metrics that are counted while they are written; the sink of the last one fails."""
+    rows, path = _batch(spark, sf_dir).withColumn("k", F.floor(F.col("event_id") / 3)), shared_folder(spark, "ingested")
+
+    def full(df):
+        raise OSError("the sink is full")
+
+    done = [ingest.ingest(rows.where(F.col("event_id") % 4 == b), ["k"], lambda df, b=b: df.write.parquet(f"{path}/{b}"), f"batch-{b}", "feed") for b in range(4)]
+    done.append(ingest.ingest(rows, ["k"], full, "batch-x", "feed"))
+    columns = ("batch_id", "stream_id", "rows_ingested", "rows_deduped", "rows_failed", "status", "error_summary")
+    return spark.createDataFrame([tuple(m.as_dict()[c] for c in columns) for m in done], "batch_id string, stream_id string, rows_ingested long, rows_deduped long, rows_failed long, status string, error_summary string")
+
+
+@query("b11_failures", """SELECT event_id, source_id, source_type, '{"event_id":' || event_id || '}' AS payload_excerpt, CASE WHEN event_id % 2 = 0 THEN 'timeout' ELSE 'parse' END AS error_kind, 'missing_price' AS error_message, event_id % 2 = 0 AS retryable FROM quotes WHERE price IS NULL""")
+def ingest_failures(spark, sf_dir):
+    """Records of what failed, and whether another try may mend it."""
+    got = ingest.failures(_batch(spark, sf_dir), F.to_json(F.struct("event_id")), kind=F.when(F.col("event_id") % 2 == 0, "timeout"))
+    return got.select("event_id", "source_id", "source_type", "payload_excerpt", "error_kind", "error_message", "retryable")
+
+
 @query("b12_export_manifest", "SELECT tenant_id, CAST(count(*) AS BIGINT) AS row_count, CAST(sum(CAST('0x' || substr(sha256(concat_ws('|', detection_id, severity)), 1, 8) AS BIGINT)) AS BIGINT) AS checksum FROM detections GROUP BY tenant_id")
 def export_manifest(spark, sf_dir):
     return tables.export_manifest(view(spark, sf_dir, "detections"), ["tenant_id"], ["detection_id", "severity"])
