@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import detectors as ops
 from ..operators import drawdown
+from ..operators.rules import first_matches
 from ..sources.configs import flash_rules, peg_policies, tvl_rules
 from .quotes import POLICY
 from .registry import query, view
@@ -180,7 +181,26 @@ def peg(spark, sf_dir):
     return ops.peg_transitions(evaluations_of(spark, sf_dir)).withColumn("divergence", F.round("divergence", 6))
 
 
-_TENANT_RULES = [
+_LABEL = "CASE event_id % 5 WHEN 0 THEN 'n/a' WHEN 1 THEN '7' END"
+
+
+@query("k5_tenant_rules", f"""
+WITH ev AS (SELECT tenant_id, event_id, loan_amount_usd AS loan, profit_usd AS profit, source_type AS source, {_LABEL} AS label FROM flash_events),
+t AS (SELECT tenant_id, rule_order, rule_id, severity, unnest(from_json(tests, '[{{"attribute":"VARCHAR","op":"VARCHAR","value":"VARCHAR"}}]')) AS x FROM tenant_rules),
+tried AS (SELECT e.tenant_id, e.event_id, t.rule_order, t.rule_id, t.severity, x.op, x.value, e.source, x.attribute, CASE x.attribute WHEN 'loan' THEN loan WHEN 'profit' THEN profit WHEN 'label' THEN TRY_CAST(label AS DOUBLE) END AS v, TRY_CAST(x.value AS DOUBLE) AS n FROM ev e JOIN t ON e.tenant_id = t.tenant_id),
+passed AS (SELECT tenant_id, event_id, rule_order, rule_id, severity, bool_and(coalesce(CASE op WHEN '>=' THEN v >= n WHEN '>' THEN v > n WHEN '<=' THEN v <= n WHEN '<' THEN v < n WHEN '=' THEN source = value ELSE source <> value END, false)) AS ok FROM tried GROUP BY ALL),
+labelled AS (SELECT tenant_id, arg_min(rule_id, rule_order) AS rule_id, arg_min(severity, rule_order) AS severity, count(DISTINCT rule_id) AS n_rules FROM t WHERE x.attribute = 'label' GROUP BY tenant_id)
+SELECT event_id, arg_min(rule_id, rule_order) AS rule_id, arg_min(severity, rule_order) AS severity, NULL AS error, NULL::BIGINT AS n_rules FROM passed WHERE ok GROUP BY tenant_id, event_id
+UNION ALL SELECT event_id, rule_id, severity, 'label is not a number', n_rules FROM ev JOIN labelled USING (tenant_id) WHERE label = 'n/a'""")
+def tenant_rules(spark, sf_dir):
+    """The tenants' own rules from a table: the first that each event passes, and faults of rules on single events (K5, L2)."""
+    e = view(spark, sf_dir, "flash_events")
+    attributes = F.create_map(*(x for k, c in (("loan", F.col("loan_amount_usd").cast("string")), ("profit", F.col("profit_usd").cast("string")), ("source", F.col("source_type")), ("label", F.expr(_LABEL))) for x in (F.lit(k), c)))
+    rules = view(spark, sf_dir, "tenant_rules").withColumn("tests", F.from_json("tests", "array<struct<attribute:string,op:string,value:string>>"))
+    return first_matches(e.select("tenant_id", "event_id", attributes.alias("attributes")), rules).select("event_id", "rule_id", "severity", "error", "n_rules")
+
+
+_CONDITIONS = [
     {"tenant_id": "tenant-0", "rule_id": "big", "severity": "high", "condition": "loan_amount_usd >= {least}", "params": {"least": 500000.0}},
     {"tenant_id": "tenant-0", "rule_id": "broken", "severity": "high", "condition": "no_such_column > 1"},
     {"tenant_id": "tenant-0", "rule_id": "profit", "severity": "medium", "condition": "profit_usd / loan_amount_usd >= {share} AND event_id % 2 = 0", "params": {"share": 0.005}},
@@ -188,11 +208,11 @@ _TENANT_RULES = [
 ]
 
 
-@query("k5_tenant_rules", """SELECT event_id, rule_id, severity FROM (SELECT event_id, CASE WHEN tenant_id = 'tenant-0' AND loan_amount_usd >= 500000 THEN 'big' WHEN tenant_id = 'tenant-0' AND profit_usd / loan_amount_usd >= 0.005 AND event_id % 2 = 0 THEN 'profit' WHEN tenant_id = 'tenant-2' AND source_type = 'evm_chain' THEN 'any' END AS rule_id FROM flash_events)
+@query("l2_rule_conditions", """SELECT event_id, rule_id, severity FROM (SELECT event_id, CASE WHEN tenant_id = 'tenant-0' AND loan_amount_usd >= 500000 THEN 'big' WHEN tenant_id = 'tenant-0' AND profit_usd / loan_amount_usd >= 0.005 AND event_id % 2 = 0 THEN 'profit' WHEN tenant_id = 'tenant-2' AND source_type = 'evm_chain' THEN 'any' END AS rule_id FROM flash_events)
 JOIN (VALUES ('big', 'high'), ('profit', 'medium'), ('any', 'low')) s(rule_id, severity) USING (rule_id)""")
-def tenant_rules(spark, sf_dir):
-    """Tenants' own rules (K5, L1, L2)."""
-    return ops.rule_detections(view(spark, sf_dir, "flash_events"), _TENANT_RULES).select("event_id", "rule_id", "severity")
+def rule_conditions(spark, sf_dir):
+    """Rules as SQL conditions with parameters, for what tests on attributes can't say (L1, L2)."""
+    return ops.rule_detections(view(spark, sf_dir, "flash_events"), _CONDITIONS).select("event_id", "rule_id", "severity")
 
 
 _DRAWDOWN_SQL = f"WITH {_BREACHES} SELECT * FROM k WHERE transition IS NOT NULL"

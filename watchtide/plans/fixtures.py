@@ -124,6 +124,13 @@ SELECT 'tenant-' || c_custkey, 'tvl_drop', c_custkey % 7 <> 6,
 FROM customer
 UNION ALL
 SELECT 'tenant-' || c_custkey, 'old', true, '[]' FROM customer""",
+    "tenant_rules": """
+SELECT 'tenant-' || (p_partkey % 3) AS tenant_id, CAST(1000000 - p_partkey AS BIGINT) AS rule_order, 'part-' || p_partkey AS rule_id, CASE p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity,
+       CASE p_partkey % 4 WHEN 0 THEN '[{"attribute":"loan","op":">=","value":"' || (p_size * 20000) || '"}]'
+            WHEN 1 THEN '[{"attribute":"profit","op":"<","value":"' || (p_size * 30) || '"},{"attribute":"source","op":"=","value":"evm_chain"}]'
+            WHEN 2 THEN '[{"attribute":"loan","op":">","value":"' || (p_size * 10000) || '"},{"attribute":"profit","op":"<=","value":"' || (1000 + p_size * 100) || '"},{"attribute":"source","op":"!=","value":"x"}]'
+            ELSE '[{"attribute":"label","op":">","value":"' || p_size || '"}]' END AS tests
+FROM part""",
     "chain_positions": """
 SELECT event_id, ts AS received_at, CASE user_id % 3 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'base' ELSE 'arbitrum' END AS chain,
        CAST(floor(event_id / 5) AS BIGINT) AS block_number, CAST(event_id % 5 AS BIGINT) AS log_index, 'tx-' || CAST(floor(event_id / 2) AS BIGINT) AS tx_hash,
