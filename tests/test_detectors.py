@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from watchtide.operators import chain, detectors
+from watchtide.operators import chain, detectors, drawdown
 from watchtide.operators.lifecycle import matched_records
 from watchtide.operators.quotes import consensus
 from watchtide.plans import detect as plans
@@ -48,23 +48,31 @@ def _samples(spark, values):
 RULE = {"fast_drop_pct": 20.0, "slow_drop_pct": 35.0, "velocity_critical_pct": 15.0, "fast_minutes": 10, "slow_minutes": 60, "velocity_minutes": 2, "concurrent_minutes": 5, "min_tvl_floor_usd": 1e6}
 
 
+def _detected(spark, rows, rule):
+    """By one rule for each of two protocols."""
+    fields = rule | {"tenant_id": "t", "rule_order": 0, "rule_id": "r", "chain_slug": "base", "contagion_enabled": rule.get("contagion_enabled", True)}
+    rules = spark.createDataFrame([fields | {"protocol_id": p} for p in ("p", "q")]).withColumn("market_id", F.lit(None).cast("string"))
+    return drawdown.detections(rows, rules)
+
+
 def test_velocity_is_critical(spark):
-    row = detectors.tvl_detections(_samples(spark, [100e6, 80e6]), RULE).first()
+    row = _detected(spark, _samples(spark, [100e6, 80e6]), RULE).first()
     assert (row["severity"], row["transition"], row["context"]) == ("critical", "trigger", "isolated")
 
 
 def test_floor_hides_a_crash(spark):
-    assert detectors.tvl_detections(_samples(spark, [6e6, 4e6]), RULE | {"min_tvl_floor_usd": 5e6}).count() == 0
+    assert _detected(spark, _samples(spark, [6e6, 4e6]), RULE | {"min_tvl_floor_usd": 5e6}).count() == 0
 
 
 def test_drop_is_the_largest_of_the_windows(spark):
     """Slowly, then fast: the fast branch breaches, the drop is that of the longest window; and two protocols are systemic."""
     rows = _samples(spark, [100e6, 99e6, 98e6, 60e6])
-    got = detectors.tvl_detections(rows, RULE | {"velocity_critical_pct": 90.0, "fast_minutes": 1, "slow_drop_pct": 90.0}).first()
+    got = _detected(spark, rows, RULE | {"velocity_critical_pct": 90.0, "fast_minutes": 1, "slow_drop_pct": 90.0}).first()
     assert (got["severity"], round(got["drop"], 6)) == ("high", 40.0)
-    both = rows.unionByName(rows.withColumn("protocol_id", F.lit("q")))
-    assert {r["context"] for r in detectors.tvl_detections(both, RULE).collect()} == {"systemic"}
-    assert {r["context"] for r in detectors.tvl_detections(both, RULE | {"contagion_enabled": False}).collect()} == {"isolated"}
+    both = rows.unionByName(rows.withColumn("protocol_id", F.lit("q")).withColumn("event_id", F.col("event_id") + 10))
+    contexts = lambda rule: {(r["protocol_id"], r["context"]) for r in _detected(spark, both, rule).collect()}
+    assert contexts(RULE) == {("p", "isolated"), ("q", "systemic")}  # the second to breach
+    assert contexts(RULE | {"contagion_enabled": False}) == {("p", "isolated"), ("q", "isolated")}
 
 
 def _quotes(spark, rows):
@@ -187,12 +195,6 @@ def test_flash_stream_equals_batch(spark, sf, tmp_path):
     assert want and _streamed(spark, rows, lambda s: twins.flash_detections(s, rules), tmp_path, ["event_id", "rule_id"]) == want
 
 
-def test_drawdown_stream_equals_batch(spark, sf, tmp_path):
-    rows = view(spark, sf, "tvl_samples")
-    want = sorted(map(tuple, detectors.tvl_detections(rows, plans.TVL).select("event_id").collect()), key=str)
-    assert _streamed(spark, rows, lambda s: twins.drawdown_breaches(s, plans.TVL), tmp_path, ["event_id"]) == want
-
-
 def test_dedupe_and_activity_streams(spark, sf, tmp_path):
     rows = view(spark, sf, "quotes").unionByName(view(spark, sf, "quotes"))
     got = _streamed(spark, rows, lambda s: twins.deduped(s, ["event_id"], late="40 days"), tmp_path, ["event_id"])

@@ -1,12 +1,15 @@
 """Streams on the state API, in several micro-batches with late rows, against the batch forms."""
 
+import datetime
 import random
 
+from test_drawdown import rules_of
 from test_finality import SCHEMA as CHAIN
 from test_finality import folded, random_chain
 from test_hysteresis import SCHEMA as PEG
 from test_hysteresis import SECOND, one_by_one, random_market
 
+from watchtide.operators import drawdown
 from watchtide.streaming import state
 
 
@@ -49,3 +52,17 @@ def test_finality_in_micro_batches(spark, tmp_path):
     cut = [[x for x in rows if x[1] // 50 == i] for i in range(3)]
     got = streamed(spark, cut, CHAIN, lambda s: state.finality(s, {"a": 2}, horizon=None), tmp_path)
     assert sorted(str((*x[:4], None if x[4] is None else int(x[4]))) for x in got) == folded(rows, {"a": 2})
+
+
+def test_drawdown_in_micro_batches(spark, tmp_path):
+    """Late rows within the watermark too: breaches and drops as the batch form finds them."""
+    r, schema = random.Random(3), "event_id long, observed_at timestamp, tenant_id string, protocol_id string, chain_slug string, market_id string, tvl_usd double"
+    rules = rules_of(spark, {"t": {"rules": [{"rule_id": f"r{k}", "protocol_id": r.choice("pq"), "chain_slug": "base", "market_id": r.choice([None, "m"]), "fast_drop_pct": 5, "fast_window_minutes": r.randint(1, 40), "slow_window_minutes": r.randint(1, 90), "min_tvl_floor_usd": 40} for k in range(9)]}})
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=r.randint(0, 9000)), "t", r.choice("pq"), "BASE", r.choice([None, "M"]), r.choice([None, 0.0] + [r.uniform(30, 100)] * 20)) for i in range(240)]
+    want = sorted((x["subject_key"], x["event_id"], x["rule_id"], round(x["fast_drop"], 9), round(x["slow_drop"], 9)) for x in drawdown.detections(spark.createDataFrame(rows, schema), rules).collect())
+    mixed = sorted(rows, key=lambda x: x[1] + datetime.timedelta(seconds=r.randint(0, 300)))
+    end = start + datetime.timedelta(days=9)
+    cut = [*(mixed[i : i + 80] for i in range(0, 240, 80)), [(999, end, "t", "p", "base", None, 1.0), (998, end, "t", "q", "base", None, 1.0)]]
+    got = streamed(spark, cut, schema, lambda s: state.drawdown_breaches(s, rules, late="600 seconds"), tmp_path)
+    assert sorted((x[1], x[2], x[3], round(x[4], 9), round(x[5], 9)) for x in got if x[2] < 900) == want and len(want) > 50

@@ -174,35 +174,6 @@ def drawdowns(samples: DataFrame, rule: dict, key: tuple[str, ...] = ("tenant_id
     return out.where("__own").drop("__at", "__bucket", "__own")
 
 
-def tvl_detections(samples: DataFrame, rule: dict) -> DataFrame:
-    """Breaches of one drawdown rule with severity, context and transition. All of it is windows: severity of
-    the last breach, drop of the last sample, and other protocols that breached at about the same time."""
-    return _tvl_detections(samples, rule, ("tenant_id", "protocol_id", "chain_slug"))
-
-
-def _tvl_detections(samples: DataFrame, rule: dict, key: tuple[str, ...]) -> DataFrame:
-    rows = drawdowns(samples, rule, key)
-    floor = F.col("tvl_usd") >= F.lit(rule["min_tvl_floor_usd"])
-    velocity, fast, slow = (F.col(f"{n}_drop") >= F.lit(rule[t]) for n, t in (("velocity", "velocity_critical_pct"), ("fast", "fast_drop_pct"), ("slow", "slow_drop_pct")))
-    rows = rows.withColumn("breach", floor & (velocity | fast | slow)).withColumn("by_velocity", velocity)
-    rows = rows.withColumn("drop", F.greatest("fast_drop", "slow_drop", "velocity_drop"))
-    earlier = Window.partitionBy(*key).orderBy("observed_at", "event_id")
-    rows = rows.withColumn("prev_drop", F.coalesce(F.lag("drop").over(earlier), F.lit(0.0))).where("breach")
-    # two subjects of the tenant (and rule) at least: the least and the greatest name differ
-    width, subject = rule["concurrent_minutes"], F.concat_ws(":", "protocol_id", "chain_slug")
-    near = Window.partitionBy(*(c for c in key if c not in ("protocol_id", "chain_slug")), "__bucket").orderBy(micros(F.col("observed_at"))).rangeBetween(-width * 60_000_000, 0)
-    rows = bucketed(rows, width * 60_000).withColumn("concurrent", F.min(subject).over(near) != F.max(subject).over(near)).where("__own").drop("__bucket", "__own")
-    rows = rows.withColumn("context", F.when(F.col("concurrent") & F.lit(rule.get("contagion_enabled", True)), "systemic").otherwise("isolated"))
-    rows = rows.withColumn("severity", F.when(F.col("by_velocity") | (F.col("context") == "systemic"), "critical").otherwise("high"))
-    rows = rows.withColumn("prev_severity", F.lag("severity").over(earlier)).withColumn("prev_context", F.coalesce(F.lag("context").over(earlier), F.lit("isolated")))
-    transition = (
-        F.when(F.col("prev_severity").isNull(), "trigger")
-        .when(rank(F.col("severity")) > rank(F.col("prev_severity")), "escalate")
-        .when((F.col("drop") >= F.col("prev_drop") + 1.0) | (F.col("context") != F.col("prev_context")), "update")
-    )
-    return rows.withColumn("transition", transition).drop("concurrent", "by_velocity", "prev_severity", "prev_context", "prev_drop")
-
-
 # Flash loans
 
 

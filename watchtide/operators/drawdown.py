@@ -138,15 +138,20 @@ def _evaluated(series: DataFrame) -> DataFrame:
     return rows.withColumns({"drop": F.greatest(*(f"{w}_drop" for w in WINDOWS)), "breach": breach, "by_velocity": velocity})
 
 
+def real(samples: DataFrame) -> DataFrame:
+    """Samples with a finite, positive value; adds ``at``."""
+    value = F.col("tvl_usd")
+    return samples.where(value.isNotNull() & ~F.isnan(value) & (value > 0) & (value < float("inf"))).withColumn("at", micros(F.col("observed_at")))
+
+
 def detections(samples: DataFrame, rules: DataFrame) -> DataFrame:
     """Breaches of the tenants' drawdown rules (``configs.tvl_rules``) with severity, context and transition.
 
     A sample without a finite, positive value doesn't exist. A breach is systemic, and then critical, if the rule heeds
     contagion and another protocol or chain of the tenant breached any of its rules shortly before. The first breach of a
     rule's subject triggers, a rise in severity escalates, a fall by another point or another context updates."""
-    good = samples.where(F.col("tvl_usd").isNotNull() & ~F.isnan("tvl_usd") & (F.col("tvl_usd") > 0) & (F.col("tvl_usd") < float("inf"))).withColumn("at", micros(F.col("observed_at")))
     keep = ["tenant_id", "event_id", "observed_at", "at", "protocol_id", "chain_slug", "protocol_key", "subject_type", "subject_key", "tvl_usd", "rules", "reach", "tenant_reach"]
-    rows = written(_evaluated(in_scope(good, rules).select(*keep)), "drawdowns")
+    rows = written(_evaluated(in_scope(real(samples), rules).select(*keep)), "drawdowns")
     key = ["tenant_id", "rule_order", "rule_id", "subject_key"]
     rows = last_before(rows, key, "at", ["event_id"], {"prev_drop": F.col("drop")}, STRETCH_US).where("breach")
     rows = latest_of_another(rows, ["tenant_id"], "protocol_key", "at", ["event_id", "rule_order"], F.col("tenant_reach"))

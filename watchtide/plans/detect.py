@@ -20,14 +20,6 @@ d AS (SELECT *, CASE WHEN max(tvl_usd) OVER f > 0 THEN (max(tvl_usd) OVER f - tv
   f AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN INTERVAL 600 MINUTE PRECEDING AND CURRENT ROW),
   s AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN INTERVAL 3600 MINUTE PRECEDING AND CURRENT ROW),
   v AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at RANGE BETWEEN INTERVAL 120 MINUTE PRECEDING AND CURRENT ROW))"""
-_TVL_SQL = f"""
-WITH {_DROPS},
-b AS (SELECT *, tvl_usd >= 20e6 AND (velocity_drop >= 15 OR fast_drop >= 20 OR slow_drop >= 35) AS breach, greatest(fast_drop, slow_drop, velocity_drop) AS fall FROM d),
-c AS (SELECT a.*, (SELECT count(DISTINCT x.protocol_id || ':' || x.chain_slug) FROM b x WHERE x.tenant_id = a.tenant_id AND x.breach AND x.observed_at BETWEEN a.observed_at - INTERVAL 300 MINUTE AND a.observed_at) AS concurrent FROM b a),
-e AS (SELECT *, CASE WHEN concurrent >= 2 THEN 'systemic' ELSE 'isolated' END AS context FROM c),
-g AS (SELECT *, CASE WHEN breach THEN CASE WHEN velocity_drop >= 15 OR context = 'systemic' THEN 'critical' ELSE 'high' END END AS severity FROM e),
-h AS (SELECT *, last_value(severity IGNORE NULLS) OVER p AS prev_severity, coalesce(last_value(CASE WHEN breach THEN context END IGNORE NULLS) OVER p, 'isolated') AS prev_context, coalesce(lag(fall) OVER (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at, event_id), 0) AS prev_fall
-      FROM g WINDOW p AS (PARTITION BY tenant_id, protocol_id, chain_slug ORDER BY observed_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 _TRANSITION = "CASE WHEN prev_severity IS NULL THEN 'trigger' WHEN severity = 'critical' AND prev_severity = 'high' THEN 'escalate' WHEN fall >= prev_fall + 1.0 OR context <> prev_context THEN 'update' END"
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators.lifecycle import feature_vectors
 from ..sources import scans, tables
+from ..sources.configs import tvl_rules
 from ..sources.shared import run_to_end, shared_folder, written
 from ..streaming import state, twins
 from .chain import _FINALITY, DEPTHS
-from .detect import _PEG_SQL, _TVL_SQL, TVL, evaluations_of, flash_of_tenants
+from .detect import _BREACHES, _PEG_SQL, evaluations_of, flash_of_tenants
 from .fixtures import FIXTURES
 from .registry import ORACLES, query, view
+from .tables import enabled
 
 
 def _stream(spark, sf_dir, name):
@@ -52,9 +54,12 @@ def fx_stream(spark, sf_dir):
     return found.groupBy("event_id").agg(F.round(F.max_by(F.col("price") * F.col("rate"), "rate_at"), 6).alias("price_usd"))
 
 
-@query("s_k2_drawdown_stream", f"{_TVL_SQL} SELECT event_id FROM h WHERE breach")
+@query("s_k2_drawdown_stream", f"WITH {_BREACHES} SELECT event_id, rule_id, subject_key, round(fast_drop, 6) AS fast_drop, round(slow_drop, 6) AS slow_drop, round(velocity_drop, 6) AS velocity_drop FROM k")
 def drawdown_stream(spark, sf_dir):
-    return run_to_end(twins.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), TVL), "drawdown").select("event_id")
+    """Breaches of the tenants' drawdown rules over a stream; the state of a subject is the samples that can still be peaks."""
+    state.with_rocksdb(spark)
+    got = run_to_end(state.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), tvl_rules(enabled(spark, sf_dir, "tvl_drop"))), "drawdown")
+    return got.select("event_id", "rule_id", "subject_key", *(F.round(f"{w}_drop", 6).alias(f"{w}_drop") for w in ("fast", "slow", "velocity")))
 
 
 @query("s_k7_finality_stream", _FINALITY)

@@ -8,14 +8,16 @@ has held nothing and said nothing for ``ttl`` loses its state.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import chain, detectors, hysteresis
+from ..operators import chain, detectors, drawdown, hysteresis
 from ..operators.finality import DEFAULT_DEPTH, own_depth
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -127,6 +129,35 @@ class FinalityProcessor(Ordered):
         return [(c, e, k, st, None if o is None else float(o)) for c, e, k, st, o in out]
 
 
+class DrawdownProcessor(Ordered):
+    """Breaches of one subject's rules. Its state is the samples that can still be a peak: none of them has a higher
+    one after it, and none is older than the longest window."""
+
+    def states(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "at array<bigint>, value array<double>")
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        held = drawdown.RunningPeaks()
+        if self.kept.exists():
+            at, value = self.kept.get()
+            held.at, held.value = np.array(at, np.int64), np.array(value, float)
+        now, tvl = rows["now"].to_numpy().astype(np.int64), rows["tvl_usd"].to_numpy().astype(float)
+        rules = [json.loads(x) for x in rows["rules"]]
+        widths = [[r[f"{w}_minutes"] * 60_000_000 for r in mine for w in drawdown.WINDOWS] for mine in rules]
+        peaks = held.peaks(now, tvl, np.repeat(np.arange(len(rows)), [len(w) for w in widths]), np.array([x for w in widths for x in w], np.int64))
+        longest = max(x for w in widths for x in w)
+        late = held.at >= now[-1] - longest
+        self.kept.update((held.at[late].tolist(), held.value[late].tolist()))
+        out, k = [], 0
+        for event, value, mine in zip(rows["event_id"], tvl.tolist(), rules, strict=True):
+            for r in mine:
+                fast, slow, velocity = ((p - value) / p * 100 for p in peaks[k : k + 3].tolist())
+                k += 3
+                if value >= r["min_tvl_floor_usd"] and (velocity >= r["velocity_critical_pct"] or fast >= r["fast_drop_pct"] or slow >= r["slow_drop_pct"]):
+                    out.append((*key, int(event), r["rule_id"], fast, slow, velocity))
+        return out
+
+
 def _run(rows: DataFrame, keys: list[str], processor: Ordered, schema: str, late: str | None) -> DataFrame:
     if late:
         rows = rows.withColumn("__at", F.timestamp_micros("now")).withWatermark("__at", late)
@@ -154,3 +185,15 @@ def finality(events: DataFrame, depths: dict[str, int] | None = None, default: i
     processor = FinalityProcessor(_schema(rows, names), names, ["event_id"], [x.split()[0] for x in schema.split(", ")], bool(late))
     processor.horizon = horizon
     return _run(rows, ["chain"], processor, schema, late)
+
+
+BREACH_SCHEMA = "tenant_id string, subject_key string, event_id long, rule_id string, fast_drop double, slow_drop double, velocity_drop double"
+
+
+def drawdown_breaches(samples: DataFrame, rules: DataFrame, late: str | None = None) -> DataFrame:
+    """Breaches of the tenants' drawdown rules (a static table) over a stream of samples, as ``drawdown.detections`` finds them."""
+    rows = drawdown.in_scope(drawdown.real(samples), rules)
+    rows = rows.select("tenant_id", "subject_key", "event_id", F.col("at").alias("now"), "tvl_usd", F.to_json("rules").alias("rules"))
+    names = ["event_id", "now", "tvl_usd", "rules"]
+    processor = DrawdownProcessor(_schema(rows, names), names, ["now", "event_id"], [x.split()[0] for x in BREACH_SCHEMA.split(", ")], bool(late))
+    return _run(rows, ["tenant_id", "subject_key"], processor, BREACH_SCHEMA, late)

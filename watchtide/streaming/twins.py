@@ -80,23 +80,3 @@ def flash_detections(events: DataFrame, rules: DataFrame, late: str | None = Non
         return out
 
     return _folded(ready, ["tenant_id", "attacker_address"], ["now", "event_id", "rule_order"], dict, step, detectors.FLASH_SCHEMA, late)
-
-
-def drawdown_breaches(samples: DataFrame, rule: dict, late: str | None = None) -> DataFrame:
-    """Fast, slow and velocity drawdowns over a stream: the state is the samples of the longest window."""
-    width = max(rule[f"{n}_minutes"] for n in ("fast", "slow", "velocity")) * 60_000_000
-
-    def step(s, key, rows):
-        out = []
-        for r in rows.itertuples():
-            s["samples"] = [(t, v) for t, v in s["samples"] if t >= r.now - width] + [(r.now, r.tvl_usd)]
-            drops = []
-            for n in ("fast", "slow", "velocity"):
-                peak = max(v for t, v in s["samples"] if t >= r.now - rule[f"{n}_minutes"] * 60_000_000)
-                drops.append((peak - r.tvl_usd) / peak * 100 if peak > 0 else 0.0)
-            if r.tvl_usd >= rule["min_tvl_floor_usd"] and (drops[0] >= rule["fast_drop_pct"] or drops[1] >= rule["slow_drop_pct"] or drops[2] >= rule["velocity_critical_pct"]):
-                out.append((*key, r.event_id, *drops))
-        return out
-
-    rows = samples.select("tenant_id", "protocol_id", "chain_slug", "event_id", micros(F.col("observed_at")).alias("now"), "tvl_usd")
-    return _folded(rows, ["tenant_id", "protocol_id", "chain_slug"], ["now", "event_id"], lambda: {"samples": []}, step, "tenant_id string, protocol_id string, chain_slug string, event_id long, fast_drop double, slow_drop double, velocity_drop double", late)
