@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keys, numbers, severity, symbols, texts, times
-from ..operators.feeds import normalize_by_parser, normalize_feed
+from ..operators.feeds import LEGACY, normalize_by_parser, normalize_feed
 from ..sources.shared import shared_folder
 from .registry import ORACLES, query, view
 
@@ -139,10 +139,10 @@ def aerodrome_price(spark, sf_dir):
 @query("c15_protocol_tvl", """
 SELECT event_id AS row_id, CASE event_id % 5 WHEN 0 THEN 'aave' WHEN 1 THEN 'curve' WHEN 2 THEN 'x' END AS protocol_id, CASE event_id % 5 WHEN 0 THEN 'ethereum' WHEN 1 THEN 'base' WHEN 2 THEN 'unknown' END AS chain_slug,
        round(CASE event_id % 5 WHEN 0 THEN round(value, 3) WHEN 1 THEN round(value, 3) * 2.5 WHEN 2 THEN event_id * 2.0 END, 6) AS tvl_usd, CASE event_id % 5 WHEN 2 THEN 'm1' END AS market_id,
-       CASE event_id % 5 WHEN 0 THEN 'tvl' WHEN 1 THEN 'tvl' WHEN 2 THEN 'snap' END AS event_type, CASE WHEN event_id % 5 = 3 OR event_id = 2 THEN 'missing_tvl_usd' WHEN event_id % 5 = 4 THEN 'missing_protocol_id' END AS parse_error
-FROM raw_tvl WHERE event_id <> 2""")
+       CASE event_id % 5 WHEN 0 THEN 'tvl' WHEN 1 THEN 'tvl' WHEN 2 THEN 'snap' END AS event_type, CASE WHEN event_id % 5 = 3 THEN 'missing_tvl_usd' WHEN event_id % 5 = 4 THEN 'missing_protocol_id' END AS parse_error
+FROM raw_tvl""")
 def protocol_tvl(spark, sf_dir):
-    got = _parsed(view(spark, sf_dir, "raw_tvl").where("event_id != 2"), "protocol_tvl_v1", event_type="tvl")
+    got = _parsed(view(spark, sf_dir, "raw_tvl"), "protocol_tvl_v1", event_type="tvl")
     return got.select("row_id", F.col("normalized")["protocol_id"].alias("protocol_id"), F.col("normalized")["chain_slug"].alias("chain_slug"), F.round(F.col("normalized")["tvl_usd"].cast("double"), 6).alias("tvl_usd"), F.col("normalized")["market_id"].alias("market_id"), "event_type", "parse_error")
 
 
@@ -180,6 +180,10 @@ def _all_sql() -> str:
     parts = [f"SELECT '{name}' AS parser_name, {_COUNTED} FROM ({ORACLES[q]})" for name, q in _PRICED.items()]
     parts.append(f"SELECT 'chainlink_answer_updated_v1', {_COUNTED} FROM (SELECT price, NULL AS parse_error, NULL AS market_key FROM ({ORACLES['c09_oracle_answer']}))")
     parts.append(f"SELECT 'uniswap_v3_swap_price_v1', {_COUNTED} FROM (SELECT price_m AS price, parse_error, market_key FROM ({ORACLES['c13_v3_swap_price']}))")
+    parts.append(f"SELECT 'evm_log_v1', {_COUNTED} FROM (SELECT NULL::DOUBLE AS price, NULL AS parse_error, NULL AS market_key FROM ({ORACLES['c08_evm_log']}))")
+    parts.append(f"SELECT 'protocol_tvl_v1', {_COUNTED} FROM (SELECT NULL::DOUBLE AS price, parse_error, NULL AS market_key FROM ({ORACLES['c15_protocol_tvl']}))")
+    legacy = " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(LEGACY))
+    parts.append(f"SELECT CASE row_id % 6 {legacy} END, {_COUNTED} FROM ({ORACLES['c19_legacy_quotes']}) GROUP BY row_id % 6")
     parts.append(f"SELECT 'protocol_pause_v1', {_COUNTED} FROM (SELECT NULL::DOUBLE AS price, parse_error, NULL AS market_key FROM ({ORACLES['c16_protocol_pause']}))")
     return " UNION ALL ".join(parts)
 
@@ -189,8 +193,8 @@ def normalize_all(spark, sf_dir):
     """The mixed feed lands by parser and is parsed, each parser reading its own rows: what they made of it."""
     landing = shared_folder(spark, "landing")
     view(spark, sf_dir, "raw_payloads").write.partitionBy("parser_name").parquet(landing)
-    names = (*_PRICED, "chainlink_answer_updated_v1", "uniswap_v3_swap_price_v1", "protocol_pause_v1")
-    raw = spark.read.schema("event_id long, received_at timestamp_ntz, payload string, parser_name string").parquet(landing).withColumnRenamed("event_id", "row_id").where(F.col("parser_name").isin(*names))
+    names = (*_PRICED, "chainlink_answer_updated_v1", "uniswap_v3_swap_price_v1", "evm_log_v1", "protocol_tvl_v1", "protocol_pause_v1", *LEGACY)
+    raw = spark.read.schema("event_id long, received_at timestamp_ntz, payload string, parser_name string").parquet(landing).withColumnRenamed("event_id", "row_id")
     pool = F.when(F.col("parser_name") == "uniswap_v2_swap_price_v1", _POOL).when(F.col("parser_name") == "uniswap_v3_swap_price_v1", _POOL3)
     got = normalize_by_parser(raw.withColumn("filter_config", pool), names)
     v3 = F.col("parser_name") == "uniswap_v3_swap_price_v1"

@@ -219,4 +219,4 @@ SELECT event_id, ts AS received_at, CASE user_id % 3 WHEN 0 THEN 'Aave V3' WHEN
        '0x' || {WORD.format(x='1000000 + event_id')} || {WORD.format(x='250')} || CASE WHEN event_id % 2 = 0 THEN {WORD.format(x='900')} || {WORD.format(x='0')} ELSE '' END AS data
 FROM events""",
 }
-FIXTURES["raw_payloads"] = " UNION ALL ".join(f"SELECT event_id, received_at, parser_name, payload FROM {n}" for n in FIXTURES if n.startswith("raw_") and n not in ("raw_legacy",))
+FIXTURES["raw_payloads"] = " UNION ALL ".join(f"SELECT event_id, received_at, parser_name, payload FROM {n}" for n in FIXTURES if n.startswith("raw_"))
