@@ -160,7 +160,27 @@ def test_embedding_tables():
         size, rotations = tables(n, 64, 0.9)
         p = np.arccos(0.9) / np.pi
         found = (1 - p) ** size + size * p * (1 - p) ** (size - 1)
-        assert n <= 1 << size and 1 - (1 - found) ** (rotations * (64 // size)) >= 0.985
+        assert n <= 8 << size and 1 - (1 - found) ** (rotations * (64 // size)) >= 0.985
+    probes = [rotations * (64 // size) * (1 + size / 2) for size, rotations in (tables(n, 64, 0.9) for n in (50_000, 10**7))]
+    assert probes[1] <= 3 * probes[0] and probes[1] < 300
+
+
+def test_embeddings_in_busy_buckets(spark, monkeypatch):
+    """Buckets that are cut into shares, with few and with many dense blocks: every way finds the same links."""
+    from watchtide.llm import embed_dedup
+
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.standard_normal(32) + 0.1 * r.standard_normal((k, 32)) for k in (400, 60, 30, 5)] + [r.standard_normal((700, 32))])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    e = x / np.linalg.norm(x, axis=1)[:, None]
+    s = e @ e.T >= 0.9
+    monkeypatch.setattr(embed_dedup, "BLOCK", 32)
+    for share, dense in ((8, 1000), (8, 4), (1024, 2)):
+        monkeypatch.setattr(embed_dedup, "SHARE", share)
+        got = {g["id"]: g for g in near_duplicates(df, dense=dense).collect()}
+        n = np.array([got[i]["n_links"] for i in range(len(x))])
+        assert (n <= s.sum(axis=1) - 1).all() and n.sum() >= 0.98 * (s.sum() - len(x))
+        assert [got[i]["component_id"] for i in range(len(x))] == [int(np.flatnonzero(row)[0]) for row in s]
 
 
 # 4
