@@ -149,6 +149,16 @@ SELECT 'al-' || detection_id AS alert_id, detection_id, tenant_id, event_key, se
        CASE arrival % 3 WHEN 0 THEN 'provisional' WHEN 1 THEN 'confirmed' ELSE 'retracted' END AS lifecycle_state,
        CASE arrival % 4 WHEN 0 THEN 'closed' ELSE 'active' END AS status, created_at, arrival
 FROM detections WHERE event_key IS NOT NULL AND n_rules > 0""",
+    "alert_details": """
+SELECT *, 'market' AS subject_type, tenant_id || ':' || asset_symbol || '/USD' AS subject_key,
+       CASE arrival % 3 WHEN 0 THEN 'isolated' WHEN 1 THEN 'systemic' END AS classification,
+       CASE arrival % 3 WHEN 0 THEN 'provisional' WHEN 1 THEN 'confirmed' ELSE 'retracted' END AS lifecycle_state,
+       '{"oracle_confirmed":true,"weighted_median_price":' || CASE arrival % 4 WHEN 0 THEN '0' WHEN 1 THEN '0.985' WHEN 2 THEN '1.25' ELSE 'null' END || '}' AS context,
+       CAST(arrival % 120 AS DOUBLE) AS score, CAST(arrival % 101 AS DOUBLE) / 100.0 AS confidence
+FROM detections""",
+    "quota_limits": """
+SELECT 'tenant-' || n_nationkey AS tenant_id, CASE n_nationkey % 5 WHEN 2 THEN -1 WHEN 3 THEN NULL ELSE CAST(2 + n_nationkey * 3 AS BIGINT) END AS max_alerts_per_month
+FROM nation WHERE n_nationkey <> 4""",
     "offers": """
 SELECT 'off-' || s_suppkey AS offer_id, 'src-' || s_suppkey AS source_id, 'tenant-' || (s_suppkey % 5) AS owner_tenant_id,
        CASE WHEN s_suppkey % 6 = 2 THEN 'revoked' ELSE 'active' END AS status, CAST(1 + s_suppkey % 4 AS INT) AS promote_at
