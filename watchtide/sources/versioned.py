@@ -84,6 +84,22 @@ class VersionedTable:
             raise ValueError(f"{self.root} has no rows yet")
         return self._read(manifest, sorted(manifest["parts"]), StructType.fromJson(manifest["schema"]))
 
+    def last_batch(self, writer: str) -> int:
+        """The number of the last batch that the writer has merged, or -1."""
+        return self.manifest()["batches"].get(writer, -1)
+
+    def touched(self, incoming: DataFrame) -> DataFrame:
+        """The rows of the parts that the keys of ``incoming`` fall into; none while the table has no rows."""
+        from pyspark.sql.types import StructType
+
+        manifest = self.manifest()
+        if not manifest["schema"]:
+            return incoming.limit(0)
+        return self._read(manifest, self._parts_of(incoming), StructType.fromJson(manifest["schema"]))
+
+    def _parts_of(self, rows: DataFrame) -> list[str]:
+        return [str(r[0]) for r in rows.select(self._part().alias("p")).distinct().collect()]  # as many as there are parts at most
+
     def merge(self, incoming: DataFrame, how: Merge, writer: str, batch: int, schema=None) -> bool:
         """Replace the touched parts by ``how(current rows, incoming rows)``; False if the writer has merged this batch or a
         later one before. ``schema`` is the table's, if it isn't that of the incoming rows."""
@@ -95,7 +111,7 @@ class VersionedTable:
         if manifest["n_parts"] != self.parts:
             raise ValueError(f"the table has {manifest['n_parts']} parts, not {self.parts}")
         schema = StructType.fromJson(manifest["schema"]) if manifest["schema"] else schema or incoming.schema
-        touched = [str(r[0]) for r in incoming.select(self._part().alias("p")).distinct().collect()]  # as many as there are parts at most
+        touched = self._parts_of(incoming)
         folder = f"batches/{writer}-{batch}"
         after = how(self._read(manifest, touched, schema), incoming).select(*schema.names)
         after.withColumn("part", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{folder}")
@@ -120,6 +136,17 @@ def upserts(keys: list[str], order: list[str]) -> Merge:
     return lambda have, new: tables.upsert(have, new, keys, order)
 
 
+def refreshes(keys: list[str], order: list[str], seen: str) -> Merge:
+    """Rows that are there stay, and so does the first of each new key; ``seen`` becomes the latest of all."""
+
+    def merge(have: DataFrame, new: DataFrame) -> DataFrame:
+        both = have.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+        rest = [c for c in have.columns if c not in (*keys, seen)]
+        return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("__new", *order)).alias("row"), F.max(seen).alias(seen)).select(*keys, "row.*", seen)
+
+    return merge
+
+
 #: Columns of the table that ``cases`` keeps, besides its key.
 CASE_COLUMNS = ("severity_last", "severity_rank_peak", "status", "chain", "protocol")
 
