@@ -251,7 +251,9 @@ def hex_numbers(spark, sf_dir):
     plain = F.lpad(F.lower(F.hex("event_id")), 64, "0")
     signed = F.when(F.col("event_id") % 2 == 0, F.translate(plain, "0123456789abcdef", "fedcba9876543210")).otherwise(plain)
     w = F.get(numbers.hex_words(F.concat(F.lit("0x"), word)), F.lit(0))
-    return e.select("event_id", numbers.u256_to_double(w).cast("bigint").alias("u"), F.round(numbers.i256_to_double(signed), 6).alias("i"), F.round(numbers.scale(numbers.u256_to_double(w), F.lit(6)), 3).alias("scaled"))
+    # places are rounded on the number itself, as F.round goes by its shortest decimal text
+    scaled = F.round(numbers.scale(numbers.u256_to_double(w), F.lit(6)) * 1000, 0) / 1000
+    return e.select("event_id", numbers.u256_to_long(w).alias("u"), F.round(numbers.i256_to_double(signed), 6).alias("i"), scaled.alias("scaled"))
 
 
 @query("j08_dedup_keys", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'p:' || source_id || ':st:' || event_id ELSE sha256(concat_ws('|', 'p', source_id, 'st', coalesce(market_key, ''), tenant_id)) END AS dedup_key,
