@@ -3,9 +3,11 @@
 A rule is a conjunction of tests ``attribute op value`` on an event's attributes. Rules are compiled by what they test first:
 rules of one numeric test stand in order of their thresholds with the least rule so far, so that one search finds the
 first that an event's value passes, however many there are; rules of several tests look at the events that pass their
-first, which is a stretch of the events in order of that attribute.
+first, which is a stretch of the events in order of that attribute. Of rules with the same tests only the first can
+win, so Spark groups a tenant's rules by their tests beforehand, with their number: however many rules there are, what
+is broadcast and tried are different sets of tests.
 
-Rules are broadcast in blocks of ``BLOCK``; with several blocks, the first match of each is taken, and the first of
+These are broadcast in blocks of ``BLOCK``; with several blocks, the first match of each is taken, and the first of
 those wins. A test on an attribute that an event lacks isn't passed. A numeric test on a text that is no number is a
 fault of that rule on that event, which gives an error row and leaves other rules alone.
 """
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Rules that are broadcast together.
 BLOCK = 100_000
 NUMERIC, TEXTUAL = (">=", ">", "<=", "<"), ("=", "!=")
@@ -28,10 +32,12 @@ RESULT = "tenant_id string, event_id long, rule_order long, rule_id string, seve
 
 
 class TenantRules:
-    """The rules ``(order, id, severity, tests)`` of one tenant; a test is ``(attribute, op, value)``."""
+    """The rules ``(order, id, severity, tests)`` of one tenant; a test is ``(attribute, op, value)``. A fifth entry says for
+    how many rules with the same tests it stands (1 without)."""
 
-    def __init__(self, rules: list[tuple[int, str, str, list[tuple[str, str, str]]]]):
-        self.rules = sorted(rules)
+    def __init__(self, rules: list[tuple]):
+        counted = sorted((*r, 1)[:5] for r in rules)
+        self.rules, self.counts = [r[:4] for r in counted], [r[4] for r in counted]
         self.single: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
         self.several: list[int] = []
         self.always: list[int] = []
@@ -65,7 +71,7 @@ class TenantRules:
         number, faults = {}, []
         for a in {a for a in names if a in self.numeric}:
             values = [_number(x) if x is not None else math.nan for x in raw[a]]
-            faults += [(i, a, self.numeric[a][0], len(self.numeric[a])) for i, v in enumerate(values) if v is None]
+            faults += [(i, a, self.numeric[a][0], sum(self.counts[k] for k in self.numeric[a])) for i, v in enumerate(values) if v is None]
             number[a] = np.array([math.nan if v is None else v for v in values])
         for (a, op), (thresholds, least) in self.single.items():
             x = number[a]
@@ -115,17 +121,20 @@ def first_matches(events: DataFrame, rules: DataFrame, block: int = BLOCK) -> Da
     ``events``: ``tenant_id, event_id, attributes`` (map of texts); ``rules``: ``tenant_id, rule_order, rule_id, severity, tests``
     (array of ``attribute, op, value``, texts). Rows with ``error`` name the first of ``n_rules`` rules that a text which is no number
     kept from being tried; a rule that can't be compiled has one error row without event."""
-    rules = rules.select("tenant_id", F.col("rule_order").cast("long").alias("rule_order"), "rule_id", "severity", "tests")
+    every = rules.select("tenant_id", F.col("rule_order").cast("long").alias("rule_order"), "rule_id", "severity", "tests", F.coalesce(F.to_json("tests"), F.lit("[]")).alias("key"))
+    first = F.min(F.struct("rule_order", "rule_id", "severity", "tests")).alias("r")
+    rules = written(every.groupBy("tenant_id", "key").agg(first, F.count("*").alias("n")).select("tenant_id", "key", "r.*", "n"), "rules")
     n = rules.count()
     blocks = -(-n // block)
     spark, out, faulty = events.sparkSession, None, []
     for b in range(blocks):
-        part = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("tenant_id", "rule_id", "rule_order"), F.lit(blocks)) == b)
-        by_tenant = defaultdict(list)
+        part = rules if blocks == 1 else rules.where(F.pmod(F.xxhash64("tenant_id", "key"), F.lit(blocks)) == b)
+        by_tenant, keys = defaultdict(list), {}
         for r in part.toLocalIterator():
-            by_tenant[r["tenant_id"]].append((r["rule_order"], r["rule_id"], r["severity"], [(t["attribute"], t["op"], t["value"]) for t in r["tests"] or ()]))
+            by_tenant[r["tenant_id"]].append((r["rule_order"], r["rule_id"], r["severity"], [(t["attribute"], t["op"], t["value"]) for t in r["tests"] or ()], r["n"]))
+            keys[r["tenant_id"], r["rule_order"], r["rule_id"]] = r["key"]
         compiled = {t: TenantRules(x) for t, x in by_tenant.items()}
-        faulty += [(t, None, c.rules[k][0], c.rules[k][1], c.rules[k][2], fault, 1) for t, c in compiled.items() for k, fault in c.broken.items()]
+        faulty += [(t, keys[t, c.rules[k][0], c.rules[k][1]], fault) for t, c in compiled.items() for k, fault in c.broken.items()]
         shared = spark.sparkContext.broadcast(compiled)
 
         def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -154,4 +163,8 @@ def first_matches(events: DataFrame, rules: DataFrame, block: int = BLOCK) -> Da
         hits = out.where("error IS NULL").groupBy("tenant_id", "event_id").agg(what).select("tenant_id", "event_id", "r.*", F.lit(None).cast("string").alias("error"), F.lit(None).cast("long").alias("n_rules"))
         errors = out.where("error IS NOT NULL").groupBy("tenant_id", "event_id", "error").agg(what, F.sum("n_rules").alias("n_rules")).select("tenant_id", "event_id", "r.*", "error", "n_rules")
         out = hits.unionByName(errors)
-    return out.unionByName(spark.createDataFrame(faulty, RESULT)) if faulty else out
+    if faulty:
+        broken = spark.createDataFrame(faulty, "tenant_id string, key string, error string")
+        found = every.withColumn("t", F.coalesce("tenant_id", F.lit(""))).join(broken.select(F.coalesce("tenant_id", F.lit("")).alias("t"), "key", "error"), ["t", "key"])
+        out = out.unionByName(found.select("tenant_id", F.lit(None).cast("long").alias("event_id"), "rule_order", "rule_id", "severity", "error", F.lit(1).cast("long").alias("n_rules")))
+    return out
