@@ -58,7 +58,7 @@ def fx_stream(spark, sf_dir):
 def drawdown_stream(spark, sf_dir):
     """Breaches of the tenants' drawdown rules over a stream; the state of a subject is the samples that can still be peaks."""
     state.with_rocksdb(spark)
-    got = run_to_end(state.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), tvl_rules(enabled(spark, sf_dir, "tvl_drop"))), "drawdown")
+    got = run_to_end(state.drawdown_breaches(_stream(spark, sf_dir, "tvl_samples"), tvl_rules(enabled(spark, sf_dir, "tvl_drop", "tvl_samples"))), "drawdown")
     return got.select("event_id", "rule_id", "subject_key", *(F.round(f"{w}_drop", 6).alias(f"{w}_drop") for w in ("fast", "slow", "velocity")))
 
 
