@@ -7,9 +7,9 @@ language on, the language with the next largest proportion joins while the gain
 penalty. The predicted language is the one with the largest proportion in the chosen set, that proportion is
 the score.
 
-The mixture is over the ``CANDIDATES`` languages that are likeliest by themselves. There may be any number of languages: the model
-is kept as rows by language and code, and broadcast in blocks of ``BLOCK`` languages. With several blocks, texts are
-scanned for each of them, first for the candidates, then for the candidates' likelihoods.
+The mixture is over all languages, whatever their number: the model is kept as rows by language and code, and broadcast in
+blocks of ``BLOCK`` languages. With several blocks, texts are scanned for each of them, and a document's likelihoods from all
+blocks are brought together.
 
 Texts that are null or have no letter are ``und`` with score 0. A text in letters that no training text had
 still gets the likeliest learned language; without any learned language, everything is ``und``. Null langs
@@ -31,8 +31,10 @@ from .common import byte_windows, crc32_mod, map_texts, stored, text_buffer
 from .grams import folded, gram_rows
 
 BITS, ORDERS, ROUNDS, PENALTY = 16, (3, 4), 12, 0.5
-#: Languages that are broadcast together (1 MB each), and languages of a document's mixture.
-BLOCK, CANDIDATES = 64, 8
+#: Languages that are broadcast together (1 MB each).
+BLOCK = 64
+#: Bytes of likelihoods that a task holds before it passes them on.
+HELD = 16 << 20
 
 
 @dataclass
@@ -141,17 +143,9 @@ def choose(p: np.ndarray, alone: np.ndarray, n: np.ndarray, penalty: float = PEN
     return chosen[top], float(min(1.0, own[top]))
 
 
-def candidates(alone: np.ndarray, most: int = CANDIDATES) -> np.ndarray:
-    """The likeliest languages by themselves, in their order; ties go to those that come first."""
-    return np.sort(np.argsort(-alone, kind="stable")[:most])
-
-
 def identify(model: Block, code: np.ndarray, n: np.ndarray, penalty: float = PENALTY) -> tuple[int, float]:
     """The predicted language and its proportion."""
-    alone = n @ model.log[code]
-    mine = candidates(alone)
-    best, share = choose(model.likelihood[np.ix_(code, mine)], alone[mine], n, penalty)
-    return int(mine[best]), share
+    return choose(model.likelihood[code], n @ model.log[code], n, penalty)
 
 
 def _counted(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -174,7 +168,7 @@ RESULTS = "lang_pred string, score double"
 
 def identify_languages(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), block: int = BLOCK) -> DataFrame:
     """Every whole text's language: per row ``keep`` and ``lang_pred string, score double``. No shuffle with one block of
-    languages; with more, what is shuffled are a document's candidates and their likelihoods."""
+    languages; with more, what is shuffled are a document's likelihoods by language."""
     if len(model.languages) > block:
         return _by_blocks(df, model, text, keep, block)
     shared = df.sparkSession.sparkContext.broadcast(next(model.blocks(block), None))
@@ -195,59 +189,61 @@ def identify_languages(df: DataFrame, model: Model, text: str = "text", keep: tu
 
 
 def _by_blocks(df: DataFrame, model: Model, text: str, keep: tuple[str, ...], block: int) -> DataFrame:
-    """Candidates of each block, the best of all of them, their likelihoods from each block, and the mixture of those."""
+    """Each document's likelihoods of every block's languages, and the mixture of them all."""
     names = [c for c in keep if c not in ("lang_pred", "score")]
     rows = stored(df.select(*(F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(names)), F.col(f"`{text}`").cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    entry = "array<struct<alone:double,lang:int>>"
-    found, parts = None, []
-    for b, part in enumerate(model.blocks(block)):
-        shared, start = df.sparkSession.sparkContext.broadcast(part), b * block
-
-        def scan(shared=shared, start=start):
-            def run(column: pa.Array) -> list:
-                out = [[] for _ in range(len(column))]
-                for i, code, n in _counted(column):
-                    alone = n @ shared.value.log[code]
-                    out[i] = [{"alone": float(alone[k]), "lang": start + int(k)} for k in candidates(alone)]
-                return [pa.array(out, pa.list_(pa.struct([("alone", pa.float64()), ("lang", pa.int32())])))]
-
-            return run
-
-        got = stored(map_texts(rows, "text", ["row"], f"found {entry}", scan).where("size(found) > 0"))
-        found = got if found is None else found.unionByName(got)
-        shared.destroy()
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("found")), lambda x, y: F.when(x["alone"] > y["alone"], -1).when(x["alone"] < y["alone"], 1).otherwise(x["lang"] - y["lang"])), 1, CANDIDATES)
-    chosen = stored(rows.join(found.groupBy("row").agg(best.alias("chosen")), "row", "left"))
-
+    schema, kinds = "row long, start int, alone binary, p binary, n binary", (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    fields, parts = [x.split()[0] for x in schema.split(", ")], []
     for b, part in enumerate(model.blocks(block)):
         shared, start = df.sparkSession.sparkContext.broadcast(part), b * block
 
         def look(batches, shared=shared, start=start):
+            def given(out: list[tuple]) -> pa.RecordBatch:
+                columns = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
+                return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], fields)
+
             for batch in batches:
-                out = []
-                wanted = batch.column(1).to_pylist()
-                for i, code, n in _counted(batch.column(2)):
-                    for c in wanted[i] or ():
-                        if start <= c["lang"] < start + len(shared.value.languages):
-                            out.append((batch.column(0)[i].as_py(), c["lang"], c["alone"], shared.value.likelihood[code, c["lang"] - start].tobytes(), n.tobytes()))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["row", "lang", "alone", "p", "n"])
-
-        parts.append(stored(chosen.select("row", "chosen", "text").mapInArrow(look, "row long, lang int, alone double, p binary, n binary")))
+                out, held = [], 0
+                for i, code, n in _counted(batch.column(1)):
+                    p = shared.value.likelihood[code]
+                    out.append((batch.column(0)[i].as_py(), start, (n @ shared.value.log[code]).tobytes(), p.tobytes(), n.tobytes()))
+                    held += p.nbytes
+                    if held > HELD:
+                        yield given(out)
+                        out, held = [], 0
+                yield given(out)
+
+        parts.append(stored(rows.select("row", "text").mapInArrow(look, schema)))
         shared.destroy()
-    likely = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("lang", "alone", "p"))).alias("c"), F.first("n").alias("n"))
     languages = df.sparkSession.sparkContext.broadcast(model.languages)
 
     def decide(batches):
+        # a document's blocks stand together, in order, and may come in several batches
+        now, blocks = None, []
+
+        def decided() -> tuple:
+            n = np.frombuffer(blocks[0][2])
+            best, share = choose(np.concatenate([np.frombuffer(p).reshape(len(n), -1) for _, p, _ in blocks], axis=1), np.concatenate([np.frombuffer(a) for a, _, _ in blocks]), n)
+            return now, languages.value[best], share
+
+        def given(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.float64()), strict=True)], ["row", "lang_pred", "score"])
+
         for batch in batches:
             out = []
-            for c, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                best, share = choose(np.stack([np.frombuffer(x["p"]) for x in c], axis=1), np.array([x["alone"] for x in c]), np.frombuffer(n))
-                out.append((languages.value[c[best]["lang"]], share))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["row", "lang_pred", "score"])
-
-    decided = likely.select("row", "c", "n").mapInArrow(decide, f"row long, {RESULTS}")
-    both = chosen.join(decided, "row", "left")
+            for k in range(batch.num_rows):
+                row = batch.column(0)[k].as_py()
+                if row != now and blocks:
+                    out.append(decided())
+                    blocks = []
+                now = row
+                blocks.append(tuple(batch.column(c)[k].as_py() for c in (2, 3, 4)))
+            yield given(out)
+        yield given([decided()] if blocks else [])
+
+    likely = reduce(DataFrame.unionByName, parts).repartition("row").sortWithinPartitions("row", "start")
+    both = rows.join(likely.mapInArrow(decide, f"row long, {RESULTS}"), "row", "left")
     return both.select(*(F.col(f"k_{i}").alias(c) for i, c in enumerate(names)), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
