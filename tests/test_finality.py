@@ -78,3 +78,30 @@ def test_notices_roll_back_once(spark):
 def test_fixture_has_forks(spark, sf):
     n = finality.conflicts(view(spark, sf, "chain_events")).count()
     assert n > 3 and plans.DEPTHS
+
+
+def test_reorganisations_walk_no_further_than_they_reach():
+    """A reorganisation takes back the blocks at and above it, without a walk over all blocks there are."""
+
+    class Blocks(dict):
+        walks = longest = 0
+
+        def __iter__(self):
+            Blocks.walks += 1
+            return super().__iter__()
+
+        def __setitem__(self, k, v):
+            super().__setitem__(k, v)
+            Blocks.longest = max(Blocks.longest, len(self))
+
+    def events(n):
+        for i in range(n):
+            yield (2 * i, i, "a", f"k{i}", 3)
+            if i % 20 == 19:
+                yield (2 * i + 1, i - 2, "b", f"f{i}", 3)
+
+    s = chain.new_state() | {"blocks": Blocks()}
+    got = chain.finality_step(s, "a", events(2_000), horizon=50)
+    assert Blocks.walks <= 1 and Blocks.longest <= 110
+    assert sum(r[3] == "reorg" for r in got) == 100
+    assert got == chain.finality_step(chain.new_state(), "a", events(2_000))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,14 +106,26 @@ FINALITY_SCHEMA = "chain string, event_id long, event_key string, status string,
 def finality_step(state: dict, chain: str, rows, horizon: int | None = None) -> list[tuple]:
     """Fold events of one chain, in order of arrival, over ``state``: ``(event_id, block, hash, key, depth)``.
 
-    With ``horizon``, blocks further below the head are forgotten with their keys afterwards: no reorganisation may be
-    deeper than that, and no key may come again after it."""
+    With ``horizon``, blocks further below the head are forgotten with their keys, here and there and afterwards: no
+    reorganisation may be deeper than that, and no key may come again after it. Heights are kept in order, so a
+    reorganisation costs what it takes back, however many blocks there are."""
     out = []
     blocks, status = state["blocks"], state["status"]
+    heights = sorted(blocks)
+
+    def forget() -> None:
+        old = heights[: bisect_left(heights, state["head"] - horizon)]
+        del heights[: len(old)]
+        for b in old:
+            for k in blocks.pop(b)["keys"]:
+                status.pop(k, None)
+
     for event_id, block, block_hash, key, depth in rows:
         known = blocks.get(block)
         if known and block_hash is not None and known["hash"] is not None and known["hash"] != block_hash:
-            gone = sorted(b for b in blocks if b >= block)
+            first = bisect_left(heights, block)
+            gone = heights[first:]
+            del heights[first:]
             out.append((chain, event_id, None, "reorg", block))
             for b in gone:
                 for k in blocks[b]["keys"]:
@@ -120,8 +133,12 @@ def finality_step(state: dict, chain: str, rows, horizon: int | None = None) ->
                         status[k] = "retracted"
                         out.append((chain, event_id, k, "retracted", block))
                 del blocks[b]
-            state["head"] = max(blocks, default=0)
-        entry = blocks.setdefault(block, {"hash": block_hash, "keys": []})
+            state["head"] = heights[-1] if heights else 0
+            known = None
+        if known is None:
+            blocks[block] = {"hash": block_hash, "keys": []}
+            insort(heights, block)
+        entry = blocks[block]
         if entry["hash"] is None:
             entry["hash"] = block_hash
         entry["keys"].append(key)
@@ -142,10 +159,10 @@ def finality_step(state: dict, chain: str, rows, horizon: int | None = None) ->
                 if status[k] == "provisional":
                     status[k] = "confirmed"
                     out.append((chain, event_id, k, "confirmed", None))
+        if horizon is not None and state["head"] - heights[0] > 2 * horizon + 2:
+            forget()
     if horizon is not None:
-        for b in [b for b in blocks if b < state["head"] - horizon]:
-            for k in blocks.pop(b)["keys"]:
-                status.pop(k, None)
+        forget()
     return out
 
 
