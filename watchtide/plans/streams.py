@@ -47,11 +47,11 @@ def flash_stream(spark, sf_dir):
 @query("s_e3_fx_stream", """WITH rates AS (SELECT observed_at, price AS rate FROM fx_quotes WHERE market_key = 'USDT/USD' AND quote_asset = 'USD')
 SELECT q.event_id, round(price * rate, 6) AS price_usd FROM fx_quotes q ASOF JOIN rates r ON q.observed_at >= r.observed_at WHERE quote_asset = 'USDT' AND r.observed_at >= q.observed_at - INTERVAL 6 HOUR""")
 def fx_stream(spark, sf_dir):
-    """Quotes in USDT with the newest rate of the last hours: a time-bounded join of two streams, then the newest of each quote's rates."""
+    """Quotes in USDT with the newest rate of the last hours: a lookup in stretches of time that two streams share, then the newest of each quote's rates."""
     quotes = [spark.sql(FIXTURES["fx_quotes"].replace("FROM quotes", "FROM {q}"), q=_stream(spark, sf_dir, "quotes")) for _ in range(2)]
     rates = quotes[1].where("market_key = 'USDT/USD' AND quote_asset = 'USD'")
-    found = run_to_end(twins.usd_candidates(quotes[0], rates, 6 * 3600, late="60 days").select("event_id", "price", "rate", "rate_at"), "fx")
-    return found.groupBy("event_id").agg(F.round(F.max_by(F.col("price") * F.col("rate"), "rate_at"), 6).alias("price_usd"))
+    found = run_to_end(twins.usd_candidates(quotes[0], rates, 6 * 3600, late="60 days"), "fx")
+    return found.groupBy("event_id").agg(F.round(F.max_by(F.col("price") * F.col("rate"), F.struct("rate_at", "rate")), 6).alias("price_usd"))
 
 
 @query("s_k2_drawdown_stream", f"WITH {_BREACHES} SELECT event_id, rule_id, subject_key, round(fast_drop, 6) AS fast_drop, round(slow_drop, 6) AS slow_drop, round(velocity_drop, 6) AS velocity_drop FROM k")
