@@ -96,3 +96,21 @@ def test_rules_with_the_same_tests(spark):
         assert [(r["rule_id"], r["error"]) for r in got if r["event_id"] == 1] == [("r99", None)]
         assert [(r["rule_id"], r["error"], r["n_rules"]) for r in got if r["event_id"] == 2] == [("r99", "x is not a number", 80)]
         assert sorted(int(r["rule_id"][1:]) for r in got if r["event_id"] is None) == list(range(0, 100, 5))
+
+
+def test_pairs_of_a_busy_key_are_shared_out(spark):
+    """All pairs of one tenant and asset come, once each and with the alert's own columns, and from many tasks."""
+    alerts = spark.range(900).select(F.concat(F.lit("al-"), "id").alias("alert_id"), F.lit("t").alias("tenant_id"), F.when(F.col("id") % 7 == 0, "critical").otherwise("low").alias("severity"), F.lit("market").alias("subject_type"), F.lit("A").alias("asset_symbol"), F.when(F.col("id") % 3 > 0, F.col("id") % 3 / 2.0).alias("price"), F.when(F.col("id") != 5, (F.col("id") % 300).cast("double")).alias("divergence"), F.col("id").alias("nth"))
+    positions = spark.range(50).select(F.concat(F.lit("e-"), "id").alias("entity_id"), F.lit("t").alias("tenant_id"), F.lit("A").alias("asset_symbol"), (F.col("id") * 1.25).alias("quantity"), (F.col("id") * 2.0).alias("valuation_usd"), F.lit(True).alias("enabled"))
+    got = lifecycle.exposure(alerts, positions, a_share=2_000)
+    assert "price" in got.columns and "nth" in got.columns
+    rows = got.select("alert_id", "nth", "entity_id", "capital", "savings", "slippage", "liquidity", F.expr("xxhash64(alert_id)").alias("h")).collect()
+    want = {}
+    for i in range(900):
+        for p in range(50):
+            capital = p * 1.25 * (i % 3 / 2.0) if i % 3 else p * 2.0
+            want[f"al-{i}", f"e-{p}"] = (i, capital, capital * max(i % 300 / 100, 0.0) if i != 5 else 0.0, "at_risk" if i % 7 == 0 else "degraded")
+    assert len(rows) == len(want)
+    assert {(r["alert_id"], r["entity_id"]): (r["nth"], r["capital"], r["savings"], r["liquidity"]) for r in rows} == want
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10 and max(t["count"] for t in tasks) < len(want) / 2
