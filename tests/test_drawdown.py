@@ -131,3 +131,12 @@ def test_last_before_in_stretches(spark):
     for x in got:
         before = [v for k, t, i, v in sorted(rows, key=lambda y: y[1:3]) if k == x["k"] and (t, i) < (x["at"], x["i"]) and v is not None]
         assert x["last"] == (before[-1] if before else None)
+
+
+def test_rules_are_read_once(spark):
+    """A rule's text is parsed once for all its settings, scopes and thresholds, whatever kind of value stands there."""
+    rows = [("a", '{"rules":[{"scope":"market","market_id":"M","fast_drop_pct":"7"},{"scope":{"market_id":" X ","chain_slug":"Eth"},"thresholds":"none","contagion":{"overlap_window_sec":61}},{"scope":"{\\"market_id\\":\\"no\\"}"},5]}')]
+    rules = tvl_rules(spark.createDataFrame(rows, "tenant_id string, config string"))
+    got = {r["rule_order"]: (r["market_id"], r["chain_slug"], r["fast_drop_pct"], r["concurrent_minutes"]) for r in rules.collect()}
+    assert got == {0: ("m", "base", 7.0, 5), 1: ("x", "eth", 20.0, 2), 2: (None, "base", 20.0, 5)}
+    assert rules._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") <= 12
