@@ -53,3 +53,21 @@ def test_unknown_parser_and_bad_payload_stay(spark):
 def test_pairs(spark):
     rows = spark.createDataFrame([("usdc-usdt",), ("A/B/C",), ("usd",), ("",), (None,)], "s string").select(split_symbol_pair(F.col("s")).alias("p")).collect()
     assert [tuple(r["p"]) if r["p"] else None for r in rows] == [("USDC", "USDT"), ("A", "B"), None, None, None]
+
+
+def test_scenario_files_come_from_many_tasks(spark, sf, monkeypatch):
+    """Files are written side by side, and each once."""
+    from watchtide.plans import streams
+
+    kind = type(spark.range(1))
+    parts, plain = [], kind.repartition
+
+    def noted(df, n, *by):
+        got = plain(df, n, *by)
+        parts.append(got.groupBy(F.spark_partition_id()).count().count())
+        return got
+
+    monkeypatch.setattr(streams, "SCENARIOS_A_TASK", 2, raising=False)
+    monkeypatch.setattr(kind, "repartition", noted)
+    got = streams.scenarios(spark, sf)
+    assert parts[0] > 2 and got.count() == got.select("scenario_id").distinct().count() == spark.read.parquet(f"{sf}/supplier.parquet").count()

@@ -86,15 +86,19 @@ def activity_stream(spark, sf_dir):
     return got.select("source_id", "market_key", F.unix_millis("start").alias("start_ms"), "n", F.unix_micros("last").alias("last_us"))
 
 
+#: Scenario files that one task writes at most, about.
+SCENARIOS_A_TASK = 200
+
+
 @query("a6_scenarios", "SELECT 'sc-' || s_suppkey AS scenario_id, CASE WHEN s_suppkey % 9 = 3 THEN 'missing:chain' END AS reject, CASE WHEN s_suppkey % 9 <> 3 THEN 'case ' || s_name END AS name FROM supplier")
 def scenarios(spark, sf_dir):
     """Scenario files, one for each supplier; some lack a required key."""
     path = shared_folder(spark, "scenarios")
-    s = view(spark, sf_dir, "supplier").withColumn("k", F.col("s_suppkey"))
-    rows = s.select("k", F.concat(F.lit("sc-"), F.col("k").cast("string")).alias("scenario_id"), F.concat(F.lit("case "), "s_name").alias("name"), F.when(F.col("k") % 9 != 3, "base").alias("chain"), F.lit("depeg").alias("incident_class"), F.array().cast("array<string>").alias("steps"))
-    rows.repartition("k").write.partitionBy("k").json(path)
-    got = scans.read_scenarios(spark, path)
-    return got.select(F.concat(F.lit("sc-"), F.regexp_extract("path", "/k=([0-9]+)/", 1)).alias("scenario_id"), "reject", F.get_json_object("scenario", "$.name").alias("name"))
+    k = F.col("s_suppkey")
+    rows = view(spark, sf_dir, "supplier").select(F.concat(F.lit("sc-"), k.cast("string")).alias("scenario_id"), F.concat(F.lit("case "), "s_name").alias("name"), F.when(k % 9 != 3, "base").alias("chain"), F.lit("depeg").alias("incident_class"), F.array().cast("array<string>").alias("steps"))
+    parts = -(-max(rows.count(), 1) // SCENARIOS_A_TASK)  # by their size, small rows would be one part, and one task would write all files
+    rows.repartition(parts, "scenario_id").write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").json(path)
+    return scans.read_scenarios(spark, path).select("scenario_id", "reject", F.get_json_object("scenario", "$.name").alias("name"))
 
 
 @query("a7_curated", "SELECT doc_id AS record_id, lang FROM documents")

@@ -53,8 +53,8 @@ def select_logs(logs: DataFrame, filters: DataFrame) -> DataFrame:
 
 
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario files (yaml, yml, json) below ``path``: ``path, scenario (JSON text), reject``. A file that
-    can't be read, or lacks a required key, is a row with ``reject`` set."""
+    """Scenario files (yaml, yml, json) below ``path``: ``path, scenario_id, scenario (JSON text), reject``. A file that
+    can't be read, or lacks a required key, is a row with ``reject`` set, and with its id if it names one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{yaml,yml,json}").load(path).select("path", "content")
 
     def parse(batches):
@@ -71,12 +71,12 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
                     doc = yaml.safe_load(content) if yaml else json.loads(content)
                     missing = [k for k in ("scenario_id", "chain", "incident_class", "steps") if k not in doc]
                     doc = {"source_refs": [], "tags": []} | doc
-                    out.append((name, None if missing else json.dumps(doc, sort_keys=True, default=str), "missing:" + ",".join(missing) if missing else None))
+                    out.append((name, None if doc.get("scenario_id") is None else str(doc["scenario_id"]), None if missing else json.dumps(doc, sort_keys=True, default=str), "missing:" + ",".join(missing) if missing else None))
                 except Exception as e:  # noqa: BLE001  a bad file is a row
-                    out.append((name, None, f"unreadable:{type(e).__name__}"))
-            yield pd.DataFrame(out, columns=["path", "scenario", "reject"])
+                    out.append((name, None, None, f"unreadable:{type(e).__name__}"))
+            yield pd.DataFrame(out, columns=["path", "scenario_id", "scenario", "reject"])
 
-    return files.mapInPandas(parse, "path string, scenario string, reject string")
+    return files.mapInPandas(parse, "path string, scenario_id string, scenario string, reject string")
 
 
 def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
