@@ -21,9 +21,29 @@ _FIELDS = ("event_type", "event_id", "market_key", "asset_pair", "price", "chain
 _TYPES = dict.fromkeys(_FIELDS, "string") | {"price": "double", "chain_id": "bigint", "block_number": "bigint", "log_index": "bigint", "event_ts": "timestamp", "normalized": "map<string,string>"}
 
 
-def _at(payload: Column, *paths: str) -> Column:
+class _Payload:
+    """A row's payload text. Its top-level fields are noted while parsers are put together, and then read all at once."""
+
+    def __init__(self, name: str) -> None:
+        self.text, self.fields = F.col(name), {}
+
+    def get(self, path: str) -> Column:
+        return F.col(self.fields.setdefault(path, f"__at_{path}")) if path.isidentifier() else F.get_json_object(self.text, f"$.{path}")
+
+    def read(self, rows: DataFrame) -> DataFrame:
+        """Add the fields that were noted: the text is parsed once for all of them, and once more to see if a key comes twice. Then
+        the first one that isn't null counts, as everywhere, and not the last one as in ``json_tuple``."""
+        if not self.fields:
+            return rows
+        keys = F.json_object_keys(self.text)
+        rows = rows.select("*", F.json_tuple(self.text, *self.fields).alias(*(f"{n}_last" for n in self.fields.values()))).withColumn("__twice", F.size(F.array_distinct(keys)) < F.size(keys))
+        first = {n: F.when(F.col("__twice"), F.get_json_object(self.text, f"$.{k}")).otherwise(F.col(f"{n}_last")) for k, n in self.fields.items()}
+        return rows.withColumns(first)
+
+
+def _at(payload: Column | _Payload, *paths: str) -> Column:
     """The first of the JSON paths that holds something."""
-    return F.coalesce(*(F.get_json_object(payload, f"$.{p}") for p in paths))
+    return F.coalesce(*(payload.get(p) if isinstance(payload, _Payload) else F.get_json_object(payload, f"$.{p}") for p in paths))
 
 
 def _first(items: Column, *names: str) -> Column:
@@ -31,18 +51,18 @@ def _first(items: Column, *names: str) -> Column:
     return F.get(F.filter(F.transform(items, lambda x: F.coalesce(*(F.try_element_at(x, F.lit(n)) for n in names))), lambda v: v.isNotNull()), F.lit(0))
 
 
-def _items(payload: Column, path: str) -> Column:
+def _items(payload: _Payload, path: str) -> Column:
     """An array of objects, or one object as an array of one."""
-    text = F.get_json_object(payload, f"$.{path}")
+    text = _at(payload, path)
     array = F.when(text.startswith("["), text).when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]")))
     return F.coalesce(F.from_json(array, "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))
 
 
 class _Input:
     def __init__(self) -> None:
-        self.payload, self.hint, self.market, self.type = F.col("payload"), F.col("asset_pair_hint"), F.col("market_key_hint"), F.col("event_type")
+        self.payload, self.hint, self.market, self.type = _Payload("payload"), F.col("asset_pair_hint"), F.col("market_key_hint"), F.col("event_type")
         path = F.regexp_replace(F.col("payload_ts_path"), r"^\$\.", "")
-        raw = F.try_element_at(F.from_json(self.payload, "map<string,string>"), path)
+        raw = F.try_element_at(F.from_json(self.payload.text, "map<string,string>"), path)
         self.own_ts = F.when(F.col("payload_ts_path").isNotNull(), by_unit(raw, F.coalesce("payload_ts_unit", F.lit("ms"))))
 
     def config(self, name: str) -> Column:
@@ -80,7 +100,7 @@ def _binance(i: _Input) -> Column:
 
 def _coinbase(i: _Input) -> Column:
     p = i.payload
-    events = F.from_json(F.get_json_object(p, "$.events"), "array<struct<tickers:array<map<string,string>>>>")
+    events = F.from_json(_at(p, "events"), "array<struct<tickers:array<map<string,string>>>>")
     tickers = F.coalesce(F.flatten(F.filter(F.transform(events, lambda e: e["tickers"]), lambda t: t.isNotNull())), F.array().cast("array<map<string,string>>"))
     return _ticker(i, "coinbase_ticker_v1", F.coalesce(_at(p, "product_id"), _first(tickers, "product_id")), F.coalesce(lenient_double(_at(p, "price")), lenient_double(_first(tickers, "price", "last"))), iso8601(_at(p, "timestamp")), ("missing_coinbase_product_id", "missing_coinbase_price"))
 
@@ -131,20 +151,27 @@ def _log(i: _Input, **more: Column) -> Column:
 
 def _answer(i: _Input) -> Column:
     p = i.payload
-    words = hex_words(_at(p, "data"))
-    raw = F.coalesce(i256_to_double(_at(p, "topics[1]")), i256_to_double(F.get(words, F.lit(0))))
-    round_id = F.coalesce(u256_to_double(_at(p, "topics[2]")), u256_to_double(F.get(words, F.lit(1))))
-    updated = F.coalesce(lenient_long(_at(p, "updatedAt")), u256_to_double(F.try_element_at(words, F.lit(-1))).try_cast("bigint"))
+
+    def numbers(words: Column) -> Column:
+        raw = F.coalesce(i256_to_double(_at(p, "topics[1]")), i256_to_double(F.get(words, F.lit(0))))
+        round_id = F.coalesce(u256_to_double(_at(p, "topics[2]")), u256_to_double(F.get(words, F.lit(1))))
+        updated = F.coalesce(lenient_long(_at(p, "updatedAt")), u256_to_double(F.try_element_at(words, F.lit(-1))).try_cast("bigint"))
+        return F.struct(raw.alias("raw"), round_id.alias("round_id"), updated.alias("updated"))
+
     decimals = F.coalesce(lenient_long(i.config("decimals")), lenient_long(i.config("price_decimals")), F.lit(8))
-    return _log(
-        i, price=scale(raw, decimals), market_key=F.coalesce(i.market, i.config("market_key")), asset_pair=F.coalesce(i.hint, i.config("asset_pair")),
-        event_ts=F.coalesce(i.own_ts, seconds(_at(p, "timestamp")), F.timestamp_seconds(updated)),
-        normalized=F.create_map(F.lit("raw_answer"), raw.cast("string"), F.lit("round_id"), round_id.cast("string"), F.lit("quote_asset"), F.lit("USD")),
-    )
+
+    def result(r: Column) -> Column:
+        return _log(
+            i, price=scale(r["raw"], decimals), market_key=F.coalesce(i.market, i.config("market_key")), asset_pair=F.coalesce(i.hint, i.config("asset_pair")),
+            event_ts=F.coalesce(i.own_ts, seconds(_at(p, "timestamp")), F.timestamp_seconds(r["updated"])),
+            normalized=F.create_map(F.lit("raw_answer"), r["raw"].cast("string"), F.lit("round_id"), r["round_id"].cast("string"), F.lit("quote_asset"), F.lit("USD")),
+        )
+
+    return let(let(hex_words(_at(p, "data")), numbers), result)
 
 
 def _pyth(i: _Input) -> Column:
-    feed = F.coalesce(F.when(_at(i.payload, "price_feed").startswith("{"), _at(i.payload, "price_feed")), i.payload)
+    feed = F.coalesce(F.when(_at(i.payload, "price_feed").startswith("{"), _at(i.payload, "price_feed")), i.payload.text)
     spot, ema = _at(feed, "price"), _at(feed, "ema_price")
     chosen = F.when(F.coalesce(i.config("use_spot_price"), F.lit("false")) == "true", F.coalesce(spot, ema)).otherwise(F.coalesce(ema, spot))
     decode = lambda o: let(finite(lenient_double(_at(o, "price")) * F.pow(F.lit(10.0), lenient_long(_at(o, "expo")))), lambda v: F.when(v > 0, v))
@@ -253,7 +280,7 @@ def _text(x: Column) -> Column:
 def _protocol(i: _Input, error: Column, kind: Column, normalized: Column) -> Column:
     p = i.payload
     protocol = F.lower(_text(_at(p, "protocol_id", "protocol")))
-    slug = F.coalesce(F.lower(_text(_at(p, "chain_slug"))), chain_slug(lenient_long(_at(p, "chainId", "chain_id"))), F.lit("unknown"))
+    slug = F.coalesce(F.lower(_text(_at(p, "chain_slug"))), let(lenient_long(_at(p, "chainId", "chain_id")), chain_slug), F.lit("unknown"))
     own = F.create_map(F.lit("protocol_id"), protocol, F.lit("chain_slug"), slug)
     return _log(i, event_type=kind, event_ts=F.coalesce(i.own_ts, millis(_at(p, "timestamp"))), parse_error=F.when(protocol.isNull(), "missing_protocol_id").otherwise(error), normalized=F.map_concat(own, normalized))
 
@@ -270,11 +297,14 @@ def _tvl(i: _Input) -> Column:
 
 def _pause(i: _Input) -> Column:
     p = i.payload
-    text = F.lower(F.trim(_at(p, "paused", "is_paused")))
-    paused = F.when(text.isin("true", "1", "paused"), True).when(text.isin("false", "0", "unpaused"), False).when(text.try_cast("bigint").isNotNull(), text.try_cast("bigint") != 0)
-    state = F.when(paused, "protocol_pause").otherwise("protocol_unpause")
-    kind = F.coalesce(_text(_at(p, "event_type")), F.when(i.type.isin("protocol_pause", "protocol_unpause") | (F.trim(i.type) == ""), state).otherwise(i.type))
-    return _protocol(i, F.when(paused.isNull(), "missing_pause_state"), kind, F.create_map(F.lit("metric"), F.lit("pause"), F.lit("paused"), paused.cast("string")))
+    read = lambda t: F.when(t.isin("true", "1", "paused"), True).when(t.isin("false", "0", "unpaused"), False).when(t.try_cast("bigint").isNotNull(), t.try_cast("bigint") != 0)
+
+    def result(paused: Column) -> Column:
+        state = F.when(paused, "protocol_pause").otherwise("protocol_unpause")
+        kind = F.coalesce(_text(_at(p, "event_type")), F.when(i.type.isin("protocol_pause", "protocol_unpause") | (F.trim(i.type) == ""), state).otherwise(i.type))
+        return _protocol(i, F.when(paused.isNull(), "missing_pause_state"), kind, F.create_map(F.lit("metric"), F.lit("pause"), F.lit("paused"), paused.cast("string")))
+
+    return let(let(F.lower(F.trim(_at(p, "paused", "is_paused"))), read), result)
 
 
 def _legacy(i: _Input, symbol: Column, price: Column, ts: Column, name: str) -> Column:
@@ -288,8 +318,8 @@ def _any_time(x: Column) -> Column:
 
 def _legacy_parsers(i: _Input) -> dict[str, Column]:
     p = i.payload
-    root = F.coalesce(F.get_json_object(p, "$.data"), p)
-    feed = F.coalesce(F.get_json_object(p, "$.price_feed"), p)
+    root = F.coalesce(_at(p, "data"), p.text)
+    feed = F.coalesce(_at(p, "price_feed"), p.text)
     ticker = _at(p, "type").isin("ticker", "ticker_batch")
     d = lenient_double
     return {
@@ -327,7 +357,7 @@ def normalize_feed(raw: DataFrame, parsers: tuple[str, ...] | None = None) -> Da
             branches = branches.when(F.col("parser_name") == name, legacy[name] if name in legacy else PARSERS[name](i))
     unsupported = _result(parse_error=F.concat(F.lit("unsupported_parser:"), F.col("parser_name")))
     out = unsupported if branches is F else branches.otherwise(unsupported)
-    parsed = rows.withColumn("__parsed", out)
+    parsed = i.payload.read(rows).withColumn("__parsed", out)
     keep = [c for c in kept if c not in _FIELDS]
     return parsed.select(*keep, "__parsed.*").withColumn("observed_at", F.coalesce("event_ts", F.col("received_at").cast("timestamp")) if "received_at" in kept else F.col("event_ts"))
 
