@@ -185,19 +185,24 @@ def missing_streams(desired: DataFrame, streams: DataFrame, targets: DataFrame)
 def matched_records(scenarios: DataFrame, records: DataFrame) -> DataFrame:
     """Scenarios and records that contain one of their tokens anywhere, once each.
 
-    The longest part of a token without white space lies inside one word of every record that contains the token.
-    So the distinct words of all records are looked up by the part's first characters, and only records with a word
-    that holds the part are searched for tokens of several parts; tokens of one part are found by then."""
-    tokens = scenarios.select("scenario_id", F.explode("tokens").alias("token")).where("trim(token) != ''").distinct()
+    A token that holds another one of its scenario is left out, as the shorter one finds its records. The longest part of a
+    token without white space lies inside one word of every record that contains the token. So the distinct words of all
+    records are looked up by the part's first characters, and only records with a word that holds the part are
+    searched for tokens of several parts; tokens of one part are found by then. Words that hold a part, and what is to be
+    searched, are written down, so that Spark knows how few they are before it joins them with all words and texts."""
+    some = F.filter("tokens", lambda t: t.isNotNull() & t.rlike(r"\S"))
+    least = F.filter(some, lambda t: ~F.exists(some, lambda u: (u != t) & F.contains(t, u)))
+    tokens = scenarios.select("scenario_id", F.explode(least).alias("token")).distinct()
     parts = F.filter(F.split("token", r"\s+"), lambda p: p != "")
     tokens = tokens.withColumn("several", F.size(parts) > 1).withColumn("part", F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"])
     has = records.select("record_id", F.explode(F.array_distinct(F.split(F.lower("haystack"), r"\s+"))).alias("word")).where("word != ''")
     looked_up = has.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram"))
     wanted = tokens.select("part").distinct().withColumn("gram", F.substring("part", 1, 3))
-    held = looked_up.join(wanted, "gram").where(F.contains(F.col("word"), F.col("part"))).select("word", "part")
-    found = has.join(held, "word").select("record_id", "part").distinct().join(tokens, "part")
-    sure = found.where("not several").select("scenario_id", "record_id")
-    searched = found.where("several").join(records, "record_id").where(F.contains(F.lower("haystack"), F.col("token"))).select("scenario_id", "record_id")
+    held = written(looked_up.join(wanted, "gram").where(F.contains(F.col("word"), F.col("part"))).select("word", "part"), "held")
+    found = written(has.join(held, "word").select("record_id", "part").distinct(), "matched")
+    sure = found.join(tokens.where("not several"), "part").select("scenario_id", "record_id")
+    searches = written(found.join(tokens.where("several"), "part").select("scenario_id", "record_id", "token"), "searches")
+    searched = records.join(searches, "record_id").where(F.contains(F.lower("haystack"), F.col("token"))).select("scenario_id", "record_id")
     return sure.unionByName(searched).distinct()
 
 
