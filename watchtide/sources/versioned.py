@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tables
@@ -19,6 +20,8 @@ from . import tables
 #: Manifests that are kept, so that readers of an older version find their files listed.
 KEPT = 3
 
+#: Takes the rows that are there and those that come. One that names the keys it works ``within`` may get both with their
+#: ``part``, keeps it, and leaves the rows dealt by it.
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
@@ -113,8 +116,12 @@ class VersionedTable:
         schema = StructType.fromJson(manifest["schema"]) if manifest["schema"] else schema or incoming.schema
         touched = self._parts_of(incoming)
         folder = f"batches/{writer}-{batch}"
-        after = how(self._read(manifest, touched, schema), incoming).select(*schema.names)
-        after.withColumn("part", self._part()).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{folder}")
+        have, dealt = self._read(manifest, touched, schema), lambda df: df.withColumn("part", self._part())
+        if set(getattr(how, "within", ())) == set(self.keys):
+            after = how(dealt(have), dealt(incoming)).select(*schema.names, "part")
+        else:
+            after = dealt(how(have, incoming).select(*schema.names)).repartition("part")
+        after.write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/{folder}")
         fs = self._fs()
         parts = {p: f for p, f in manifest["parts"].items() if p not in touched}
         parts |= {p: f"{folder}/part={p}" for p in touched if fs.exists(self._path(f"{self.root}/{folder}/part={p}"))}
@@ -126,9 +133,29 @@ class VersionedTable:
         return stream.writeStream.foreachBatch(lambda df, batch: self.merge(df, how, writer, batch, schema) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def _marked(have: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows, ``__new`` or not; rows with a ``part`` are dealt by it once, for the merge and for the write that follows."""
+    both = have.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
+    return both.repartition("part") if "part" in both.columns else both
+
+
+def _within(df: DataFrame, keys: list[str]) -> list[str]:
+    return ["part", *keys] if "part" in df.columns else keys
+
+
 def inserts(keys: list[str], order: list[str]) -> Merge:
-    """Rows whose key is new; the first of each."""
-    return lambda have, new: have.unionByName(tables.insert_if_absent(have, new, keys, order))
+    """Rows whose key is new; the first of each. A key with a null is always new."""
+
+    def merge(have: DataFrame, new: DataFrame) -> DataFrame:
+        both = _marked(have, new)
+        key = Window.partitionBy(*_within(both, keys))
+        some = reduce(Column.__or__, (F.col(k).isNull() for k in keys))
+        rows = both.withColumn("__n", F.row_number().over(key.orderBy("__new", *order))).withColumn("__old", F.count(F.when(F.col("__new") == 0, 1)).over(key))
+        first = (F.col("__n") == F.col("__old") + 1) & (some | (F.col("__old") == 0))
+        return rows.where((F.col("__new") == 0) | first).drop("__new", "__n", "__old")
+
+    merge.within = keys
+    return merge
 
 
 def upserts(keys: list[str], order: list[str]) -> Merge:
@@ -140,10 +167,12 @@ def refreshes(keys: list[str], order: list[str], seen: str) -> Merge:
     """Rows that are there stay, and so does the first of each new key; ``seen`` becomes the latest of all."""
 
     def merge(have: DataFrame, new: DataFrame) -> DataFrame:
-        both = have.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-        rest = [c for c in have.columns if c not in (*keys, seen)]
-        return both.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("__new", *order)).alias("row"), F.max(seen).alias(seen)).select(*keys, "row.*", seen)
+        both = _marked(have, new)
+        own = _within(both, keys)
+        rest = [c for c in have.columns if c not in (*own, seen)]
+        return both.groupBy(*own).agg(F.min_by(F.struct(*rest), F.struct("__new", *order)).alias("row"), F.max(seen).alias(seen)).select(*own, "row.*", seen)
 
+    merge.within = keys
     return merge
 
 
